@@ -149,12 +149,12 @@ def view_count(spark, d):
     return records.view(P.reads(spark, d), 20, 2, 1024).agg(F.count(F.lit(1)).alias("n"))
 
 
-_X31 = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split('read' || qid, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296)"
+_X31 = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split('read' || (qid * 62710561), ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296)"
 
 
 @query(f"SELECT ord, qid FROM reads WHERE (({_X31} + 11) % 16777216) / 16777216.0 < 0.5", P.READS)
 def subsample(spark, d):
-    return records.view(P.reads(spark, d).withColumn("qname", F.concat(F.lit("read"), "qid")), fraction=0.5, seed=11, name="qname").select("ord", "qid")
+    return records.view(P.reads(spark, d).withColumn("qname", F.concat(F.lit("read"), F.col("qid") * 62710561)), fraction=0.5, seed=11, name="qname").select("ord", "qid")
 
 
 @query("SELECT ord, qid FROM reads WHERE flag & 4 = 0 AND flag & 64 <> 0 AND mapq >= 10 AND flag & 2 <> 0", P.READS)
@@ -294,7 +294,7 @@ def cat(spark, d):
 
 @query(f"SELECT ord, qid, {_X31} AS hash, cast({_X31} % 16 AS int) AS bucket FROM reads", P.READS)
 def bucket_shuffle(spark, d):
-    return records.bucket_shuffle(P.reads(spark, d).withColumn("qname", F.concat(F.lit("read"), "qid")), 16, "qname").select("ord", "qid", "hash", "bucket")
+    return records.bucket_shuffle(P.reads(spark, d).withColumn("qname", F.concat(F.lit("read"), F.col("qid") * 62710561)), 16, "qname").select("ord", "qid", "hash", "bucket")
 
 
 @query(
