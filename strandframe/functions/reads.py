@@ -34,7 +34,7 @@ def parse_cigar(text) -> Column:
     ops = F.regexp_extract_all(t, F.lit(r"(\d+[MIDNSHP=XB])"), F.lit(1))
     out = F.transform(ops, lambda x: F.struct(F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
     whole = F.regexp_replace(t, r"\d+[MIDNSHP=XB]", "")
-    return F.when(t == "*", F.array().cast("array<struct<len:int,op:string>>")).when(whole == "", out).otherwise(F.raise_error(F.concat(F.lit("bad CIGAR: "), t)))
+    return F.when(t.isNull(), None).when(t == "*", F.array().cast("array<struct<len:int,op:string>>")).when(whole == "", out).otherwise(F.raise_error(F.concat(F.lit("bad CIGAR: "), t)))
 
 
 def format_cigar(cigar) -> Column:

@@ -30,7 +30,7 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     """(ref_aln, seq_aln) of the first two records of a FASTA file over ACGTN-; fewer than two raise an error."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     parts = F.filter(F.split("value", "(?m)^>"), lambda x: F.length(F.trim(x)) > 0)
     body = lambda k: F.upper(F.regexp_replace(F.regexp_replace(F.element_at(parts, k), r"^[^\n]*\n", ""), r"\s", ""))
     ok = lambda s: F.when(s.rlike("^[ACGTN-]*$"), s).otherwise(F.raise_error(F.lit("an alignment may hold A, C, G, T, N and - only")))
@@ -66,9 +66,9 @@ def read_sam(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
         F.transform(F.slice(c, 12, 10_000), lambda t: F.struct(F.left(t, F.lit(2)).alias("k"), F.struct(F.substring(t, 4, 1).alias("type"), F.substring(t, 6, 1 << 30).alias("value")).alias("v")))
     )
     out = rows.where(F.when(F.size(c) >= 11, True).otherwise(F.raise_error(F.concat(F.lit("too few columns: "), F.col("value"))))).select(
-        c[0].alias("qname"), parse_flag(c[1]).alias("flag"), c[2].alias("rname"), (c[3].cast("int") - 1).alias("pos"), c[4].cast("int").alias("mapq"),
-        parse_cigar(c[5]).alias("cigar"), F.when(c[6] == "=", c[2]).otherwise(c[6]).alias("rnext"), (c[7].cast("int") - 1).alias("pnext"), c[8].cast("int").alias("tlen"),
-        F.when(c[9] != "*", c[9]).alias("seq"), F.when(c[10] != "*", c[10]).alias("qual"), tags.alias("tags"), "ord",
+        F.get(c, F.lit(0)).alias("qname"), parse_flag(F.get(c, F.lit(1))).alias("flag"), F.get(c, F.lit(2)).alias("rname"), (F.get(c, F.lit(3)).cast("int") - 1).alias("pos"), F.get(c, F.lit(4)).cast("int").alias("mapq"),
+        parse_cigar(F.get(c, F.lit(5))).alias("cigar"), F.when(F.get(c, F.lit(6)) == "=", F.get(c, F.lit(2))).otherwise(F.get(c, F.lit(6))).alias("rnext"), (F.get(c, F.lit(7)).cast("int") - 1).alias("pnext"), F.get(c, F.lit(8)).cast("int").alias("tlen"),
+        F.when(F.get(c, F.lit(9)) != "*", F.get(c, F.lit(9))).alias("seq"), F.when(F.get(c, F.lit(10)) != "*", F.get(c, F.lit(10))).alias("qual"), tags.alias("tags"), "ord",
     )
     if check:
         bad = F.col("seq").isNotNull() & (F.size("cigar") > 0) & (query_length("cigar") != F.length("seq"))
@@ -92,7 +92,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", r"\s+")
     rows = spark.read.text(path).where(~F.col("value").rlike(r"^(#|track|browser|\s*$)"))
     two = F.size(c) < 3
-    return rows.select(c[0].alias("chrom"), F.when(two, c[1].cast("int") - 1).otherwise(c[1].cast("int")).alias("beg"), F.when(two, c[1].cast("int")).otherwise(F.try_element_at(c, F.lit(3)).cast("int")).alias("end"))
+    return rows.select(F.get(c, F.lit(0)).alias("chrom"), F.when(two, F.get(c, F.lit(1)).cast("int") - 1).otherwise(F.get(c, F.lit(1)).cast("int")).alias("beg"), F.when(two, F.get(c, F.lit(1)).cast("int")).otherwise(F.try_element_at(c, F.lit(3)).cast("int")).alias("end"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -100,10 +100,10 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     c = F.split("value", "\t")
     keys = F.split(F.try_element_at(c, F.lit(9)), ":")
-    info = F.when(c[7] == ".", F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(F.transform(F.split(c[7], ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))))
+    info = F.when(F.get(c, F.lit(7)) == ".", F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(F.transform(F.split(F.get(c, F.lit(7)), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))))
     samples = F.transform(F.slice(c, 10, 1 << 20), lambda s: F.map_from_arrays(F.slice(keys, F.lit(1), F.least(F.size(keys), F.size(F.split(s, ":")))), F.slice(F.split(s, ":"), F.lit(1), F.least(F.size(keys), F.size(F.split(s, ":"))))))
     return lines.select(
-        c[0].alias("chrom"), (c[1].cast("int") - 1).alias("pos"), c[2].alias("id"), c[3].alias("ref"), F.split(c[4], ",").alias("alt"), c[5].try_cast("double").alias("qual"), c[6].alias("filter"), info.alias("info"),
+        F.get(c, F.lit(0)).alias("chrom"), (F.get(c, F.lit(1)).cast("int") - 1).alias("pos"), F.get(c, F.lit(2)).alias("id"), F.get(c, F.lit(3)).alias("ref"), F.split(F.get(c, F.lit(4)), ",").alias("alt"), F.get(c, F.lit(5)).try_cast("double").alias("qual"), F.get(c, F.lit(6)).alias("filter"), info.alias("info"),
         F.when(F.size(c) > 9, samples).otherwise(F.array().cast("array<map<string,string>>")).alias("samples"),
     )
 
