@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .common import Scratch, shuffle_parts
 
@@ -131,7 +132,7 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
 
 def _with_bitmaps(docs: DataFrame) -> DataFrame:
     """docs plus _bitmap (null: nothing to drop)."""
-    maps = line_bitmaps(docs).withColumnRenamed("bitmap", "_ld_bitmap")
+    maps = line_bitmaps(docs).toDF("_ld_md", "_ld_mt", "_ld_bitmap")
     keyed = docs.withColumn("_ld_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
 
     def text_hash(batches):
@@ -139,12 +140,10 @@ def _with_bitmaps(docs: DataFrame) -> DataFrame:
             h = [xxhash.xxh3_64_intdigest((x or "").encode()) - (1 << 63) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(h, pa.int64())], [*b.schema.names[:-1], "_ld_t"])
 
-    from pyspark.sql.types import LongType, StructType
-
     copy = keyed.withColumn("_ld_t", F.col("text"))
     schema = StructType([*[f for f in copy.schema.fields[:-1]]]).add("_ld_t", LongType())
     hashed = copy.mapInArrow(text_hash, schema)
-    return hashed.join(maps, (F.col("_ld_d") == F.col("d")) & (F.col("_ld_t") == F.col("t")), "left").drop("d", "t", "_ld_d", "_ld_t")
+    return hashed.join(maps, (F.col("_ld_d") == F.col("_ld_md")) & (F.col("_ld_t") == F.col("_ld_mt")), "left").drop("_ld_md", "_ld_mt", "_ld_d", "_ld_t")
 
 
 def cut(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
