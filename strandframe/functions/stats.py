@@ -288,3 +288,58 @@ class ErrorModel:
                 rest = [k for k in range(5) if k not in (a, b)]
                 out[a, b] = out[b, a] = max(0.0, het + (bsum[rest].sum() if c[rest].sum() else 0.0))
         return out
+
+
+def best_alleles(pl: np.ndarray, alleles: int, largest: int = 3, p_value: float = 0.99) -> tuple[tuple[int, ...], float]:
+    """(alleles kept, phred quality) of a multi-allelic site from PL (samples x A(A+1)/2, order (0,0),(0,1),(1,1),..).
+
+    For each set of up to ``largest`` alleles, frequencies come from EM under Hardy-Weinberg. A larger set is taken
+    only if its likelihood gain passes a chi-squared test with one degree of freedom per added allele."""
+    from itertools import combinations
+
+    like = LIKELIHOOD[np.clip(pl, 0, 255)]
+    index = {(a, b): b * (b + 1) // 2 + a for b in range(alleles) for a in range(b + 1)}
+
+    def fit(kept):
+        f = np.full(len(kept), 1 / len(kept))
+        ll = -np.inf
+        for _ in range(50):
+            total, share = np.zeros(len(like)), np.zeros((len(kept), len(like)))
+            for i, a in enumerate(kept):
+                for j, b in enumerate(kept[i:], i):
+                    p = f[i] * f[j] * (1 if i == j else 2) * like[:, index[min(a, b), max(a, b)]]
+                    total += p
+                    share[i] += p
+                    share[j] += p
+            total = np.maximum(total, 1e-300)
+            new = (share / total).sum(1) / (2 * len(like))
+            now = float(np.log(total).sum())
+            if abs(now - ll) < 1e-6:
+                break
+            f, ll = new, now
+        return ll
+
+    best, score = (0,), fit((0,))
+    null = score
+    for size in range(1, min(largest, alleles) + 1):
+        top = max(((fit(k), k) for k in combinations(range(alleles), size)), key=lambda x: (x[0], tuple(-i for i in x[1])))
+        added = size - len(best)
+        if added == 0 and top[0] > score:
+            score, best = top
+        elif added > 0 and gamma_p(added / 2, max(0.0, top[0] - score)) > p_value:
+            score, best = top
+    if best == (0,):
+        others = max((fit((0, k)) for k in range(1, alleles)), default=null)
+        qual = 4.343 * max(0.0, null - others) + 1
+    else:
+        qual = 4.343 * max(0.0, score - null)
+    return best, min(999.0, qual)
+
+
+IUPAC_OF = {"AC": "M", "AG": "R", "AT": "W", "CG": "S", "CT": "Y", "GT": "K"}
+
+
+def call_genotype(pl: np.ndarray, kept: tuple[int, ...]) -> tuple[tuple[int, int], int]:
+    """((a, b), GQ up to 99) of one sample among the kept alleles."""
+    ranked = sorted((int(pl[max(a, b) * (max(a, b) + 1) // 2 + min(a, b)]), (a, b)) for i, a in enumerate(kept) for b in kept[i:])
+    return ranked[0][1], min(99, ranked[1][0] - ranked[0][0]) if len(ranked) > 1 else 99

@@ -196,3 +196,57 @@ def mapping_accuracy(reads: DataFrame) -> DataFrame:
     g = reads.groupBy((F.floor(F.col("mapq") / 10) * 10).cast("int").alias("mapq")).agg(F.count(F.lit(1)).alias("k"), F.count_if("wrong").alias("x"))
     w = Window.orderBy(F.col("mapq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return g.select("mapq", F.sum("k").over(w).cast("long").alias("n"), F.sum("x").over(w).cast("long").alias("wrong"))
+
+
+def call_multiallelic(sites: DataFrame, largest: int = 3) -> DataFrame:
+    """(site, alleles, qual, gts): kept alleles, site quality and genotypes of sites (site, n_alleles, pl per sample)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for site, n, pl in zip(pdf["site"], pdf["n_alleles"], pdf["pl"], strict=True):
+                m = _matrix(pl)
+                kept, qual = K.best_alleles(m, int(n), largest)
+                out.append((site, list(kept), qual, ["/".join(map(str, K.call_genotype(row, kept)[0])) for row in m]))
+            yield pd.DataFrame(out, columns=["site", "alleles", "qual", "gts"])
+
+    return sites.select("site", "n_alleles", "pl").mapInPandas(run, "site long, alleles array<int>, qual double, gts array<string>")
+
+
+def consensus_letters(sites: DataFrame, min_depth: int = 3, max_depth: int = 10_000, min_mq: int = 10) -> DataFrame:
+    """(chrom, pos, letter): letter of each SNP site from the first sample's genotype: IUPAC for two alleles, lower case outside the depth bounds or below ``min_mq``."""
+    gt = F.split(F.coalesce(F.try_element_at(F.element_at("samples", 1), F.lit("GT")), F.lit("0/0")), r"[/|]")
+    alleles = F.concat(F.array("ref"), "alt")
+    pick = lambda k: F.coalesce(F.try_element_at(alleles, F.try_element_at(gt, F.lit(k)).try_cast("int") + 1), F.col("ref"))
+    both = F.array_join(F.array_sort(F.array_distinct(F.array(pick(1), pick(2)))), "")
+    iupac = F.create_map(*[F.lit(x) for kv in K.IUPAC_OF.items() for x in kv])
+    letter = F.when(F.length(both) == 1, both).otherwise(F.coalesce(F.try_element_at(iupac, both), F.lit("N")))
+    dp, mq = (F.coalesce(F.try_element_at("info", F.lit(k)).try_cast("int"), F.lit(0)) for k in ("DP", "MQ"))
+    s = sites.where((F.length("ref") == 1) & ~F.exists("alt", lambda a: F.length(a) != 1))
+    return s.select("chrom", "pos", F.when((dp < min_depth) | (dp > max_depth) | (mq < min_mq), F.lower(letter)).otherwise(letter).alias("letter"))
+
+
+def mask_near_indels(letters: DataFrame, indels: DataFrame, around: int = 5) -> DataFrame:
+    """Lower-case letters within ``around`` of an indel (chrom, pos): a binned semi-join on merged spans."""
+    from .intervals import overlap_semi
+
+    spans = indels.select(F.col("chrom").alias("tid"), (F.col("pos") - around).alias("b"), (F.col("pos") + around + 1).alias("e")).withColumn("b", F.greatest("b", F.lit(0)))
+    x = letters.withColumns({"tid": F.col("chrom"), "_e": F.col("pos") + 1})
+    near = overlap_semi(x, spans, end="_e").select("chrom", "pos", F.lit(True).alias("_m"))
+    return letters.join(near, ["chrom", "pos"], "left").select("chrom", "pos", F.when(F.col("_m"), F.lower("letter")).otherwise(F.col("letter")).alias("letter"))
+
+
+def qcall_lines(sites: DataFrame, names: list[str]) -> DataFrame:
+    """(value): one line per site and sample with the ten likelihoods of ACGT genotypes, from PL over ref and alt alleles."""
+    bases = "ACGT"
+    pos_of = lambda b: F.array_position(F.concat(F.array("ref"), "alt"), F.lit(b)) - 1
+    pl = F.split(F.try_element_at(F.col("s"), F.lit("PL")), ",")
+    cells = []
+    for j, y in enumerate(bases):
+        for x in bases[: j + 1]:
+            a, b = F.least(pos_of(x), pos_of(y)), F.greatest(pos_of(x), pos_of(y))
+            at = (b * (b + 1) / 2 + a + 1).cast("int")
+            cells.append(F.when(a >= 0, F.coalesce(F.try_element_at(pl, at), F.lit("255"))).otherwise("255"))
+    e = sites.where(F.length("ref") == 1).select("chrom", "pos", "ref", "alt", F.posexplode("samples").alias("i", "s"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
+    return e.select(F.concat_ws("\t", name, "chrom", F.col("pos") + 1, "ref", *cells).alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import codec, consensus, depth, intervals, records, search, sequence_stats, variants
+from ..operators import codec, consensus, depth, intervals, quality, records, search, sequence_stats, sites, variants
 from . import projections as P
 
 PATTERN = "ACGTA"
@@ -444,3 +444,38 @@ def allele_count_posterior(spark, d):
 def var_filter(spark, d):
     r = P.regions(spark, d).select(F.concat(F.lit("chr"), "tid").alias("chrom"), (F.col("b") * 7 + F.col("rid") % 7).cast("long").alias("pos"), (F.col("rid") % 60).cast("int").alias("qual"), (F.col("rid") % 9 == 0).alias("is_indel"))
     return variants.var_filter(r.groupBy("chrom", "pos").agg(F.max("qual").alias("qual"), F.max("is_indel").alias("is_indel")))
+
+
+@query("SELECT CASE WHEN depth > 100 THEN 101 ELSE depth END::BIGINT AS bin, count(*) AS n FROM (" + _DEPTH + ") GROUP BY 1", P.READS)
+def coverage_histogram(spark, d):
+    return quality.coverage_histogram(depth.sweep(P.reads(spark, d), 10), hi=100)
+
+
+@query("SELECT cast(mapq // 10 * 10 AS int) AS mapq, cast(sum(count(*)) OVER w AS bigint) AS n, cast(sum(count(*) FILTER (WHERE qid % 11 = 0)) OVER w AS bigint) AS wrong FROM reads GROUP BY mapq // 10 WINDOW w AS (ORDER BY mapq // 10 DESC)", P.READS)
+def mapping_accuracy(spark, d):
+    return sites.mapping_accuracy(P.reads(spark, d).select("mapq", (F.col("qid") % 11 == 0).alias("wrong")))
+
+
+@query("SELECT DISTINCT g.tid, x.b, x.e FROM (SELECT 1) g0, (SELECT tid FROM regions GROUP BY tid) g, LATERAL (SELECT min(b) AS b, max(e) AS e FROM (SELECT b, e, sum(new) OVER (ORDER BY b, e) AS isl FROM (SELECT b, e, CASE WHEN b > max(e) OVER (ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM regions r WHERE r.tid = g.tid AND r.rid % 301 = 0)) GROUP BY isl) x WHERE x.b IS NOT NULL", P.REGIONS)
+def merged_regions(spark, d):
+    return intervals.merged(P.regions(spark, d).where("rid % 301 = 0"))
+
+
+@query()
+def ld_matrix(spark, d):
+    return sites.linkage_window(P.likelihoods(spark, d), 2)
+
+
+@query()
+def group_association(spark, d):
+    return sites.association(P.likelihoods(spark, d).where("label = 0"), 10, rounds=10)
+
+
+@query()
+def site_bias(spark, d):
+    return sites.bias_tests(depth.site_sums(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))).withColumn("ref", F.lit("A"))))
+
+
+@query()
+def target_segments(spark, d):
+    return sites.target_segments(depth.sweep(P.reads(spark, d)).select(F.concat(F.lit("chr"), "tid").alias("chrom"), F.col("pos").cast("long").alias("pos"), "depth"), 10)
