@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import codec, consensus, depth, intervals, quality, records, search, sequence_stats, sites, variants
+from ..operators import calling, codec, consensus, depth, intervals, quality, records, search, sequence_stats, sites, variants
 from . import projections as P
 
 PATTERN = "ACGTA"
@@ -479,3 +479,36 @@ def site_bias(spark, d):
 @query()
 def target_segments(spark, d):
     return sites.target_segments(depth.sweep(P.reads(spark, d)).select(F.concat(F.lit("chr"), "tid").alias("chrom"), F.col("pos").cast("long").alias("pos"), "depth"), 10)
+
+
+@query()
+def call_sites(spark, d):
+    return calling.call_sites(P.likelihoods(spark, d))
+
+
+@query()
+def trio_llr(spark, d):
+    return calling.pair_and_trio(P.likelihoods(spark, d))
+
+
+@query()
+def site_likelihoods(spark, d):
+    r = P.reads(spark, d).where("tid = 1 and pos < 200")
+    return calling.site_likelihoods(_with_bases(depth.pileup(r)).withColumns({"ref": F.lit("A"), "sample": (F.col("qid") % 3).cast("int")}))
+
+
+@query(
+    """, q AS (SELECT tid, p AS pos, base, sum(baseq) AS q, count(*) AS n FROM pile GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY tid, pos ORDER BY q DESC, base DESC) AS k, sum(n) OVER (PARTITION BY tid, pos) AS d FROM q)
+SELECT a.tid, a.pos, a.base, cast(least(a.q - coalesce(b.q, 0), 63) AS int) AS qual, cast(least(a.d, 255) AS int) AS depth FROM r a LEFT JOIN r b ON a.tid = b.tid AND a.pos = b.pos AND b.k = 2 WHERE a.k = 1""",
+    P.READS, _PILE,
+)
+def haploid_consensus(spark, d):
+    return calling.haploid_consensus(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))))
+
+
+@query()
+def phase_sets(spark, d):
+    r = P.reads(spark, d).where("tid = 0 and pos < 1000")
+    obs = r.select("tid", F.col("qid").alias("frag"), (F.col("pos") - F.col("pos") % 5).alias("pos"), (F.col("mapq") % 2).alias("allele")).groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
+    return calling.phase_sets(obs)
