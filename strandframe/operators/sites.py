@@ -250,3 +250,23 @@ def qcall_lines(sites: DataFrame, names: list[str]) -> DataFrame:
     e = sites.where(F.length("ref") == 1).select("chrom", "pos", "ref", "alt", F.posexplode("samples").alias("i", "s"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
     return e.select(F.concat_ws("\t", name, "chrom", F.col("pos") + 1, "ref", *cells).alias("value"))
+
+
+def snp_density(sites: DataFrame, width: int = 10, most: int = 2, tile: int = 1 << 14) -> DataFrame:
+    """Sites (chrom, pos) with ``dense``: whether more than ``most`` sites lie within ``width`` positions to either side.
+
+    Windows run inside tiles; a site also enters the neighbouring tiles that its reach touches, and counts only in its own."""
+    from pyspark.sql import Window
+
+    own = F.floor(F.col("pos") / tile)
+    spread = sites.withColumns({"_own": own, "_tile": F.explode(F.sequence(F.floor((F.col("pos") - width) / tile), F.floor((F.col("pos") + width) / tile)))})
+    w = Window.partitionBy("chrom", "_tile").orderBy("pos").rangeBetween(-width, width)
+    return spread.withColumn("dense", F.count(F.lit(1)).over(w) > most).where("_tile = _own").drop("_tile", "_own")
+
+
+def beagle_likelihoods(sites: DataFrame) -> DataFrame:
+    """(site, sample, l0, l1, l2): likelihoods of PL triples that sum to one."""
+    e = sites.select("site", F.posexplode("pl").alias("sample", "t"))
+    p = F.transform("t", lambda x: F.pow(F.lit(10.0), -x / 10.0))
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return e.select("site", "sample", *[F.round(p[k] / total, 6).alias(f"l{k}") for k in range(3)])

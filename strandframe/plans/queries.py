@@ -512,3 +512,17 @@ def phase_sets(spark, d):
     r = P.reads(spark, d).where("tid = 0 and pos < 1000")
     obs = r.select("tid", F.col("qid").alias("frag"), (F.col("pos") - F.col("pos") % 5).alias("pos"), (F.col("mapq") % 2).alias("allele")).groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
     return calling.phase_sets(obs)
+
+
+@query(
+    "SELECT site, cast(sample AS int) AS sample, round(p[1] / list_sum(p), 6) AS l0, round(p[2] / list_sum(p), 6) AS l1, round(p[3] / list_sum(p), 6) AS l2 FROM (SELECT site, sample, list_transform(pl[sample + 1], lambda x: pow(10.0, -x / 10.0)) AS p FROM (SELECT site, pl, unnest(generate_series(0, 19)) AS sample FROM sites))",
+    _PL,
+)
+def beagle_likelihoods(spark, d):
+    return sites.beagle_likelihoods(P.likelihoods(spark, d))
+
+
+@query("SELECT pos, rid, count(*) OVER (PARTITION BY tid ORDER BY pos RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) > 4 AS dense FROM (SELECT tid, rid, b * 7 + cast(rid % 7 AS int) AS pos FROM regions)", P.REGIONS)
+def snp_density(spark, d):
+    r = P.regions(spark, d).select(F.col("tid").alias("chrom"), "rid", (F.col("b") * 7 + (F.col("rid") % 7).cast("int")).alias("pos"))
+    return sites.snp_density(r, 10, 4).select("pos", "rid", "dense")
