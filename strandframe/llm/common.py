@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 #: Rows up to which a per-key table may be broadcast (checked by a count first).
 BROADCAST_ROWS = 20_000
+#: Counted edges up to which one task (16 bytes an edge) finds the components; more go by rounds over all tasks.
+ONE_TASK_EDGES = 1 << 20
 #: Pieces into which the rows of one key are dealt before they meet a per-key table.
 SALTS = 64
 
@@ -67,17 +71,48 @@ def attach_by_key(rows: DataFrame, small: DataFrame, key: str, spread: list[str]
     return salted.join(there.join(small, key), [key, "_salt"], "left").drop("_salt")
 
 
-def components(edges: DataFrame, scratch: Scratch, tag: str = "cc", a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of long-valued ``edges`` by alternating large-star and small-star steps.
+def _union(batches):
+    """(node, root) of the edges of a task: smallest labels spread along edges, then every label follows its own."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    u, v = (table.column(k).to_numpy() for k in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            break
+        for k in (i, j):
+            np.minimum.at(label, label[k], low)
+            np.minimum.at(label, k, low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, tag: str = "cc", a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Connected components of long-valued ``edges``.
 
     Returns (node, root): root is the smallest node id of the component; only nodes with an edge to
-    another node appear. Every step is a partial aggregate plus a salted attach, so a hub is dealt over
-    many tasks; each round is written to the shared folder and the one before it is removed. A step keeps
-    at most one edge per (node, smaller node), so the edge table never grows.
+    another node appear. Edges are counted first. Up to ``one_task`` of them fit one task, which ends the matter
+    without a shuffle; more are contracted by ``star_rounds`` over all tasks.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = scratch.store(e, f"{tag}-0")
+    e = scratch.store(e.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), f"{tag}-0")
+    if e.count() <= one_task:
+        return e.coalesce(1).mapInArrow(_union, "node long, root long")
+    return star_rounds(e, scratch, tag)
+
+
+def star_rounds(e: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(node, root) by alternating large-star and small-star steps on the stored edges (u > v) named <tag>-0.
+
+    Every step is a partial aggregate plus a salted attach, so a hub is dealt over many tasks; each round is
+    written to the shared folder and the one before it is removed. A step keeps at most one edge per (node,
+    smaller node), so the edge table never grows.
+    """
     before, k = None, 0
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

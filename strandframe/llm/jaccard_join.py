@@ -10,10 +10,11 @@ meet on equal pairs; *heavy* sets, and light ones that a heavy set's size range
 lists of their prefix tokens. The boundary is the size up to which enumerating costs no more than scanning,
 by the measured mean list length.
 
-Candidates of a list are first its members with the list's smallest set, so a list of m near copies costs m
-checks, not m^2; linked sets become one component, and later rounds look only at lists that still hold
-several components. The last round checks every pair of such a list whose components differ, so no link
-between components is lost. Checks are exact on the shared tokens of both sets. Tokens in over
+A first round contracts groups: sets that agree in a min-hash of their shared tokens are checked against the one
+among them with the fewest tokens of its own, so m near copies cost m checks, not m^2, and linked sets become
+one component. The complete round then looks only at lists that still hold several components and checks
+every pair of such a list whose components differ, so no link between components is lost. Checks count the
+shared tokens of both sets. In the join a token is the upper 48 bits of its hash. Tokens in over
 ``HOT`` of a bounded sample of sets are ordered last and are not gathered by token; their number is bounded
 by the mean set size over HOT.
 
@@ -25,21 +26,21 @@ smallest (a component of null ids only has a null id). Empty table: empty result
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach_by_key, components, shuffle_parts
+from .common import BROADCAST_ROWS, Scratch, attach_by_key, components, shuffle_parts
 
 WORDS = 5
 #: Share of a bounded sample of sets (SAMPLE of them) over which a token counts as hot.
 HOT, SAMPLE = 0.02, 4000
 #: Bytes of text hashed at a time, tokens sent in one group of blocks.
 CHUNK, GROUP = 1 << 20, 1 << 20
-#: Rounds of checks against a list's smallest set before the last, complete round.
-STAR_ROUNDS = 2
+#: Min-hashes by which sets meet in the contracting round; most that a list entry counts in the cost of scanning.
+MIN_HASHES = 3
+SCAN = 4
 
 _RNG = np.random.default_rng(20_240_607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,16 +118,33 @@ def prefix_len(s):
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    """Sorted ids as compressed differences."""
+    """Sorted 48-bit ids as compressed differences."""
     d = np.diff(ids, prepend=ids.dtype.type(0))
-    return pa.compress(d.view(np.uint8).reshape(len(d), 8).T.tobytes(), "zstd", asbytes=True) if len(d) else b""
+    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(len(d), 8)[:, :6].T), "zstd", asbytes=True) if len(d) else b""
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
-    raw = pa.decompress(data, 8 * n, "zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel())
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(pa.decompress(data, 6 * n, "zstd", asbytes=True), np.uint8).reshape(6, n).T
+    return np.cumsum(wide.view(np.uint64).ravel())
+
+
+def _six(ids: np.ndarray) -> bytes:
+    """48-bit ids in six bytes each."""
+    return ids.view(np.uint8).reshape(len(ids), 8)[:, :6].tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def tokens_of(shingles: np.ndarray) -> np.ndarray:
+    """Join tokens of a set: the upper 48 bits, sorted."""
+    return shingles >> np.uint64(16)
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -149,7 +167,7 @@ def _hot_tokens(docs: DataFrame, n_docs: int, words: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             for t in b.column(0).to_pylist():
-                s = shingle_set(t, words)
+                s = tokens_of(shingle_set(t, words))
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["t"])
 
     if n_docs < 50 * SAMPLE // 100:  # under 2,000 rows no list is long
@@ -197,6 +215,7 @@ def _routes(buckets: int, hot: np.ndarray, words: int):
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
+                s = tokens_of(s)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     s = s[hot[at] != s]
@@ -212,17 +231,39 @@ def _routes(buckets: int, hot: np.ndarray, words: int):
     return run
 
 
-_SHARED = "set_id long, n int, ids binary, df binary"
+#: What comes back to the groups of sets: kind 0 shared tokens with their df, 1 sizes (in counts), 2 hot tokens.
+_BACK = "g int, kind byte, sets binary, counts binary, tokens binary, df binary"
+
+
+def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+
 
+def _back(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = [pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["g", "kind", "sets", "counts", "tokens", "df"])
 
-def _lists(batches):
-    """Kernel over whole buckets: tokens in two sets or more go back to their sets, with their df."""
-    rows: dict[int, list] = {}
-    last = None
 
-    def finish(bucket):
+def _by_group(sets: np.ndarray, tokens: np.ndarray, df: np.ndarray, groups: int, kind: int) -> list[tuple]:
+    """One row per group of (set, token, df) triples: distinct sets, their numbers of tokens, tokens and dfs in that order."""
+    g = _group_of(sets, groups)
+    order = np.lexsort([tokens, sets, g])
+    sets, tokens, df, g = sets[order], tokens[order], df[order], g[order]
+    out, cuts = [], np.searchsorted(g, np.arange(groups + 1))
+    for k in np.unique(g).tolist():
+        own = slice(cuts[k], cuts[k + 1])
+        ids, n = np.unique(sets[own], return_counts=True)
+        out.append((k, kind, ids.tobytes(), n.astype(np.uint32).tobytes(), _six(np.ascontiguousarray(tokens[own])), df[own].tobytes()))
+    return out
+
+
+def _lists(groups: int):
+    """Kernel over whole buckets: tokens in two sets or more go back to the groups of their sets, with their df."""
+
+    def finish(rows):
         tokens, sets = [], []
-        for n, t, w, keys in rows.pop(bucket):
+        for n, t, w, keys in rows:
             tokens.append(_unpack(t, n))
             place = np.frombuffer(pa.decompress(w, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
             sets.append(np.frombuffer(keys, np.int64)[place])
@@ -232,98 +273,127 @@ def _lists(batches):
         fresh = np.ones(len(t), bool)
         fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
         t, s = t[fresh], s[fresh]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        df = np.repeat(np.diff(np.append(start, len(t))), np.diff(np.append(start, len(t))))
+        n = np.diff(np.append(np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])), len(t)))
+        df = np.repeat(n, n)
         keep = df > 1
-        t, s, df = t[keep], s[keep], df[keep]
-        order = np.lexsort([t, s])
-        t, s, df = t[order], s[order], df[order].astype(np.uint32)
-        cut = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else np.zeros(1, np.int64)
-        for lo in range(0, len(cut) - 1, 4096):
-            ends = cut[lo : lo + 4097]
-            pairs = list(zip(ends[:-1], ends[1:], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(s[ends[:-1]]),
-                    pa.array([b - a for a, b in pairs], pa.int32()),
-                    pa.array([t[a:b].tobytes() for a, b in pairs], pa.binary()),
-                    pa.array([df[a:b].tobytes() for a, b in pairs], pa.binary()),
-                ],
-                ["set_id", "n", "ids", "df"],
-            )
+        return _back(_by_group(s[keep], t[keep], np.minimum(df[keep], 65_535).astype(np.uint16), groups, 0))
 
-    for b in batches:
-        for k, n, t, w, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if last is not None and k != last:
-                yield from finish(last)
-            last = k
-            rows.setdefault(k, []).append((n, t, w, keys))
-    if last is not None:
-        yield from finish(last)
+    def run(batches):
+        held, last = [], None
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and k != last:
+                    yield finish(held)
+                    held = []
+                last = k
+                held.append(row)
+        if held:
+            yield finish(held)
 
+    return run
 
-_ACTIVE = "set_id long, s int, shared binary, n_shared int, prefix array<long>, place int"
 
+def _sizes(groups: int):
+    """Kernel: sizes of sets to their groups."""
+
+    def run(batches):
+        for b in batches:
+            ids, first = np.unique(b.column(0).to_numpy(), return_index=True)
+            size, g = b.column(1).to_numpy()[first].astype(np.uint32), _group_of(ids, groups)
+            yield _back([(int(k), 1, ids[g == k].tobytes(), size[g == k].tobytes(), b"", b"") for k in np.unique(g)])
+
+    return run
 
-def _prefixes(batches):
-    """Kernel: per set, its shared tokens by (df, token), and the ones in the prefix (one more for pairs).
-    Sets whose prefix holds no shared token are left out."""
-    for b in batches:
-        out = []
-        for set_id, s, ids, dfs, hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            tokens = np.frombuffer(b"".join(ids or []), np.uint64)
-            df = np.frombuffer(b"".join(dfs or []), np.uint32).astype(np.int64)
-            if hot:
-                h = np.frombuffer(hot, np.uint64)
-                tokens, df = np.concatenate([tokens, h]), np.concatenate([df, np.full(len(h), 1 << 40)])
-            alone = s - len(tokens)
-            take = prefix_len(s) - alone
-            if take <= 0:
-                continue
-            order = np.lexsort([tokens, df])[: take + 1]
-            out.append((set_id, s, _pack(np.sort(tokens)), len(tokens), tokens[order].view(np.int64).tolist(), alone))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _ACTIVE.replace(",", "").split()[::2])
 
+def _hot_parts(hot: np.ndarray, words: int, groups: int):
+    """Kernel: hot tokens of sets to their groups."""
 
-def _hot_parts(hot: np.ndarray, words: int):
     def run(batches):
         for b in batches:
-            out = []
+            sets, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, words)
-                if len(s) >= 3 and len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    own = s[hot[at] == s]
-                    if len(own):
-                        out.append((set_key(s), own.tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["set_id", "hot"])
+                if len(s) >= 3:
+                    ids = tokens_of(s)
+                    own = ids[hot[np.minimum(np.searchsorted(hot, ids), len(hot) - 1)] == ids]
+                    sets.append(np.full(len(own), set_key(s), np.int64))
+                    tokens.append(own)
+            s, t = np.concatenate(sets), np.concatenate(tokens)
+            yield _back(_by_group(s, t, np.zeros(len(s), np.uint16), groups, 2))
 
     return run
 
 
-def boundary(mean_list: float) -> int:
-    """Largest set size for which enumerating pairs of the prefix costs no more than scanning its lists."""
+_ACTIVE = "set_id long, s int, shared binary, n_shared int, prefix array<long>, place int, mins array<long>"
+
+
+def _prefixes(batches):
+    """Kernel over whole groups: per set, its shared tokens by (df, token), and the ones in the prefix (one more for
+    pairs). Sets whose prefix holds no shared token are left out."""
+
+    def finish(rows):
+        size: dict[int, int] = {}
+        sets, tokens, df = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for kind, ids, n, t, d in rows:
+            ids, n = np.frombuffer(ids, np.int64), np.frombuffer(n, np.uint32)
+            if kind == 1:
+                size.update(zip(ids.tolist(), n.tolist(), strict=True))
+                continue
+            sets.append(np.repeat(ids, n))
+            tokens.append(_from_six(t))
+            df.append(np.full(len(tokens[-1]), 1 << 40) if kind == 2 else np.frombuffer(d, np.uint16).astype(np.int64))
+        s, t, d = np.concatenate(sets), np.concatenate(tokens), np.concatenate(df)
+        order = np.lexsort([t, d, s])
+        s, t, d = s[order], t[order], d[order]
+        fresh = np.ones(len(s), bool)  # copies of a set bring their hot tokens again
+        fresh[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+        s, t = s[fresh], t[fresh]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)) if len(s) else np.zeros(1, np.int64)
+        out = []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            n, own = size[int(s[lo])], t[lo:hi]
+            alone = n - len(own)
+            take = prefix_len(n) - alone
+            if take > 0:
+                mins = [int(_mix(own * _MUL[10 + k]).min()) >> 1 for k in range(MIN_HASHES)]
+                out.append((int(s[lo]), n, _pack(np.sort(own)), len(own), own[: take + 1].view(np.int64).tolist(), alone, mins))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["set_id", "s", "shared", "n_shared", "prefix", "place", "mins"])
+
+    held, last = [], None
+    for b in batches:
+        for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and g != last:
+                yield finish(held)
+                held = []
+            last = g
+            held.append(row)
+    if held:
+        yield finish(held)
+
+
+def boundary(scan: float) -> int:
+    """Largest set size for which enumerating pairs of the prefix costs no more than scanning its lists, at
+    ``scan`` rows for each list entry."""
     x = 2
     while x < 400:
         p = prefix_len(x + 1)
-        if (p + 1) * p / 2 > p * max(1.0, mean_list):
+        if (p + 1) * p / 2 > p * max(1.0, scan):
             break
         x += 1
     return x
 
 
 def _keys(active: DataFrame, light: int) -> DataFrame:
-    """(key, set_id, s, at): list keys. Heavy (or reached by heavy): a prefix token and its place; light: a pair of prefix tokens."""
+    """(key, set_id, s, at, comp): list keys. Heavy (or reached by heavy): a prefix token and its place; light: a pair of prefix tokens."""
     n = F.size("prefix")
     full = F.expr("s - int((3 * s + 3) div 4) + 1 - place")
     tokens = F.slice("prefix", 1, F.least(n, full))
     heavy = active.where((F.col("s") > light) | (F.floor(F.col("s") * 4 / 3) > light))
-    by_token = heavy.select("set_id", "s", "place", F.posexplode(tokens).alias("_i", "key")).select("key", "set_id", "s", (F.col("place") + F.col("_i")).alias("at"))
+    by_token = heavy.select("set_id", "s", "place", "comp", F.posexplode(tokens).alias("_i", "key")).select("key", "set_id", "s", (F.col("place") + F.col("_i")).alias("at"), "comp")
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.xxhash64(F.element_at("prefix", i), F.element_at("prefix", j), F.lit(3)))))
-    by_pair = active.where((F.col("s") <= light) & (n >= 2)).select(F.explode(pairs).alias("key"), "set_id", "s", F.lit(-1).alias("at"))
+    by_pair = active.where((F.col("s") <= light) & (n >= 2)).select(F.explode(pairs).alias("key"), "set_id", "s", F.lit(-1).alias("at"), "comp")
     return by_token.unionByName(by_pair)
 
 
@@ -334,22 +404,22 @@ def _can_link(s, r, at_s, at_r):
     return (F.least(s, r) * 4 >= F.greatest(s, r) * 3) & places
 
 
-def _check(pairs: DataFrame, active: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link, by exact counts of shared tokens."""
+def _check(pairs: DataFrame, active: DataFrame, few: bool) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets link, by counts of shared tokens. ``few``: the ids were counted and may be broadcast."""
     own = active.select("set_id", "s", "n_shared", "shared")
+    if few:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        own = own.join(F.broadcast(ids), "set_id", "left_semi")
     side = lambda x: own.select(F.col("set_id").alias(x), F.col("s").alias(f"s_{x}"), F.col("n_shared").alias(f"n_{x}"), F.col("shared").alias(f"t_{x}"))
-    small = F.least(F.col("n_a"), F.col("n_b"))
-    rows = pairs.join(side("a"), "a")
-    rows = attach_by_key(rows, side("b"), "b", ["a"], seen=pairs).where(small * 7 >= (F.col("s_a") + F.col("s_b")) * 3)
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 7 >= (F.col("s_a") + F.col("s_b")) * 3)
 
     def run(batches):
         for b in batches:
             last, last_key, keep = None, None, []
             for va, sa, na, ta, vb, sb, nb, tb in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = _unpack(ta, na)
                 if vb != last_key:
                     last, last_key = _unpack(tb, nb), vb
-                keep.append(len(np.intersect1d(x, last, assume_unique=True)) >= need(sa, sb))
+                keep.append(len(np.intersect1d(_unpack(ta, na), last, assume_unique=True)) >= need(sa, sb))
             k = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(4).filter(k)], ["a", "b"])
 
@@ -364,51 +434,44 @@ def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS
     hot = _hot_tokens(docs, n_docs, words)
     buckets = shuffle_parts(spark)
     routed = docs.select("text").mapInArrow(_routes(buckets, hot, words), _ROUTED)
-    lists = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _SHARED)
-    sizes = sets.where("n_shingles >= 3").groupBy("set_id").agg(F.max("n_shingles").cast("int").alias("s"))
-    # only sets that share enough are worth their tokens: the rest leaves before the lists are gathered
-    parts = lists.groupBy("set_id").agg(F.collect_list("ids").alias("ids"), F.collect_list("df").alias("df"))
+    back = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(buckets), _BACK)
+    sizes = sets.where("n_shingles >= 3").select("set_id", "n_shingles").mapInArrow(_sizes(buckets), _BACK)
+    back = back.unionByName(sizes)
     if len(hot):
-        hots = docs.select("text").mapInArrow(_hot_parts(hot, words), "set_id long, hot binary").groupBy("set_id").agg(F.first("hot").alias("hot"))
-        parts = parts.join(hots, "set_id", "full_outer")
-    else:
-        parts = parts.withColumn("hot", F.lit(None).cast("binary"))
-    active = parts.join(sizes, "set_id").select("set_id", "s", "ids", "df", "hot").mapInArrow(_prefixes, _ACTIVE)
+        back = back.unionByName(docs.select("text").mapInArrow(_hot_parts(hot, words, buckets), _BACK))
+    active = back.repartition(buckets, "g").sortWithinPartitions("g").mapInArrow(_prefixes, _ACTIVE)
     active = scratch.store(active, "active")
-    token = active.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    cost = token.agg(F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("c").alias("n")).first()
-    light = boundary(cost["sq"] / cost["n"] if cost["n"] else 1.0)
-    keys = _keys(active, light)
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("set_id").alias("low")).where("_c > 1").drop("_c")
-    keys = scratch.store(attach_by_key(keys, several, "key", ["set_id"]).where("low is not null"), "keys")
-    edges = None
-    labels = keys.select("set_id").distinct().select("set_id", F.col("set_id").alias("comp")).limit(0)
-    for k in range(STAR_ROUNDS + 1):
-        by_set = labels.select(F.col("set_id"), "comp")
-        rows = keys.join(by_set, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-        rows = scratch.store(rows, f"round{k}")
-        per_key = rows.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min_by(F.struct("set_id", "s", "at", "comp"), "set_id" if k % 2 == 0 else F.xxhash64("set_id")).alias("_lead"))
-        per_key = per_key.where("_lo <> _hi").select("key", "_lead")
-        if k < STAR_ROUNDS:
-            star = attach_by_key(rows.drop("low"), per_key, "key", ["set_id"]).where("_lead is not null and comp <> _lead.comp")
-            star = star.where(_can_link(F.col("s"), F.col("_lead.s"), F.col("at"), F.col("_lead.at")))
-            pairs = star.select(F.col("set_id").alias("a"), F.col("_lead.set_id").alias("b"))
-        else:
-            # members outside the list's largest component, with every member of another component
-            counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-            major = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("_major"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-            left = attach_by_key(rows.drop("low"), major, "key", ["set_id"]).where("_major is not null")
-            left = scratch.store(left, "left")
-            minor = left.where("comp <> _major").select("key", F.col("set_id").alias("a"), F.col("s").alias("s_a"), F.col("at").alias("at_a"), F.col("comp").alias("c_a"))
-            pairs = left.join(minor, "key").where((F.col("comp") != F.col("c_a")) & ((F.col("comp") == F.col("_major")) | (F.col("set_id") < F.col("a"))))
-            pairs = pairs.where(_can_link(F.col("s"), F.col("s_a"), F.col("at"), F.col("at_a"))).select("a", F.col("set_id").alias("b"))
-        pairs = scratch.store(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"pairs{k}")
-        found = scratch.store(_check(pairs, active), f"edges{k}")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = scratch.store(components(edges, scratch, f"cc{k}").select(F.col("node").alias("set_id"), F.col("root").alias("comp")), f"labels{k}")
-        scratch.drop(f"round{k}", f"pairs{k}")
-    scratch.drop("left", "keys", "active")
-    return labels.select(F.col("set_id").alias("node"), F.col("comp").alias("root"))
+    token = active.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    cost = token.where("c > 1").agg(F.sum(F.col("c") * F.least("c", F.lit(SCAN))).alias("rows"), F.sum("c").alias("n")).first()
+    light = boundary(cost["rows"] / cost["n"] if cost["n"] else 1.0)
+    # contract: sets that agree in a min-hash meet the one of them with the fewest tokens of its own
+    mins = active.select("set_id", "s", "place", F.posexplode("mins").alias("i", "m"))
+    leads = mins.groupBy("i", "m").agg(F.min_by(F.struct("set_id", "s"), F.struct("place", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    star = mins.join(leads, ["i", "m"]).where("set_id <> lead.set_id").where(F.least("s", "lead.s") * 4 >= F.greatest("s", "lead.s") * 3)
+    star = star.select(F.col("set_id").alias("a"), F.col("lead.set_id").alias("b")).distinct()
+    edges = scratch.store(_check(star, active, False), "edges0")
+    labels = scratch.store(components(edges, scratch, "cc0").select(F.col("node").alias("set_id"), F.col("root").alias("comp")), "labels0")
+    # complete: in lists of several components, members outside the largest meet every other component's
+    keyed = active.join(labels, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    keyed = scratch.store(_keys(keyed, light), "keys")
+    counts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("_major"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    left = scratch.store(keyed.join(mixed, "key"), "left")
+    minor = left.where("comp <> _major").select("key", F.col("set_id").alias("a"), F.col("s").alias("s_a"), F.col("at").alias("at_a"), F.col("comp").alias("c_a"))
+    pairs = left.join(minor, "key").where((F.col("comp") != F.col("c_a")) & ((F.col("comp") == F.col("_major")) | (F.col("set_id") < F.col("a"))))
+    pairs = pairs.where(_can_link(F.col("s"), F.col("s_a"), F.col("at"), F.col("at_a")))
+    pairs = scratch.store(pairs.select(F.greatest("a", "set_id").alias("a"), F.least("a", "set_id").alias("b")).distinct(), "pairs")
+    scratch.drop("keys", "left")
+    more = scratch.store(_check(pairs, active, 2 * pairs.count() <= BROADCAST_ROWS), "edges1")
+    scratch.drop("active", "pairs")
+    if more.isEmpty():
+        return labels.select(F.col("set_id").alias("node"), F.col("comp").alias("root"))
+    # the links found last join whole components: only their roots go through the rounds again
+    of = lambda x: labels.select(F.col("set_id").alias(x), F.col("comp").alias(f"{x}_root"))
+    roots = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    upper = scratch.store(components(roots, scratch, "cc1"), "labels1")
+    alone = labels.select(F.col("set_id").alias("node"), F.col("comp").alias("low")).unionByName(upper.select("node", F.col("node").alias("low"))).distinct()
+    return alone.join(upper.select(F.col("node").alias("low"), "root"), "low", "left").select("node", F.coalesce("root", "low").alias("root")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -411,7 +411,8 @@ def test_empty_tables(spark):
     assert quality_bt.classify(docs, quality_bt.train(docs, lab)).count() == 0
 
 
-def test_components(spark, tmp_path):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, one_task):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 360)] + [(500, k) for k in range(501, 560)]
     root = {}
@@ -425,5 +426,5 @@ def test_components(spark, tmp_path):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "c")).collect()}
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "c"), one_task=one_task).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
