@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, shuffle_parts
+from .common import WS, Scratch, shuffle_parts
 
 #: Runs merged into one at each level.
 FAN_IN = 16
@@ -43,6 +43,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.xxhash64("_t").alias("_h2"),
         F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(runs)).cast("int").alias("_run"),
     )
+    # digests are written once: every level of the tree reads them, not the texts
+    rows = Scratch(docs.sparkSession, "exact").store(rows, "digests")
     same = ["text_sha256", "_len", "_h2"]
     levels = [rows.groupBy("_run", *same).agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))]
     width = runs
