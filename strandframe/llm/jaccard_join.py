@@ -445,9 +445,9 @@ def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS
     cost = token.where("c > 1").agg(F.sum(F.col("c") * F.least("c", F.lit(SCAN))).alias("rows"), F.sum("c").alias("n")).first()
     light = boundary(cost["rows"] / cost["n"] if cost["n"] else 1.0)
     # contract: sets that agree in a min-hash meet the one of them with the fewest tokens of its own
-    mins = active.select("set_id", "s", "place", F.posexplode("mins").alias("i", "m"))
-    leads = mins.groupBy("i", "m").agg(F.min_by(F.struct("set_id", "s"), F.struct("place", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    star = mins.join(leads, ["i", "m"]).where("set_id <> lead.set_id").where(F.least("s", "lead.s") * 4 >= F.greatest("s", "lead.s") * 3)
+    mins = active.select("set_id", "s", "place", F.posexplode("mins").alias("i", "m")).withColumn("m", F.xxhash64("i", "m"))
+    leads = mins.groupBy("m").agg(F.min_by(F.struct("set_id", "s"), F.struct("place", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    star = attach_by_key(mins.select("set_id", "s", "m"), leads, "m", ["set_id"]).where("set_id <> lead.set_id").where(F.least("s", "lead.s") * 4 >= F.greatest("s", "lead.s") * 3)
     star = star.select(F.col("set_id").alias("a"), F.col("lead.set_id").alias("b")).distinct()
     edges = scratch.store(_check(star, active, False), "edges0")
     labels = scratch.store(components(edges, scratch, "cc0").select(F.col("node").alias("set_id"), F.col("root").alias("comp")), "labels0")
