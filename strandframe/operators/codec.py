@@ -47,9 +47,8 @@ def codec_stats(alignments: DataFrame, group: str = "grp", sync: int = 0) -> Dat
 
 def column_ops(alignments: DataFrame) -> DataFrame:
     """(seq, col, op, base) by column of each alignment; columns of two gaps vanish."""
-    n = F.length("ref_aln")
-    both = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.substring("ref_aln", k, F.lit(1)).alias("r"), F.substring("seq_aln", k, F.lit(1)).alias("s")))
-    rows = alignments.where(n > 0).select("seq", F.posexplode(both).alias("col", "x"))
+    both = F.zip_with(F.split("ref_aln", ""), F.split("seq_aln", ""), lambda r, s: F.struct(r.alias("r"), s.alias("s")))
+    rows = alignments.where(F.length("ref_aln") > 0).select("seq", F.posexplode(both).alias("col", "x"))
     op = F.when(F.col("x.r") == "-", "I").when(F.col("x.s") == "-", "D").when(F.col("x.r") == F.col("x.s"), "M").otherwise("X")
     return rows.where(~((F.col("x.r") == "-") & (F.col("x.s") == "-"))).select("seq", "col", op.alias("op"), F.col("x.s").alias("base"))
 
@@ -57,12 +56,9 @@ def column_ops(alignments: DataFrame) -> DataFrame:
 def op_runs(alignments: DataFrame) -> DataFrame:
     """(seq, op, columns, runs): columns and maximal runs of each operation. The rows of one alignment stay in
     its array, so no window sorts columns of a whole contig."""
-    n = F.length("ref_aln")
-    ops = F.filter(
-        F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring("ref_aln", k, F.lit(1)), F.substring("seq_aln", k, F.lit(1)))), lambda x: x != "--"
-    )
+    ops = F.filter(F.zip_with(F.split("ref_aln", ""), F.split("seq_aln", ""), lambda r, s: F.concat(r, s)), lambda x: x != "--")
     text = F.array_join(F.transform(ops, lambda x: F.when(x.startswith("-"), "I").when(x.endswith("-"), "D").when(F.left(x, F.lit(1)) == F.right(x, F.lit(1)), "M").otherwise("X")), "")
-    t = alignments.where(n > 0).select("seq", text.alias("t"))
+    t = alignments.where(F.length("ref_aln") > 0).select("seq", text.alias("t"))
     each = t.select("seq", F.explode(F.array(*[F.struct(F.lit(k).alias("op"), F.length(F.regexp_replace("t", f"[^{k}]", "")).alias("columns"), F.size(F.regexp_extract_all("t", F.lit(f"({k}+)"), F.lit(1))).alias("runs")) for k in "MXID"])).alias("x"))
     return each.select("seq", "x.op", "x.columns", "x.runs").where("columns > 0")
 

@@ -13,9 +13,9 @@ def base_composition(sequences: DataFrame) -> DataFrame:
     return each.groupBy("x.base").agg(F.sum("x.n").cast("long").alias("n"))
 
 
-def gc_by_cycle(sequences: DataFrame, cycles: int = 100) -> DataFrame:
-    """(cycle, gc, total) of the first ``cycles`` positions."""
-    head = sequences.select(F.split(F.substring("seqs", 1, cycles), "").alias("x"))
+def gc_by_cycle(sequences: DataFrame, cycles: int | None = None) -> DataFrame:
+    """(cycle, gc, total) of all positions, or of the first ``cycles``."""
+    head = sequences.select(F.split(F.substring("seqs", 1, cycles) if cycles else F.col("seqs"), "").alias("x"))
     rows = head.select(F.posexplode("x").alias("cycle", "b")).where("b <> ''")
     return rows.groupBy("cycle").agg(F.count_if(F.col("b").isin("G", "C")).alias("gc"), F.count(F.lit(1)).alias("total"))
 

@@ -66,17 +66,15 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCES = f"""sequences AS (SELECT doc_id AS seq, regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{AS_BASES}'), '[^ACGT]', 'N', 'g') AS seqs FROM documents)"""
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sequences by rank of id, column by column: gaps stand where an N meets a base."""
+def alignments(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """Pairs of sequences by rank of id, column by column: gaps stand where an N meets a base. The texts are whole; only the
+    queries checked by ``ALIGNMENTS``, whose SQL reads 400 columns, give a ``limit``."""
     s = sequences(spark, sf_dir)
-    pair = s.alias("a").join(s.select((F.col("seq") - 1).alias("seq"), F.col("seqs").alias("other")), "seq")
-    n = F.least(F.length("seqs"), F.length("other"), F.lit(400))
+    pair = s.alias("a").join(s.select((F.col("seq") - 1).alias("seq"), F.col("seqs").alias("other")), "seq").withColumns({"seqs_n": F.length("seqs"), "other_n": F.length("other")})
+    n = F.least("seqs_n", "other_n", *([F.lit(limit)] if limit else []))
     cut = pair.select("seq", F.substring("seqs", F.lit(1), n).alias("a"), F.substring("other", F.lit(1), n).alias("b")).where(F.length("a") > 0)
-    col = F.sequence(F.lit(1), F.length("a"))
-    x = lambda k: F.substring(F.col("a"), k, F.lit(1))
-    y = lambda k: F.substring(F.col("b"), k, F.lit(1))
-    ref = F.array_join(F.transform(col, lambda k: F.when((x(k) == "N") & (y(k) != "N"), "-").otherwise(x(k))), "")
-    seq = F.array_join(F.transform(col, lambda k: F.when((y(k) == "N") & (x(k) != "N"), "-").otherwise(y(k))), "")
+    side = lambda x, y: F.array_join(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when((p == "N") & (q != "N"), "-").otherwise(p)), "")
+    ref, seq = side("a", "b"), side("b", "a")
     return cut.select("seq", ref.alias("ref_aln"), seq.alias("seq_aln"))
 
 

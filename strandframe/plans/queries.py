@@ -61,13 +61,25 @@ def pattern_search_multi(spark, d):
     return search.pattern_search_multi(P.sequences(spark, d), PATTERNS)
 
 
-def _groups(spark, d) -> DataFrame:
-    return P.alignments(spark, d).withColumn("grp", F.floor(F.col("seq") / 8).cast("long"))
+#: The SQL of these queries reads this many columns of an alignment and this many cycles; they follow it, their ``_whole`` forms read everything.
+SQL_COLUMNS, SQL_CYCLES = 400, 100
+
+
+def _groups(spark, d, limit: int | None = None) -> DataFrame:
+    return P.alignments(spark, d, limit).withColumn("grp", F.floor(F.col("seq") / 8).cast("long"))
 
 
 @query("SELECT seq, coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE s <> '-'), '') AS seqs FROM colops GROUP BY seq", P.ALIGNMENTS)
 def codec_roundtrip(spark, d):
-    a = _groups(spark, d)
+    return _roundtrip(_groups(spark, d, SQL_COLUMNS))
+
+
+@query()
+def codec_roundtrip_whole(spark, d):
+    return _roundtrip(_groups(spark, d))
+
+
+def _roundtrip(a: DataFrame) -> DataFrame:
     refs = a.select("grp", "seq", F.replace("ref_aln", F.lit("-"), F.lit("")).alias("ref"))
     return codec.decompress_groups(codec.compress_groups(a), refs)
 
@@ -84,7 +96,16 @@ def codec_stats(spark, d):
     P.ALIGNMENTS,
 )
 def op_runs(spark, d):
-    return codec.op_runs(P.alignments(spark, d)).select("seq", "op", F.col("columns").cast("long").alias("columns"), F.col("runs").cast("long").alias("runs"))
+    return _op_runs(P.alignments(spark, d, SQL_COLUMNS))
+
+
+@query()
+def op_runs_whole(spark, d):
+    return _op_runs(P.alignments(spark, d))
+
+
+def _op_runs(a: DataFrame) -> DataFrame:
+    return codec.op_runs(a).select("seq", "op", F.col("columns").cast("long").alias("columns"), F.col("runs").cast("long").alias("runs"))
 
 
 @query(
@@ -93,6 +114,11 @@ SELECT a.pos FROM pos a JOIN pos b ON a.pos = b.pos + 1 WHERE b.changed = 1 AND
     P.ALIGNMENTS,
 )
 def sync_map(spark, d):
+    return codec.sync_map(P.alignments(spark, d, SQL_COLUMNS))
+
+
+@query()
+def sync_map_whole(spark, d):
     return codec.sync_map(P.alignments(spark, d))
 
 
@@ -106,6 +132,11 @@ def base_composition(spark, d):
     P.SEQUENCES,
 )
 def gc_by_cycle(spark, d):
+    return sequence_stats.gc_by_cycle(P.sequences(spark, d), SQL_CYCLES)
+
+
+@query()
+def gc_by_cycle_whole(spark, d):
     return sequence_stats.gc_by_cycle(P.sequences(spark, d))
 
 
