@@ -193,6 +193,37 @@ def haplotypes(pl_a: np.ndarray, pl_b: np.ndarray, steps: int = 50, eps: float =
     return f, float((f[0] * f[3] - f[1] * f[2]) / math.sqrt(den)) if den > 0 else -1.0
 
 
+def haplotype_r(pl: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 50, eps: float = 1e-5, batch: int = 4096) -> np.ndarray:
+    """r of ``haplotypes`` for pairs of rows ``a``, ``b`` of pl (sites x samples x 3), many pairs at a time."""
+    like = LIKELIHOOD[np.clip(pl, 0, 255)]
+    freq, n = np.array([allele_frequency(x) for x in pl]), pl.shape[1]
+    geno = np.array([[3 * (a1 + a2) + b1 + b2 for a2, b2 in ((0, 0), (0, 1), (1, 0), (1, 1))] for a1, b1 in ((0, 0), (0, 1), (1, 0), (1, 1))])
+    out = np.empty(len(a))
+    for at in range(0, len(a), batch):
+        i, j = a[at : at + batch], b[at : at + batch]
+        g = (like[i][:, :, :, None] * like[j][:, :, None, :]).reshape(len(i), n, 9)
+        fa, fb = freq[i], freq[j]
+        f = np.stack([(1 - fa) * (1 - fb), (1 - fa) * fb, fa * (1 - fb), fa * fb], axis=1)
+        live, cur, gl = np.arange(len(i)), f.copy(), g
+        for _ in range(steps):
+            w = np.zeros((len(live), 9))
+            for x in range(4):
+                for y in range(4):
+                    w[:, geno[x, y]] += cur[:, x] * cur[:, y]
+            share = (1 / np.maximum(gl @ w[:, :, None], 1e-300)).transpose(0, 2, 1) @ gl
+            new = cur * (share[:, 0, :][:, geno] @ cur[:, :, None])[:, :, 0] / n
+            done = np.abs(new - cur).max(1) < eps
+            f[live] = cur = new
+            if done.any():
+                live, cur, gl = live[~done], cur[~done], gl[~done]
+            if not len(live):
+                break
+        p, q = f[:, 2] + f[:, 3], f[:, 1] + f[:, 3]
+        den = p * (1 - p) * q * (1 - q)
+        out[at : at + batch] = np.where(den > 0, (f[:, 0] * f[:, 3] - f[:, 1] * f[:, 2]) / np.sqrt(np.where(den > 0, den, 1)), -1.0)
+    return out
+
+
 def count_posterior(pl: np.ndarray, theta: float = 1e-3, prior: str = "full") -> np.ndarray:
     """Posterior of the number of second alleles among 2n chromosomes, by the sample recursion over likelihoods."""
     like = LIKELIHOOD[np.clip(pl, 0, 255)]

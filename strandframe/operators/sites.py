@@ -91,6 +91,26 @@ def linkage_window(sites: DataFrame, reach: int) -> DataFrame:
     return linkage_pairs(sites, near.where((F.col("b") <= F.col("a")) & (F.col("a") - F.col("b") <= reach)).select("a", "b"))
 
 
+def linkage_matrix(sites: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b, r2) of all pairs of sites with a >= b: sites are dealt to blocks, and each pair of blocks is one task of the EM kernel."""
+    n = -(-sites.count() // block) or 1
+    s = sites.select("site", "pl", F.pmod(F.xxhash64("site"), F.lit(n)).cast("int").alias("_k"))
+    cells = s.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("site", "pl", "_k", F.greatest("_k", "_o").alias("_hi"), F.least("_k", "_o").alias("_lo"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        hi, lo = pdf["_hi"].iloc[0], pdf["_lo"].iloc[0]
+        site, pl = pdf["site"].to_numpy(), np.stack([_matrix(x) for x in pdf["pl"]])
+        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(pdf["_k"] == hi), np.flatnonzero(pdf["_k"] == lo), indexing="ij"))
+        if hi == lo:
+            keep = site[i] >= site[j]
+            i, j = i[keep], j[keep]
+        swap = site[i] < site[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pd.DataFrame({"a": site[i], "b": site[j], "r2": K.haplotype_r(pl, i, j) ** 2})
+
+    return cells.groupBy("_hi", "_lo").applyInPandas(one, "a long, b long, r2 double")
+
+
 def linkage_spans(pairs: DataFrame, strong: float = 0.5) -> DataFrame:
     """(n, span): number and summed length of steps between neighbouring sites in strong linkage (pos, prev, r2)."""
     hit = F.col("r2") > strong

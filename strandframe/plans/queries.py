@@ -63,6 +63,8 @@ def pattern_search_multi(spark, d):
 
 #: The SQL of these queries reads this many columns of an alignment and this many cycles; they follow it, their ``_whole`` forms read everything.
 SQL_COLUMNS, SQL_CYCLES = 400, 100
+#: So do the queries over piles whose SQL reads one contig.
+SQL_READS = "tid = 1"
 
 
 def _groups(spark, d, limit: int | None = None) -> DataFrame:
@@ -228,6 +230,11 @@ def bed_semi_join(spark, d):
     return intervals.overlap_semi(P.reads(spark, d), P.regions(spark, d).where("rid % 97 = 0"))
 
 
+@query()
+def bed_semi_join_whole(spark, d):
+    return intervals.overlap_semi(P.reads(spark, d), P.regions(spark, d))
+
+
 @query(
     """SELECT g.rid, g.tid, g.b, g.e, cast(coalesce(sum(least(g.e, r.e) - greatest(g.b, r.pos)), 0) AS bigint) AS cov
 FROM regions g LEFT JOIN reads r ON r.tid = g.tid AND r.pos < g.e AND g.b < r.e GROUP BY ALL""",
@@ -267,7 +274,16 @@ _PILE = f"pile AS (SELECT *, p - pos AS qpos, p = pos AS is_head, p = e - 1 AS i
 
 @query("SELECT tid, p AS pos, count(*) AS n, count(*) FILTER (WHERE is_head) AS heads, count(*) FILTER (WHERE is_tail) AS tails, cast(sum(qpos) AS bigint) AS qpos FROM pile GROUP BY 1, 2", P.READS, _PILE)
 def pileup_counts(spark, d):
-    p = depth.pileup(P.reads(spark, d).where("tid = 1"))
+    return _pileup_counts(P.reads(spark, d).where(SQL_READS))
+
+
+@query()
+def pileup_counts_whole(spark, d):
+    return _pileup_counts(P.reads(spark, d))
+
+
+def _pileup_counts(reads: DataFrame) -> DataFrame:
+    p = depth.pileup(reads)
     return p.groupBy("tid", F.col("p").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_head").alias("heads"), F.count_if("is_tail").alias("tails"), F.sum("qpos").cast("long").alias("qpos"))
 
 
@@ -278,7 +294,12 @@ string_agg(chr(baseq + 33), '' ORDER BY ord) AS quals FROM pile WHERE baseq >= 1
     P.READS, _PILE,
 )
 def mpileup_text(spark, d):
-    return depth.text(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))))
+    return depth.text(_with_bases(depth.pileup(P.reads(spark, d).where(SQL_READS))))
+
+
+@query()
+def mpileup_text_whole(spark, d):
+    return depth.text(_with_bases(depth.pileup(P.reads(spark, d))))
 
 
 def _sums() -> str:
@@ -292,7 +313,16 @@ def _sums() -> str:
 
 @query(f"SELECT tid, p AS pos, {_sums()} FROM pile GROUP BY 1, 2", P.READS, _PILE)
 def site_annotation(spark, d):
-    return depth.site_sums(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))).withColumn("ref", F.lit("A")))
+    return _site_sums(P.reads(spark, d).where(SQL_READS))
+
+
+@query()
+def site_annotation_whole(spark, d):
+    return _site_sums(P.reads(spark, d))
+
+
+def _site_sums(reads: DataFrame) -> DataFrame:
+    return depth.site_sums(_with_bases(depth.pileup(reads)).withColumn("ref", F.lit("A")))
 
 
 _COORD = "tid < 0, tid, pos, flag & 16, ord"
@@ -313,7 +343,15 @@ def name_sort_rank(spark, d):
 
 @query("SELECT ord, tid, pos, CASE WHEN qid % 2 = 0 THEN 0 ELSE 1 END AS file FROM reads WHERE mapq > 50", P.READS)
 def merge_tagged(spark, d):
-    r = P.reads(spark, d).where("mapq > 50")
+    return _merge_tagged(P.reads(spark, d).where("mapq > 50"))
+
+
+@query()
+def merge_tagged_whole(spark, d):
+    return _merge_tagged(P.reads(spark, d))
+
+
+def _merge_tagged(r: DataFrame) -> DataFrame:
     return records.merge_sorted(r.where("qid % 2 = 0"), r.where("qid % 2 = 1")).select("ord", "tid", "pos", "file")
 
 
@@ -323,6 +361,15 @@ def cat(spark, d):
     return r.where("tid = 0").unionByName(r.where("tid = 3"))
 
 
+@query()
+def cat_whole(spark, d):
+    r = P.reads(spark, d)
+    out = r.where("tid = 0")
+    for k in range(1, P.CONTIGS):
+        out = out.unionByName(r.where(f"tid = {k}"))
+    return out.unionByName(r.where(f"tid is null or tid not between 0 and {P.CONTIGS - 1}"))
+
+
 @query(f"SELECT ord, qid, {_X31} AS hash, cast({_X31} % 16 AS int) AS bucket FROM reads", P.READS)
 def bucket_shuffle(spark, d):
     return records.bucket_shuffle(P.reads(spark, d).withColumn("qname", F.concat(F.lit("read"), F.col("qid") * 62710561)), 16, "qname").select("ord", "qid", "hash", "bucket")
@@ -462,8 +509,7 @@ def hwe_exact(spark, d):
 
 @query()
 def fisher_strand(spark, d):
-    t = depth.site_sums(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))).withColumn("ref", F.lit("A")))
-    return variants.strand_bias(t.withColumn("site", F.col("pos").cast("long")))
+    return variants.strand_bias(_site_sums(P.reads(spark, d)).withColumn("site", F.shiftleft(F.col("tid").cast("long"), 32) + F.col("pos")))
 
 
 @query()
@@ -492,19 +538,24 @@ def merged_regions(spark, d):
     return intervals.merged(P.regions(spark, d).where("rid % 301 = 0"))
 
 
+@query()
+def merged_regions_whole(spark, d):
+    return intervals.merged(P.regions(spark, d))
+
+
 @query()
 def ld_matrix(spark, d):
-    return sites.linkage_window(P.likelihoods(spark, d), 2)
+    return sites.linkage_matrix(P.likelihoods(spark, d))
 
 
 @query()
 def group_association(spark, d):
-    return sites.association(P.likelihoods(spark, d).where("label = 0"), 10, rounds=10)
+    return sites.association(P.likelihoods(spark, d), 10, rounds=10)
 
 
 @query()
 def site_bias(spark, d):
-    return sites.bias_tests(depth.site_sums(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))).withColumn("ref", F.lit("A"))))
+    return sites.bias_tests(_site_sums(P.reads(spark, d)))
 
 
 @query()
@@ -524,8 +575,7 @@ def trio_llr(spark, d):
 
 @query()
 def site_likelihoods(spark, d):
-    r = P.reads(spark, d).where("tid = 1 and pos < 200")
-    return calling.site_likelihoods(_with_bases(depth.pileup(r)).withColumns({"ref": F.lit("A"), "sample": (F.col("qid") % 3).cast("int")}))
+    return calling.site_likelihoods(_with_bases(depth.pileup(P.reads(spark, d))).withColumns({"ref": F.lit("A"), "sample": (F.col("qid") % 3).cast("int")}))
 
 
 @query(
@@ -535,13 +585,17 @@ SELECT a.tid, a.pos, a.base, cast(least(a.q - coalesce(b.q, 0), 63) AS int) AS q
     P.READS, _PILE,
 )
 def haploid_consensus(spark, d):
-    return calling.haploid_consensus(_with_bases(depth.pileup(P.reads(spark, d).where("tid = 1"))))
+    return calling.haploid_consensus(_with_bases(depth.pileup(P.reads(spark, d).where(SQL_READS))))
+
+
+@query()
+def haploid_consensus_whole(spark, d):
+    return calling.haploid_consensus(_with_bases(depth.pileup(P.reads(spark, d))))
 
 
 @query()
 def phase_sets(spark, d):
-    r = P.reads(spark, d).where("tid = 0 and pos < 1000")
-    obs = r.select("tid", F.col("qid").alias("frag"), (F.col("pos") - F.col("pos") % 5).alias("pos"), (F.col("mapq") % 2).alias("allele")).groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
+    obs = P.reads(spark, d).select("tid", F.col("qid").alias("frag"), (F.col("pos") - F.col("pos") % 5).alias("pos"), (F.col("mapq") % 2).alias("allele")).groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
     return calling.phase_sets(obs)
 
 

@@ -5,8 +5,13 @@ from itertools import groupby
 
 import pytest
 
+from strandframe.model import PILEUP_SKIP
+from strandframe.operators import sites
+from strandframe.plans import projections as P
 from strandframe.plans import queries as q
 
+SF = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +60,58 @@ def test_whole_texts(spark, texts):
     cycles = {r["cycle"]: (r["gc"], r["total"]) for r in q.QUERIES["gc_by_cycle_whole"](spark, d).collect()}
     at = lambda p: [s[p] for s in seqs.values() if len(s) > p]
     assert cycles == {p: (sum(x in "GC" for x in at(p)), len(at(p))) for p in range(1500)}
+
+
+def test_linkage_of_all_pairs(spark):
+    pl = P.likelihoods(spark, SF).where("site < 30")
+    want = {(r["a"], r["b"]): r["r2"] for r in sites.linkage_window(pl, 30).collect()}
+    for block in (7, 256):
+        got = sites.linkage_matrix(pl, block).collect()
+        assert len(got) == 30 * 31 // 2 and {(r["a"], r["b"]): r["r2"] for r in got} == pytest.approx(want, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def reads(spark):
+    return [r.asDict() for r in P.reads(spark, SF).collect()]
+
+
+def test_whole_reads(spark, reads):
+    run = lambda name: q.QUERIES[name](spark, SF).collect()
+    pile = defaultdict(list)
+    for r in reads:
+        if not r["flag"] & PILEUP_SKIP:
+            for p in range(r["pos"], r["e"]):
+                pile[r["tid"], p].append(r)
+    assert len({t for t, _ in pile}) == 5
+    assert {(r["tid"], r["pos"]): (r["n"], r["heads"], r["tails"], r["qpos"]) for r in run("pileup_counts_whole")} == {
+        (t, p): (len(x), sum(r["pos"] == p for r in x), sum(r["e"] - 1 == p for r in x), sum(p - r["pos"] for r in x)) for (t, p), x in pile.items()
+    }
+    good = Counter({k: sum((r["qid"] * 3 + k[1]) % 41 >= 13 for r in x) for k, x in pile.items()})
+    assert {(r["tid"], r["pos"]): r["n"] for r in run("mpileup_text_whole")} == {k: n for k, n in good.items() if n}
+    strands = lambda k, x: tuple(sum((("ACGT"[(r["qid"] + k[1]) % 4] != "A"), bool(r["flag"] & 16)) == w for r in x) for w in ((False, False), (False, True), (True, False), (True, True)))
+    assert {(r["tid"], r["pos"]): (r["rf"], r["rr"], r["af"], r["ar"]) for r in run("site_annotation_whole")} == {k: strands(k, x) for k, x in pile.items()}
+    assert {(r["tid"], r["pos"]): r["depth"] for r in run("haploid_consensus_whole")} == {k: min(len(x), 255) for k, x in pile.items()}
+    assert {(r["tid"], r["pos"]) for r in run("site_bias")} == {(r["tid"], r["pos"]) for r in run("site_likelihoods")} == set(pile)
+    assert sorted(r["site"] for r in run("fisher_strand")) == sorted((t << 32) + p for t, p in pile)
+    assert {r["tid"] for r in run("phase_sets")} == set(range(5))
+    assert len(run("group_association")) == 500
+    assert Counter(r["ord"] for r in run("cat_whole")) == Counter(r["ord"] for r in reads)
+    assert Counter((r["ord"], r["file"]) for r in run("merge_tagged_whole")) == Counter((r["ord"], r["qid"] % 2) for r in reads)
+
+
+def test_whole_regions(spark, reads):
+    by = defaultdict(list)
+    for r in P.regions(spark, SF).collect():
+        by[r["tid"]].append((r["b"], r["e"]))
+    want = set()
+    for t, spans in by.items():
+        islands = []
+        for b, e in sorted(spans):
+            if islands and b <= islands[-1][1]:
+                islands[-1][1] = max(e, islands[-1][1])
+            else:
+                islands.append([b, e])
+        want |= {(t, b, e) for b, e in islands}
+    assert {(r["tid"], r["b"], r["e"]) for r in q.QUERIES["merged_regions_whole"](spark, SF).collect()} == want
+    hit = [r["ord"] for r in reads if r["e"] > r["pos"] and any(r["pos"] < e and b < r["e"] for b, e in by[r["tid"]])]
+    assert Counter(r["ord"] for r in q.QUERIES["bed_semi_join_whole"](spark, SF).collect()) == Counter(hit)
