@@ -5,7 +5,7 @@ token streams of block tags and text. The first stream is the wrapper; each furt
 it: differing texts become slots, tags on one side only become optional groups, immediate repeats become
 repeated groups, until no mismatch is left. The wrapper's slots, with the path of tags above them, tell
 which container holds the main text of the host: an article or main element with a slot, else the smallest
-container that holds most of the varying text outside menus, headers, footers, forms and the like.
+container that holds all of the varying text outside menus, headers, footers, forms and the like.
 
 Every page is then read whole, with its host's wrapper naming the container. Within it, sub-trees of
 boilerplate tags or classes are skipped, character references decoded, white space inside a block turned
@@ -50,6 +50,8 @@ SKIP_WORDS = frozenset(
     related recommended recommendations pagination pager skip search tags toolbar copyright legal disclaimer alert""".split()
 )
 MAIN_TAGS = ("article", "main")
+#: Elements that may be a container by their place alone; others (lists, tables, quotes) are content.
+LAYOUT = frozenset("html body div section center".split())
 MAIN_WORDS = frozenset("article articlebody content post entry story main maincontent".split())
 #: End tags that HTML lets one leave out: an opening tag closes these open elements.
 _BLOCKS = frozenset(
@@ -98,11 +100,16 @@ def skips(name: str, attrs: dict) -> bool:
     if "style" in attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs["style"], re.I):
         return True
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return named != " " and name not in ("body", "html") and any(w in SKIP_WORDS for w in _WORD.findall(named))
+    if named == " " or name in ("body", "html", *MAIN_TAGS) or attrs.get("role") == "main":
+        return False
+    tokens = named.split()
+    if any(w in MAIN_WORDS for w in tokens):  # named as content: a modifier such as with-sidebar does not count, only a name of its own
+        return any(w in SKIP_WORDS for w in tokens)
+    return any(w in SKIP_WORDS for w in _WORD.findall(named))
 
 
 def signature(name: str, attrs: dict) -> str:
-    classes = ".".join(sorted(attrs.get("class", "").lower().split()))
+    classes = ".".join(sorted({*attrs.get("class", "").lower().split(), *(MAIN_WORDS & {attrs.get("id", "").lower()})}))
     return name + ("." + classes if classes else "") + ("#main" if attrs.get("role") == "main" else "")
 
 
@@ -257,7 +264,8 @@ def infer(pages: list[str | None]) -> tuple[str, str]:
 
 
 def container(slots: list[tuple[tuple, int]]) -> tuple:
-    """Path of the container of the main text among (path, characters) of varying slots."""
+    """Path of the container of the main text among (path, characters) of varying slots: an article or main element, else the
+    deepest named content element or layout element that holds all of the slots (of those in named elements, if there are any)."""
     for tags in MAIN_TAGS:
         found = [(p, n) for p, n in slots if any(s.split(".")[0].split("#")[0] == tags or s.endswith("#main") for s in p)]
         if found:
@@ -265,18 +273,16 @@ def container(slots: list[tuple[tuple, int]]) -> tuple:
             k = next(i for i, s in enumerate(p) if s.split(".")[0].split("#")[0] == tags or s.endswith("#main"))
             return p[: k + 1]
     named = [(p, n) for p, n in slots if any(w in MAIN_WORDS for s in p for w in s.split(".")[1:])]
-    pool, total = named or slots, sum(n for _, n in (named or slots))
-    best: tuple = ()
-    while total:
-        deeper: dict[tuple, int] = {}
-        for p, n in pool:
-            if len(p) > len(best) + 1 and p[: len(best)] == best:
-                deeper[p[: len(best) + 1]] = deeper.get(p[: len(best) + 1], 0) + n
-        top = max(deeper, key=lambda p: (deeper[p], p), default=None)
-        if top is None or deeper[top] < 0.6 * total:
-            break
-        best = top
-    return best
+    pool = [p for p, n in named or slots if n]
+    if not pool:
+        return ()
+    low, high = min(pool), max(pool)
+    k = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    mains = [i for i in range(k) if any(w in MAIN_WORDS for w in low[i].split(".")[1:])]
+    if mains:
+        return low[: mains[-1] + 1]
+    layout = [i for i in range(k) if low[i].split(".")[0].split("#")[0] in LAYOUT]
+    return low[: layout[-1] + 1] if layout else ()
 
 
 def render(items: list[tuple]) -> str:
