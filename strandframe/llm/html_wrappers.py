@@ -1,23 +1,26 @@
 """Main-text extraction with wrappers inferred as union-free regular expressions.
 
-For every host, at most ``SAMPLE`` pages (smallest hashes, a documented bound of the fit) are turned into
-token streams of block tags and text. The first stream is the wrapper; each further stream is aligned with
-it: differing texts become slots, tags on one side only become optional groups, immediate repeats become
-repeated groups, until no mismatch is left. The wrapper's slots, with the path of tags above them, tell
-which container holds the main text of the host: an article or main element with a slot, else the smallest
+All pages of a host that hold text at the same paths of tags are one template. What they hold at each path is
+added up over all pages: a path whose text is not the same on all pages of the template is a slot. The slots tell
+which container holds the main text of the template: an article or main element with a slot, else the deepest
 container that holds all of the varying text outside menus, headers, footers, forms and the like.
 
-Every page is then read whole, with its host's wrapper naming the container. Within it, sub-trees of
+Every page is then read whole, with its own template naming the container. Within it, sub-trees of
 boilerplate tags or classes are skipped, character references decoded, white space inside a block turned
 into one space, and blocks joined by line breaks. A page without that container uses its own best one.
 
-Nulls and edges: null or empty html has empty text; a null url has host '' and a wrapper of such pages;
+``wrappers`` adds a regular expression of each host for people to read: at most ``SAMPLE`` pages become token
+streams of block tags and text, aligned one by one. Differing texts become slots, tags on one side only optional
+groups, immediate repeats repeated groups. It decides nothing about the extracted text.
+
+Nulls and edges: null or empty html has empty text; a null url has host '' and templates of such pages;
 rows that repeat a page_id are extracted each; ties in the sample go by page_id. Empty table: empty result.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach_by_key
+from .common import BROADCAST_ROWS, Scratch, attach_by_key
 from .url_filter import url_parts
 
-#: Pages of a host that its wrapper is inferred from at most.
+#: Pages of a host that the wrapper shown for it is inferred from at most.
 SAMPLE = 8
 
 #: Fixed HTML sets: elements without content, elements of raw text, elements inside a line of text.
@@ -247,20 +250,13 @@ def merge(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return out
 
 
-def infer(pages: list[str | None]) -> tuple[str, str]:
-    """(wrapper as text, main container path) from sample pages of one host."""
+def infer(pages: list[str | None]) -> str:
+    """Wrapper as text, from sample pages of one host."""
     wrapper: list[tuple] | None = None
-    seen: dict[tuple, set] = {}
-    size: dict[tuple, int] = {}
     for html in pages:
-        page = blocks(html)
-        for path, skipped, text in page:
-            if not skipped:
-                seen.setdefault(path, set()).add(text)
-                size[path] = size.get(path, 0) + len(text)
-        items = fold(stream(page))
+        items = fold(stream(blocks(html)))
         wrapper = items if wrapper is None else merge(wrapper, items)
-    return render(wrapper or []), "\x1f".join(container([(p, n) for p, n in size.items() if len(seen[p]) > 1 or len(pages) == 1]))
+    return render(wrapper or [])
 
 
 def container(slots: list[tuple[tuple, int]]) -> tuple:
@@ -292,7 +288,7 @@ def render(items: list[tuple]) -> str:
 
 
 def extract(html: str | None, main: str | None) -> str:
-    """Main text of a page, in the container its host's wrapper names, or else in its own best one."""
+    """Main text of a page, in the container its template names, or else in its own best one."""
     page = [(p, t) for p, skipped, t in blocks(html) if not skipped]
     path = tuple(main.split("\x1f")) if main else ()
     hold = path[-1] if path else None
@@ -306,8 +302,60 @@ def extract(html: str | None, main: str | None) -> str:
     return "\n".join(found)
 
 
+def _long(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def template(host: str | None, page_blocks) -> int:
+    """Class of a page: its host and the set of paths that hold text outside boilerplate."""
+    return _long("\x1d".join([host or "", *sorted({"\x1f".join(p) for p, skipped, _ in page_blocks if not skipped})]))
+
+
+def _skeletons(batches):
+    """(host, class, path, chars, lo, hi, pages) of a task: what its pages of one class hold at each path."""
+    found: dict[tuple, list] = {}
+    for b in batches:
+        for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            page = blocks(html)
+            kind, at = template(host, page), {}
+            for path, skipped, text in page:
+                if not skipped:
+                    at.setdefault(path, []).append(text)
+            for path, texts in at.items():
+                h, n = _long("\x1f".join(texts)), sum(map(len, texts))
+                x = found.setdefault((host, kind, "\x1f".join(path)), [0, h, h, 0])
+                x[0], x[1], x[2], x[3] = x[0] + n, min(x[1], h), max(x[2], h), x[3] + 1
+        if len(found) > 100_000:
+            yield _skeleton_batch(found)
+            found.clear()
+    if found:
+        yield _skeleton_batch(found)
+
+
+def _skeleton_batch(found: dict) -> pa.RecordBatch:
+    cols = list(zip(*((*k, *v) for k, v in found.items()), strict=True))
+    types = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "class", "path", "chars", "lo", "hi", "pages"])
+
+
+def mains(pages: DataFrame) -> DataFrame:
+    """(class, host, pages, main): the container of every template of a host, from all of its pages."""
+    host, _ = url_parts(F.col("url"))
+    each = pages.select(host.alias("host"), "html").mapInArrow(_skeletons, "host string, class long, path string, chars long, lo long, hi long, pages long")
+    paths = each.groupBy("class", "path").agg(F.min("host").alias("host"), F.sum("chars").alias("chars"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pages").alias("pages"))
+    slot = F.struct("path", "chars", ((F.col("lo") != F.col("hi")) | (F.col("pages") == 1)).alias("slot"))
+    kinds = paths.groupBy("class").agg(F.min("host").alias("host"), F.max("pages").alias("pages"), F.collect_list(slot).alias("slots"))
+
+    def run(batches):
+        for b in batches:
+            main = ["\x1f".join(container([(tuple(x["path"].split("\x1f")) if x["path"] else (), x["chars"]) for x in xs if x["slot"]])) for xs in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(main, pa.string())], ["class", "host", "pages", "main"])
+
+    return kinds.mapInArrow(run, "class long, host string, pages long, main string")
+
+
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper, main) for every host of ``pages``."""
+    """``mains`` with the wrapper of the host, to be read by people: it is inferred from a sample and decides nothing."""
     host, _ = url_parts(F.col("url"))
     light = pages.select(host.alias("host"), "page_id").withColumn("_h", F.xxhash64("page_id")).withColumn("_s", F.pmod("_h", F.lit(64)))
     first = Window.partitionBy("host", "_s").orderBy("_h", "page_id")
@@ -320,18 +368,25 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         got = pdf.sort_values(["_r", "html"]).drop_duplicates("_r")["html"]
-        wrapper, main = infer([None if not isinstance(x, str) else x for x in got])
-        return pd.DataFrame({"host": [key[0]], "wrapper": [wrapper], "main": [main]})
+        wrapper = infer([None if not isinstance(x, str) else x for x in got])
+        return pd.DataFrame({"host": [key[0]], "wrapper": [wrapper]})
 
-    return rows.groupBy("host").applyInPandas(one, "host string, wrapper string, main string")
+    shown = rows.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    return mains(pages).join(shown, "host", "left").select("class", "host", "pages", "main", "wrapper")
 
 
 def extract_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages``, with the wrappers ``found``."""
+    """(page_id, url, text, n_chars) for every row of ``pages``, with the containers ``found`` of all templates."""
     host, _ = url_parts(F.col("url"))
-    rows = pages.select("page_id", "url", "html", host.alias("_host"))
-    small = found.select(F.col("host").alias("_host"), "main")
-    joined = rows.join(F.broadcast(small), "_host", "left") if small.count() <= BROADCAST_ROWS else attach_by_key(rows, small, "_host", ["page_id"])
+
+    def kinds(batches):
+        for b in batches:
+            own = [template(x, blocks(h)) for x, h in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(own, pa.int64())], ["page_id", "url", "html", "_class"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("_host")).mapInArrow(kinds, "page_id long, url string, html string, _class long")
+    small = Scratch(pages.sparkSession, "templates").store(found.select(F.col("class").alias("_class"), "main"), "mains")
+    joined = rows.join(F.broadcast(small), "_class", "left") if small.count() <= BROADCAST_ROWS else attach_by_key(rows, small, "_class", ["page_id"])
 
     def run(batches):
         for b in batches:

@@ -19,3 +19,15 @@ def test_modifiers_do_not_drop_the_container():
     assert W.extract("<div id=content class=with-sidebar><p>kept</p><div class=sidebar>no</div></div>", None) == "kept"
     assert W.extract("<main class=search-page><p>kept</p></main>", None) == "kept"
     assert W.extract("<div class=content><p>kept</p><div class='related-content'>no</div><div class='comment post'>no</div></div>", None) == "kept"
+
+
+def test_every_template_of_a_host_counts(spark):
+    """A template in 2 percent of the pages of a host, whose frame is shared and whose neutral side box never changes."""
+    common = "<body><div class=frame><div class=x1><p>Common text {k}, quite long.</p></div><div class=x2><p>More {k}.</p></div></div></body>"
+    rare = "<body><div class=frame><div class=y1><p>Always the same box.</p></div><div class=y2><p>Rare text {k}.</p><p>End {k}.</p></div></div></body>"
+    rows = [(k, f"http://big.org/{k}", (common if k % 50 else rare).replace("{k}", str(k))) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = W.mains(pages)
+    assert sorted((r["pages"], r["main"].split("\x1f")[-1]) for r in found.collect()) == [(8, "div.y2"), (392, "div.frame")]
+    got = {r["page_id"]: r["text"] for r in W.extract_pages(pages, found).collect()}
+    assert got == {k: f"Common text {k}, quite long.\nMore {k}." if k % 50 else f"Rare text {k}.\nEnd {k}." for k in range(400)}
