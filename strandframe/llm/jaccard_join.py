@@ -18,6 +18,9 @@ shared tokens of both sets. In the join a token is the upper 48 bits of its hash
 ``HOT`` of a bounded sample of sets are ordered last and are not gathered by token; their number is bounded
 by the mean set size over HOT.
 
+The components need no links inside a group; ``link_pairs`` and ``link_counts`` run the complete round on all
+distinct sets without contraction and give every link.
+
 Nulls and edges: null or empty text has an empty set, linked with nothing; fewer words than a shingle make one
 shingle; rows of one doc_id each have a set; a null doc_id links like any but is never the
 smallest (a component of null ids only has a null id). Empty table: empty result. Extra columns are ignored or kept.
@@ -427,8 +430,8 @@ def _check(pairs: DataFrame, active: DataFrame, few: bool) -> DataFrame:
     return rows.select(*cols).mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
-    """(node, root): components of set ids that link with a different set."""
+def _active_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, int]:
+    """Sets that share a token with another, with their prefixes, and the boundary of light sets."""
     spark = docs.sparkSession
     n_docs = sets.count()
     hot = _hot_tokens(docs, n_docs, words)
@@ -443,7 +446,12 @@ def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS
     active = scratch.store(active, "active")
     token = active.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     cost = token.where("c > 1").agg(F.sum(F.col("c") * F.least("c", F.lit(SCAN))).alias("rows"), F.sum("c").alias("n")).first()
-    light = boundary(cost["rows"] / cost["n"] if cost["n"] else 1.0)
+    return active, boundary(cost["rows"] / cost["n"] if cost["n"] else 1.0)
+
+
+def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """(node, root): components of set ids that link with a different set."""
+    active, light = _active_sets(docs, sets, scratch, words)
     # contract: sets that agree in a min-hash meet the one of them with the fewest tokens of its own
     mins = active.select("set_id", "s", "place", F.posexplode("mins").alias("i", "m")).withColumn("m", F.xxhash64("i", "m"))
     leads = mins.groupBy("m").agg(F.min_by(F.struct("set_id", "s"), F.struct("place", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -487,6 +495,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def link_pairs(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """(a, b), a > b: every two different sets that link, within components too, so m near copies are m^2 / 2 rows."""
+    active, light = _active_sets(docs, sets, scratch, words)
+    keyed = scratch.store(_keys(active.withColumn("comp", F.col("set_id")), light).drop("comp"), "keys")
+    other = keyed.select("key", F.col("set_id").alias("a"), F.col("s").alias("s_a"), F.col("at").alias("at_a"))
+    pairs = keyed.join(other, "key").where((F.col("a") > F.col("set_id")) & _can_link(F.col("s"), F.col("s_a"), F.col("at"), F.col("at_a")))
+    pairs = scratch.store(pairs.select("a", F.col("set_id").alias("b")).distinct(), "pairs")
+    out = scratch.store(_check(pairs, active, 2 * pairs.count() <= BROADCAST_ROWS), "edges")
+    scratch.drop("active", "keys", "pairs")
+    return out
+
+
+def link_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, n_links) for every row of ``docs``: the other rows whose sets are equal or link."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    sets = scratch.store(document_sets(docs, words), "sets")
+    found = link_pairs(docs, sets, scratch, words)
+    rows = sets.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("_rows"))
+    both = found.select(F.col("a").alias("set_id"), F.col("b").alias("_other")).unionByName(found.select(F.col("b").alias("set_id"), F.col("a").alias("_other")))
+    far = both.join(rows.withColumnRenamed("set_id", "_other"), "_other").groupBy("set_id").agg(F.sum("_rows").alias("_far"))
+    n = rows.join(far, "set_id", "left").select("set_id", (F.col("_rows") - 1 + F.coalesce("_far", F.lit(0))).alias("n_links"))
+    return attach_by_key(sets, n, "set_id", ["doc_id"]).select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their component (or have a null doc_id)."""
     found = near_duplicates(docs, words).where("doc_id <> component_id").select("doc_id").distinct()
