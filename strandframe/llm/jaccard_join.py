@@ -8,7 +8,8 @@ Under the global order (df, token) two sets of sizes s and r that link share a t
 *Light* sets (size up to a boundary) enumerate all fixed-size subsets (pairs) of a prefix one longer, and
 meet on equal pairs; *heavy* sets, and light ones that a heavy set's size range reaches, scan the inverted
 lists of their prefix tokens. The boundary is the size up to which enumerating costs no more than scanning,
-by the measured mean list length.
+by the measured mean list length with each list counted as at most ``SCAN`` rows. That holds the boundary to 27 shingles
+at most, which bounds what is enumerated: on long lists most sets are heavy. Results do not depend on it.
 
 A first round contracts groups: sets that agree in a min-hash of their shared tokens are checked against the one
 among them with the fewest tokens of its own, so m near copies cost m checks, not m^2, and linked sets become
