@@ -7,8 +7,8 @@ every record, so a lost or repeated task leaves at most files that nobody refers
 
 ``build_index`` range-partitions the captures by reversed-host url key (and page_id, so that a key of a
 third of all rows is split), sorts them, and packs them into compressed blocks of ``BLOCK`` lines; the sparse
-directory has one row a block. ``lookup`` binary-searches the directory, range-reads one block, binary-searches
-in it and range-reads the records. ``read_archives`` walks all blocks and reads the archives in file order
+directory has one row a block. ``lookup`` passes over the directory's rows, binary-searches the asked keys for each, range-reads
+a block that may hold one, binary-searches in it and range-reads the records. ``read_archives`` needs no search: it walks all blocks and reads the archives in file order
 with neighbouring ranges joined.
 
 Files are opened by their uri (file, hdfs, s3, gs) on the executors. Nulls and edges: null html is an empty
