@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -269,56 +270,64 @@ def trio_llr(pl: np.ndarray) -> tuple[int, int, int]:
     return bound - free, pack(best), pack(gt)
 
 
-class ErrorModel:
-    """Genotype likelihoods of a pile of bases with dependent errors (dependency ``dep``, floor ``eta``)."""
-
-    def __init__(self, dep: float = 0.83, eta: float = 0.03):
-        n = np.arange(256)
-        self.fk = (1 - dep) ** 0 * (dep ** n) * (1 - eta) + eta
-        logfact = np.array([math.lgamma(k + 1) for k in range(257)])
-        self.lhet = logfact[:256, None] - logfact[None, :256] - np.array([[math.lgamma(max(1, a - b + 1)) for b in range(256)] for a in range(256)]) - n[:, None] * math.log(2)
-        self.fact = logfact
-        self._beta: dict[int, np.ndarray] = {}
-
-    def beta(self, q: int) -> np.ndarray:
-        """(n, k) phred cost of the k-th error among n bases of quality q: tail ratio of the binomial."""
-        if q not in self._beta:
-            e = 10 ** (-q / 10)
-            out = np.zeros((256, 256))
-            for n in range(1, 256):
-                k = np.arange(n + 1)
-                pmf = self.fact[n] - self.fact[k] - self.fact[n - k] + k * math.log(e) + (n - k) * math.log1p(-e)
-                top = np.logaddexp.accumulate(pmf[::-1])[::-1]
-                out[n, :n] = -10 / math.log(10) * (top[1:] - top[:-1]) if n > 0 else 0
-            self._beta[q] = out
-        return self._beta[q]
-
-    def call(self, bases: list[tuple[int, int, int]], seed: int = 0) -> np.ndarray:
-        """5 x 5 phred likelihoods of (base 0-4, quality, strand). Beyond 255 bases a seeded sample is used: the model has 8-bit counts."""
-        if len(bases) > 255:
-            pick = np.random.default_rng(seed).permutation(len(bases))[:255]
-            bases = [bases[i] for i in sorted(pick)]
-        order = sorted(bases, key=lambda b: (-min(max(b[1], 4), 63), b[2], b[0]))
-        depth, fsum, bsum, c = np.zeros((5, 2), int), np.zeros(5), np.zeros(5), np.zeros(5, int)
-        n = len(order)
-        for base, q, strand in order:
-            q = min(max(q, 4), 63)
-            w = self.fk[min(depth[base, strand], 255)]
-            fsum[base] += w
-            bsum[base] += w * self.beta(q)[n, min(c[base], n - 1)]
-            c[base] += 1
-            depth[base, strand] += 1
-        out = np.zeros((5, 5))
-        for a in range(5):
-            other = [k for k in range(5) if k != a]
-            if c[other].sum():
-                out[a, a] = bsum[other].sum()
-            for b in range(a + 1, 5):
-                both = c[a] + c[b]
-                het = -10 / math.log(10) * self.lhet[both, c[b]] if both else 0.0
-                rest = [k for k in range(5) if k not in (a, b)]
-                out[a, b] = out[b, a] = max(0.0, het + (bsum[rest].sum() if c[rest].sum() else 0.0))
-        return out
+#: Fixed values of the model of dependent errors: dependency and its floor, range of qualities, most bases of a pile.
+DEPENDENCY, DEPENDENCY_FLOOR = 0.83, 0.03
+QUALITIES = (4, 63)
+MOST_BASES = 255
+_PHRED = -10 / math.log(10)
+
+
+@lru_cache(maxsize=1 << 14)
+def error_costs(n: int, quality: int) -> np.ndarray:
+    """Phred of P(more than k errors | at least k errors), k = 0..n-1, of ``n`` bases of one quality (binomial tails)."""
+    k = np.arange(n + 1)
+    log_rate, log_right = quality / _PHRED, math.log1p(-(10 ** (-quality / 10)))
+    log_tail = np.logaddexp.accumulate((log_choose(n, k) + k * log_rate + (n - k) * log_right)[::-1])[::-1]
+    return _PHRED * np.diff(log_tail)
+
+
+def log_choose(n, k) -> np.ndarray:
+    """log of the binomial coefficient of small non-negative integers."""
+    n, k = np.asarray(n), np.asarray(k)
+    return _LOG_FACTORIAL[n] - _LOG_FACTORIAL[k] - _LOG_FACTORIAL[n - k]
+
+
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * MOST_BASES + 1)))])
+
+
+def earlier_equal(key: np.ndarray) -> np.ndarray:
+    """For every entry the number of equal entries before it."""
+    order = np.argsort(key, kind="stable")
+    ranked, place = key[order], np.arange(len(key))
+    run_start = np.maximum.accumulate(np.where(np.diff(ranked, prepend=-1) != 0, place, 0))
+    out = np.empty(len(key), np.int64)
+    out[order] = place - run_start
+    return out
+
+
+def pile_costs(pile, seed: int = 0) -> np.ndarray:
+    """5 x 5 phred costs of the genotypes of a pile of (base 0-4, quality, strand).
+
+    Bases come best first. The k-th one like it on its strand counts DEPENDENCY ** k of an independent error, down to
+    a floor; every base outside a genotype is an error, and a heterozygous one adds the binomial cost of its split.
+    Beyond MOST_BASES bases a seeded sample is used, as the model is defined for 8-bit counts."""
+    rows = np.array(pile, np.int64).reshape(-1, 3)
+    if len(rows) > MOST_BASES:
+        rows = rows[np.sort(np.random.default_rng(seed).permutation(len(rows))[:MOST_BASES])]
+    if not len(rows):
+        return np.zeros((5, 5))
+    base, quality, strand = rows[:, 0], rows[:, 1].clip(*QUALITIES), rows[:, 2]
+    best_first = np.lexsort([base, strand, -quality])
+    base, quality, strand = base[best_first], quality[best_first], strand[best_first]
+    share = DEPENDENCY ** earlier_equal(2 * base + strand) * (1 - DEPENDENCY_FLOOR) + DEPENDENCY_FLOOR
+    nth = earlier_equal(base)
+    cost = share * [error_costs(len(base), q)[k] for q, k in zip(quality.tolist(), nth.tolist(), strict=True)]
+    error, count = np.bincount(base, cost, 5), np.bincount(base, minlength=5)
+    one, two = np.indices((5, 5))
+    outside = (np.arange(5)[:, None, None] != one) & (np.arange(5)[:, None, None] != two)
+    pair = count[one] + count[two]
+    split = np.where(one == two, 0.0, _PHRED * (log_choose(pair, np.minimum(count[two], pair)) - pair * math.log(2)))
+    return np.maximum(np.einsum("k,kij->ij", error, outside) + split, 0.0)
 
 
 def best_alleles(pl: np.ndarray, alleles: int, largest: int = 3, p_value: float = 0.99) -> tuple[tuple[int, ...], float]:

@@ -1,6 +1,8 @@
 import random
 from itertools import product
 
+import math
+
 import numpy as np
 import pytest
 
@@ -121,7 +123,15 @@ def test_trio_and_error_model():
     assert stats.trio_llr(np.array([[0, 9, 9], [0, 9, 9], [0, 9, 9]])) == (0, 0, 0)
     clr, ugt, cgt = stats.trio_llr(np.array([[0, 50, 90], [0, 50, 90], [50, 0, 60]]))
     assert clr == 50 and ugt != cgt
-    m = stats.ErrorModel()
-    lk = m.call([(0, 30, 0)] * 10 + [(2, 30, 1)] * 10)
+    lk = stats.pile_costs([(0, 30, 0)] * 10 + [(2, 30, 1)] * 10)
     assert lk[0, 2] == lk.min()
-    assert m.call([(1, 30, 0)] * 12)[1, 1] == 0
+    assert stats.pile_costs([(1, 30, 0)] * 12)[1, 1] == 0
+    assert (stats.pile_costs([]) == 0).all()
+
+
+def test_error_costs_are_binomial_tails():
+    e = 10 ** -1.7
+    tail = [sum(math.comb(9, j) * e**j * (1 - e) ** (9 - j) for j in range(k, 10)) for k in range(10)]
+    assert stats.error_costs(9, 17) == pytest.approx([-10 * math.log10(tail[k + 1] / tail[k]) for k in range(9)])
+    assert stats.pile_costs([(3, 17, 0)])[0, 0] == pytest.approx(17)
+    assert stats.pile_costs([(3, 17, 0), (0, 40, 1)])[0, 3] == pytest.approx(-10 * math.log10(2 / 4))
