@@ -50,7 +50,7 @@ def op7_sentencepiece(spark, sf_dir, vocabulary_path: str | None = None):
 
 def op8_main_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return html_wrappers.extract_pages(pages, html_wrappers.mains(pages))
+    return html_wrappers.extract_pages(pages, html_wrappers.rules(html_wrappers.levels(pages)))
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -346,10 +346,12 @@ def test_main_text(spark):
 
 
 def test_alignment_of_streams():
-    a = html_wrappers.stream(html_wrappers.blocks("<div><p>same</p><p>x1</p><p>x2</p></div>"))
-    b = html_wrappers.stream(html_wrappers.blocks("<div><p>same</p><h2>opt</h2><p>y</p></div>"))
-    text = html_wrappers.render(html_wrappers.merge(html_wrappers.fold(a), html_wrappers.fold(b)))
-    assert ")?" in text and "#TEXT" in text
+    level = html_wrappers.Level.of([("p", 1), ("p", 2), ("p", 3)])
+    level.add(html_wrappers.Level.of([("p", 1), ("h2", 5), ("p", 4)]))
+    assert level.pattern() == "((p)*(h2)?)*" and level.left == [("p", 1)] and level.right == [("p", None)]
+    level = html_wrappers.Level.of([("h1", 1), ("div", None), ("p", 3)])
+    level.add(html_wrappers.Level.of([("h1", 2), ("p", 3), ("p", 4)]))
+    assert level.pattern() == "(h1)(div)?(p)+"
 
 
 # --- 9
