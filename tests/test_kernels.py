@@ -1,8 +1,7 @@
+import math
 import random
 from itertools import product
 
-import math
-
 import numpy as np
 import pytest
 
