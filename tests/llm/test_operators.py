@@ -372,6 +372,26 @@ def test_exact_dedup(spark, mixed):
     assert got == want
 
 
+def test_rounds_gather_every_digest_at_one_place(spark):
+    """Round by round: what two places hold after it agrees in the digits done, equal digests merge, ids and counts are kept."""
+    rows = [(k, f"text {k % 700}" if k % 3 else "the hot text", "s") for k in range(3000)]
+    digests = exact_dedup.digest_rows(documents(spark, rows).repartition(40), 256)
+    runs = digests.groupBy("_run", *exact_dedup.SAME).agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+    want = {}
+    for d, t, _ in rows:
+        h = hashlib.sha256(t.encode()).hexdigest()
+        want[h] = (min(d, want.get(h, (d,))[0]), want.get(h, (0, 0))[1] + 1)
+    held = [len(runs.collect())]
+    for k in range(2):
+        runs = exact_dedup.merge_round(runs, k, 256)
+        got = runs.collect()
+        held.append(len(got))
+        assert len({(r["_run"], r["text_sha256"]) for r in got}) == len(got)
+        assert all(r["_run"] // 16**j % 16 == int(r["text_sha256"][j], 16) for r in got for j in range(k + 1))
+    assert held[0] > held[1] > held[2] == len(want)
+    assert {r["text_sha256"]: (r["_id"], r["_n"]) for r in got} == want
+
+
 # --- 10
 
 
