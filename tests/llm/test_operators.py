@@ -272,6 +272,31 @@ def test_mix(spark, mixed):
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(docs.repartition(3)).collect()))
 
 
+@pytest.mark.parametrize("few", [10**6, 1])
+def test_mix_repeated_and_null_ids(spark, monkeypatch, few):
+    """Half of the ids null, one id in two sources, one row repeated in a third of all rows: every source within one row of its target."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", few)
+    rows = [(None if k % 2 else k, f"ten words of text number {k} are these in here", "a") for k in range(200)]
+    rows += [(None, "always the same row of ten words in source b", "b")] * 150 + [(1000 + k, f"w {k}", "b") for k in range(20)]
+    rows += [(7, "one id in two sources", "c"), (7, "one id in two sources", "d"), (7, None, "c")] + [(2000 + k, "five words of source d", "d") for k in range(9)]
+    docs = documents(spark, rows)
+    got = mixing.mix_sources(docs).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        sizes[r["source_size"]] += r["size"]
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert len(got) == len(rows) and all(z == n for z, n in sizes.items()) and len(target) == 4
+    assert all(abs(taken[z] - target[z]) <= 5 for z in target), (taken, target)
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(docs.repartition(5)).collect()))
+    # the same copies on the rows themselves, whatever their order
+    mine = docs.withColumn("copies", F.lit("mine"))
+    rowed = [mixing.with_copies(x, "_n", "_z").collect() for x in (mine, mine.repartition(7))]
+    assert len({str(sorted(map(repr, r))) for r in rowed}) == 1 and all(r["copies"] == "mine" for r in rowed[0])
+    assert Counter((r["doc_id"], r["_z"], r["_n"]) for r in rowed[0]) == Counter((r["doc_id"], r["size"], r["copies"]) for r in got)
+
+
 def test_mix_empty(spark):
     assert mixing.mix_sources(documents(spark, [])).count() == 0
 
