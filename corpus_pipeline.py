@@ -33,9 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice. A document without words has
     nothing to take and stays once."""
-    copies = mixing.mix_sources(docs).select("doc_id", "size", "copies").groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).cast("int").alias("_mix_copies"))
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_mix_id"), F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_k", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    rows = mixing.with_copies(docs, "_mix_copies", "_mix_size")
+    times = F.when(F.col("_mix_size") == 0, 1).otherwise(F.col("_mix_copies")).cast("int")
+    return rows.withColumn("_mix_k", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
