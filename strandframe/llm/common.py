@@ -71,24 +71,30 @@ def attach_by_key(rows: DataFrame, small: DataFrame, key: str, spread: list[str]
     return salted.join(there.join(small, key), [key, "_salt"], "left").drop("_salt")
 
 
-def _union(batches):
-    """(node, root) of the edges of a task: smallest labels spread along edges, then every label follows its own."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    u, v = (table.column(k).to_numpy() for k in (0, 1))
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    i, j, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+def local_roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place in the component of each of ``n`` places, by edges (i, j): the roots of both ends are hooked to the
+    smaller one, then every place follows its root, until no edge joins two roots."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[i], label[j])
         if (label[i] == low).all() and (label[j] == low).all():
-            break
+            return label
         for k in (i, j):
             np.minimum.at(label, label[k], low)
             np.minimum.at(label, k, low)
         while (label[label] != label).any():
             label = label[label]
+
+
+def _union(batches):
+    """(node, root) of the edges of a task."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    u, v = (table.column(k).to_numpy() for k in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = local_roots(at[: len(u)], at[len(u) :], len(ids))
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], ["node", "root"])
 
 

@@ -68,16 +68,16 @@ def source_targets(sizes: DataFrame, scratch: Scratch, parts: int = 1) -> DataFr
     t = prefix_sums(sizes, [by_name], {"_k": F.lit(1)}, scratch, "by-name", parts)
     w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.pmod("_k", F.lit(len(WEIGHTS))) + 1).cast("int")).cast("long")
     t = t.withColumn("w", w).withColumn("_cap", F.col("source_size") * MOST).drop("_k")
-    whole = t.agg(F.sum("source_size").alias("_all"), F.sum("w").alias("_w"))
-    t = t.withColumn("_at", F.col("_cap") / F.col("w"))
-    t = prefix_sums(t, [F.col("_at"), by_name], {"_capped": F.col("_cap"), "_gone": F.col("w")}, scratch, "by-cap", parts).crossJoin(F.broadcast(whole))
+    t = scratch.store(t.withColumn("_at", F.col("_cap") / F.col("w")), "weighed")
+    everything = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    t = prefix_sums(t, [F.col("_at"), by_name], {"_capped": F.col("_cap"), "_gone": F.col("w")}, scratch, "by-cap", parts)
     # stopped if its share of what is left, were all earlier ones stopped, is at least its cap
     num, den = BUDGET
-    left = F.col("_all") * num - F.col("_capped") * den
-    t = t.withColumn("_stop", left * F.col("w") >= F.col("_cap") * den * (F.col("_w") - F.col("_gone")))
-    ends = t.agg(F.coalesce(F.sum(F.when(F.col("_stop"), F.col("_cap"))), F.lit(0)).alias("_cs"), F.coalesce(F.sum(F.when(~F.col("_stop"), F.col("w"))), F.lit(0)).alias("_wr"))
-    t = t.crossJoin(F.broadcast(ends))
-    share = ((F.col("_all") * num - F.col("_cs") * den) * F.col("w")).cast("double") / (F.col("_wr") * den).cast("double")
+    budget = F.lit(int(everything["size"]) * num)
+    t = t.withColumn("_stop", (budget - F.col("_capped") * den) * F.col("w") >= F.col("_cap") * den * (F.lit(int(everything["w"])) - F.col("_gone")))
+    capped, free = F.sum(F.when(F.col("_stop"), F.col("_cap"))), F.sum(F.when(~F.col("_stop"), F.col("w")))
+    ends = t.agg(F.coalesce(capped, F.lit(0)).alias("cap"), F.coalesce(free, F.lit(0)).alias("w")).first()
+    share = ((budget - F.lit(int(ends["cap"]) * den)) * F.col("w")).cast("double") / F.lit(float(int(ends["w"]) * den))
     return t.select("source", "source_size", "w", F.when(F.col("_stop"), F.col("_cap").cast("double")).otherwise(share).alias("target"))
 
 

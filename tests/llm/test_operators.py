@@ -133,6 +133,54 @@ def test_cover_tree_bounds():
     assert pairs < 0.5 * len(x) ** 2
 
 
+def test_copies_and_structure(spark):
+    """A vector held by a third of all ids, ids of several vectors, and clusters that the upper levels tell apart."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0], 0) for k in range(300)]
+    centres = rng.normal(size=(12, 4))
+    rows += [(1000 + k, (centres[k % 12] + rng.normal(size=4) * 0.02).tolist(), 0) for k in range(600)] + [(2000, centres[0].tolist(), 0)] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dups.near_duplicates(df, block=25, group=2).collect()
+    want = brute_vectors(rows)
+    assert len(got) == len(rows) and all((r["n_links"], r["component_id"], r["kept"]) == want[r["vec_id"]] for r in got)
+    two = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.01], 0), (4, [-1.0, 0.0], 0)]
+    got = {r["vec_id"]: tuple(r)[1:3] for r in embedding_dups.near_duplicates(spark.createDataFrame(two, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (1, 1), 3: (1, 1), 4: (0, 4)}
+
+
+def test_upper_levels_prune():
+    """Counted: the walk over nested levels leaves few pairs of cells, each pair within reach among them, and group pairs hold all near blocks."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + rng.normal(size=(300, 6)) * 0.01 for c in rng.normal(size=(40, 6))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = embedding_dups.cover_tree(x[rng.permutation(len(x))[:2048]])
+    assert any(k.kids for k in tree.kids)
+    cell, gap = embedding_dups.cells_of(x, tree)
+    own = embedding_dups.leaves(tree)
+    embedding_dups.cover(tree, {id(n): float(gap[cell == i].max()) if (cell == i).any() else -1.0 for i, n in enumerate(own)})
+    grid = embedding_dups.Grid(tree, [int((cell == i).sum()) for i in range(len(own))], 0.05, 128, 3)
+    near = set(grid.cells)
+    i, j = np.nonzero(np.triu(x @ x.T >= 1 - 0.05**2 / 2))
+    assert all((min(a, b), max(a, b)) in near for a, b in zip(cell[i], cell[j], strict=True))
+    pairs = sum(int((cell == a).sum()) * int((cell == b).sum()) for a, b in near)
+    assert pairs < 0.2 * len(x) ** 2 / 2
+    block = grid.block_of(cell, np.arange(len(x)))
+    for a, b in zip(block[i][::97], block[j][::97], strict=True):
+        g, h = sorted((int(a) // 3, int(b) // 3))
+        assert h in grid.near[g] and (min(a, b), max(a, b)) in grid.block_pairs(g, h)
+
+
+def test_probe_refutes_no_link():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64))
+    x[150:] = x[:150] + rng.normal(size=(150, 64)) * 0.33
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    at = np.arange(300)
+    full = embedding_dups.pairs_of(x, None, at, at, 0.95)
+    probed = embedding_dups.pairs_of(x, embedding_dups.Probe(x, np.arange(16)), at, at, 0.95)
+    assert sorted(zip(*full, strict=True)) == sorted(zip(*probed, strict=True)) and 300 < len(full[0]) < 600
+
+
 # --- 3
 
 
