@@ -1,7 +1,9 @@
 """N-gram Jaccard join of documents: size-aware, heavy-light, exact.
 
-Sets are the distinct 64-bit hashes of word shingles. Equal sets are one class from the start. Inverted
-lists are built by a shuffle of sorted token blocks, by which every token learns in how many sets it is (df).
+Sets are the distinct 64-bit hashes of word shingles. Equal sets are one class from the start: a set's id is a 64-bit
+hash, which is checked by a second one and by the size; ids on which different sets meet are replaced. Inverted
+lists are built by a shuffle of sorted token blocks, by which every token learns in how many sets it is (df). Buckets of
+tokens follow the counted tokens (``BUCKET`` each), in two shuffles where one would send too short blocks.
 Under the global order (df, token) two sets of sizes s and r that link share a token among the first
 ``s - ceil(3s/4) + 1`` tokens of each; tokens of df 1 come first and cannot be shared, so most documents end there.
 
@@ -15,9 +17,9 @@ A first round contracts groups: sets that agree in a min-hash of their shared to
 among them with the fewest tokens of its own, so m near copies cost m checks, not m^2, and linked sets become
 one component. The complete round then looks only at lists that still hold several components and checks
 every pair of such a list whose components differ, so no link between components is lost. Checks count the
-shared tokens of both sets. In the join a token is the upper 48 bits of its hash. Tokens in over
-``HOT`` of a bounded sample of sets are ordered last and are not gathered by token; their number is bounded
-by the mean set size over HOT.
+shared tokens of both sets. In the join a token is the upper 48 bits of its hash. Tokens that a sample of sets shows in over
+a share ``HOT`` of all, or in over ``BUCKET`` sets, are ordered last and are not gathered by token; their number is bounded
+by the mean set size over that share. The sample grows as the share shrinks. Long lists are dealt over salts.
 
 The components need no links inside a group; ``link_pairs`` and ``link_counts`` run the complete round on all
 distinct sets without contraction and give every link.
@@ -38,8 +40,12 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Scratch, attach_by_key, components, shuffle_parts
 
 WORDS = 5
-#: Share of a bounded sample of sets (SAMPLE of them) over which a token counts as hot.
+#: Share of all sets over which a token counts as hot, and the least sample of sets that tells.
 HOT, SAMPLE = 0.02, 4000
+#: Tokens of a bucket; blocks of a group of documents beyond which tokens are dealt in two shuffles.
+BUCKET, BLOCKS = 1 << 21, 4096
+#: Members of an inverted list that one salt takes.
+LIST = 4096
 #: Bytes of text hashed at a time, tokens sent in one group of blocks.
 CHUNK, GROUP = 1 << 20, 1 << 20
 #: Min-hashes by which sets meet in the contracting round; most that a list entry counts in the cost of scanning.
@@ -63,21 +69,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hash(word: bytes) -> np.ndarray:
+    """Hash of one lowered word of any length: the polynomial in its bytes, piece by piece."""
+    total, at = np.zeros(1, np.uint64), 0
+    while at < len(word):
+        b = np.frombuffer(word, np.uint8, min(CHUNK, len(word) - at), at)
+        total += (_BYTE[b] * _POW[: len(b)]).sum(dtype=np.uint64) * np.array([pow(int(_ODD), at, 1 << 64)], np.uint64)
+        at += len(b)
+    return _mix(total + np.uint64(len(word)))
+
+
 def _word_hashes(raw: bytes) -> np.ndarray:
     """Hashes of the words of a text (A-Z lowered), by prefix sums of a polynomial in the bytes."""
     out, at, n = [], 0, len(raw)
     lowered = raw.lower()  # of bytes: A-Z only
+    spaces = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
     while at < n:
         end = min(n, at + CHUNK)
-        if end < n:  # back to white space; a longer word is hashed by itself
-            cut = max(lowered.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if end < n:  # back to white space; a longer word is hashed by itself, to the same value
+            cut = max(lowered.rfind(c, at, end) for c in spaces)
             if cut < at:
-                stops = [k for k in (lowered.find(c, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0]
-                end = min(stops, default=n)
-                start = at
-                while start < end and _SPACE[lowered[start]]:
-                    start += 1
-                out.append(np.array([xxhash.xxh3_64_intdigest(lowered[start:end])], np.uint64))
+                end = min((k for k in (lowered.find(c, end) for c in spaces) if k >= 0), default=n)
+                out.append(_word_hash(lowered[at:end]))
                 at = end
                 continue
             end = cut + 1
@@ -106,9 +119,16 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """64-bit key of a set, signed."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_key(tokens: np.ndarray, clash: frozenset = frozenset()) -> int:
+    """64-bit key of a set, signed; another one if its key is among those on which different sets met."""
+    raw = tokens.tobytes()
+    key = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+    return key if key not in clash else xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63)
+
+
+def set_check(tokens: np.ndarray) -> int:
+    """A second hash of a set, to verify that equal keys are equal sets."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), 2) - (1 << 63)
 
 
 def need(s: int, r: int) -> int:
@@ -151,22 +171,35 @@ def tokens_of(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(16)
 
 
-def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row; set_id is null for an empty set."""
-
+def _set_rows(docs: DataFrame, words: int, clash: frozenset) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            cols = [[len(s) for s in sets], *([f(s) if len(s) else None for s in sets] for f in (lambda s: set_key(s, clash), set_check))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "set_id", "check"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, check long")
+
+
+def document_sets(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[DataFrame, frozenset]:
+    """(doc_id, n_shingles, set_id) of every row, set_id null for an empty set; and the keys on which different sets met.
+
+    Two of n sets meet with a chance of n^2 / 2^65, so these are few however many sets there are."""
+    sets = scratch.store(_set_rows(docs, words, frozenset()), "sets")
+    per = sets.where("set_id is not null").groupBy("set_id").agg(*[f(c).alias(f"{c}_{k}") for c in ("check", "n_shingles") for k, f in (("low", F.min), ("high", F.max))])
+    clash = frozenset(r[0] for r in per.where("check_low <> check_high or n_shingles_low <> n_shingles_high").select("set_id").collect())
+    if clash:
+        sets = scratch.store(_set_rows(docs, words, clash), "sets1")
+    return sets.drop("check"), clash
 
 
 def _hot_tokens(docs: DataFrame, n_docs: int, words: int) -> np.ndarray:
-    """Tokens in over HOT of at most SAMPLE sampled rows; at most (mean set size)/HOT of them."""
-    step = max(1, n_docs // SAMPLE)
-    some = docs.select("text", "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").limit(2 * SAMPLE)
+    """Tokens in over a share of the sampled rows; at most (mean set size)/share of them."""
+    if n_docs < SAMPLE // 2:  # no list is long
+        return np.zeros(0, np.uint64)
+    share = min(HOT, BUCKET / n_docs)
+    step = max(1, n_docs // max(SAMPLE, int(40 / share)))
+    some = docs.select("text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
 
     def run(batches):
         for b in batches:
@@ -174,47 +207,54 @@ def _hot_tokens(docs: DataFrame, n_docs: int, words: int) -> np.ndarray:
                 s = tokens_of(shingle_set(t, words))
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["t"])
 
-    if n_docs < 50 * SAMPLE // 100:  # under 2,000 rows no list is long
-        return np.zeros(0, np.uint64)
-    m = max(1, min(n_docs // step, 2 * SAMPLE))
-    rows = some.mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT * m)
+    rows = some.mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > share * max(1, n_docs // step))
     return np.sort(np.array([r[0] for r in rows.select("t").collect()], np.int64).view(np.uint64))
 
 
 _ROUTED = "bucket int, n int, tokens binary, who binary, sets binary"
 
 
-def _routes(buckets: int, hot: np.ndarray, words: int):
-    """Kernel: tokens of groups of documents as one row a bucket (sorted tokens, place of each one's set in ``sets``)."""
+def _blocks_of(tokens: np.ndarray, who: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket of (token, set ``keys[who]``) entries: sorted tokens, and the place of each one's set in ``sets``."""
+    order = np.lexsort([tokens, bucket])
+    tokens, who, bucket = tokens[order], who[order], bucket[order]
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    out = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own, place = np.unique(who[lo:hi], return_inverse=True)
+        packed = pa.compress(place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+        out.append((int(bucket[lo]), hi - lo, _pack(tokens[lo:hi]), packed, keys[own].tobytes()))
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = zip(*out, strict=True) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "n", "tokens", "who", "sets"])
+
+
+def _entries(row) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sets) of a row of ``_blocks_of``."""
+    n, t, w, keys = row
+    place = np.frombuffer(pa.decompress(w, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
+    return _unpack(t, n), np.frombuffer(keys, np.int64)[place]
+
+
+def _routes(buckets: int, hot: np.ndarray, words: int, clash: frozenset):
+    """Kernel: tokens of groups of documents as one row a bucket."""
 
     def run(batches):
         held, total, seen = [], 0, set()
 
         def flush():
-            sizes = np.array([len(s) for _, s in held])
             tokens = np.concatenate([s for _, s in held])
-            who = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
+            who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(s) for _, s in held])
             keys = np.array([k for k, _ in held], np.int64)
-            bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort([tokens, bucket])
-            tokens, who, bucket = tokens[order], who[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                t, w = tokens[cuts[k] : cuts[k + 1]], who[cuts[k] : cuts[k + 1]]
-                if len(t):
-                    own, place = np.unique(w, return_inverse=True)
-                    out.append((k, len(t), _pack(t), pa.compress(place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True), keys[own].tobytes()))
             held.clear()
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "n", "tokens", "who", "sets"])
+            return _blocks_of(tokens, who, keys, (tokens % np.uint64(buckets)).astype(np.int32))
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 s = shingle_set(text, words)
                 if len(s) < 3:
                     continue  # sets of one or two only link with equal ones
-                key = set_key(s)
+                key = set_key(s, clash)
                 if key in seen:
                     continue
                 if len(seen) < 200_000:
@@ -235,6 +275,33 @@ def _routes(buckets: int, hot: np.ndarray, words: int):
     return run
 
 
+def _split(coarse: int, fine: int):
+    """Kernel over coarse buckets (token mod ``coarse``): their rows dealt to ``fine`` buckets each."""
+
+    def run(batches):
+        held, total, last = [], 0, None
+
+        def flush():
+            tokens, sets = (np.concatenate(x) for x in zip(*map(_entries, held), strict=True))
+            keys, who = np.unique(sets, return_inverse=True)
+            part = (tokens // np.uint64(coarse)) % np.uint64(fine)
+            held.clear()
+            return _blocks_of(tokens, who.astype(np.uint32), keys, last + coarse * part.astype(np.int32))
+
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (k != last or total >= GROUP):
+                    yield flush()
+                    total = 0
+                last = k
+                held.append(row)
+                total += row[0]
+        if held:
+            yield flush()
+
+    return run
+
+
 #: What comes back to the groups of sets: kind 0 shared tokens with their df, 1 sizes (in counts), 2 hot tokens.
 _BACK = "g int, kind byte, sets binary, counts binary, tokens binary, df binary"
 
@@ -266,12 +333,7 @@ def _lists(groups: int):
     """Kernel over whole buckets: tokens in two sets or more go back to the groups of their sets, with their df."""
 
     def finish(rows):
-        tokens, sets = [], []
-        for n, t, w, keys in rows:
-            tokens.append(_unpack(t, n))
-            place = np.frombuffer(pa.decompress(w, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
-            sets.append(np.frombuffer(keys, np.int64)[place])
-        t, s = np.concatenate(tokens), np.concatenate(sets)
+        t, s = (np.concatenate(x) for x in zip(*map(_entries, rows), strict=True))
         order = np.lexsort([s, t])
         t, s = t[order], s[order]
         fresh = np.ones(len(t), bool)
@@ -309,7 +371,7 @@ def _sizes(groups: int):
     return run
 
 
-def _hot_parts(hot: np.ndarray, words: int, groups: int):
+def _hot_parts(hot: np.ndarray, words: int, groups: int, clash: frozenset):
     """Kernel: hot tokens of sets to their groups."""
 
     def run(batches):
@@ -320,7 +382,7 @@ def _hot_parts(hot: np.ndarray, words: int, groups: int):
                 if len(s) >= 3:
                     ids = tokens_of(s)
                     own = ids[hot[np.minimum(np.searchsorted(hot, ids), len(hot) - 1)] == ids]
-                    sets.append(np.full(len(own), set_key(s), np.int64))
+                    sets.append(np.full(len(own), set_key(s, clash), np.int64))
                     tokens.append(own)
             s, t = np.concatenate(sets), np.concatenate(tokens)
             yield _back(_by_group(s, t, np.zeros(len(s), np.uint16), groups, 2))
@@ -431,18 +493,25 @@ def _check(pairs: DataFrame, active: DataFrame, few: bool) -> DataFrame:
     return rows.select(*cols).mapInArrow(run, "a long, b long")
 
 
-def _active_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, int]:
+def _active_sets(docs: DataFrame, sets: DataFrame, clash: frozenset, scratch: Scratch, words: int) -> tuple[DataFrame, int]:
     """Sets that share a token with another, with their prefixes, and the boundary of light sets."""
     spark = docs.sparkSession
-    n_docs = sets.count()
-    hot = _hot_tokens(docs, n_docs, words)
-    buckets = shuffle_parts(spark)
-    routed = docs.select("text").mapInArrow(_routes(buckets, hot, words), _ROUTED)
+    all_of = sets.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("tokens")).first()
+    hot = _hot_tokens(docs, all_of["docs"], words)
+    buckets = max(shuffle_parts(spark), -(-all_of["tokens"] // BUCKET))
+    if buckets <= BLOCKS:
+        routed = docs.select("text").mapInArrow(_routes(buckets, hot, words, clash), _ROUTED)
+    else:
+        coarse = int(np.ceil(np.sqrt(buckets)))
+        fine = -(-buckets // coarse)
+        buckets = coarse * fine
+        routed = docs.select("text").mapInArrow(_routes(coarse, hot, words, clash), _ROUTED)
+        routed = routed.repartition(coarse, "bucket").sortWithinPartitions("bucket").mapInArrow(_split(coarse, fine), _ROUTED)
     back = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(buckets), _BACK)
     sizes = sets.where("n_shingles >= 3").select("set_id", "n_shingles").mapInArrow(_sizes(buckets), _BACK)
     back = back.unionByName(sizes)
     if len(hot):
-        back = back.unionByName(docs.select("text").mapInArrow(_hot_parts(hot, words, buckets), _BACK))
+        back = back.unionByName(docs.select("text").mapInArrow(_hot_parts(hot, words, buckets, clash), _BACK))
     active = back.repartition(buckets, "g").sortWithinPartitions("g").mapInArrow(_prefixes, _ACTIVE)
     active = scratch.store(active, "active")
     token = active.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
@@ -450,9 +519,21 @@ def _active_sets(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int)
     return active, boundary(cost["rows"] / cost["n"] if cost["n"] else 1.0)
 
 
-def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+def _meet(rows: DataFrame, others: DataFrame, scratch: Scratch) -> DataFrame:
+    """Join of ``rows`` (set_id) and ``others`` (a) on ``key``; a list of over ``LIST`` rows is dealt over salts, to each of which
+    the others are copied."""
+    long = scratch.store(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LIST).select("key", F.ceil(F.col("_n") / LIST).cast("int").alias("_salts")), "long")
+    if long.isEmpty():
+        return rows.join(others, "key")
+    salts = lambda df: df.join(long, "key", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    dealt = salts(rows).withColumn("_salt", F.pmod(F.xxhash64("set_id"), F.col("_salts")).cast("int")).drop("_salts")
+    copied = salts(others).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt.join(copied, ["key", "_salt"]).drop("_salt")
+
+
+def links(docs: DataFrame, sets: DataFrame, clash: frozenset, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """(node, root): components of set ids that link with a different set."""
-    active, light = _active_sets(docs, sets, scratch, words)
+    active, light = _active_sets(docs, sets, clash, scratch, words)
     # contract: sets that agree in a min-hash meet the one of them with the fewest tokens of its own
     mins = active.select("set_id", "s", "place", F.posexplode("mins").alias("i", "m")).withColumn("m", F.xxhash64("i", "m"))
     leads = mins.groupBy("m").agg(F.min_by(F.struct("set_id", "s"), F.struct("place", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -467,7 +548,7 @@ def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS
     mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("_major"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
     left = scratch.store(keyed.join(mixed, "key"), "left")
     minor = left.where("comp <> _major").select("key", F.col("set_id").alias("a"), F.col("s").alias("s_a"), F.col("at").alias("at_a"), F.col("comp").alias("c_a"))
-    pairs = left.join(minor, "key").where((F.col("comp") != F.col("c_a")) & ((F.col("comp") == F.col("_major")) | (F.col("set_id") < F.col("a"))))
+    pairs = _meet(left, minor, scratch).where((F.col("comp") != F.col("c_a")) & ((F.col("comp") == F.col("_major")) | (F.col("set_id") < F.col("a"))))
     pairs = pairs.where(_can_link(F.col("s"), F.col("s_a"), F.col("at"), F.col("at_a")))
     pairs = scratch.store(pairs.select(F.greatest("a", "set_id").alias("a"), F.least("a", "set_id").alias("b")).distinct(), "pairs")
     scratch.drop("keys", "left")
@@ -486,8 +567,8 @@ def links(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.store(document_sets(docs, words), "sets")
-    linked = links(docs, sets, scratch, words)
+    sets, clash = document_sets(docs, scratch, words)
+    linked = links(docs, sets, clash, scratch, words)
     own = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("low"))
     joined = own.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -496,12 +577,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def link_pairs(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+def link_pairs(docs: DataFrame, sets: DataFrame, clash: frozenset, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """(a, b), a > b: every two different sets that link, within components too, so m near copies are m^2 / 2 rows."""
-    active, light = _active_sets(docs, sets, scratch, words)
+    active, light = _active_sets(docs, sets, clash, scratch, words)
     keyed = scratch.store(_keys(active.withColumn("comp", F.col("set_id")), light).drop("comp"), "keys")
     other = keyed.select("key", F.col("set_id").alias("a"), F.col("s").alias("s_a"), F.col("at").alias("at_a"))
-    pairs = keyed.join(other, "key").where((F.col("a") > F.col("set_id")) & _can_link(F.col("s"), F.col("s_a"), F.col("at"), F.col("at_a")))
+    pairs = _meet(keyed, other, scratch).where((F.col("a") > F.col("set_id")) & _can_link(F.col("s"), F.col("s_a"), F.col("at"), F.col("at_a")))
     pairs = scratch.store(pairs.select("a", F.col("set_id").alias("b")).distinct(), "pairs")
     out = scratch.store(_check(pairs, active, 2 * pairs.count() <= BROADCAST_ROWS), "edges")
     scratch.drop("active", "keys", "pairs")
@@ -511,8 +592,8 @@ def link_pairs(docs: DataFrame, sets: DataFrame, scratch: Scratch, words: int =
 def link_counts(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, n_links) for every row of ``docs``: the other rows whose sets are equal or link."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.store(document_sets(docs, words), "sets")
-    found = link_pairs(docs, sets, scratch, words)
+    sets, clash = document_sets(docs, scratch, words)
+    found = link_pairs(docs, sets, clash, scratch, words)
     rows = sets.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("_rows"))
     both = found.select(F.col("a").alias("set_id"), F.col("b").alias("_other")).unionByName(found.select(F.col("b").alias("set_id"), F.col("a").alias("_other")))
     far = both.join(rows.withColumnRenamed("set_id", "_other"), "_other").groupBy("set_id").agg(F.sum("_rows").alias("_far"))
@@ -526,4 +607,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
-ORACLE = None
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, cast(len(g) AS bigint) AS n_shingles, component_id FROM s JOIN c USING (doc_id)
+"""

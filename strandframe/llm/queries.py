@@ -63,4 +63,4 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_dups, op3_warc, op4_jaccard_join, op5_mix_sources, op6_url_filter, op7_sentencepiece, op8_main_text, op9_exact_dedup, op10_quality)}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_embedding_dups": embedding_dups.ORACLE, "op3_warc": warc.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_embedding_dups": embedding_dups.ORACLE, "op3_warc": warc.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

@@ -278,6 +278,36 @@ def test_jaccard_hot_tokens(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.near_duplicates(documents(spark, rows)).collect())) == brute_sets(rows)
 
 
+def test_jaccard_small_buckets_and_long_lists(spark, monkeypatch):
+    """Tokens dealt in two shuffles, lists over salts, and set keys that different sets share."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 64)
+    monkeypatch.setattr(jaccard_join, "BLOCKS", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP", 200)
+    monkeypatch.setattr(jaccard_join, "LIST", 3)
+    rows = near_copies(11, 8, 9, (10, 40))
+    sets, clash = jaccard_join.document_sets(documents(spark, rows), common.Scratch(spark, "t"))
+    assert not clash
+    some = frozenset(r["set_id"] for r in sets.collect()[::2])
+    assert all(jaccard_join.set_key(s, some) not in some for s in map(jaccard_join.shingle_set, [t for _, t, _ in rows]) if jaccard_join.set_key(s) in some)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(documents(spark, rows)).collect())) == brute_sets(rows)
+
+
+def test_set_keys_that_meet_are_replaced(spark, monkeypatch):
+    real = jaccard_join._set_rows
+    weak = lambda docs, words, clash: real(docs, words, clash) if clash else real(docs, words, clash).withColumn("set_id", F.when(F.col("set_id").isNotNull(), F.lit(5)))
+    monkeypatch.setattr(jaccard_join, "_set_rows", weak)
+    _, clash = jaccard_join.document_sets(documents(spark, near_copies(12, 3, 3, (10, 20))), common.Scratch(spark, "t"))
+    assert clash == {5}
+
+
+def test_words_of_any_length_have_one_hash(monkeypatch):
+    long = "x" * (1 << 20)
+    for text in (long, long + " ", " " + long, long + "y", "a " + long + " b", "\u00e9" * 600_000 + " end"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        got = jaccard_join._word_hashes(text.encode())
+        assert got.tolist() == [int(jaccard_join._word_hash(w.encode())[0]) for w in words] == [int(jaccard_join._word_hashes(w.encode())[0]) for w in words]
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = near_copies(4, 5, 6, (30, 50)) + [(None, "a b c d e f", "s")]
     docs = documents(spark, rows).withColumn("set_id", F.lit("mine"))
