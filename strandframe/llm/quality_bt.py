@@ -1,12 +1,15 @@
-"""Quality classifier: Bradley-Terry pairwise ranking over text statistics.
+"""Quality classifier: Bradley-Terry pairwise ranking over text statistics and learnt n-grams.
 
-Features are statistics of the whole text alone (character classes, word lengths, repeats, symbols).
+Features are of the whole text alone: statistics (character classes, word lengths, repeats, symbols), and log odds of its
+words, word pairs and byte 4-grams. The odds of an n-gram (hashed to ``BUCKETS``) come from the labelled texts that hold it;
+a text the model is fitted on sees only odds from the other half of those texts, so none knows its own label.
 From labelled rows outside the held-out fifth, preference pairs (a label-1 text over a label-0 text) are
 drawn; weights minimise the logistic loss on feature differences. The cut is a quantile of the training
 scores, at the share of label 0, and the raw score is moved so that the cut lies at ``CUT`` = 0.3.
 
-Fit on a bounded sample: at most ``MAX_FIT`` labelled rows, chosen by a hash of doc_id, so what reaches the
-driver is at most MAX_FIT x FEATURES doubles. Scoring is a map over all rows and whole texts.
+Fit on a bounded sample: at most ``MAX_FIT`` labelled documents, chosen by a hash of doc_id, and 2 MAX_FIT rows of them, by a hash of
+the row; what reaches the driver is at most that many times FEATURES doubles, and the counts of the n-gram buckets. Scoring is
+a map over all rows and whole texts.
 
 Nulls and edges: null text counts as empty; a null label, or labels of one document that disagree, are left
 out; rows repeating a doc_id are scored each; without both labels every score is 0.5. Empty table: empty
@@ -20,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+from .jaccard_join import _mix, _word_hashes
+
 #: Labelled rows that the model is fitted on at most, preference pairs drawn from them, and the cut.
 MAX_FIT = 20_000
 PAIRS = 200_000
@@ -32,13 +38,51 @@ _CLASS = np.zeros(256, np.int8)
 for _b in range(256):
     _c = chr(_b)
     _CLASS[_b] = 1 if "a" <= _c <= "z" else 2 if "A" <= _c <= "Z" else 3 if _c.isdigit() and _b < 128 else 4 if _b in b" \t\r\x0b\x0c" else 5 if _b == 10 else 6 if _b in _SYMBOLS else 7 if _b in _PUNCT else 8 if _b >= 128 else 0
-FEATURES = 28
+STATISTICS = 28
+#: Buckets of each kind of n-gram; kinds: words, word pairs, byte 4-grams. Two features a kind.
+BUCKETS, KINDS = 1 << 14, 3
+FEATURES = STATISTICS + 2 * KINDS
+#: Share of the n-grams of a text that the second feature of a kind looks at: those that speak most against it.
+WORST = 0.1
+
+
+def grams(text: str | None) -> list[np.ndarray]:
+    """Distinct buckets of the n-grams of a whole text, by kind."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    w = _word_hashes(raw)
+    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    four = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24) if len(b) > 3 else b[:0]
+    pairs = _mix(w[:-1] * np.uint64(3) + w[1:]) if len(w) > 1 else w[:0]
+    return [np.unique(x % np.uint64(BUCKETS)).astype(np.int64) for x in (w, pairs, _mix(np.unique(four)))]
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """(kinds, buckets) log odds of label 1 from (label, kinds, buckets) numbers of texts that hold a bucket."""
+    n = np.maximum(counts.max((1, 2), keepdims=True), 1)
+    rate = (counts + 1) / (n + 2)
+    return np.log(rate[1]) - np.log(rate[0])
+
+
+def gram_features(text: str | None, odds: np.ndarray) -> np.ndarray:
+    """Mean log odds of a text's n-grams, and of the worst of them, by kind."""
+    out = np.zeros(2 * KINDS)
+    for k, at in enumerate(grams(text)):
+        if len(at):
+            x = odds[k, at]
+            few = max(1, int(len(x) * WORST))
+            out[2 * k], out[2 * k + 1] = x.mean(), np.partition(x, few - 1)[:few].mean()
+    return out
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, odds: np.ndarray) -> np.ndarray:
     """Feature vector of a whole text; zeros for an empty one."""
+    return np.concatenate([statistics(text), gram_features(text, odds)])
+
+
+def statistics(text: str | None) -> np.ndarray:
+    """Statistics of a whole text; zeros for an empty one."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    out = np.zeros(FEATURES)
+    out = np.zeros(STATISTICS)
     words = (text or "").split()
     n, w = len(raw), len(words)
     if not w:
@@ -92,8 +136,15 @@ def share_mask(raw: np.ndarray) -> np.ndarray:
 class Ranker:
     """Fitted Bradley-Terry scorer: score(x) = sigmoid(w . (x - mean) / sd - cut + logit(CUT))."""
 
-    def __init__(self, mean, sd, w, cut):
+    def __init__(self, mean=None, sd=None, w=None, cut=None, odds=None):
         self.mean, self.sd, self.w, self.cut = mean, sd, w, cut
+        self.odds = np.zeros((KINDS, BUCKETS)) if odds is None else odds
+
+    def texts(self, texts: list) -> np.ndarray:
+        """Scores of texts."""
+        if self.w is None:
+            return np.full(len(texts), 0.5)
+        return self.score(np.array([features(t, self.odds) for t in texts]).reshape(-1, FEATURES))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.sd, -8, 8) @ self.w
@@ -105,11 +156,11 @@ class Ranker:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, steps: int = 400, l2: float = 1e-4) -> Ranker:
+def fit(x: np.ndarray, y: np.ndarray, odds: np.ndarray | None = None, seed: int = 7, steps: int = 400, l2: float = 1e-4) -> Ranker:
     """Weights by gradient steps on log(1 + exp(-w . (x_better - x_worse))) over drawn preference pairs."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Ranker(None, None, None, None)
+        return Ranker()
     mean, sd = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - mean) / sd, -8, 8)
     rng = np.random.default_rng(seed)
@@ -124,13 +175,30 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, steps: int = 400, l2: float
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     raw = z @ w
-    return Ranker(mean, sd, w, float(np.quantile(raw, (y == 0).mean())))
+    return Ranker(mean, sd, w, float(np.quantile(raw, (y == 0).mean())), odds)
 
 
-def _rows_of(batches):
+def _count_grams(batches):
+    """(slot, n): labelled texts that hold a bucket, by half, label, kind and bucket."""
+    counts = np.zeros((2, 2, KINDS, BUCKETS), np.int64)
     for b in batches:
-        x = [features(t).tolist() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+        for half, y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, at in enumerate(grams(text)):
+                counts[half, y, k, at] += 1
+    flat = counts.ravel()
+    at = np.flatnonzero(flat)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], ["slot", "n"])
+
+
+def _rows_of(odds: np.ndarray):
+    """Kernel: features of labelled texts, with the odds of the other half."""
+
+    def run(batches):
+        for b in batches:
+            x = [features(t, odds[1 - half]).tolist() for half, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+
+    return run
 
 
 def held_out(doc_id):
@@ -144,15 +212,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     n = clear.count()
     picked = clear.select(F.col("doc_id").alias("_id"), "y")
     if n > MAX_FIT:
-        picked = picked.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < int(MAX_FIT * 0.97)).limit(MAX_FIT)
+        picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(MAX_FIT)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    got = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(_rows_of, "y int, x array<double>").limit(2 * MAX_FIT).toArrow()
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("half"), F.col("y").cast("int").alias("y"), "text", F.xxhash64("doc_id", "text").alias("_h"))
+    rows = Scratch(docs.sparkSession, "quality").store(rows, "labelled")
+    if rows.count() > 2 * MAX_FIT:  # repeated ids
+        rows = rows.orderBy("_h", "text").limit(2 * MAX_FIT)
+    rows = rows.select("half", "y", "text")
+    held = rows.mapInArrow(_count_grams, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * 2 * KINDS * BUCKETS)
+    counts[held.column("slot").to_numpy()] = held.column("n").to_numpy()
+    counts = counts.reshape(2, 2, KINDS, BUCKETS)
+    got = rows.mapInArrow(_rows_of(np.array([log_odds(c) for c in counts])), "y int, x array<double>").toArrow()
     if not got.num_rows:
-        return Ranker(None, None, None, None)
+        return Ranker()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
     y = got.column("y").to_numpy()
     order = np.lexsort([*x.T, y])  # the same fit in whatever order rows arrive
-    return fit(x[order], y[order])
+    return fit(x[order], y[order], log_odds(counts.sum(0)))
 
 
 def classify(docs: DataFrame, ranker: Ranker) -> DataFrame:
@@ -160,8 +237,7 @@ def classify(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     def score(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ranker.score(x))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ranker.texts(b.column(1).to_pylist()))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     out = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
@@ -174,7 +250,6 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(-1, FEATURES)
-            yield b.filter(pa.array(ranker.score(x) >= CUT))
+            yield b.filter(pa.array(ranker.texts(b.column(at).to_pylist()) >= CUT))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -521,6 +521,32 @@ def test_quality(spark):
     assert {r["score"] for r in quality_bt.classify(docs, empty).collect()} == {0.5}
 
 
+def test_quality_learns_words(spark):
+    """Texts of equal statistics that differ in their words only; a very long text, ties at the cut and repeated ids."""
+    rng = random.Random(6)
+    pools = [["rabak", "sofet", "lumin", "dorap", "kenit", "tisol"], ["rabek", "sofit", "lumon", "dorup", "kenat", "tisel"]]
+    text = lambda y: " ".join(rng.choice(pools[y] if rng.random() < 0.5 else ["common", "filler", "words", "between"]) for _ in range(40))
+    rows = [(k, text(k % 2), "s") for k in range(500)] + [(k, text(k % 2), "s") for k in range(0, 500, 7)] + [(9000, " ".join(text(1) for _ in range(3000)), "s")]
+    docs, lab = documents(spark, rows), spark.createDataFrame([(k, k % 2, 0) for k in range(500)], "doc_id long, quality int, toxic int")
+    ranker = quality_bt.train(docs, lab)
+    got = quality_bt.classify(docs, ranker).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 500]
+    assert np.mean([(r["score"] > 0.3) == bool(r["doc_id"] % 2) for r in held]) > 0.9
+    assert [r["predicted"] for r in got if r["doc_id"] == 9000] == [1]
+    assert {r["predicted"] for r in got} == {0, 1} and all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+
+
+def test_grams_and_odds():
+    a, b = quality_bt.grams("one two  ONE two"), quality_bt.grams("one two one two")
+    assert [len(x) for x in a[:2]] == [2, 2] and all((x == y).all() for x, y in zip(a[:2], b[:2], strict=True))
+    assert [len(x) for x in quality_bt.grams("")] == [len(x) for x in quality_bt.grams(None)] == [0, 0, 0]
+    counts = np.zeros((2, quality_bt.KINDS, quality_bt.BUCKETS))
+    counts[:, 0, 5] = 8, 2
+    counts[:, 0, 6] = 0, 8
+    odds = quality_bt.log_odds(counts)
+    assert odds[0, 5] == pytest.approx(np.log((3 / 10) / (9 / 10))) and odds[0, 6] > 0 and odds[1, 7] == 0
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")
