@@ -40,7 +40,8 @@ for _b in range(256):
     _CLASS[_b] = 1 if "a" <= _c <= "z" else 2 if "A" <= _c <= "Z" else 3 if _c.isdigit() and _b < 128 else 4 if _b in b" \t\r\x0b\x0c" else 5 if _b == 10 else 6 if _b in _SYMBOLS else 7 if _b in _PUNCT else 8 if _b >= 128 else 0
 STATISTICS = 28
 #: Buckets of each kind of n-gram; kinds: words, word pairs, byte 4-grams. Two features a kind.
-BUCKETS, KINDS = 1 << 14, 3
+BITS, KINDS = 14, 3
+BUCKETS = 1 << BITS
 FEATURES = STATISTICS + 2 * KINDS
 #: Share of the n-grams of a text that the second feature of a kind looks at: those that speak most against it.
 WORST = 0.1
@@ -50,10 +51,13 @@ def grams(text: str | None) -> list[np.ndarray]:
     """Distinct buckets of the n-grams of a whole text, by kind."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     w = _word_hashes(raw)
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    four = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24) if len(b) > 3 else b[:0]
-    pairs = _mix(w[:-1] * np.uint64(3) + w[1:]) if len(w) > 1 else w[:0]
-    return [np.unique(x % np.uint64(BUCKETS)).astype(np.int64) for x in (w, pairs, _mix(np.unique(four)))]
+    pairs = _mix(w[:-1] * np.uint64(3) + w[1:])
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    four = (b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+    seen = np.zeros((KINDS, BUCKETS), bool)
+    for row, at in zip(seen, (w & np.uint64(BUCKETS - 1), pairs & np.uint64(BUCKETS - 1), four), strict=True):
+        row[at] = True
+    return [np.flatnonzero(row) for row in seen]
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
