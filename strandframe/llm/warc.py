@@ -6,10 +6,12 @@ revisits that point to it. Each task writes files of its own attempt and reports
 every record, so a lost or repeated task leaves at most files that nobody refers to.
 
 ``build_index`` range-partitions the captures by reversed-host url key (and page_id, so that a key of a
-third of all rows is split), sorts them, and packs them into compressed blocks of ``BLOCK`` lines; the sparse
-directory has one row a block. ``lookup`` passes over the directory's rows, binary-searches the asked keys for each, range-reads
-a block that may hold one, binary-searches in it and range-reads the records. ``read_archives`` needs no search: it walks all blocks and reads the archives in file order
-with neighbouring ranges joined.
+third of all rows is split), sorts them, and packs each partition into an index file of compressed blocks of ``BLOCK`` lines,
+closed by its sparse directory of one entry a block. ``search`` finds the captures of any number of urls: the index files that
+may hold a key by binary search over their first keys (one row a file), then, in one task for each index file, the block by
+binary search in its directory, and the line by binary search in the block, which is a range read. ``records_of`` reads the records
+in file order, neighbouring ranges joined. ``archive_round_trip`` asks for the urls of all pages; ``lookup`` for a few;
+``read_archives`` walks all blocks without a search.
 
 Files are opened by their uri (file, hdfs, s3, gs) on the executors. Nulls and edges: null html is an empty
 payload; a null url has the empty key; payloads under ``min_bytes`` are never revisits; rows that repeat the
@@ -25,7 +27,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, attach_by_key, shuffle_parts
+from .common import Scratch, attach_by_key, shuffle_parts
 
 #: Lines of an index block, bytes after which an archive file is closed, bytes that one range read joins.
 BLOCK = 256
@@ -175,17 +177,17 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> Da
     return scratch.store(rows.mapInArrow(write, CAPTURE), "captures")
 
 
-DIRECTORY = "first_key string, last_key string, n int, file string, offset long, length long"
+DIRECTORY = "first_key string, last_key string, n int, file string, offset long, length long, dir_offset long, dir_length long"
 
 
 def build_index(captures: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """Write the sorted, compressed blocks; returns the sparse directory, stored."""
+    """Write the sorted, compressed blocks with the directory of each file behind them; returns all entries, stored."""
     folder = scratch.path("index")
     order = ["key", "page_id", "file", "offset"]
     dealt = captures.repartitionByRange(shuffle_parts(captures.sparkSession), *order).sortWithinPartitions(*order)
 
     def pack(batches):
-        to, held, out = _Writer(folder, ".cdx.z", FILE_BYTES), [], []
+        to, held, out = _Writer(folder, ".cdx.z", 1 << 62), [], []
 
         def flush():
             data = zlib.compress("\n".join(f"{k}\t{json.dumps(x)}" for k, x in held).encode(), 6)
@@ -200,9 +202,13 @@ def build_index(captures: DataFrame, scratch: Scratch, block: int = BLOCK) -> Da
                     flush()
         if held:
             flush()
+        tail = (0, 0)
+        if out:
+            data = zlib.compress("\n".join(json.dumps([x[0], x[1], x[4], x[5]]) for x in out).encode(), 6)
+            tail = (to.write(data)[1], len(data))
         to.close()
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        columns = list(zip(*((*x, *tail) for x in out), strict=True)) if out else [[]] * 8
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], DIRECTORY.replace(",", "").split()[::2])
 
     return scratch.store(dealt.mapInArrow(pack, DIRECTORY), "directory")
@@ -215,83 +221,139 @@ def _entries(data: bytes) -> tuple[list[str], list[list]]:
     return list(keys), [json.loads(v) for v in values]
 
 
+_RANGE = "file string, offset long, length long"
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _range_batch(out: list) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "offset", "length"])
+
+
+def _located(batches):
+    """(file, offset, length, record) for rows of ranges, in their order; neighbouring ranges are one read."""
+    at = _Reader()
+    for b in batches:
+        where, k = list(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)), 0
+        while k < len(where):
+            uri, start, length = where[k]
+            end, stop = start + length, k + 1
+            while stop < len(where) and where[stop][0] == uri and where[stop][1] == end and end + where[stop][2] - start <= READ_BYTES:
+                end += where[stop][2]
+                stop += 1
+            data = at.read(uri, start, end - start)
+            for _, offset, n in where[k:stop]:
+                yield parse(gzip.decompress(data[offset - start : offset - start + n]))
+            k = stop
+
+
+def _in_file_order(ranges: DataFrame) -> DataFrame:
+    return ranges.select("file", "offset", "length").repartitionByRange(shuffle_parts(ranges.sparkSession), "file", "offset").sortWithinPartitions("file", "offset")
+
+
+def records_of(ranges: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records at ``ranges``."""
+
+    def run(batches):
+        for b in batches:
+            out = [(page_of(r["warc-record-id"]), r["payload_bytes"], r["warc-payload-digest"][5:], r["warc-type"], page_of(r.get("warc-refers-to"))) for r in _located([b])]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _RECORD.split(", ")])
+
+    return _in_file_order(ranges).mapInArrow(run, _RECORD)
+
+
 def read_archives(directory: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from the archives, by the index."""
+    """``records_of`` everything, by a walk over all blocks of the index."""
 
     def ranges(batches):
         at = _Reader()
         for b in batches:
             out = []
-            for uri, offset, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for uri, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out += [(v[2], v[3], v[4]) for v in _entries(at.read(uri, offset, length))[1]]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "offset", "length"])
+            yield _range_batch(out)
 
-    def records(batches):
-        at = _Reader()
+    n = shuffle_parts(directory.sparkSession)
+    return records_of(directory.select("file", "offset", "length").repartition(n).mapInArrow(ranges, _RANGE))
+
+
+class Run:
+    """One index file: its directory, and the captures of a key."""
+
+    def __init__(self, reader: _Reader, file: str, offset: int, length: int):
+        self.reader, self.file = reader, file
+        rows = [json.loads(x) for x in zlib.decompress(reader.read(file, offset, length)).decode().split("\n")]
+        self.first, self.last, self.offset, self.length = zip(*rows, strict=True)
+        self.block, self.keys, self.values, self.reads = -1, [], [], 0
+
+    def captures(self, key: str):
+        """The captures of ``key``: blocks by binary search in the directory, lines by binary search in the block."""
+        at = bisect_left(self.last, key)  # the first block that does not end before the key
+        while at < len(self.first) and self.first[at] <= key:
+            if at != self.block:
+                self.keys, self.values = _entries(self.reader.read(self.file, self.offset[at], self.length[at]))
+                self.block, self.reads = at, self.reads + 1
+            j = bisect_left(self.keys, key)
+            while j < len(self.keys) and self.keys[j] == key:
+                yield self.values[j]
+                j += 1
+            at += 1
+
+
+def search(directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """(file, offset, length) of the records of all captures of ``urls`` (url), whatever their number."""
+    runs = directory.groupBy("file", "dir_offset", "dir_length").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect()  # one row a file
+    runs.sort(key=lambda r: (r["low"], r["high"]))
+    lows, highs = [r["low"] for r in runs], [r["high"] for r in runs]
+    where = [(r["file"], r["dir_offset"], r["dir_length"]) for r in runs]
+
+    def ask(batches):
         for b in batches:
-            where, out, k = list(zip(*(c.to_pylist() for c in b.columns), strict=True)), [], 0
-            while k < len(where):
-                uri, start, length = where[k]
-                end, stop = start + length, k + 1
-                while stop < len(where) and where[stop][0] == uri and where[stop][1] == end and end + where[stop][2] - start <= READ_BYTES:
-                    end += where[stop][2]
-                    stop += 1
-                data = at.read(uri, start, end - start)
-                for _, offset, n in where[k:stop]:
-                    got = parse(gzip.decompress(data[offset - start : offset - start + n]))
-                    out.append((page_of(got["warc-record-id"]), got["payload_bytes"], got["warc-payload-digest"][5:], got["warc-type"], page_of(got.get("warc-refers-to"))))
-                k = stop
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            out = []
+            for key in set(map(url_key, b.column(0).to_pylist())):
+                # files are sorted runs of the keys: those that do not end before the key, up to those that begin after it
+                out += [(k, key) for k in range(bisect_left(highs, key), bisect_right(lows, key))]
+            runs_of, keys = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(runs_of, pa.int32()), pa.array(keys, pa.string())], ["run", "key"])
 
+    def find(batches):
+        at, run, last = _Reader(), None, None
+        for b in batches:
+            out = []
+            for k, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != last:
+                    run, last = Run(at, *where[k]), k
+                for v in run.captures(key):
+                    out.append((v[2], v[3], v[4]))
+                    if len(out) >= 65_536:
+                        yield _range_batch(out)
+                        out.clear()
+            yield _range_batch(out)
+
+    asked = urls.select("url").mapInArrow(ask, "run int, key string").distinct()
     n = shuffle_parts(directory.sparkSession)
-    found = directory.select("file", "offset", "length").repartition(n).mapInArrow(ranges, "file string, offset long, length long")
-    found = found.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
-    return found.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return asked.repartition(n, "run").sortWithinPartitions("run", "key").mapInArrow(find, _RANGE)
 
 
 def lookup(spark: SparkSession, directory: DataFrame, urls: list[str]) -> DataFrame:
-    """(url, page_id, record_type, payload) of all captures of ``urls`` (at most BROADCAST_ROWS of them)."""
-    if len(urls) > BROADCAST_ROWS:
-        raise ValueError(f"at most {BROADCAST_ROWS} urls at a time")
-    keys = sorted(set(map(url_key, urls)))
+    """(url, page_id, record_type, payload) of all captures of ``urls``."""
 
-    def find(batches):
+    def run(batches):
         for b in batches:
-            at = _Reader()
-            out = []
-            first, last = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(b.num_rows):
-                k = bisect_left(keys, first[i])
-                wanted = []
-                while k < len(keys) and keys[k] <= last[i]:
-                    wanted.append(keys[k])
-                    k += 1
-                if not wanted:
-                    continue
-                have, values = _entries(at.read(b.column(3)[i].as_py(), b.column(4)[i].as_py(), b.column(5)[i].as_py()))
-                for key in wanted:
-                    j = bisect_left(have, key)
-                    while j < len(have) and have[j] == key:
-                        page_id, url, file, offset, length = values[j][:5]
-                        got = parse(gzip.decompress(_Reader().read(file, offset, length)))
-                        out.append((url, page_id, got["warc-type"], got["payload"].decode()))
-                        j += 1
+            out = [(r["warc-target-uri"], page_of(r["warc-record-id"]), r["warc-type"], r["payload"].decode()) for r in _located([b])]
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["url", "page_id", "record_type", "payload"])
 
-    near = directory
-    if keys:  # the directory's own statistics skip what lies outside
-        near = directory.where((F.col("first_key") <= keys[-1]) & (F.col("last_key") >= keys[0]))
-    return near.mapInArrow(find, "url string, page_id long, record_type string, payload string")
+    found = search(directory, spark.createDataFrame([(u,) for u in urls], "url string"))
+    return _in_file_order(found).mapInArrow(run, "url string, page_id long, record_type string, payload string")
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write, index and read back every row of ``pages``."""
+    """Write and index every row of ``pages``, then find and read back the captures of all of their urls."""
     scratch = Scratch(pages.sparkSession, "warc")
-    return read_archives(build_index(write_archives(pages, scratch, min_bytes), scratch))
+    return records_of(search(build_index(write_archives(pages, scratch, min_bytes), scratch), pages))
 
 
 _B32 = " || ".join(f"to_base(('0x' || substr(sha, {1 + 5 * i}, 5))::BIGINT, 32, 4)" for i in range(8))

@@ -210,6 +210,33 @@ def test_lookup(spark):
     assert got == {(k, h) for k, u, h in rows if u in wanted}
 
 
+def test_search_reads_few_blocks(spark, tmp_path):
+    """Counted: a key reads its own blocks only; a key over many blocks and files gives every capture once."""
+    rows = [(k, f"http://h{k % 90}.example.net/{k:04d}", "x") for k in range(900)] + [(2000 + k, "http://hot.example.net/", f"y{k}") for k in range(300)] + [(3000, None, "z")]
+    scratch = common.Scratch(spark, "t")
+    d = warc.build_index(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch), scratch, block=16)
+    blocks = d.collect()
+    first = blocks[0]
+    run = warc.Run(warc._Reader(), first["file"], first["dir_offset"], first["dir_length"])
+    assert list(run.first) == [r["first_key"] for r in blocks if r["file"] == first["file"]]
+    assert [v[0] for v in run.captures(run.first[3])] and run.reads <= 2
+    assert list(run.captures("zzz")) == [] and run.reads <= 2
+    asked = spark.createDataFrame([("http://hot.example.net/",), ("http://hot.example.net/",), (None,), ("http://none/",)], "url string")
+    got = sorted(r["page_id"] for r in warc.records_of(warc.search(d, asked)).collect())
+    assert got == [*range(2000, 2300), 3000]
+    everything = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(repr, warc.records_of(warc.search(d, everything)).collect())) == sorted(map(repr, warc.read_archives(d).collect()))
+
+
+def test_archives_of_repeated_and_null_ids(spark):
+    rows = [(1, "http://a/", "same"), (1, "http://a/", "same"), (None, "http://b/", "same"), (None, None, "only null"), (2, "http://c/", "other"), (2, "http://c/", "different"), (3, "http://a/", "other")]
+    got = Counter(map(tuple, warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
+    sha = lambda t: warc.digest(t.encode())
+    want = Counter({(1, 4, sha("same"), "response", None): 2, (None, 4, sha("same"), "revisit", 1): 1, (None, 9, sha("only null"), "response", None): 1})
+    want += Counter({(2, 5, sha("other"), "revisit", 3): 1, (2, 9, sha("different"), "response", None): 1, (3, 5, sha("other"), "response", None): 1})
+    assert got == want
+
+
 def test_record_is_checked():
     raw = warc.record(1, "http://a/", b"xy", warc.digest(b"xy"))
     assert warc.parse(raw)["payload"] == b"xy"
