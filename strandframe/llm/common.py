@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +22,28 @@ ONE_TASK_EDGES = 1 << 20
 SALTS = 64
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="strandframe-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode, as in
+    tests, and an error on a cluster, whose machines would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written below the shared folder to cut lineage; ``drop`` removes the ones no longer read."""
+    """Tables written below the shared folder to cut lineage; ``drop`` removes the ones no longer read, ``close`` all of them."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/strandframe-{tag}-{uuid.uuid4().hex}"
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,11 +53,32 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            self._remove(self.path(name))
+
+    def close(self) -> None:
+        self._remove(self.root)
+        if self in _OPEN:
+            _OPEN.remove(self)
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def scratch_scope():
+    """Removes at its end all scratch tables that operators made within it; results must be used up by then."""
+    before = list(_OPEN)
+    try:
+        yield
+    finally:
+        for s in [s for s in _OPEN if s not in before]:
+            s.close()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

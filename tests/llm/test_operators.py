@@ -589,6 +589,30 @@ def test_empty_tables(spark):
     assert quality_bt.classify(docs, quality_bt.train(docs, lab)).count() == 0
 
 
+def test_scratch_is_removed_and_never_local_on_a_cluster(spark, mixed, tmp_path):
+    import os
+
+    root = spark.conf.get("spark.checkpoint.dir")[len("file://") :]
+    before = set(os.listdir(root))
+    with common.scratch_scope():
+        assert exact_dedup.exact_dedup(documents(spark, mixed)).count() == len(mixed)
+        assert set(os.listdir(root)) > before
+    assert set(os.listdir(root)) == before
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster())
+    Cluster.sparkContext.master = "local[2]"
+    assert common.shared_dir(Cluster()).startswith("file://")
+
+
 @pytest.mark.parametrize("one_task", [0, 10**6])
 def test_components(spark, one_task):
     rng = random.Random(4)
