@@ -62,6 +62,14 @@ def coordinate_sort(reads: DataFrame) -> DataFrame:
     return reads.orderBy(*coordinate_order())
 
 
+def concatenate(parts: list[DataFrame]) -> DataFrame:
+    """Files of one header, one after the other; rows are not sorted."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def merge_sorted(*inputs: DataFrame) -> DataFrame:
     """k-way merge: by coordinate, then input, then arrival. Adds ``file``."""
     out = None

@@ -66,12 +66,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCES = f"""sequences AS (SELECT doc_id AS seq, regexp_replace(translate(coalesce(text, ''), '{LETTERS}', '{AS_BASES}'), '[^ACGT]', 'N', 'g') AS seqs FROM documents)"""
 
 
-def alignments(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
-    """Pairs of sequences by rank of id, column by column: gaps stand where an N meets a base. The texts are whole; only the
-    queries checked by ``ALIGNMENTS``, whose SQL reads 400 columns, give a ``limit``."""
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sequences by rank of id, column by column up to the shorter one's end: gaps stand where an N meets a base."""
     s = sequences(spark, sf_dir)
     pair = s.alias("a").join(s.select((F.col("seq") - 1).alias("seq"), F.col("seqs").alias("other")), "seq").withColumns({"seqs_n": F.length("seqs"), "other_n": F.length("other")})
-    n = F.least("seqs_n", "other_n", *([F.lit(limit)] if limit else []))
+    n = F.least("seqs_n", "other_n")
     cut = pair.select("seq", F.substring("seqs", F.lit(1), n).alias("a"), F.substring("other", F.lit(1), n).alias("b")).where(F.length("a") > 0)
     side = lambda x, y: F.array_join(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when((p == "N") & (q != "N"), "-").otherwise(p)), "")
     ref, seq = side("a", "b"), side("b", "a")
@@ -80,7 +79,7 @@ def alignments(spark: SparkSession, sf_dir: str, limit: int | None = None) -> Da
 
 ALIGNMENTS = (
     SEQUENCES
-    + """, pairs AS (SELECT s.seq, s.seqs AS a0, o.seqs AS b0, least(length(s.seqs), length(o.seqs), 400) AS n FROM sequences s JOIN sequences o ON o.seq - 1 = s.seq),
+    + """, pairs AS (SELECT s.seq, s.seqs AS a0, o.seqs AS b0, least(length(s.seqs), length(o.seqs)) AS n FROM sequences s JOIN sequences o ON o.seq - 1 = s.seq),
 cut AS (SELECT seq, substr(a0, 1, n) AS a, substr(b0, 1, n) AS b, n FROM pairs WHERE n > 0),
 cols AS (SELECT seq, unnest(generate_series(1, n)) AS k, a, b FROM cut),
 chars AS (SELECT seq, k, substr(a, k, 1) AS x, substr(b, k, 1) AS y FROM cols),
@@ -89,9 +88,9 @@ colops AS (SELECT seq, k, CASE WHEN x = 'N' AND y <> 'N' THEN '-' ELSE x END AS
 
 
 def likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as sites of 20 samples with PL triples; the smallest of each triple is 0."""
-    e = F.transform(F.slice("embedding", 1, 60), lambda x: F.least(F.lit(255), F.round(F.abs(x) * 600).cast("int")))
-    trip = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.slice(e, (k - 1) * 3 + 1, 3))
+    """embeddings as sites of 22 samples with PL triples (64 components and two zeros); the smallest of each triple is 0."""
+    e = F.concat(F.transform("embedding", lambda x: F.least(F.lit(255), F.round(F.abs(x) * 600).cast("int"))), F.array(F.lit(0), F.lit(0)))
+    trip = F.transform(F.sequence(F.lit(1), F.lit(22)), lambda k: F.slice(e, (k - 1) * 3 + 1, 3))
     norm = F.transform(trip, lambda t: F.transform(t, lambda v: v - F.array_min(t)))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("site"), "label", norm.alias("pl"))
 

@@ -61,23 +61,12 @@ def pattern_search_multi(spark, d):
     return search.pattern_search_multi(P.sequences(spark, d), PATTERNS)
 
 
-#: The SQL of these queries reads this many columns of an alignment and this many cycles; they follow it, their ``_whole`` forms read everything.
-SQL_COLUMNS, SQL_CYCLES = 400, 100
-#: So do the queries over piles whose SQL reads one contig.
-SQL_READS = "tid = 1"
-
-
-def _groups(spark, d, limit: int | None = None) -> DataFrame:
-    return P.alignments(spark, d, limit).withColumn("grp", F.floor(F.col("seq") / 8).cast("long"))
+def _groups(spark, d) -> DataFrame:
+    return P.alignments(spark, d).withColumn("grp", F.floor(F.col("seq") / 8).cast("long"))
 
 
 @query("SELECT seq, coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE s <> '-'), '') AS seqs FROM colops GROUP BY seq", P.ALIGNMENTS)
 def codec_roundtrip(spark, d):
-    return _roundtrip(_groups(spark, d, SQL_COLUMNS))
-
-
-@query()
-def codec_roundtrip_whole(spark, d):
     return _roundtrip(_groups(spark, d))
 
 
@@ -98,11 +87,6 @@ def codec_stats(spark, d):
     P.ALIGNMENTS,
 )
 def op_runs(spark, d):
-    return _op_runs(P.alignments(spark, d, SQL_COLUMNS))
-
-
-@query()
-def op_runs_whole(spark, d):
     return _op_runs(P.alignments(spark, d))
 
 
@@ -116,11 +100,6 @@ SELECT a.pos FROM pos a JOIN pos b ON a.pos = b.pos + 1 WHERE b.changed = 1 AND
     P.ALIGNMENTS,
 )
 def sync_map(spark, d):
-    return codec.sync_map(P.alignments(spark, d, SQL_COLUMNS))
-
-
-@query()
-def sync_map_whole(spark, d):
     return codec.sync_map(P.alignments(spark, d))
 
 
@@ -130,15 +109,10 @@ def base_composition(spark, d):
 
 
 @query(
-    "SELECT cast(k - 1 AS int) AS cycle, count(*) FILTER (WHERE substr(seqs, k, 1) IN ('G', 'C')) AS gc, count(*) AS total FROM (SELECT seqs, unnest(generate_series(1, least(length(seqs), 100))) AS k FROM sequences) GROUP BY k",
+    "SELECT cast(k - 1 AS int) AS cycle, count(*) FILTER (WHERE substr(seqs, k, 1) IN ('G', 'C')) AS gc, count(*) AS total FROM (SELECT seqs, unnest(generate_series(1, length(seqs))) AS k FROM sequences) GROUP BY k",
     P.SEQUENCES,
 )
 def gc_by_cycle(spark, d):
-    return sequence_stats.gc_by_cycle(P.sequences(spark, d), SQL_CYCLES)
-
-
-@query()
-def gc_by_cycle_whole(spark, d):
     return sequence_stats.gc_by_cycle(P.sequences(spark, d))
 
 
@@ -225,13 +199,8 @@ def region_fetch_multi(spark, d):
     return intervals.fetch_regions(P.reads(spark, d), P.regions(spark, d).where("rid % 50 = 0")).select("ord", "rid")
 
 
-@query("SELECT * FROM reads r WHERE e > pos AND EXISTS (SELECT 1 FROM regions g WHERE g.rid % 97 = 0 AND g.tid = r.tid AND r.pos < g.e AND g.b < r.e)", P.READS, P.REGIONS)
+@query("SELECT * FROM reads r WHERE e > pos AND EXISTS (SELECT 1 FROM regions g WHERE g.tid = r.tid AND r.pos < g.e AND g.b < r.e)", P.READS, P.REGIONS)
 def bed_semi_join(spark, d):
-    return intervals.overlap_semi(P.reads(spark, d), P.regions(spark, d).where("rid % 97 = 0"))
-
-
-@query()
-def bed_semi_join_whole(spark, d):
     return intervals.overlap_semi(P.reads(spark, d), P.regions(spark, d))
 
 
@@ -269,16 +238,11 @@ def _with_bases(pile: DataFrame) -> DataFrame:
     return pile.withColumns({"base": F.substring(F.lit("ACGT"), ((F.col("qid") + F.col("p")) % 4 + 1).cast("int"), F.lit(1)), "baseq": ((F.col("qid") * 3 + F.col("p")) % 41).cast("int"), "len": F.col("e") - F.col("pos")})
 
 
-_PILE = f"pile AS (SELECT *, p - pos AS qpos, p = pos AS is_head, p = e - 1 AS is_tail, substr('ACGT', cast((qid + p) % 4 + 1 AS int), 1) AS base, cast((qid * 3 + p) % 41 AS int) AS baseq, e - pos AS len FROM (SELECT *, unnest(generate_series(pos, e - 1))::INT AS p FROM reads WHERE flag & {PILEUP_SKIP} = 0 AND tid = 1 AND e > pos))"
+_PILE = f"pile AS (SELECT *, p - pos AS qpos, p = pos AS is_head, p = e - 1 AS is_tail, substr('ACGT', cast((qid + p) % 4 + 1 AS int), 1) AS base, cast((qid * 3 + p) % 41 AS int) AS baseq, e - pos AS len FROM (SELECT *, unnest(generate_series(pos, e - 1))::INT AS p FROM reads WHERE flag & {PILEUP_SKIP} = 0 AND e > pos))"
 
 
 @query("SELECT tid, p AS pos, count(*) AS n, count(*) FILTER (WHERE is_head) AS heads, count(*) FILTER (WHERE is_tail) AS tails, cast(sum(qpos) AS bigint) AS qpos FROM pile GROUP BY 1, 2", P.READS, _PILE)
 def pileup_counts(spark, d):
-    return _pileup_counts(P.reads(spark, d).where(SQL_READS))
-
-
-@query()
-def pileup_counts_whole(spark, d):
     return _pileup_counts(P.reads(spark, d))
 
 
@@ -294,11 +258,6 @@ string_agg(chr(baseq + 33), '' ORDER BY ord) AS quals FROM pile WHERE baseq >= 1
     P.READS, _PILE,
 )
 def mpileup_text(spark, d):
-    return depth.text(_with_bases(depth.pileup(P.reads(spark, d).where(SQL_READS))))
-
-
-@query()
-def mpileup_text_whole(spark, d):
     return depth.text(_with_bases(depth.pileup(P.reads(spark, d))))
 
 
@@ -313,11 +272,6 @@ def _sums() -> str:
 
 @query(f"SELECT tid, p AS pos, {_sums()} FROM pile GROUP BY 1, 2", P.READS, _PILE)
 def site_annotation(spark, d):
-    return _site_sums(P.reads(spark, d).where(SQL_READS))
-
-
-@query()
-def site_annotation_whole(spark, d):
     return _site_sums(P.reads(spark, d))
 
 
@@ -341,13 +295,8 @@ def name_sort_rank(spark, d):
     return P.reads(spark, d).select("ord", F.row_number().over(w).alias("rank"))
 
 
-@query("SELECT ord, tid, pos, CASE WHEN qid % 2 = 0 THEN 0 ELSE 1 END AS file FROM reads WHERE mapq > 50", P.READS)
+@query("SELECT ord, tid, pos, CASE WHEN qid % 2 = 0 THEN 0 ELSE 1 END AS file FROM reads", P.READS)
 def merge_tagged(spark, d):
-    return _merge_tagged(P.reads(spark, d).where("mapq > 50"))
-
-
-@query()
-def merge_tagged_whole(spark, d):
     return _merge_tagged(P.reads(spark, d))
 
 
@@ -355,19 +304,10 @@ def _merge_tagged(r: DataFrame) -> DataFrame:
     return records.merge_sorted(r.where("qid % 2 = 0"), r.where("qid % 2 = 1")).select("ord", "tid", "pos", "file")
 
 
-@query("SELECT * FROM reads WHERE tid IN (0, 3)", P.READS)
+@query("SELECT * FROM reads", P.READS)
 def cat(spark, d):
     r = P.reads(spark, d)
-    return r.where("tid = 0").unionByName(r.where("tid = 3"))
-
-
-@query()
-def cat_whole(spark, d):
-    r = P.reads(spark, d)
-    out = r.where("tid = 0")
-    for k in range(1, P.CONTIGS):
-        out = out.unionByName(r.where(f"tid = {k}"))
-    return out.unionByName(r.where(f"tid is null or tid not between 0 and {P.CONTIGS - 1}"))
+    return records.concatenate([r.where(f"tid = {k}") for k in range(P.CONTIGS)] + [r.where(f"tid is null or tid not between 0 and {P.CONTIGS - 1}")])
 
 
 @query(f"SELECT ord, qid, {_X31} AS hash, cast({_X31} % 16 AS int) AS bucket FROM reads", P.READS)
@@ -464,7 +404,7 @@ def bin_assign(spark, d):
     return P.reads(spark, d).select("ord", bin_of(F.col("pos") * 40, F.col("e") * 40).alias("bin"))
 
 
-_PL = "sites AS (SELECT vec_id AS site, list_transform(generate_series(0, 19), lambda k: list_transform(e[k * 3 + 1 : k * 3 + 3], lambda v: v - list_min(e[k * 3 + 1 : k * 3 + 3]))) AS pl FROM (SELECT vec_id, list_transform(embedding[1:60], lambda x: least(255, cast(round(abs(x) * 600) AS int))) AS e FROM embeddings))"
+_PL = "sites AS (SELECT vec_id AS site, list_transform(generate_series(0, 21), lambda k: list_transform(e[k * 3 + 1 : k * 3 + 3], lambda v: v - list_min(e[k * 3 + 1 : k * 3 + 3]))) AS pl FROM (SELECT vec_id, list_concat(list_transform(embedding, lambda x: least(255, cast(round(abs(x) * 600) AS int))), [0, 0]) AS e FROM embeddings))"
 
 
 @query("SELECT site, cast(list_min([pl[1][1] + pl[2][1], pl[1][2] + pl[2][2], pl[1][3] + pl[2][3]]) - list_min(pl[1]) - list_min(pl[2]) AS bigint) AS llr FROM sites", _PL)
@@ -533,13 +473,8 @@ def mapping_accuracy(spark, d):
     return sites.mapping_accuracy(P.reads(spark, d).select("mapq", (F.col("qid") % 11 == 0).alias("wrong")))
 
 
-@query("SELECT DISTINCT g.tid, x.b, x.e FROM (SELECT 1) g0, (SELECT tid FROM regions GROUP BY tid) g, LATERAL (SELECT min(b) AS b, max(e) AS e FROM (SELECT b, e, sum(new) OVER (ORDER BY b, e) AS isl FROM (SELECT b, e, CASE WHEN b > max(e) OVER (ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM regions r WHERE r.tid = g.tid AND r.rid % 301 = 0)) GROUP BY isl) x WHERE x.b IS NOT NULL", P.REGIONS)
+@query("SELECT DISTINCT g.tid, x.b, x.e FROM (SELECT 1) g0, (SELECT tid FROM regions GROUP BY tid) g, LATERAL (SELECT min(b) AS b, max(e) AS e FROM (SELECT b, e, sum(new) OVER (ORDER BY b, e) AS isl FROM (SELECT b, e, CASE WHEN b > max(e) OVER (ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM regions r WHERE r.tid = g.tid)) GROUP BY isl) x WHERE x.b IS NOT NULL", P.REGIONS)
 def merged_regions(spark, d):
-    return intervals.merged(P.regions(spark, d).where("rid % 301 = 0"))
-
-
-@query()
-def merged_regions_whole(spark, d):
     return intervals.merged(P.regions(spark, d))
 
 
@@ -585,11 +520,6 @@ SELECT a.tid, a.pos, a.base, cast(least(a.q - coalesce(b.q, 0), 63) AS int) AS q
     P.READS, _PILE,
 )
 def haploid_consensus(spark, d):
-    return calling.haploid_consensus(_with_bases(depth.pileup(P.reads(spark, d).where(SQL_READS))))
-
-
-@query()
-def haploid_consensus_whole(spark, d):
     return calling.haploid_consensus(_with_bases(depth.pileup(P.reads(spark, d))))
 
 
@@ -600,7 +530,7 @@ def phase_sets(spark, d):
 
 
 @query(
-    "SELECT site, cast(sample AS int) AS sample, round(p[1] / list_sum(p), 6) AS l0, round(p[2] / list_sum(p), 6) AS l1, round(p[3] / list_sum(p), 6) AS l2 FROM (SELECT site, sample, list_transform(pl[sample + 1], lambda x: pow(10.0, -x / 10.0)) AS p FROM (SELECT site, pl, unnest(generate_series(0, 19)) AS sample FROM sites))",
+    "SELECT site, cast(sample AS int) AS sample, round(p[1] / list_sum(p), 6) AS l0, round(p[2] / list_sum(p), 6) AS l1, round(p[3] / list_sum(p), 6) AS l2 FROM (SELECT site, sample, list_transform(pl[sample + 1], lambda x: pow(10.0, -x / 10.0)) AS p FROM (SELECT site, pl, unnest(generate_series(0, 21)) AS sample FROM sites))",
     _PL,
 )
 def beagle_likelihoods(spark, d):
