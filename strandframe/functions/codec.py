@@ -75,11 +75,13 @@ class Trie:
         self.child: dict[tuple[int, int], int] = {}
         self.parent = [-1] * FIRST
         self.symbol = [*range(5), -1, -1, -1]
+        self.length = [1] * 5 + [0] * 3
 
     def grow(self, node: int, symbol: int) -> int:
         self.child[node, symbol] = new = len(self.parent)
         self.parent.append(node)
         self.symbol.append(symbol)
+        self.length.append(self.length[node] + 1)
         return new
 
     def phrase(self, node: int) -> list[int]:
@@ -215,8 +217,8 @@ class Decoder:
     def __init__(self, data: bytes):
         self.trie, self.width, self.data = Trie(), 3, BitReader(data)
 
-    def next(self, ref: str) -> str:
-        """The next sequence, ungapped; ``ref`` is its ungapped reference."""
+    def phrases(self, ref: str) -> list[int]:
+        """The phrases of the next sequence, in order; ``ref`` is its ungapped reference."""
         trie, data, r, at, out = self.trie, self.data, _symbols(ref), 0, []
         for _ in range(data.delta() - 1):
             code = data.get(self.width)
@@ -225,12 +227,10 @@ class Decoder:
             elif code == DEL:
                 at += data.delta()
             elif code == INS:
-                for _ in range(data.delta()):
-                    out += trie.phrase(data.get(self.width))
+                out += [data.get(self.width) for _ in range(data.delta())]
             elif code < len(trie.parent):
-                got = trie.phrase(code)
-                out += got
-                at += len(got)
+                out.append(code)
+                at += trie.length[code]
             else:
                 node = -1
                 while node < 0 or node != code:
@@ -239,11 +239,15 @@ class Decoder:
                     x = r[at]
                     nxt = x if node < 0 else trie.child.get((node, x))
                     node = trie.grow(node, x) if nxt is None else nxt
-                    out.append(x)
                     at += 1
                     if node > code:
                         raise ValueError("unknown code")
-        return "".join(BASES[x] for x in out)
+                out.append(code)
+        return out
+
+    def next(self, ref: str) -> str:
+        """The next sequence, ungapped."""
+        return "".join(BASES[x] for node in self.phrases(ref) for x in self.trie.phrase(node))
 
 
 def compress(rows: list[tuple[str, str, str]], sync: int = 0, points: list[int] | None = None) -> tuple[bytes, list[dict]]:
@@ -254,12 +258,28 @@ def compress(rows: list[tuple[str, str, str]], sync: int = 0, points: list[int]
     return head + enc.out.bytes(), stats
 
 
-def decompress(data: bytes, refs: list[str]) -> list[tuple[str, str]]:
-    """(name, sequence) of a container; ``refs`` holds the ungapped reference of each sequence."""
+def _head(data: bytes) -> tuple[list[str], bytes]:
+    """Names of a container, and its code stream."""
     n, at, names = int.from_bytes(data[:4], "big"), 4, []
     for _ in range(n):
         end = data.index(b"\0", at)
         names.append(data[at:end].decode())
         at = end + 1
-    dec = Decoder(data[at:])
+    return names, data[at:]
+
+
+def decompress(data: bytes, refs: list[str]) -> list[tuple[str, str]]:
+    """(name, sequence) of a container; ``refs`` holds the ungapped reference of each sequence."""
+    names, codes = _head(data)
+    dec = Decoder(codes)
     return [(name, dec.next(ref)) for name, ref in zip(names, refs, strict=True)]
+
+
+def load(data: bytes, refs: list[str]) -> tuple[list[str], Trie, list[list[int]]]:
+    """Names, phrases and the phrase numbers of each sequence: all that a search needs, without references or bits."""
+    names, codes = _head(data)
+    dec = Decoder(codes)
+    found = [dec.phrases(ref) for ref in refs]
+    if len(found) != len(names):
+        raise ValueError("a container holds another number of sequences")
+    return names, dec.trie, found

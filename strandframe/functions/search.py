@@ -102,3 +102,44 @@ def find_signature(seq: str, pattern: str, chunk: int = 512) -> list[int]:
                     out.append(lo + i - m + 1)
         state = int(t.to[state])
     return out
+
+
+class PhraseSearch:
+    """Search on codewords: the effect of every phrase on the automaton is found once, from that of the phrase it extends, and a
+    sequence is a walk over its phrase numbers. A phrase is spelled out only where a hit ends inside it."""
+
+    def __init__(self, pattern: str, parent: np.ndarray, symbol: np.ndarray, length: np.ndarray):
+        self.table, self.m = automaton(pattern), len(pattern)
+        self.parent, self.symbol, self.length = parent, symbol, length.tolist()
+        states = len(self.table)
+        to, hits = np.zeros((len(parent), states), np.int32), np.zeros((len(parent), states), bool)
+        by_length = np.argsort(length, kind="stable")
+        cuts = np.searchsorted(length[by_length], np.arange(1, (length.max() if len(length) else 0) + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            nodes = by_length[lo:hi]
+            up = parent[nodes]
+            before = np.where((up >= 0)[:, None], to[up], np.arange(states))
+            to[nodes] = self.table[before, symbol[nodes][:, None]]
+            hits[nodes] = (to[nodes] == self.m) | ((up >= 0)[:, None] & hits[up])
+        self.to, self.hits = to.tolist(), hits.tolist()
+
+    def spelled(self, node: int) -> list[int]:
+        out = []
+        while node >= 0:
+            out.append(int(self.symbol[node]))
+            node = int(self.parent[node])
+        return out[::-1]
+
+    def find(self, codes) -> list[int]:
+        """Offsets of all overlapping hits in the sequence with these phrases."""
+        state, at, out = 0, 0, []
+        for code in codes:
+            if self.hits[code][state]:
+                s = state
+                for i, x in enumerate(self.spelled(code)):
+                    s = self.table[s, x]
+                    if s == self.m:
+                        out.append(at + i - self.m + 1)
+            state = self.to[code][state]
+            at += self.length[code]
+        return out

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import compress, decompress
+from ..functions.codec import compress, decompress, load
+from ..functions.search import PhraseSearch
+from .search import fold
 
 STATS = ("matches", "replaces", "insertions", "deletions", "match_runs", "replace_runs", "insert_runs", "delete_runs", "items", "bits")
 
@@ -24,14 +28,54 @@ def compress_groups(alignments: DataFrame, group: str = "grp", sync: int = 200)
 
 def decompress_groups(containers: DataFrame, references: DataFrame) -> DataFrame:
     """(seq, seqs) from containers and (grp, seq, ref) rows."""
-    refs = references.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("seq", "ref"))).alias("refs"))
 
     def one(batches):
         for pdf in batches:
             out = [(int(n), s) for data, refs in zip(pdf["data"], pdf["refs"], strict=True) for n, s in decompress(bytes(data), [r["ref"] for r in refs])]
             yield pd.DataFrame(out, columns=["seq", "seqs"])
 
-    return containers.join(refs, "grp").select("data", "refs").mapInPandas(one, "seq long, seqs string")
+    return _with_references(containers, references).select("data", "refs").mapInPandas(one, "seq long, seqs string")
+
+
+#: A loaded group: its phrases (the phrase each extends, its last letter, its length) and the phrase numbers of its sequences.
+INDEX = "grp long, parent array<int>, symbol array<int>, length array<int>, seqs array<long>, codes array<array<int>>"
+
+
+def _with_references(containers: DataFrame, references: DataFrame) -> DataFrame:
+    refs = references.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("seq", "ref"))).alias("refs"))
+    return containers.join(refs, "grp")
+
+
+def load_groups(containers: DataFrame, references: DataFrame) -> DataFrame:
+    """``INDEX`` rows of containers, to be stored and searched any number of times. References are needed here only."""
+
+    def one(batches):
+        for pdf in batches:
+            out = []
+            for grp, data, refs in zip(pdf["grp"], pdf["data"], pdf["refs"], strict=True):
+                names, trie, codes = load(bytes(data), [r["ref"] for r in refs])
+                out.append((grp, trie.parent, trie.symbol, trie.length, [int(n) for n in names], codes))
+            yield pd.DataFrame(out, columns=["grp", "parent", "symbol", "length", "seqs", "codes"])
+
+    return _with_references(containers, references).select("grp", "data", "refs").mapInPandas(one, INDEX)
+
+
+def search_groups(index: DataFrame, pattern: str) -> DataFrame:
+    """(seq, offset) of all occurrences of a pattern, found on the phrases of loaded groups; sequences are never decompressed."""
+    p = fold(pattern)
+
+    def run(batches):
+        for b in batches:
+            seqs, offsets = [], []
+            for row in b.to_pylist():
+                s = PhraseSearch(p, *(np.array(row[k], np.int64) for k in ("parent", "symbol", "length")))
+                for seq, codes in zip(row["seqs"], row["codes"], strict=True):
+                    got = s.find(codes)
+                    seqs += [seq] * len(got)
+                    offsets += got
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(offsets, pa.int32())], ["seq", "offset"])
+
+    return index.select("parent", "symbol", "length", "seqs", "codes").mapInArrow(run, "seq long, offset int")
 
 
 def codec_stats(alignments: DataFrame, group: str = "grp", sync: int = 0) -> DataFrame:

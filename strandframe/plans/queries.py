@@ -70,9 +70,29 @@ def codec_roundtrip(spark, d):
     return _roundtrip(_groups(spark, d))
 
 
+def _references(a: DataFrame) -> DataFrame:
+    return a.select("grp", "seq", F.replace("ref_aln", F.lit("-"), F.lit("")).alias("ref"))
+
+
 def _roundtrip(a: DataFrame) -> DataFrame:
-    refs = a.select("grp", "seq", F.replace("ref_aln", F.lit("-"), F.lit("")).alias("ref"))
-    return codec.decompress_groups(codec.compress_groups(a), refs)
+    return codec.decompress_groups(codec.compress_groups(a), _references(a))
+
+
+_DECODED = "decoded AS (SELECT seq, coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE s <> '-'), '') AS seqs FROM colops GROUP BY seq)"
+
+
+def _loaded(a: DataFrame) -> DataFrame:
+    return codec.load_groups(codec.compress_groups(a), _references(a))
+
+
+@query(_hits(PATTERN).replace("FROM sequences", "FROM decoded"), P.ALIGNMENTS, _DECODED)
+def pattern_compressed(spark, d):
+    return codec.search_groups(_loaded(_groups(spark, d)), PATTERN)
+
+
+@query(_hits("AAA").replace("FROM sequences", "FROM decoded"), P.ALIGNMENTS, _DECODED)
+def pattern_compressed_overlapping(spark, d):
+    return codec.search_groups(_loaded(_groups(spark, d)), "aaa")
 
 
 @query()

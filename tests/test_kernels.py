@@ -134,3 +134,18 @@ def test_error_costs_are_binomial_tails():
     assert stats.error_costs(9, 17) == pytest.approx([-10 * math.log10(tail[k + 1] / tail[k]) for k in range(9)])
     assert stats.pile_costs([(3, 17, 0)])[0, 0] == pytest.approx(17)
     assert stats.pile_costs([(3, 17, 0), (0, 40, 1)])[0, 3] == pytest.approx(-10 * math.log10(2 / 4))
+
+
+def test_phrase_search_is_the_search_of_the_text():
+    rng = random.Random(8)
+    for sync in (0, 7):
+        rows = [(str(k), *aligned(rng, [rng.choice("ACGT") for _ in range(120)])) for k in range(6)]
+        data, _ = codec.compress(rows, sync)
+        refs = [r.replace("-", "") for _, r, _ in rows]
+        names, trie, codes = codec.load(data, refs)
+        assert names == [n for n, _, _ in rows]
+        for pattern in ("A", "AC", "ACA", "NNA", "ACGTA", "G" * 9):
+            s = search.PhraseSearch(pattern, *(np.array(x) for x in (trie.parent, trie.symbol, trie.length)))
+            for (_, text), found in zip(codec.decompress(data, refs), codes, strict=True):
+                assert s.find(found) == search.find(text, pattern)
+                assert sum(trie.length[c] for c in found) == len(text)
