@@ -9,7 +9,7 @@ import struct
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .binary import _block
+from .binary import _block, files_of
 
 SCHEMA = "chrom string, pos int, id string, ref string, alt array<string>, qual double, filter string, info map<string,string>, samples array<map<string,string>>"
 #: Fixed: struct code and count per sample of each typed FORMAT field; G stands for genotypes of the site's alleles.
@@ -115,7 +115,7 @@ class BcfDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader([p for p in self.options["path"].split(",") if p])
+        return _Reader(files_of(self.options["path"], ".bcf"))
 
 
 def register(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ taken at the scan, before any shuffle, from the file's place and the line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.reads import flag_string, format_cigar, parse_cigar, parse_flag, query_length
@@ -45,9 +45,14 @@ def format_fasta(df: DataFrame, name: str = "name", seq: str = "seq", width: int
     return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), wrapped).alias("value"))
 
 
+def plain_column(seq) -> Column:
+    """Lower-case sequence without gaps."""
+    return F.lower(F.replace(F.col(seq) if isinstance(seq, str) else seq, F.lit("-"), F.lit("")))
+
+
 def plain_sequence(df: DataFrame, seq: str = "seq") -> DataFrame:
     """(value): lower-case sequence without gaps."""
-    return df.select(F.lower(F.replace(F.col(seq), F.lit("-"), F.lit(""))).alias("value"))
+    return df.select(plain_column(seq).alias("value"))
 
 
 def read_sam_header(spark: SparkSession, path: str) -> DataFrame:

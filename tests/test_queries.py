@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from strandframe.plans import queries as q
+from strandframe.plans import record_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
