@@ -225,37 +225,52 @@ def haplotype_r(pl: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 50, e
     return out
 
 
+def genotype_em(pl: np.ndarray, steps: int = 50, eps: float = 1e-5) -> np.ndarray:
+    """``genotype_frequencies`` of many sites (sites x samples x 3); a site rests once it moves by less than ``eps``."""
+    like = LIKELIHOOD[np.clip(pl, 0, 255)]
+    g, live = np.full((len(like), 3), 1 / 3), np.arange(len(like))
+    for _ in range(steps):
+        post = like[live] * g[live][:, None, :]
+        new = (post / post.sum(2, keepdims=True)).mean(1)
+        moved = np.abs(new - g[live]).max(1) >= eps
+        g[live] = new
+        live = live[moved]
+        if not len(live):
+            break
+    return g
+
+
 def count_posterior(pl: np.ndarray, theta: float = 1e-3, prior: str = "full") -> np.ndarray:
-    """Posterior of the number of second alleles among 2n chromosomes, by the sample recursion over likelihoods."""
+    """Posterior of the number of second alleles among 2n chromosomes of one site."""
+    return count_posteriors(pl[None], theta, prior)[0]
+
+
+def count_posteriors(pl: np.ndarray, theta: float = 1e-3, prior: str = "full") -> np.ndarray:
+    """The same for many sites (sites x samples x 3): samples are taken in one by one, all sites at a time."""
     like = LIKELIHOOD[np.clip(pl, 0, 255)]
-    n = len(like)
-    z = np.zeros(2 * n + 1)
-    z[0] = 1.0
+    n = like.shape[1]
+    z = np.ones((len(like), 1))
     for j in range(n):
         m = 2 * (j + 1)
         k = np.arange(m + 1, dtype=float)
-        new = np.zeros(2 * n + 1)
-        own = like[j]
-        new[: m + 1] = (m - k) * (m - k - 1) * own[0] * z[: m + 1]
-        new[1 : m + 1] += 2 * k[1:] * (m - k[1:]) * own[1] * z[:m]
-        new[2 : m + 1] += k[2:] * (k[2:] - 1) * own[2] * z[: m - 1]
-        new /= m * (m - 1)
-        z = new / max(new.max(), 1e-300)
-    return _posterior(z, n, theta, prior)
+        wide = np.pad(z, ((0, 0), (2, 2)))  # column 2 + k holds count k of the samples before
+        ways = ((m - k) * (m - k - 1) * wide[:, 2:], 2 * k * (m - k) * wide[:, 1:-1], k * (k - 1) * wide[:, :-2])
+        z = sum(like[:, j, g, None] * w for g, w in enumerate(ways)) / (m * (m - 1))
+        z /= np.maximum(z.max(1, keepdims=True), 1e-300)
+    post = z * _count_prior(n, theta, prior)
+    return post / post.sum(1, keepdims=True)
 
 
-def _posterior(z: np.ndarray, n: int, theta: float, prior: str) -> np.ndarray:
+def _count_prior(n: int, theta: float, prior: str) -> np.ndarray:
     k = np.arange(2 * n + 1)
     if prior == "flat":
-        p = np.ones(2 * n + 1)
-    else:
-        p = np.zeros(2 * n + 1)
-        p[1:] = theta / k[1:]
-        if prior == "cond2":
-            p = theta * (k + 1.0) / (2 * n + 1)
-        p[0] = max(1e-12, 1 - p[1:].sum())
-    post = z * p
-    return post / post.sum()
+        return np.ones(2 * n + 1)
+    p = np.zeros(2 * n + 1)
+    p[1:] = theta / k[1:]
+    if prior == "cond2":
+        p = theta * (k + 1.0) / (2 * n + 1)
+    p[0] = max(1e-12, 1 - p[1:].sum())
+    return p
 
 
 def trio_llr(pl: np.ndarray) -> tuple[int, int, int]:

@@ -6,10 +6,10 @@ A bare overlap condition plans as a nested loop. Both sides are dealt to the bin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sweep import tiled_cumsum
+from .sweep import tiled_cumsum, tiled_max, tiled_next
 
 BIN = 64
 
@@ -35,8 +35,7 @@ def merged(regions: DataFrame, key: str = "tid", beg: str = "b", end: str = "e")
     ev = ev.select(key, F.col("_v.p").alias("p"), F.col("_v.d").alias("d")).groupBy(key, "p").agg(F.sum("d").alias("d"))
     cum = tiled_cumsum(ev, [key], "p", ["d"])
     edges = cum.withColumn("was", F.col("cum_d") - F.col("d")).where(((F.col("was") == 0) & (F.col("cum_d") > 0)) | ((F.col("was") > 0) & (F.col("cum_d") == 0)))
-    nxt = F.lead("p").over(Window.partitionBy(key).orderBy("p"))
-    return edges.withColumn("e", nxt).where(F.col("was") == 0).select(key, F.col("p").alias("b"), "e")
+    return tiled_next(edges, [key], "p", "e").where(F.col("was") == 0).select(key, F.col("p").alias("b"), "e")
 
 
 def overlap_semi(left: DataFrame, regions: DataFrame, key: str = "tid", beg="pos", end="e", width: int = 1 << 12) -> DataFrame:
@@ -45,8 +44,7 @@ def overlap_semi(left: DataFrame, regions: DataFrame, key: str = "tid", beg="pos
     Regions are merged, and each bin holds the merged regions that reach into it plus the next one after it
     (at most width / 2 + 1). A row then asks only the bin of its start: one equi-join, no explode, no distinct.
     """
-    w = Window.partitionBy(key).orderBy("b")
-    m = merged(regions, key).withColumn("_prev", F.coalesce(F.lag("e").over(w), F.lit(0)))
+    m = tiled_max(merged(regions, key), [key], "b", F.col("e"), "_prev", inclusive=False).withColumn("_prev", F.coalesce("_prev", F.lit(0)))
     bins = F.sequence(F.floor(F.col("_prev") / width), F.floor((F.col("e") - 1) / width))
     m = m.select(F.col(key).alias("_rk"), F.explode(bins).alias("_rbin"), F.struct("b", "e").alias("_r"))
     touched = m.groupBy("_rk", "_rbin").agg(F.collect_list("_r").alias("_in"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, has, none_of, pair_orientation, x31
 from .intervals import overlap_semi
+from .sweep import tiled_rank
 
 
 def view(reads, min_mapq=0, require=0, exclude=0, min_query=0, regions=None, read_groups=None, libraries=None, header=None, fraction=None, seed=0, name="qid") -> DataFrame:
@@ -58,6 +59,11 @@ def coordinate_order() -> list:
     return [F.col("tid") < 0, F.col("tid"), F.col("pos"), any_of("flag", 16), F.col("ord")]
 
 
+def coordinate_rank(reads: DataFrame, name: str = "rank") -> DataFrame:
+    """Adds the 1-based rank of each read within its contig in coordinate order, without a task that holds a contig."""
+    return tiled_rank(reads, ["tid"], "pos", [any_of("flag", 16), F.col("ord")], name)
+
+
 def coordinate_sort(reads: DataFrame) -> DataFrame:
     return reads.orderBy(*coordinate_order())
 

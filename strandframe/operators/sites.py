@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import stats as K
+from .sweep import islands
 from .variants import _matrix
 
 
@@ -183,10 +184,7 @@ def fetch_sequence(reference: DataFrame, regions: DataFrame) -> DataFrame:
 
 def target_segments(depths: DataFrame, min_depth: int = 3) -> DataFrame:
     """(chrom, beg, end) of target by a two-state path over covered positions; each island of coverage is a group."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("pos")
-    isl = depths.withColumn("_i", F.sum(F.coalesce((F.col("pos") - F.lag("pos").over(w) > 100).cast("int"), F.lit(1))).over(w))
+    isl = islands(depths, ["chrom"], "pos", 100, "_i")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")

@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as K
+from .sweep import TILE, islands
 
 
 def _matrix(pl) -> np.ndarray:
     return np.array([list(t) for t in pl], np.int64)
 
 
+def _stack(column) -> np.ndarray:
+    """Sites x samples x 3 of a column of PL triples; all sites have the same samples."""
+    return np.array([_matrix(pl) for pl in column], np.int64).reshape(len(column), -1, 3)
+
+
+def _once(fun, *columns) -> np.ndarray:
+    """``fun`` of each row of integer columns, computed once for equal rows."""
+    rows = np.stack([np.asarray(c, np.int64) for c in columns], 1)
+    distinct, back = np.unique(rows, axis=0, return_inverse=True)
+    return np.array([fun(*map(int, r)) for r in distinct], float)[back.ravel()] if len(rows) else np.zeros(0)
+
+
 def site_frequencies(sites: DataFrame) -> DataFrame:
     """(site, af, g0, g1, g2, hwe): allele frequency, genotype frequencies, Hardy-Weinberg p by likelihood ratio."""
 
@@ -28,14 +41,26 @@ def site_frequencies(sites: DataFrame) -> DataFrame:
     return sites.select("site", "pl").mapInPandas(run, "site long, af double, g0 double, g1 double, g2 double, hwe double")
 
 
+def genotype_em(sites: DataFrame) -> DataFrame:
+    """(site, g0, g1, g2): genotype frequencies by EM over the samples' likelihoods, a batch of sites at a time."""
+
+    def run(batches):
+        for pdf in batches:
+            g = K.genotype_em(_stack(pdf["pl"]))
+            yield pd.DataFrame({"site": pdf["site"], "g0": g[:, 0], "g1": g[:, 1], "g2": g[:, 2]})
+
+    return sites.select("site", "pl").mapInPandas(run, "site long, g0 double, g1 double, g2 double")
+
+
 def adjacent_ld(sites: DataFrame) -> DataFrame:
     """(site, r2): linkage of each site with the one before it (site - 1), by an equi-join and an EM kernel."""
     prev = sites.select((F.col("site") + 1).alias("site"), F.col("pl").alias("prev"))
 
     def run(batches):
         for pdf in batches:
-            out = [(s, K.haplotypes(_matrix(a), _matrix(b))[1] ** 2) for s, a, b in zip(pdf["site"], pdf["prev"], pdf["pl"], strict=True)]
-            yield pd.DataFrame(out, columns=["site", "r2"])
+            both = np.concatenate([_stack(pdf["prev"]), _stack(pdf["pl"])])
+            k = np.arange(len(pdf))
+            yield pd.DataFrame({"site": pdf["site"], "r2": K.haplotype_r(both, k, k + len(pdf)) ** 2})
 
     return sites.join(prev, "site").select("site", "prev", "pl").mapInPandas(run, "site long, r2 double")
 
@@ -45,7 +70,7 @@ def hwe_exact(genotypes: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"site": pdf["site"], "p": [K.hwe_exact(int(a), int(h), int(b)) for a, h, b in zip(pdf["hom_a"], pdf["het"], pdf["hom_b"], strict=True)]})
+            yield pd.DataFrame({"site": pdf["site"], "p": _once(K.hwe_exact, pdf["hom_a"], pdf["het"], pdf["hom_b"])})
 
     return genotypes.select("site", "hom_a", "het", "hom_b").mapInPandas(run, "site long, p double")
 
@@ -55,7 +80,7 @@ def strand_bias(tables: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"site": pdf["site"], "p": [K.fisher(int(a), int(b), int(c), int(d))[2] for a, b, c, d in zip(pdf["rf"], pdf["rr"], pdf["af"], pdf["ar"], strict=True)]})
+            yield pd.DataFrame({"site": pdf["site"], "p": _once(lambda *t: K.fisher(*t)[2], pdf["rf"], pdf["rr"], pdf["af"], pdf["ar"])})
 
     return tables.select("site", "rf", "rr", "af", "ar").mapInPandas(run, "site long, p double")
 
@@ -65,11 +90,8 @@ def count_posterior(sites: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for site, pl in zip(pdf["site"], pdf["pl"], strict=True):
-                post = K.count_posterior(_matrix(pl))
-                out.append((site, float(post[0]), float(post @ np.arange(len(post)))))
-            yield pd.DataFrame(out, columns=["site", "p_ref", "ac"])
+            post = K.count_posteriors(_stack(pdf["pl"]))
+            yield pd.DataFrame({"site": pdf["site"], "p_ref": post[:, 0], "ac": post @ np.arange(post.shape[1])})
 
     return sites.select("site", "pl").mapInPandas(run, "site long, p_ref double, ac double")
 
@@ -109,34 +131,32 @@ def quality_curve(sites: DataFrame) -> DataFrame:
 
 
 def var_filter(sites: DataFrame, snp_gap: int = 3, indel_gap: int = 10, min_qual: int = 10) -> DataFrame:
-    """Site filter: low quality goes by itself; then, along each contig, a SNP within ``snp_gap`` of a kept indel goes, and of
-    two indels within ``indel_gap`` the better stays. A site that goes no longer suppresses others, so the pass is
-    sequential; contigs are cut into islands at gaps wider than both windows, and each island is one group.
+    """Site filter: low quality goes by itself; then, along each contig, of two indels within ``indel_gap`` the better stays, and a
+    SNP within ``snp_gap`` of a kept indel goes. An indel that goes no longer suppresses others, so their pass is sequential:
+    indels alone are cut into islands at wider gaps, and each island is one group. SNPs look up kept indels by windows.
 
-    Needs (chrom, pos, qual, is_indel); adds ``filter`` (PASS, lowqual, near_indel, indel_pair)."""
-    reach = max(snp_gap, indel_gap)
-    w = Window.partitionBy("chrom").orderBy("pos")
-    cut = (F.col("pos") - F.lag("pos").over(w) > reach).cast("int")
-    isl = sites.withColumn("_island", F.sum(F.coalesce(cut, F.lit(1))).over(w))
+    Needs (chrom, pos, qual, is_indel), one row for each (chrom, pos); adds ``filter`` (PASS, lowqual, near_indel, indel_pair)."""
+    good = F.col("qual") >= min_qual
+    indels = islands(sites.where(good & F.col("is_indel")).select("chrom", "pos", "qual"), ["chrom"], "pos", indel_gap)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "is_indel"]).reset_index(drop=True)
-        mark = ["lowqual" if q < min_qual else "PASS" for q in pdf["qual"]]
-        last = None
-        for i in range(len(pdf)):
-            if mark[i] != "PASS" or not pdf["is_indel"][i]:
-                continue
-            if last is not None and pdf["pos"][i] - pdf["pos"][last] <= indel_gap:
-                if pdf["qual"][i] > pdf["qual"][last]:
-                    mark[last], last = "indel_pair", i
-                else:
-                    mark[i] = "indel_pair"
-            else:
+        pdf = pdf.sort_values("pos")
+        pos, qual = pdf["pos"].to_numpy(), pdf["qual"].to_numpy()
+        kept, last = np.ones(len(pos), bool), 0
+        for i in range(1, len(pos)):
+            if pos[i] - pos[last] > indel_gap:
                 last = i
-        kept = [int(pdf["pos"][i]) for i in range(len(pdf)) if mark[i] == "PASS" and pdf["is_indel"][i]]
-        for i in range(len(pdf)):
-            if mark[i] == "PASS" and not pdf["is_indel"][i] and any(abs(int(pdf["pos"][i]) - k) <= snp_gap for k in kept):
-                mark[i] = "near_indel"
-        return pdf[["chrom", "pos", "qual", "is_indel"]].assign(filter=mark)
-
-    return isl.groupBy("chrom", "_island").applyInPandas(one, "chrom string, pos long, qual int, is_indel boolean, filter string")
+            elif qual[i] > qual[last]:
+                kept[last], last = False, i
+            else:
+                kept[i] = False
+        return pdf[["chrom", "pos"]].assign(_kept=kept)
+
+    marks = indels.groupBy("chrom", "_island").applyInPandas(one, "chrom string, pos long, _kept boolean")
+    s = sites.join(marks, ["chrom", "pos"], "left")
+    own = F.floor(F.col("pos") / TILE)
+    spread = s.withColumns({"_own": own, "_tile": F.explode(F.sequence(F.floor((F.col("pos") - snp_gap) / TILE), F.floor((F.col("pos") + snp_gap) / TILE)))})
+    near = F.count_if("_kept").over(Window.partitionBy("chrom", "_tile").orderBy("pos").rangeBetween(-snp_gap, snp_gap)) > 0
+    s = spread.withColumn("_near", near).where("_tile = _own")
+    mark = F.when(~good, "lowqual").when(F.col("is_indel"), F.when(F.col("_kept"), "PASS").otherwise("indel_pair")).otherwise(F.when(F.col("_near"), "near_indel").otherwise("PASS"))
+    return s.select("chrom", "pos", "qual", "is_indel", mark.alias("filter"))

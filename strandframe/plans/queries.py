@@ -304,7 +304,7 @@ _COORD = "tid < 0, tid, pos, flag & 16, ord"
 
 @query(f"SELECT ord, cast(row_number() OVER (PARTITION BY tid ORDER BY {_COORD}) AS int) AS rank FROM reads", P.READS)
 def coord_sort_rank(spark, d):
-    return P.reads(spark, d).select("ord", F.row_number().over(Window.partitionBy("tid").orderBy(*records.coordinate_order())).alias("rank"))
+    return records.coordinate_rank(P.reads(spark, d)).select("ord", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT ord, cast(row_number() OVER (PARTITION BY qid % 64 ORDER BY qid, flag & 192, ord) AS int) AS rank FROM reads", P.READS)
@@ -462,22 +462,67 @@ def ld_r2(spark, d):
     return variants.adjacent_ld(P.likelihoods(spark, d))
 
 
-@query()
+@query(
+    """, best AS (SELECT site, list_position(t, list_min(t)) AS b FROM (SELECT site, unnest(pl) AS t FROM sites)),
+tables AS (SELECT site, n, het, 2 * least(a, n - a - het) + het AS rare FROM (SELECT site, count(*) AS n, count(*) FILTER (WHERE b = 1) AS a, count(*) FILTER (WHERE b = 2) AS het FROM best GROUP BY site)),
+ways AS (SELECT *, exp(w - max(w) OVER (PARTITION BY site)) AS p FROM (SELECT *, ln(2) * h - lgamma(h + 1) - lgamma((rare - h) // 2 + 1) - lgamma(n - h - (rare - h) // 2 + 1) AS w FROM (SELECT *, unnest(generate_series(rare % 2, rare, 2)) AS h FROM tables)))
+SELECT site, round(least(1.0, sum(CASE WHEN p <= own * (1 + 1e-7) THEN p ELSE 0 END) / sum(p)), 9) AS p FROM (SELECT *, max(CASE WHEN h = het THEN p END) OVER (PARTITION BY site) AS own FROM ways) GROUP BY site""",
+    _PL,
+)
 def hwe_exact(spark, d):
-    return variants.hwe_exact(variants.genotype_counts(P.likelihoods(spark, d)))
+    return variants.hwe_exact(variants.genotype_counts(P.likelihoods(spark, d))).withColumn("p", F.round("p", 9))
 
 
-@query()
+@query(
+    """, tables AS (SELECT tid * 4294967296 + p AS site, count(*) FILTER (WHERE base = 'A' AND flag & 16 = 0) AS a, count(*) FILTER (WHERE base = 'A' AND flag & 16 <> 0) AS b, count(*) FILTER (WHERE base <> 'A' AND flag & 16 = 0) AS c, count(*) FILTER (WHERE base <> 'A' AND flag & 16 <> 0) AS d FROM pile GROUP BY tid, p),
+ways AS (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(s + 1) + lgamma(n - s + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(r - k + 1) - lgamma(s - k + 1) - lgamma(n - r - s + k + 1)) AS p
+  FROM (SELECT *, unnest(generate_series(greatest(0, r + s - n), least(r, s))) AS k FROM (SELECT site, a, a + b AS r, a + c AS s, a + b + c + d AS n FROM tables)))
+SELECT site, round(least(1.0, sum(CASE WHEN p <= own * (1 + 1e-7) THEN p ELSE 0 END)), 9) AS p FROM (SELECT *, max(CASE WHEN k = a THEN p END) OVER (PARTITION BY site) AS own FROM ways) GROUP BY site""",
+    P.READS, _PILE,
+)
 def fisher_strand(spark, d):
-    return variants.strand_bias(_site_sums(P.reads(spark, d)).withColumn("site", F.shiftleft(F.col("tid").cast("long"), 32) + F.col("pos")))
+    return _rounded(variants.strand_bias(_site_sums(P.reads(spark, d)).withColumn("site", F.shiftleft(F.col("tid").cast("long"), 32) + F.col("pos"))), "p")
 
 
-@query()
+def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+@query(
+    """, lik AS (SELECT site, list_transform(pl, lambda t: list_transform(t, lambda x: pow(10.0, -x / 10.0))) AS l FROM sites),
+taken AS (SELECT site, 0 AS j, [1.0::DOUBLE] AS z, l FROM lik UNION ALL
+  SELECT site, j + 1, list_transform(new, lambda x: x / greatest(list_max(new), 1e-300)), l FROM (SELECT site, j, l, list_transform(generate_series(0, 2 * (j + 1)), lambda k:
+    ((2 * j + 2 - k) * (2 * j + 1 - k) * l[j + 1][1] * coalesce(z[k + 1], 0) + 2 * k * (2 * j + 2 - k) * l[j + 1][2] * CASE WHEN k > 0 THEN coalesce(z[k], 0) ELSE 0 END + k * (k - 1) * l[j + 1][3] * CASE WHEN k > 1 THEN coalesce(z[k - 1], 0) ELSE 0 END) / ((2 * j + 2) * (2 * j + 1))) AS new FROM taken WHERE j < len(l))),
+post AS (SELECT site, list_transform(generate_series(0, 2 * j), lambda k: z[k + 1] * CASE WHEN k = 0 THEN greatest(1e-12, 1 - 0.001 * list_sum(list_transform(generate_series(1, 2 * j), lambda i: 1.0 / i))) ELSE 0.001 / k END) AS q FROM taken WHERE j = len(l))
+SELECT site, round(q[1] / list_sum(q), 9) AS p_ref, round(list_sum(list_transform(generate_series(1, len(q)), lambda i: (i - 1) * q[i])) / list_sum(q), 9) AS ac FROM post""",
+    _PL.replace("sites AS", "RECURSIVE sites AS", 1),
+)
 def allele_count_posterior(spark, d):
-    return variants.count_posterior(P.likelihoods(spark, d))
+    return _rounded(variants.count_posterior(P.likelihoods(spark, d)), "p_ref", "ac")
 
 
-@query()
+@query(
+    """, lik AS (SELECT site, list_transform(pl, lambda t: list_transform(t, lambda x: pow(10.0, -x / 10.0))) AS l FROM sites),
+steps AS (SELECT site, 0 AS i, [1 / 3.0, 1 / 3.0, 1 / 3.0]::DOUBLE[] AS g, false AS rest, l FROM lik UNION ALL
+  SELECT site, i + 1, new, list_max(list_transform(generate_series(1, 3), lambda k: abs(new[k] - g[k]))) < 1e-5, l FROM (SELECT site, i, g, l, list_transform(generate_series(1, 3), lambda k: list_avg(list_transform(l, lambda t: t[k] * g[k] / (t[1] * g[1] + t[2] * g[2] + t[3] * g[3])))) AS new FROM steps WHERE i < 50 AND NOT rest))
+SELECT site, round(g[1], 6) AS g0, round(g[2], 6) AS g1, round(g[3], 6) AS g2 FROM (SELECT site, arg_max(g, i) AS g FROM steps GROUP BY site)""",
+    _PL.replace("sites AS", "RECURSIVE sites AS", 1),
+)
+def genotype_em(spark, d):
+    return _rounded(variants.genotype_em(P.likelihoods(spark, d)), "g0", "g1", "g2", digits=6)
+
+
+@query(
+    """, s AS (SELECT 'chr' || tid AS chrom, cast(b * 7 + rid % 7 AS bigint) AS pos, max(cast(rid % 60 AS int)) AS qual, max(rid % 9 = 0) AS is_indel FROM regions GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) AS k FROM s WHERE qual >= 10 AND is_indel),
+walk AS (SELECT chrom, k, k AS last, pos AS at, qual AS q, cast(NULL AS bigint) AS gone FROM i WHERE k = 1 UNION ALL
+  SELECT i.chrom, i.k, CASE WHEN i.pos - w.at > 10 OR i.qual > w.q THEN i.k ELSE w.last END, CASE WHEN i.pos - w.at > 10 OR i.qual > w.q THEN i.pos ELSE w.at END, CASE WHEN i.pos - w.at > 10 OR i.qual > w.q THEN i.qual ELSE w.q END,
+    CASE WHEN i.pos - w.at > 10 THEN NULL WHEN i.qual > w.q THEN w.last ELSE i.k END FROM walk w JOIN i ON i.chrom = w.chrom AND i.k = w.k + 1),
+kept AS (SELECT chrom, pos FROM i WHERE (chrom, k) NOT IN (SELECT (chrom, gone) FROM walk WHERE gone IS NOT NULL))
+SELECT s.*, CASE WHEN qual < 10 THEN 'lowqual' WHEN is_indel THEN CASE WHEN (chrom, pos) IN (SELECT (chrom, pos) FROM kept) THEN 'PASS' ELSE 'indel_pair' END
+  WHEN EXISTS (SELECT 1 FROM kept WHERE kept.chrom = s.chrom AND kept.pos BETWEEN s.pos - 3 AND s.pos + 3) THEN 'near_indel' ELSE 'PASS' END AS filter FROM s""",
+    P.REGIONS.replace("regions AS", "RECURSIVE regions AS", 1),
+)
 def var_filter(spark, d):
     r = P.regions(spark, d).select(F.concat(F.lit("chr"), "tid").alias("chrom"), (F.col("b") * 7 + F.col("rid") % 7).cast("long").alias("pos"), (F.col("rid") % 60).cast("int").alias("qual"), (F.col("rid") % 9 == 0).alias("is_indel"))
     return variants.var_filter(r.groupBy("chrom", "pos").agg(F.max("qual").alias("qual"), F.max("is_indel").alias("is_indel")))
@@ -513,7 +558,17 @@ def site_bias(spark, d):
     return sites.bias_tests(_site_sums(P.reads(spark, d)))
 
 
-@query()
+@query(
+    f""", deep AS ({_DEPTH.replace(" AND mapq >= 10", "")}),
+cut AS (SELECT *, sum(fresh) OVER (PARTITION BY tid ORDER BY pos) AS isl FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY tid ORDER BY pos) <= 100 THEN 0 ELSE 1 END AS fresh FROM deep)),
+cells AS (SELECT tid, isl, pos, CASE WHEN depth >= 10 THEN 2 ELSE -2 END AS x, row_number() OVER (PARTITION BY tid, isl ORDER BY pos) AS k FROM cut),
+walk AS (SELECT tid, isl, k, x AS d FROM cells WHERE k = 1 UNION ALL SELECT c.tid, c.isl, c.k, least(greatest(w.d, -2), 2) + c.x FROM walk w JOIN cells c ON c.tid = w.tid AND c.isl = w.isl AND c.k = w.k + 1),
+sure AS (SELECT tid, isl, k, d, min(CASE WHEN abs(d) > 2 THEN k END) OVER (PARTITION BY tid, isl ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt, max(k) OVER (PARTITION BY tid, isl) AS fin FROM walk),
+path AS (SELECT s.tid, s.isl, s.k, e.d > 0 AS high FROM sure s JOIN walk e ON e.tid = s.tid AND e.isl = s.isl AND e.k = coalesce(s.nxt, s.fin)),
+runs AS (SELECT p.tid, p.isl, c.pos, p.high, p.k - row_number() OVER (PARTITION BY p.tid, p.isl, p.high ORDER BY p.k) AS run FROM path p JOIN cells c USING (tid, isl, k))
+SELECT 'chr' || tid AS chrom, cast(min(pos) AS bigint) AS beg, cast(max(pos) + 1 AS bigint) AS "end" FROM runs WHERE high GROUP BY tid, isl, run""",
+    P.READS.replace("reads AS", "RECURSIVE reads AS", 1),
+)
 def target_segments(spark, d):
     return sites.target_segments(depth.sweep(P.reads(spark, d)).select(F.concat(F.lit("chr"), "tid").alias("chrom"), F.col("pos").cast("long").alias("pos"), "depth"), 10)
 
@@ -523,7 +578,13 @@ def call_sites(spark, d):
     return calling.call_sites(P.likelihoods(spark, d))
 
 
-@query()
+@query(
+    """, free AS (SELECT site, pl, list_transform(pl[1:3], lambda t: list_position(t, list_min(t)) - 1) AS g, list_min(pl[1]) + list_min(pl[2]) + list_min(pl[3]) AS low FROM sites),
+can AS (SELECT f, m, c FROM range(3) a(f), range(3) b(m), range(3) d(c) WHERE c BETWEEN (f = 2)::INT + (m = 2)::INT AND (f > 0)::INT + (m > 0)::INT),
+bound AS (SELECT site, min({'s': pl[1][f + 1] + pl[2][m + 1] + pl[3][c + 1], 'f': f, 'm': m, 'c': c}) AS x FROM free, can GROUP BY site)
+SELECT site, cast(CASE WHEN list_sum(g) = 0 THEN 0 ELSE x.s - low END AS int) AS clr, cast(g[1] + g[2] * 4 + g[3] * 16 AS int) AS ugt, cast(CASE WHEN list_sum(g) = 0 THEN 0 ELSE x.f + x.m * 4 + x.c * 16 END AS int) AS cgt FROM free JOIN bound USING (site)""",
+    _PL,
+)
 def trio_llr(spark, d):
     return calling.pair_and_trio(P.likelihoods(spark, d))
 
