@@ -37,6 +37,7 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -89,11 +90,12 @@ _TAG = re.compile(r"""<(?:(!--)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^'
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WS = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_TELLING = re.compile(r"class|id|style|hidden|role", re.I)
 _DIGITS = re.compile(r"[0-9]{3,}")
 
 
 def events(html: str):
-    """Yield ('open', name, attrs) / ('close', name) / ('text', decoded text); comments and raw elements are left out."""
+    """Yield ('open', name, text of attributes) / ('close', name) / ('text', decoded text); comments and raw elements are left out."""
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -111,12 +113,11 @@ def events(html: str):
             if m[2]:
                 yield ("close", name)
                 continue
-            attrs = {a[0].lower(): _html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[4])} if m[4].strip(" /") else {}
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(html, at)
                 at = n if end is None else end.end()
             else:
-                yield ("open", name, attrs)
+                yield ("open", name, m[4])
                 if name in VOID:
                     yield ("close", name)
 
@@ -153,6 +154,13 @@ def signature(name: str, attrs: dict) -> str:
     return name + ("." + classes if classes else "") + ("#main" if attrs.get("role") == "main" else "")
 
 
+@lru_cache(maxsize=1 << 14)
+def described(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(signature, marked as boilerplate, named as the content, a main element) of an opening tag."""
+    attrs = {a[0].lower(): _html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(attributes)} if attributes.strip(" /") else {}
+    return signature(name, attrs), skips(name, attrs), is_named(_words(attrs)), name == "main" or attrs.get("role") == "main"
+
+
 def _long(text: str, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed % (1 << 64)) - (1 << 63)
 
@@ -200,6 +208,8 @@ def parse(html: str | None) -> tuple[list[tuple[Element, int, str]], list[Elemen
     elements, out, parts = [root], [], []
 
     def flush():
+        if not parts:
+            return
         text = _WS.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
@@ -231,14 +241,16 @@ def parse(html: str | None) -> tuple[list[tuple[Element, int, str]], list[Elemen
                 continue  # an inline element that is boilerplate
             parts.append(e[1])
         elif e[0] == "open":
-            name, attrs = e[1], e[2]
+            name = e[1]
             if name == "br":
                 parts.append(" ")
                 continue
             if name in INLINE:
                 if name not in VOID:
                     top = stack[-1]
-                    stack.append((name, (not isinstance(top, Element) and top[1]) or skips(name, attrs)))
+                    # a link's target tells nothing; only these attributes can mark it
+                    marked = not isinstance(top, Element) and top[1]
+                    stack.append((name, marked or (_TELLING.search(e[2]) is not None and described(name, e[2])[1]) or name in SKIP_TAGS))
                     open_names[name] += 1
                 continue
             flush()
@@ -252,7 +264,7 @@ def parse(html: str | None) -> tuple[list[tuple[Element, int, str]], list[Elemen
                 if k >= 0 and name_of(stack[k]) in _CLOSES[name]:
                     pop_to(k)
             if name not in VOID:
-                own = Element(block[-1], name, signature(name, attrs), skips(name, attrs), is_named(_words(attrs)), name == "main" or attrs.get("role") == "main")
+                own = Element(block[-1], name, *described(name, e[2]))
                 block[-1].kids.append(own)
                 elements.append(own)
                 block.append(own)
@@ -326,11 +338,19 @@ class Level:
 
     @classmethod
     def of(cls, tokens) -> Level:
+        if len(tokens) == 1:
+            s = tokens[0][0]
+            return cls(tokens, tokens, {s: (1, 1)}, [[s]])
         names = [s for s, _ in tokens]
         return cls(tokens, tokens[::-1], {s: (n, n) for s, n in Counter(names).items()}, collapse(names))
 
     def add(self, other: Level) -> None:
-        self.left, self.right = _agree(self.left, other.left), _agree(self.right, other.right)
+        if self.left != other.left:
+            self.left = _agree(self.left, other.left)
+        if self.right != other.right:
+            self.right = _agree(self.right, other.right)
+        if self.groups == other.groups and self.counts == other.counts:
+            return
         key = tuple(map(tuple, other.groups))
         if key not in self.seen:  # an order of children that is new to this level
             if len(self.seen) < 1000:

@@ -133,3 +133,30 @@ def test_long_and_deep_pages(spark):
     got = texts(spark, [(k, "http://a.org/", h) for k, h in enumerate([*long, deep, deep])])
     assert time.time() - start < 60
     assert got[0].count("\n") >= 16_000 and got[2] == got[3] == "x"
+
+
+def test_rules_do_not_depend_on_the_partitions(spark):
+    """Decisions of a host against one pass over all of its pages, whatever tasks they lie in."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(120):
+        parts = ["<p>Posted by us</p>"] * (k % 10 > 0) + [f"<h1>Head {k}</h1>"] + [f"<p>text {k} {j} of the page</p>" for j in range(rng.randint(1, 4))] + ["<div class=x1>Follow us</div>"] * rng.randint(0, 1) + ["<p>Share this</p>"]
+        rows.append((k, f"http://h{k % 3}.org/", f"<body><div class=menu>m {k}</div><article>{''.join(parts)}</article></body>"))
+    pages = pages_of(spark, rows)
+    show = lambda df: sorted(map(repr, W.rules(W.levels(df)).collect()))
+    assert show(pages.repartition(1)) == show(pages.repartition(13))
+    for r in W.rules(W.levels(pages)).collect():
+        own = [h for k, u, h in rows if u == f"http://{r['host']}/"]
+        article = [e for h in own for e in W.parse(h)[1] if e.name == "article"]
+        assert {e.id for e in article} == {r["main"]}
+        at = [p["at"] for p in r["literals"] if p["path"] == r["main"]]
+        tokens = [e.tokens() for e in article]
+        want = []
+        for side in (1, -1):
+            for i in range(min(map(len, tokens))):
+                here = {t[::side][i] for t in tokens}
+                if len({s for s, _ in here}) > 1:
+                    break
+                if len(here) == 1 and next(iter(here))[1] is not None:
+                    want.append(i if side == 1 else -1 - i)
+        assert sorted(at) == sorted(want)
