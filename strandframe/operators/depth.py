@@ -46,16 +46,17 @@ def pileup(reads: DataFrame, skip: int = PILEUP_SKIP) -> DataFrame:
 
 
 def pileup_cigar(reads: DataFrame, skip: int = PILEUP_SKIP) -> DataFrame:
-    """Pileup of reads with a CIGAR: (rname, p, qname, ord, qpos, indel, is_del, is_refskip, is_head, is_tail, base, baseq).
+    """Pileup of reads with a CIGAR: (rname, p, qname, ord, qpos, indel, is_del, is_refskip, is_head, is_tail, base, baseq, ins).
 
-    ``indel`` on the last base before an insertion is its length, before a deletion minus its length. A
-    deleted position carries the quality of the next base.
+    ``indel`` on the last base before an insertion is its length (``ins`` its bases), before a deletion minus its length. A
+    deleted position carries the quality of the next base. A column ``file`` of the reads is kept.
     """
     from ..functions.reads import aligned_blocks, reference_end
 
     r = reads.where(none_of("flag", skip) & (F.size("cigar") > 0) & (F.col("pos") >= 0)).withColumn("_end", reference_end("pos", "cigar"))
     r = r.withColumn("_all", aligned_blocks("pos", "cigar", "MIDN=X")).withColumn("_nxt", F.expr("transform(_all, (x, i) -> try_element_at(_all, i + 2))"))
-    b = r.select("rname", "qname", "flag", "mapq", "ord", "seq", "qual", "pos", "_end", F.explode(F.arrays_zip("_all", "_nxt")).alias("_z"))
+    own = ["file"] if "file" in reads.columns else []
+    b = r.select("rname", "qname", "flag", "mapq", "ord", *own, "seq", "qual", "pos", "_end", F.explode(F.arrays_zip("_all", "_nxt")).alias("_z"))
     b = b.where(F.col("_z._all.op").isin("M", "=", "X", "D", "N"))
     b = b.withColumn("p", F.explode(F.sequence(F.col("_z._all.rbeg"), F.col("_z._all.rend") - 1)))
     op, last = F.col("_z._all.op"), F.col("p") == F.col("_z._all.rend") - 1
@@ -63,14 +64,56 @@ def pileup_cigar(reads: DataFrame, skip: int = PILEUP_SKIP) -> DataFrame:
     qpos = F.when(gone, F.col("_z._all.qbeg")).otherwise(F.col("_z._all.qbeg") + F.col("p") - F.col("_z._all.rbeg"))
     nop, nlen = F.col("_z._nxt.op"), F.col("_z._nxt.len")
     return b.select(
-        "rname", "p", "qname", "flag", "mapq", "ord", qpos.alias("qpos"),
+        "rname", "p", "qname", "flag", "mapq", "ord", *own, qpos.alias("qpos"),
         F.when(last & ~gone & (nop == "D"), -nlen).when(last & ~gone & (nop == "I"), nlen).otherwise(0).alias("indel"),
         gone.alias("is_del"), (op == "N").alias("is_refskip"), (F.col("p") == F.col("pos")).alias("is_head"), (F.col("p") == F.col("_end") - 1).alias("is_tail"),
         F.when(gone, F.lit("*")).otherwise(F.substring("seq", qpos + 1, F.lit(1))).alias("base"),
         F.when(F.col("qual").isNull() | (F.col("qual") == "*"), F.lit(255)).otherwise(F.ascii(F.substring("qual", qpos + 1, F.lit(1))) - 33).alias("baseq"),
+        F.when(last & ~gone & (nop == "I"), F.substring("seq", qpos + 2, nlen)).alias("ins"),
     )
 
 
+def base_depth(pile: DataFrame, min_baseq: int = 0, min_mapq: int = 0, regions: DataFrame | None = None, files: list[int] | None = None) -> DataFrame:
+    """(rname, p, depth) of a ``pileup_cigar``: bases of quality ``min_baseq`` or more, without deletions and skips, at all positions that any
+    read touches, within ``regions`` (rname, b, e) if given. With ``files``, one column d<k> for each value of ``file``."""
+    p = pile.where(F.col("mapq") >= min_mapq)
+    if regions is not None:
+        from .intervals import overlap_semi
+
+        p = overlap_semi(p.withColumn("_stop", F.col("p") + 1), regions, "rname", "p", "_stop").drop("_stop")
+    counts = ~F.col("is_del") & (F.col("baseq") >= min_baseq)
+    cols = [F.count_if(counts).alias("depth")] if files is None else [F.count_if(counts & (F.col("file") == k)).alias(f"d{k}") for k in files]
+    return p.groupBy("rname", "p").agg(*cols)
+
+
+def reference_tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
+    """(rname, _tile, _ref): the reference (name, seq) in tiles, each with the letters of the next one behind it."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda k: F.struct(k.alias("_tile"), F.upper(F.substring("seq", k * tile + 1, F.lit(2 * tile))).alias("_ref")))
+    return reference.select(F.col("name").alias("rname"), F.explode(parts).alias("x")).select("rname", "x.*")
+
+
+def mpileup(pile: DataFrame, reference: DataFrame, files: list[int], min_baseq: int = 13) -> DataFrame:
+    """(rname, p, ref, n<k>, bases<k>, quals<k> for each input): text of a ``pileup_cigar`` (with ``file``) against a reference (name, seq).
+
+    Matches are ``.`` and ``,`` by strand, other bases upper or lower case, deletions ``*``, skips ``>`` and ``<``; indels follow as +2AC or
+    -3act, the deleted letters being at most a tile of the reference long. Inputs without bases show ``*``. Every position carries its letter of the
+    reference from the join with its tile. The arrays of one position are as long as its depth."""
+    rev = any_of("flag", 16)
+    strand = lambda x: F.when(rev, F.lower(x)).otherwise(x)
+    j = pile.where(F.col("baseq") >= min_baseq).withColumn("_tile", F.floor(F.col("p") / TILE).cast("int")).join(reference_tiles(reference), ["rname", "_tile"], "left")
+    at = F.col("p") - F.col("_tile") * TILE
+    j = j.withColumn("ref", F.coalesce(F.when(F.length(F.substring("_ref", at + 1, F.lit(1))) > 0, F.substring("_ref", at + 1, F.lit(1))), F.lit("N")))
+    base = F.upper("base")
+    letter = F.when(F.col("is_refskip"), F.when(rev, "<").otherwise(">")).when(F.col("is_del"), "*").when(base == F.col("ref"), F.when(rev, ",").otherwise(".")).otherwise(strand(base))
+    gone = F.substring("_ref", at + 2, -F.col("indel"))
+    indel = F.when(F.col("indel") > 0, F.concat(F.lit("+"), F.col("indel"), strand(F.upper("ins")))).when(F.col("indel") < 0, F.concat(F.col("indel"), strand(gone))).otherwise("")
+    shown = F.concat(F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise(""), letter, indel, F.when(F.col("is_tail"), "$").otherwise(""))
+    g = j.select("rname", "p", "ref", "file", F.struct("ord", shown.alias("b"), F.char(F.least(F.col("baseq"), F.lit(93)) + 33).alias("q")).alias("x"))
+    g = g.groupBy("rname", "p", "ref").agg(*[F.array_sort(F.collect_list(F.when(F.col("file") == k, F.col("x")))).alias(f"x{k}") for k in files])
+    join = lambda k, f: F.when(F.size(f"x{k}") > 0, F.array_join(F.transform(f"x{k}", lambda x: x[f]), "")).otherwise("*")
+    return g.select("rname", "p", "ref", *[c for k in files for c in (F.size(f"x{k}").alias(f"n{k}"), join(k, "b").alias(f"bases{k}"), join(k, "q").alias(f"quals{k}"))])
+
+
 def text(pile: DataFrame, min_baseq: int = 13) -> DataFrame:
     """(tid, pos, n, bases, quals) in arrival order; reverse-strand bases are lower case; ^ and $ mark read ends.
 

@@ -152,29 +152,95 @@ def bias_tests(sums: DataFrame) -> DataFrame:
     return sums.mapInPandas(run, "tid int, pos int, strand double, baseq double, mapq double, tail double, mq double")
 
 
-def calmd(reads: DataFrame, reference: DataFrame, max_mismatches: int | None = None) -> DataFrame:
-    """Adds md and nm of reads with a CIGAR (rname, pos, cigar, seq). The reference (name, seq) is cut into tiles that each read joins
-    by its start, so no task holds a contig; a read longer than a tile asks for the next ones."""
-    tile = 1 << 14
-    ref = reference.select(F.col("name").alias("rname"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda k: F.struct(k.alias("t"), F.substring("seq", k * tile + 1, F.lit(tile)).alias("s")))).alias("x")).select("rname", "x.t", "x.s")
+def with_reference(reads: DataFrame, reference: DataFrame, keep: tuple[str, ...] = ("cigar", "seq")) -> DataFrame:
+    """(ord, rname, pos, *keep, t0, parts): reads with a CIGAR and the tiles of the reference (name, seq) that they lie on, the first one at
+    ``t0``. Each read joins tiles by its span, so no task holds a contig; a read longer than a tile has several."""
     from ..functions.reads import reference_end
 
-    r = reads.withColumn("_e", reference_end("pos", "cigar")).withColumn("_t", F.explode(F.sequence(F.floor(F.col("pos") / tile), F.floor((F.col("_e") - 1) / tile))))
-    j = r.select("ord", "rname", "pos", "cigar", "seq", "_t").join(ref.withColumnRenamed("t", "_t"), ["rname", "_t"])
-    g = j.groupBy("ord", "rname", "pos").agg(F.first("cigar").alias("cigar"), F.first("seq").alias("seq"), F.min("_t").alias("t0"), F.array_sort(F.collect_list(F.struct("_t", "s"))).alias("parts"))
+    ref = reference.select(F.col("name").alias("rname"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / REF_TILE).cast("int")), lambda k: F.struct(k.alias("t"), F.substring("seq", k * REF_TILE + 1, F.lit(REF_TILE)).alias("s")))).alias("x")).select("rname", F.col("x.t").alias("_t"), "x.s")
+    r = reads.withColumn("_e", reference_end("pos", "cigar")).withColumn("_t", F.explode(F.sequence(F.floor(F.col("pos") / REF_TILE), F.floor((F.col("_e") - 1) / REF_TILE))))
+    j = r.select("ord", "rname", "pos", *keep, "_t").join(ref, ["rname", "_t"])
+    g = j.groupBy("ord", "rname", "pos").agg(*[F.first(c).alias(c) for c in keep], (F.min("_t") * REF_TILE).alias("t0"), F.array_sort(F.collect_list(F.struct("_t", "s"))).alias("parts"))
+    return g.withColumn("parts", F.array_join(F.transform("parts", lambda x: x["s"]), ""))
+
+
+REF_TILE = 1 << 14
+
+
+def _ops(cigar) -> list[tuple[int, str]]:
+    return [(c["len"], c["op"]) for c in cigar]
+
+
+def calmd(reads: DataFrame, reference: DataFrame, max_mismatches: int | None = None) -> DataFrame:
+    """(ord, md, nm) of reads with a CIGAR (ord, rname, pos, cigar, seq) against a reference (name, seq)."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                md, nm = A.md_and_nm(r.pos, [(c["len"], c["op"]) for c in r.cigar], r.seq, "".join(p["s"] for p in r.parts), int(r.t0) * tile)
-                out.append((r.ord, md, nm))
+            out = [(r.ord, *A.md_and_nm(r.pos, _ops(r.cigar), r.seq, r.parts, int(r.t0))) for r in pdf.itertuples()]
             yield pd.DataFrame(out, columns=["ord", "md", "nm"])
 
-    res = g.mapInPandas(run, "ord long, md string, nm int")
+    res = with_reference(reads, reference).mapInPandas(run, "ord long, md string, nm int")
     return res if max_mismatches is None else res.where(F.col("nm") <= max_mismatches)
 
 
+def _qualities(text: str) -> list[int]:
+    return [ord(x) - 33 for x in text]
+
+
+def cap_mapq(reads: DataFrame, reference: DataFrame, cap: int = 50) -> DataFrame:
+    """(ord, mapq): mapping quality bounded by the mismatches of a read (needs mapq, qual too); reads over ``cap`` mismatch cost are left out."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                q = A.capped_mapq(_ops(r.cigar), r.seq, _qualities(r.qual), r.parts, int(r.pos - r.t0), cap)
+                if q >= 0:
+                    out.append((r.ord, min(int(r.mapq), q)))
+            yield pd.DataFrame(out, columns=["ord", "mapq"])
+
+    return with_reference(reads, reference, ("cigar", "seq", "qual", "mapq")).where("qual is not null").mapInPandas(run, "ord long, mapq int")
+
+
+def realign_qualities(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """(ord, qual): base qualities bounded by the chance that a base is placed wrongly. Reads that skip the reference keep theirs."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                ops, q = _ops(r.cigar), _qualities(r.qual)
+                if not any(o in "NP" for _, o in ops):
+                    lead = ops[0][0] if ops and ops[0][1] == "S" else 0
+                    tail = ops[-1][0] if len(ops) > 1 and ops[-1][1] == "S" else 0
+                    span = sum(n for n, o in ops if o in "MD=X")
+                    beg, end = lead, len(q) - tail
+                    q[beg:end] = A.base_alignment_quality(r.parts[r.pos - r.t0 : r.pos - r.t0 + span], r.seq[beg:end], q[beg:end])
+                out.append((r.ord, "".join(chr(x + 33) for x in q)))
+            yield pd.DataFrame(out, columns=["ord", "qual"])
+
+    return with_reference(reads, reference, ("cigar", "seq", "qual")).where("qual is not null").mapInPandas(run, "ord long, qual string")
+
+
+def remove_pads(reads: DataFrame, padded: DataFrame) -> DataFrame:
+    """(ord, pos, cigar): place and CIGAR against the reference without its pads, from those against the padded one (name, seq)."""
+    pads = padded.select("name", "seq")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                pos, cigar = A.remove_padding(int(r.pos - r.t0), _ops(r.cigar), r.parts)
+                out.append((r.ord, r.t0, pos, [{"len": n, "op": o} for n, o in cigar]))
+            yield pd.DataFrame(out, columns=["ord", "t0", "in_tile", "cigar"])
+
+    placed = with_reference(reads, pads, ("cigar",))
+    got = placed.mapInPandas(run, "ord long, t0 long, in_tile int, cigar array<struct<len:int,op:string>>")
+    # letters of the tiles before, without pads
+    tiles = pads.select(F.col("name").alias("rname"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / REF_TILE).cast("int")), lambda k: F.struct((k * REF_TILE).cast("long").alias("t0"), F.length(F.regexp_replace(F.substring("seq", F.lit(1), k * REF_TILE), "[*-]", "")).alias("n")))).alias("x")).select("rname", "x.*")
+    return got.join(placed.select("ord", "rname"), "ord").join(tiles, ["rname", "t0"]).select("ord", (F.col("in_tile") + F.col("n")).cast("int").alias("pos"), "cigar")
+
+
 def fetch_sequence(reference: DataFrame, regions: DataFrame) -> DataFrame:
     """(name, beg, end, seq) of regions (name, beg, end), clamped; out of range gives an empty sequence."""
     j = regions.join(reference, "name")

@@ -161,6 +161,44 @@ def calmd(spark, d):
     return sites.calmd(whole_reads(spark, d), reference(spark)).select("ord", "nm")
 
 
+@query(
+    f"""SELECT rname, p, count(*) FILTER (WHERE o = 'M' AND ascii(substr(qual, qp + 1, 1)) - 33 >= 13) AS depth FROM cells c WHERE flag & {PILEUP_SKIP} = 0 AND mapq >= 20
+AND EXISTS (SELECT 1 FROM regions g WHERE g.rid % 3 = 0 AND 'chr' || g.tid = c.rname AND g.b + 1200 <= c.p AND c.p < g.e + 1200) GROUP BY rname, p""",
+    P.READS, P.REGIONS, RECORDS, BLOCKS,
+)
+def base_depth(spark, d):
+    g = P.regions(spark, d).where("rid % 3 = 0").selectExpr("concat('chr', tid) AS rname", "b + 1200 AS b", "e + 1200 AS e")
+    return depth.base_depth(depth.pileup_cigar(whole_reads(spark, d)), 13, 20, g)
+
+
+_TEXT = f"""shown AS (SELECT rname, p, ord, qid % 2 AS file, substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1) AS ref, CASE WHEN k = 0 THEN '^' || chr(mapq + 33) ELSE '' END
+  || CASE WHEN o = 'N' THEN CASE WHEN rev THEN '<' ELSE '>' END WHEN o = 'D' THEN '*' WHEN substr(seq, qp + 1, 1) = substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1) THEN CASE WHEN rev THEN ',' ELSE '.' END
+     WHEN rev THEN lower(substr(seq, qp + 1, 1)) ELSE substr(seq, qp + 1, 1) END
+  || CASE WHEN o = 'M' AND k = xe - 1 AND i = 2 THEN '+2' || CASE WHEN rev THEN lower(substr(seq, qp + 2, 2)) ELSE substr(seq, qp + 2, 2) END
+          WHEN o = 'M' AND k = xe - 1 AND i = -3 THEN '-3' || CASE WHEN rev THEN lower(substr(repeat('{REFERENCE}', 2), (p + 1) % {len(REFERENCE)} + 1, 3)) ELSE substr(repeat('{REFERENCE}', 2), (p + 1) % {len(REFERENCE)} + 1, 3) END ELSE '' END
+  || CASE WHEN k = refs - 1 THEN '$' ELSE '' END AS b, substr(qual, qp + 1, 1) AS q FROM (SELECT *, flag & 16 <> 0 AS rev FROM cells WHERE flag & {PILEUP_SKIP} = 0 AND ascii(substr(qual, qp + 1, 1)) - 33 >= 13))"""
+
+
+@query(
+    "SELECT rname, p, ref, " + ", ".join(f"cast(count(*) FILTER (WHERE file = {k}) AS int) AS n{k}, coalesce(string_agg(b, '' ORDER BY ord) FILTER (WHERE file = {k}), '*') AS bases{k}, coalesce(string_agg(q, '' ORDER BY ord) FILTER (WHERE file = {k}), '*') AS quals{k}" for k in (0, 1)) + " FROM shown GROUP BY rname, p, ref",
+    P.READS, RECORDS, BLOCKS, _TEXT,
+)
+def mpileup_files(spark, d):
+    r = whole_reads(spark, d).withColumn("file", F.col("qid") % 2)
+    return depth.mpileup(depth.pileup_cigar(r), reference(spark), [0, 1])
+
+
+@query(
+    f""", base AS (SELECT ord, max(mapq) AS mapq, max(kind) AS kind, max(n) AS n, max(qual) AS qual, count(*) FILTER (WHERE o = 'M') + count(*) FILTER (WHERE o = 'M' AND q >= 13) AS len, count(*) FILTER (WHERE bad) AS mism, coalesce(sum(least(q, 33)) FILTER (WHERE bad), 0) AS total
+  FROM (SELECT *, q >= 13 AND o = 'M' AND substr(seq, qp + 1, 1) <> substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1) AS bad FROM (SELECT c.*, s.n, ascii(substr(c.qual, qp + 1, 1)) - 33 AS q FROM cells c JOIN (SELECT ord, n FROM records) s USING (ord))) GROUP BY ord),
+cost AS (SELECT *, total - 4.343 * (lgamma(len + 1) - lgamma(mism + 1) - lgamma(len - mism + 1)) + CASE WHEN kind = 3 THEN ascii(substr(qual, 1, 1)) + ascii(substr(qual, 2, 1)) + ascii(substr(qual, n, 1)) - 99 ELSE 0 END / 5.0 AS t FROM base)
+SELECT ord, cast(least(mapq, trunc(sqrt((50 - greatest(t, 0)) / 50) * 50 + 0.499)) AS int) AS mapq FROM cost WHERE t <= 50""",
+    P.READS, RECORDS, BLOCKS,
+)
+def capped_mapq(spark, d):
+    return sites.cap_mapq(whole_reads(spark, d), reference(spark))
+
+
 @query("SELECT 'chr' || (rid % 6) AS name, b AS beg, e * 2 AS \"end\", coalesce(substr(seq, greatest(b, 0) + 1, greatest(least(e * 2, length(seq)) - greatest(b, 0), 0)), '') AS seq FROM regions JOIN reference ON name = 'chr' || (rid % 6)", P.REGIONS, _REF)
 def fetch_sequences(spark, d):
     g = P.regions(spark, d).select(F.concat(F.lit("chr"), F.col("rid") % 6).alias("name"), F.col("b").alias("beg"), (F.col("e") * 2).alias("end"))
