@@ -86,32 +86,50 @@ def base_depth(pile: DataFrame, min_baseq: int = 0, min_mapq: int = 0, regions:
     return p.groupBy("rname", "p").agg(*cols)
 
 
-def reference_tiles(reference: DataFrame, tile: int = TILE) -> DataFrame:
-    """(rname, _tile, _ref): the reference (name, seq) in tiles, each with the letters of the next one behind it."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda k: F.struct(k.alias("_tile"), F.upper(F.substring("seq", k * tile + 1, F.lit(2 * tile))).alias("_ref")))
+def reference_tiles(reference: DataFrame, ahead: int, tile: int = 256) -> DataFrame:
+    """(rname, _tile, _ref): the reference (name, seq) in tiles, each with ``ahead`` letters more behind it."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda k: F.struct(k.alias("_tile"), F.upper(F.substring("seq", k * tile + 1, F.lit(tile + ahead))).alias("_ref")))
     return reference.select(F.col("name").alias("rname"), F.explode(parts).alias("x")).select("rname", "x.*")
 
 
-def mpileup(pile: DataFrame, reference: DataFrame, files: list[int], min_baseq: int = 13) -> DataFrame:
+def longest_deletion(reads: DataFrame) -> int:
+    """Length of the longest deletion of reads with a CIGAR."""
+    own = F.array_max(F.transform("cigar", lambda x: F.when(x["op"] == "D", x["len"]).otherwise(0)))
+    return reads.agg(F.max(own)).first()[0] or 0
+
+
+def mpileup(pile: DataFrame, reference: DataFrame, files: list[int], min_baseq: int = 13, longest: int | None = None, tile: int = 256) -> DataFrame:
     """(rname, p, ref, n<k>, bases<k>, quals<k> for each input): text of a ``pileup_cigar`` (with ``file``) against a reference (name, seq).
 
     Matches are ``.`` and ``,`` by strand, other bases upper or lower case, deletions ``*``, skips ``>`` and ``<``; indels follow as +2AC or
-    -3act, the deleted letters being at most a tile of the reference long. Inputs without bases show ``*``. Every position carries its letter of the
-    reference from the join with its tile. The arrays of one position are as long as its depth."""
+    -3act. Inputs without bases show ``*``. Reads are gathered by position first, with the qualities' bound applied; then each position, not each
+    read, meets its tile of the reference, which reaches as far ahead as the ``longest`` deletion (found by one more pass if not given, see ``longest_deletion``). The arrays of
+    a position are as long as its depth."""
+    p = pile.where(F.col("baseq") >= min_baseq)
+    ahead = -(p.agg(F.min("indel")).first()[0] or 0) if longest is None else longest
     rev = any_of("flag", 16)
-    strand = lambda x: F.when(rev, F.lower(x)).otherwise(x)
-    j = pile.where(F.col("baseq") >= min_baseq).withColumn("_tile", F.floor(F.col("p") / TILE).cast("int")).join(reference_tiles(reference), ["rname", "_tile"], "left")
-    at = F.col("p") - F.col("_tile") * TILE
-    j = j.withColumn("ref", F.coalesce(F.when(F.length(F.substring("_ref", at + 1, F.lit(1))) > 0, F.substring("_ref", at + 1, F.lit(1))), F.lit("N")))
-    base = F.upper("base")
-    letter = F.when(F.col("is_refskip"), F.when(rev, "<").otherwise(">")).when(F.col("is_del"), "*").when(base == F.col("ref"), F.when(rev, ",").otherwise(".")).otherwise(strand(base))
-    gone = F.substring("_ref", at + 2, -F.col("indel"))
-    indel = F.when(F.col("indel") > 0, F.concat(F.lit("+"), F.col("indel"), strand(F.upper("ins")))).when(F.col("indel") < 0, F.concat(F.col("indel"), strand(gone))).otherwise("")
-    shown = F.concat(F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise(""), letter, indel, F.when(F.col("is_tail"), "$").otherwise(""))
-    g = j.select("rname", "p", "ref", "file", F.struct("ord", shown.alias("b"), F.char(F.least(F.col("baseq"), F.lit(93)) + 33).alias("q")).alias("x"))
-    g = g.groupBy("rname", "p", "ref").agg(*[F.array_sort(F.collect_list(F.when(F.col("file") == k, F.col("x")))).alias(f"x{k}") for k in files])
-    join = lambda k, f: F.when(F.size(f"x{k}") > 0, F.array_join(F.transform(f"x{k}", lambda x: x[f]), "")).otherwise("*")
-    return g.select("rname", "p", "ref", *[c for k in files for c in (F.size(f"x{k}").alias(f"n{k}"), join(k, "b").alias(f"bases{k}"), join(k, "q").alias(f"quals{k}"))])
+    kind = F.when(F.col("is_refskip"), F.when(rev, "<").otherwise(">")).when(F.col("is_del"), "*").otherwise(F.upper("base"))
+    head = F.when(F.col("is_head"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("")
+    ins = F.when(F.col("indel") > 0, F.concat(F.lit("+"), F.col("indel"), F.when(rev, F.lower("ins")).otherwise(F.upper("ins")))).otherwise("")
+    tail = F.when(F.col("is_tail"), "$").otherwise("")
+    # both texts of a read are made here; the array of a position only chooses
+    x = F.struct(
+        "ord", kind.alias("b"), F.concat(head, F.when(rev, ",").otherwise("."), ins).alias("same"), F.concat(head, F.when(rev, F.lower(kind)).otherwise(kind), ins).alias("other"),
+        F.greatest(-F.col("indel"), F.lit(0)).alias("d"), rev.alias("r"), tail.alias("t"), F.char(F.least(F.col("baseq"), F.lit(93)) + 33).alias("q"),
+    )
+    g = p.groupBy("rname", "p").agg(*[F.array_sort(F.collect_list(F.when(F.col("file") == k, x))).alias(f"x{k}") for k in files])
+    g = g.withColumn("_tile", F.floor(F.col("p") / tile).cast("int")).join(reference_tiles(reference, ahead, tile), ["rname", "_tile"], "left")
+    at = (F.col("p") - F.col("_tile") * tile).cast("int")
+    letter = F.substring("_ref", at + 1, F.lit(1))
+    g = g.select("rname", "p", F.when(F.length(letter) > 0, letter).otherwise("N").alias("ref"), F.substring("_ref", at + 2, F.lit(ahead)).alias("_next"), *[f"x{k}" for k in files])
+
+    def shown(x):
+        gone = F.substring("_next", F.lit(1), x["d"])
+        text = F.when(x["b"] == F.col("ref"), x["same"]).otherwise(x["other"])
+        return F.when(x["d"] > 0, F.concat(text, F.lit("-"), x["d"], F.when(x["r"], F.lower(gone)).otherwise(gone), x["t"])).otherwise(F.concat(text, x["t"]))
+
+    join = lambda k, f: F.when(F.size(f"x{k}") > 0, F.array_join(F.transform(f"x{k}", f), "")).otherwise("*")
+    return g.select("rname", "p", "ref", *[c for k in files for c in (F.size(f"x{k}").alias(f"n{k}"), join(k, shown).alias(f"bases{k}"), join(k, lambda x: x["q"]).alias(f"quals{k}"))])
 
 
 def text(pile: DataFrame, min_baseq: int = 13) -> DataFrame:

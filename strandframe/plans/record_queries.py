@@ -185,7 +185,7 @@ _TEXT = f"""shown AS (SELECT rname, p, ord, qid % 2 AS file, substr('{REFERENCE}
 )
 def mpileup_files(spark, d):
     r = whole_reads(spark, d).withColumn("file", F.col("qid") % 2)
-    return depth.mpileup(depth.pileup_cigar(r), reference(spark), [0, 1])
+    return depth.mpileup(depth.pileup_cigar(r), reference(spark), [0, 1], longest=depth.longest_deletion(r))
 
 
 @query(
