@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import consensus, depth, headers, quality, records, sites
+from ..operators import consensus, depth, gaps, headers, quality, records, sites
 from ..sources import binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
@@ -488,3 +488,39 @@ def tags_edited(spark, d):
     r = whole_reads(spark, d)
     edited = R.drop_tag(R.set_tag("tags", "XM", "i", F.col("mapq")), "NM")
     return r.select("ord", F.array_join(F.transform(F.array_sort(F.map_entries(edited)), lambda t: F.concat_ws(":", t["key"], t["value"]["type"], t["value"]["value"])), " ").alias("tags"))
+
+
+@query(
+    f"""SELECT rname, p, count(*) AS depth, count(*) FILTER (WHERE gap) AS support, array_to_string(list_sort(list_distinct(list(CASE WHEN gap THEN i ELSE 0 END) || [0])), ',') AS sizes
+FROM (SELECT *, o = 'M' AND k = xe - 1 AND i <> 0 AS gap FROM cells WHERE flag & {PILEUP_SKIP} = 0) GROUP BY rname, p HAVING count(*) FILTER (WHERE gap) >= 2 AND count(*) FILTER (WHERE gap) >= 0.05 * count(*)""",
+    P.READS, RECORDS, BLOCKS,
+)
+def gap_candidates(spark, d):
+    return gaps.gap_candidates(depth.pileup_cigar(whole_reads(spark, d)), 2, 0.05).withColumn("sizes", F.array_join("sizes", ","))
+
+
+#: What calls of two gaps become, written out: first, second, reference, alternatives.
+_GAP_SITES = """written(a, b, ref, alt) AS (VALUES ('*', '+GG', 'N', 'NGG'), ('*', '-ACT', 'NACT', 'N'), ('-AC', '*', 'NAC', 'N'), ('-AC', '+GG', 'NAC', 'NGGNN,N'), ('-AC', '-ACT', 'NACT', 'NN,N'),
+  ('+T', '*', 'N', 'NT'), ('+T', '+GG', 'N', 'NT,NGG'), ('+T', '-ACT', 'NACT', 'NTNNN,N'), ('-G', '*', 'NG', 'N'), ('-G', '+GG', 'NG', 'NGGN,N'), ('-G', '-ACT', 'NACT', 'NNN,N'))"""
+
+
+@query("SELECT 'chr' || tid AS chrom, pos, ref, alt, mapq AS qual FROM reads JOIN written ON a = ['*', '-AC', '+T', '-G'][qid % 4 + 1] AND b = ['*', '+GG', '-ACT'][qid // 4 % 3 + 1]", P.READS, _GAP_SITES)
+def gap_sites(spark, d):
+    r = P.reads(spark, d).selectExpr("concat('chr', tid) AS chrom", "pos", "mapq AS qual", "array('*', '-AC', '+T', '-G')[CAST(qid % 4 AS int)] AS first", "array('*', '+GG', '-ACT')[CAST(qid DIV 4 % 3 AS int)] AS second")
+    return gaps.gaps_to_sites(r)
+
+
+_MEET = "CASE WHEN {s} = '{x}' THEN {s} WHEN {q} < 40 THEN '{x}' ELSE {s} END", "chr(33 + CASE WHEN {s} = '{x}' THEN greatest({q}, 40) ELSE abs({q} - 40) END)"
+_LETTERS, _VALUES = (" || ".join(m.format(s=f"substr(seq, l - {1 - k}, 1)", q=f"(ascii(substr(qual, l - {1 - k}, 1)) - 33)", x=x) for k, x in enumerate("AC")) for m in _MEET)
+
+
+@query(
+    f"""SELECT ord, CASE WHEN kind = 0 AND l < 2 THEN flag | 4 ELSE flag END AS flag, CASE WHEN kind = 0 AND l < 2 THEN cigar || '2B2M' ELSE cigar END AS cigar,
+CASE WHEN kind <> 0 THEN seq WHEN l < 2 THEN seq || 'AC' ELSE left(seq, l - 2) || {_LETTERS} END AS seq, CASE WHEN kind <> 0 THEN qual WHEN l < 2 THEN qual || 'II' ELSE left(qual, l - 2) || {_VALUES} END AS qual FROM records""",
+    P.READS, RECORDS,
+)
+def collapsed_overlaps(spark, d):
+    r = whole_reads(spark, d).select("ord", "flag", "cigar", "seq", "qual")
+    plain, more = F.size("cigar") == 1, R.parse_cigar(F.lit("2B2M"))
+    r = r.withColumns({"cigar": F.when(plain, F.concat("cigar", more)).otherwise(F.col("cigar")), "seq": F.when(plain, F.concat("seq", F.lit("AC"))).otherwise(F.col("seq")), "qual": F.when(plain, F.concat("qual", F.lit("II"))).otherwise(F.col("qual"))})
+    return gaps.collapse_overlaps(r).withColumn("cigar", R.format_cigar("cigar"))
