@@ -348,15 +348,19 @@ from .queries import _PL as SITES  # noqa: E402
 _LINE = "chrom, pos, id, ref, array_to_string(alt, ',') AS alt, qual, 'PASS' AS filter, cast(dp AS varchar) AS dp, cast(mq AS varchar) AS mq, array_to_string(gt, ' ') AS gt, array_to_string(sdp, ' ') AS sdp, array_to_string(gq, ' ') AS gq"
 
 
-def _shown(v: DataFrame) -> DataFrame:
+def _site_header(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("##fileformat=VCFv4.1",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\ts2",)], "value string")
+
+
+def _shown(v: DataFrame, *more: str) -> DataFrame:
     each = lambda k: F.array_join(F.transform("samples", lambda s: s[k]), " ")
-    return v.select("chrom", "pos", "id", "ref", F.array_join("alt", ",").alias("alt"), "qual", "filter", F.col("info")["DP"].alias("dp"), F.col("info")["MQ"].alias("mq"), each("GT").alias("gt"), each("DP").alias("sdp"), each("GQ").alias("gq"))
+    return v.select(*more, "chrom", "pos", "id", "ref", F.array_join("alt", ",").alias("alt"), "qual", "filter", F.col("info")["DP"].alias("dp"), F.col("info")["MQ"].alias("mq"), each("GT").alias("gt"), each("DP").alias("sdp"), each("GQ").alias("gq"))
 
 
 @query(f"SELECT {_LINE} FROM lines", SITES, SITE_LINES)
 def vcf_roundtrip(spark, d):
     path = shared_path(spark, "sites.vcf")
-    head = spark.createDataFrame([("##fileformat=VCFv4.1",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\ts2",)], "value string")
+    head = _site_header(spark)
     store.write_text(text.format_vcf(site_lines(spark, d)), path, head)
     return _shown(store.open_sites(spark, path))
 
@@ -524,3 +528,21 @@ def collapsed_overlaps(spark, d):
     plain, more = F.size("cigar") == 1, R.parse_cigar(F.lit("2B2M"))
     r = r.withColumns({"cigar": F.when(plain, F.concat("cigar", more)).otherwise(F.col("cigar")), "seq": F.when(plain, F.concat("seq", F.lit("AC"))).otherwise(F.col("seq")), "qual": F.when(plain, F.concat("qual", F.lit("II"))).otherwise(F.col("qual"))})
     return gaps.collapse_overlaps(r).withColumn("cigar", R.format_cigar("cigar"))
+
+
+@query(f"SELECT cast(site % 2 AS int) AS file, {_LINE} FROM lines", SITES, SITE_LINES)
+def sites_cat(spark, d):
+    """Site lines written as two files and read one after the other."""
+    v, header = site_lines(spark, d), _site_header(spark)
+    paths = []
+    for k in (0, 1):
+        paths.append(shared_path(spark, f"part{k}.vcf"))
+        store.write_text(text.format_vcf(v.where(F.substring("id", 3, 20).cast("long") % 2 == k)), paths[-1], header)
+    return _shown(store.concatenate_sites(spark, paths), "file")
+
+
+@query()
+def pileup_site_filter(spark, d):
+    r = P.reads(spark, d).groupBy("tid", "pos").agg(F.count(F.lit(1)).cast("int").alias("depth"), F.max("mapq").cast("int").alias("mapq"), F.sum("qid").alias("_q"))
+    r = r.selectExpr("concat('chr', tid) AS chrom", "CAST(pos * 12 AS int) AS pos", "_q % 4 = 0 AS is_gap", "CAST(_q % 61 AS int) AS quality", "mapq", "depth", "CAST(_q % 2 AS int) AS support", "CAST(IF(_q % 8 = 0, 3, 0) AS int) AS deleted")
+    return gaps.pileup_filter(r)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -85,6 +86,24 @@ def encode(rows, chroms: list[str], samples: list[str], meta: str = "") -> bytes
     return b"".join(_block(data[i : i + 65_280]) for i in range(0, len(data), 65_280)) + _block(b"")
 
 
+@contextmanager
+def _opened(file: str):
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(file if "://" in file else "file://" + file)
+    with fs.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
+        yield io.BufferedReader(stream)
+
+
+def sample_names(path: str) -> list[str]:
+    """Samples of the header of a file, or of the first file of a folder."""
+    files = files_of(path, ".bcf")
+    if not files:
+        return []
+    with _opened(files[0]) as stream:
+        return decode(stream)[0]
+
+
 class _Partition(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -98,12 +117,8 @@ class _Reader(DataSourceReader):
         return [_Partition(p) for p in self.paths]
 
     def read(self, partition):
-        import pyarrow.fs as pafs
-
-        uri = partition.path if "://" in partition.path else "file://" + partition.path
-        fs, path = pafs.FileSystem.from_uri(uri)
-        with fs.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-            yield from decode(io.BufferedReader(stream))[2]
+        with _opened(partition.path) as stream:
+            yield from decode(stream)[2]
 
 
 class BcfDataSource(DataSource):

@@ -6,7 +6,7 @@ import pytest
 from strandframe.functions.phasing import phase
 from strandframe.operators import calling
 from strandframe.plans import projections as P
-from strandframe.sources import sites_binary, text
+from strandframe.sources import sites_binary, store, text
 
 
 def test_phase_by_enumeration():
@@ -62,6 +62,19 @@ def test_binary_sites(spark, tmp_path):
         sites_binary.encode([rows[0].asDict() | {"samples": [{"PL": "1"}]}], ["c", "d"], ["s1"])
 
 
+def test_concatenated_sites(spark, tmp_path):
+    line = "c\t10\t.\tA\tC\t30.5\tPASS\tDB\tGT:GQ\t0/1:40"
+    (tmp_path / "x.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\n" + line + "\n")
+    rows = text.read_vcf(spark, str(tmp_path / "x.vcf")).collect()
+    for name, samples in (("a", ["s1"]), ("b", ["s1"]), ("z", ["s2"])):
+        (tmp_path / f"{name}.bcf").write_bytes(sites_binary.encode(rows, ["c", "d"], samples))
+    paths = [str(tmp_path / f"{k}.bcf") for k in "ab"]
+    assert sorted((r.file, r.pos) for r in store.concatenate_sites(spark, paths).collect()) == [(0, 9), (1, 9)]
+    assert store.sample_names(spark, str(tmp_path / "x.vcf")) == ["s1"] and store.sample_names(spark, paths[0]) == ["s1"]
+    with pytest.raises(ValueError):
+        store.concatenate_sites(spark, [paths[0], str(tmp_path / "z.bcf")])
+
+
 def test_projection_of_likelihoods(spark):
     sites = P.likelihoods(spark, "/root/testdata/sf0.001").where("site < 5")
     assert calling.call_sites(sites).count() == 5
