@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dups, exact_dedup, html_wrappers, jaccard_join, line_dedup, mixing, quality_bt, sentencepiece, url_filter, warc
+from . import chat_format, collocations, embedding_dups, exact_dedup, html_wrappers, importance, jaccard_join, line_dedup, mixing, quality_bt, sentencepiece, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,17 @@ def op10_quality(spark, sf_dir):
     return quality_bt.classify(docs, quality_bt.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_dups, op3_warc, op4_jaccard_join, op5_mix_sources, op6_url_filter, op7_sentencepiece, op8_main_text, op9_exact_dedup, op10_quality)}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_embedding_dups": embedding_dups.ORACLE, "op3_warc": warc.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.digest(importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_chat_format(spark, sf_dir):
+    return chat_format.round_trip(chat_format.with_hard_conversation(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_dups, op3_warc, op4_jaccard_join, op5_mix_sources, op6_url_filter, op7_sentencepiece, op8_main_text, op9_exact_dedup, op10_quality, op11_collocations, op12_importance, op13_chat_format)}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_embedding_dups": embedding_dups.ORACLE, "op3_warc": warc.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_collocations": collocations.ORACLE, "op12_importance": importance.ORACLE, "op13_chat_format": chat_format.ORACLE}
