@@ -51,20 +51,20 @@ def _crc32(grams: pa.ChunkedArray) -> pa.Array:
 
 
 def counting_sql(ngrams: tuple[int, int], buckets: int) -> str:
-    """Per row of ``chunk`` (row, text): number of words, and (bucket, count) of its n-grams."""
-    ahead = lambda k: f"lead(word, {k}) OVER (PARTITION BY row ORDER BY at)"
+    """Per row of ``chunk`` (r, text): number of words, and (bucket, count) of its n-grams."""
+    ahead = lambda k: f"lead(word, {k}) OVER (PARTITION BY r ORDER BY i)"
     gram = lambda n: " || ' ' || ".join(["word", *[ahead(k) for k in range(1, n)]])
-    grams = " UNION ALL ".join(f"SELECT row, {gram(n)} AS gram FROM words" for n in range(ngrams[0], ngrams[1] + 1))
+    grams = " UNION ALL ".join(f"SELECT r, {gram(n)} AS gram FROM words" for n in range(ngrams[0], ngrams[1] + 1))
     return rf"""
-    WITH split AS (SELECT row, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^{NO_WORD}]+') AS w FROM chunk),
-    words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM split),
+    WITH split AS (SELECT r, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^{NO_WORD}]+') AS w FROM chunk),
+    words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
     grams AS ({grams}),
-    per AS (SELECT row, gram, count(*) AS c FROM grams WHERE gram IS NOT NULL GROUP BY row, gram),
+    per AS (SELECT r, gram, count(*) AS c FROM grams WHERE gram IS NOT NULL GROUP BY r, gram),
     codes AS (SELECT gram, crc32(gram) % {buckets} AS bucket FROM (SELECT DISTINCT gram FROM per)),
-    summed AS (SELECT row, bucket, sum(c) AS c FROM per JOIN codes USING (gram) GROUP BY row, bucket),
-    lists AS (SELECT row, list(bucket::INT ORDER BY bucket) AS buckets, list(c::INT ORDER BY bucket) AS counts, sum(c)::BIGINT AS n FROM summed GROUP BY row)
-    SELECT row, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(buckets, []::INT[]) AS buckets, coalesce(counts, []::INT[]) AS counts
-    FROM split LEFT JOIN lists USING (row) ORDER BY row"""
+    summed AS (SELECT r, bucket, sum(c) AS c FROM per JOIN codes USING (gram) GROUP BY r, bucket),
+    lists AS (SELECT r, list(bucket::INT ORDER BY bucket) AS buckets, list(c::INT ORDER BY bucket) AS counts, sum(c)::BIGINT AS n FROM summed GROUP BY r)
+    SELECT r, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(buckets, []::INT[]) AS buckets, coalesce(counts, []::INT[]) AS counts
+    FROM split LEFT JOIN lists USING (r) ORDER BY r"""
 
 
 def _chunks(texts: pa.Array, size: int):
@@ -91,7 +91,7 @@ def bucket_counts(docs: DataFrame, ngrams: tuple[int, int] = NGRAMS, buckets: in
         for b in batches:
             texts = pc.fill_null(b.column("text"), "")
             for start, stop in _chunks(texts, CHUNK):
-                con.register("chunk", pa.table({"row": pa.array(range(stop - start), pa.int64()), "text": texts.slice(start, stop - start)}))
+                con.register("chunk", pa.table({"r": pa.array(range(stop - start), pa.int64()), "text": texts.slice(start, stop - start)}))
                 out = con.sql(sql).to_arrow_table()
                 con.unregister("chunk")
                 cols = [b.column("doc_id").slice(start, stop - start), *[out.column(k).combine_chunks() for k in _COUNTED.names[1:]]]
