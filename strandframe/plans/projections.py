@@ -67,23 +67,24 @@ SEQUENCES = f"""sequences AS (SELECT doc_id AS seq, regexp_replace(translate(coa
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of sequences by rank of id, column by column up to the shorter one's end: gaps stand where an N meets a base."""
+    """Pairs of sequences by rank of id, column by column up to the longer one's end: gaps stand where an N meets a base, and after
+    the end of the shorter one."""
     s = sequences(spark, sf_dir)
     pair = s.alias("a").join(s.select((F.col("seq") - 1).alias("seq"), F.col("seqs").alias("other")), "seq").withColumns({"seqs_n": F.length("seqs"), "other_n": F.length("other")})
-    n = F.least("seqs_n", "other_n")
-    cut = pair.select("seq", F.substring("seqs", F.lit(1), n).alias("a"), F.substring("other", F.lit(1), n).alias("b")).where(F.length("a") > 0)
-    side = lambda x, y: F.array_join(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when((p == "N") & (q != "N"), "-").otherwise(p)), "")
+    n = F.greatest("seqs_n", "other_n")
+    cut = pair.where((F.col("seqs_n") > 0) & (F.col("other_n") > 0)).select("seq", F.rpad("seqs", n, "-").alias("a"), F.rpad("other", n, "-").alias("b"))
+    side = lambda x, y: F.array_join(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.when((p == "N") & q.isin(*"ACGT"), "-").otherwise(p)), "")
     ref, seq = side("a", "b"), side("b", "a")
     return cut.select("seq", ref.alias("ref_aln"), seq.alias("seq_aln"))
 
 
 ALIGNMENTS = (
     SEQUENCES
-    + """, pairs AS (SELECT s.seq, s.seqs AS a0, o.seqs AS b0, least(length(s.seqs), length(o.seqs)) AS n FROM sequences s JOIN sequences o ON o.seq - 1 = s.seq),
-cut AS (SELECT seq, substr(a0, 1, n) AS a, substr(b0, 1, n) AS b, n FROM pairs WHERE n > 0),
+    + """, pairs AS (SELECT s.seq, s.seqs AS a0, o.seqs AS b0, greatest(length(s.seqs), length(o.seqs)) AS n FROM sequences s JOIN sequences o ON o.seq - 1 = s.seq),
+cut AS (SELECT seq, rpad(a0, cast(n AS int), '-') AS a, rpad(b0, cast(n AS int), '-') AS b, n FROM pairs WHERE length(a0) > 0 AND length(b0) > 0),
 cols AS (SELECT seq, unnest(generate_series(1, n)) AS k, a, b FROM cut),
 chars AS (SELECT seq, k, substr(a, k, 1) AS x, substr(b, k, 1) AS y FROM cols),
-colops AS (SELECT seq, k, CASE WHEN x = 'N' AND y <> 'N' THEN '-' ELSE x END AS r, CASE WHEN y = 'N' AND x <> 'N' THEN '-' ELSE y END AS s FROM chars)"""
+colops AS (SELECT seq, k, CASE WHEN x = 'N' AND y IN ('A', 'C', 'G', 'T') THEN '-' ELSE x END AS r, CASE WHEN y = 'N' AND x IN ('A', 'C', 'G', 'T') THEN '-' ELSE y END AS s FROM chars)"""
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
 from ..operators import consensus, depth, gaps, headers, quality, records, sites
-from ..sources import binary, store, text
+from ..sources import binary, read_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
 from .queries import query
@@ -17,6 +17,7 @@ from .queries import query
 #: Every contig's letters, over and over; the bases and qualities of a read are a window of these.
 REFERENCE, LENGTH = "GATTACAGGT", 4000
 _SEQ, _QUAL = "ACGTTGCAAT", "5:?DI+!"
+CONTIGS = [(f"chr{k}", LENGTH) for k in range(5)]
 
 
 def whole_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +82,48 @@ def sam_char_flags(spark, d):
 
 @query(_ROUND, P.READS, RECORDS)
 def bam_roundtrip(spark, d):
-    files = binary.write(whole_reads(spark, d), shared_path(spark, "bam"), [(f"chr{k}", LENGTH) for k in range(5)])
-    return _flat(store.open_reads(spark, ",".join(files), "bam"))
+    """Files written by all tasks, each read in ranges of 128 kB."""
+    folder = shared_path(spark, "bam")
+    binary.write(whole_reads(spark, d), folder, CONTIGS)
+    return _flat(store.open_reads(spark, folder, "bam", split_bytes=128 << 10))
+
+
+def _sorted_bam(spark: SparkSession, d: str) -> str:
+    """Folder of files in order of (rname, pos), a range each."""
+    folder = shared_path(spark, "sorted-bam")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    binary.write(whole_reads(spark, d).repartitionByRange(parts, "rname", "pos").sortWithinPartitions("rname", "pos"), folder, CONTIGS)
+    return folder
+
+
+_STOP = "cast(pos + l + CASE kind WHEN 2 THEN 3 WHEN 4 THEN 5 ELSE 0 END AS int)"
+
+
+@query(f"SELECT rid, qname, flag, pos, cigar, {_STOP} AS stop FROM records r JOIN regions g ON rname = 'chr' || g.tid AND pos < g.e + 1200 AND {_STOP} > g.b + 1200 WHERE rid % 50 = 0", P.READS, P.REGIONS, RECORDS)
+def region_fetch_indexed(spark, d):
+    """Every fiftieth region asks an index of block-compressed files; only chunks that some region needs are opened."""
+    folder = _sorted_bam(spark, d)
+    index = read_index.index_reads(spark, folder, folder + "-index", 128 << 10)
+    g = P.regions(spark, d).where("rid % 50 = 0").selectExpr("rid", "concat('chr', tid) AS rname", "b + 1200 AS b", "e + 1200 AS e")
+    return read_index.fetch(index, g).select("rid", "qname", "flag", "pos", R.format_cigar("cigar").alias("cigar"), "stop")
+
+
+@query(f"SELECT qname, flag, pos, mapq, {_STOP} AS stop FROM records WHERE rname = 'chr3' AND pos < 1250 AND {_STOP} > 1200", P.READS, RECORDS)
+def region_scan_pushed(spark, d):
+    """One region as a filter that the source gets, and answers from its index."""
+    folder = _sorted_bam(spark, d)
+    read_index.index_reads(spark, folder, folder + "-index", 128 << 10)
+    reads = store.open_reads(spark, folder, "bam", index=folder + "-index")
+    return reads.where("rname = 'chr3' AND pos < 1250 AND stop > 1200").select("qname", "flag", "pos", "mapq", "stop")
+
+
+@query("SELECT rname, bin, count(*) AS n FROM (SELECT rname, CASE WHEN (b >> 14) = (e - 1) >> 14 THEN 4681 + (b >> 14) ELSE 585 + (b >> 17) END AS bin FROM (SELECT rname, pos AS b, " + _STOP + " AS e FROM records)) GROUP BY ALL", P.READS, RECORDS)
+def index_bins(spark, d):
+    """Records by bin of the index, counted by reading all of its chunks."""
+    folder = _sorted_bam(spark, d)
+    index = read_index.index_reads(spark, folder, folder + "-index", 128 << 10)
+    r = read_index.read_chunks(index.where("kind = 'chunk'"))
+    return r.groupBy("rname", R.bin_of("pos", "stop").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -163,11 +204,11 @@ def calmd(spark, d):
 
 @query(
     f"""SELECT rname, p, count(*) FILTER (WHERE o = 'M' AND ascii(substr(qual, qp + 1, 1)) - 33 >= 13) AS depth FROM cells c WHERE flag & {PILEUP_SKIP} = 0 AND mapq >= 20
-AND EXISTS (SELECT 1 FROM regions g WHERE g.rid % 3 = 0 AND 'chr' || g.tid = c.rname AND g.b + 1200 <= c.p AND c.p < g.e + 1200) GROUP BY rname, p""",
+AND EXISTS (SELECT 1 FROM regions g WHERE 'chr' || g.tid = c.rname AND g.b + 1200 <= c.p AND c.p < g.e + 1200) GROUP BY rname, p""",
     P.READS, P.REGIONS, RECORDS, BLOCKS,
 )
 def base_depth(spark, d):
-    g = P.regions(spark, d).where("rid % 3 = 0").selectExpr("concat('chr', tid) AS rname", "b + 1200 AS b", "e + 1200 AS e")
+    g = P.regions(spark, d).selectExpr("concat('chr', tid) AS rname", "b + 1200 AS b", "e + 1200 AS e")
     return depth.base_depth(depth.pileup_cigar(whole_reads(spark, d)), 13, 20, g)
 
 
@@ -329,18 +370,19 @@ def region_bins(spark, d):
 
 
 def site_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Likelihood sites as site lines: SNPs, insertions, an unseen allele, two alternatives; three samples."""
+    """Likelihood sites as site lines: SNPs, insertions, an unseen allele, two alternatives; 22 samples."""
     s = P.likelihoods(spark, d).selectExpr("site", "pl", "substring('ACGT', CAST(site % 4 + 1 AS int), 1) AS r", "substring('ACGT', CAST((site + 1) % 4 + 1 AS int), 1) AS b", "substring('ACGT', CAST((site + 2) % 4 + 1 AS int), 1) AS c")
-    one = "map('GT', element_at(array('0/0', '0/1', '1/1', './.'), CASE WHEN array_max(x) = 0 THEN 4 ELSE CAST(array_position(x, array_min(x)) AS int) END), 'DP', CAST(x[0] % 20 AS string), 'GQ', CAST(array_max(x) AS string))"
+    one = "map('GT', element_at(array('0/0', '0/1', '1/1', './.'), CASE WHEN array_max(x) = 0 THEN 4 ELSE CAST(array_position(x, array_min(x)) AS int) END), 'DP', CAST(x[0] % 20 AS string), 'GQ', CAST(array_max(x) AS string), 'SP', CAST(x[1] % 30 AS string))"
     return s.selectExpr(
         "concat('chr', site % 3) AS chrom", "CAST(site * 5 AS int) AS pos", "concat('rs', site) AS id", "r AS ref", "CASE site % 6 WHEN 0 THEN array(concat(r, 'A')) WHEN 1 THEN array('X') WHEN 2 THEN array(b, c) ELSE array(b) END AS alt",
-        "CAST(site % 100 + 0.5 AS double) AS qual", "'PASS' AS filter", "map('DP', CAST(site % 40 AS string), 'MQ', CAST(site % 60 AS string)) AS info", f"transform(slice(pl, 1, 3), x -> {one}) AS samples",
+        "CAST(site % 100 + 0.5 AS double) AS qual", "'PASS' AS filter", "map('DP', CAST(site % 40 AS string), 'MQ', CAST(site % 60 AS string)) AS info", f"transform(pl, x -> {one}) AS samples",
     )
 
 
+SAMPLES = [f"s{k}" for k in range(22)]
 SITE_LINES = """lines AS (SELECT site, 'chr' || (site % 3) AS chrom, cast(site * 5 AS int) AS pos, 'rs' || site AS id, r AS ref, CASE site % 6 WHEN 0 THEN [r || 'A'] WHEN 1 THEN ['X'] WHEN 2 THEN [b, c] ELSE [b] END AS alt,
   cast(site % 100 + 0.5 AS double) AS qual, cast(site % 40 AS int) AS dp, cast(site % 60 AS int) AS mq,
-  list_transform(pl[1:3], lambda x: CASE WHEN list_max(x) = 0 THEN './.' ELSE ['0/0', '0/1', '1/1'][list_position(x, list_min(x))] END) AS gt, list_transform(pl[1:3], lambda x: x[1] % 20) AS sdp, list_transform(pl[1:3], lambda x: list_max(x)) AS gq
+  list_transform(pl, lambda x: CASE WHEN list_max(x) = 0 THEN './.' ELSE ['0/0', '0/1', '1/1'][list_position(x, list_min(x))] END) AS gt, list_transform(pl, lambda x: x[1] % 20) AS sdp, list_transform(pl, lambda x: list_max(x)) AS gq, list_transform(pl, lambda x: x[2] % 30) AS sp
   FROM (SELECT *, substr('ACGT', cast(site % 4 + 1 AS int), 1) AS r, substr('ACGT', cast((site + 1) % 4 + 1 AS int), 1) AS b, substr('ACGT', cast((site + 2) % 4 + 1 AS int), 1) AS c FROM sites))"""
 
 from .queries import _PL as SITES  # noqa: E402
@@ -349,7 +391,7 @@ _LINE = "chrom, pos, id, ref, array_to_string(alt, ',') AS alt, qual, 'PASS' AS
 
 
 def _site_header(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("##fileformat=VCFv4.1",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\ts2",)], "value string")
+    return spark.createDataFrame([("##fileformat=VCFv4.1",), ("\t".join(["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT", *SAMPLES]),)], "value string")
 
 
 def _shown(v: DataFrame, *more: str) -> DataFrame:
@@ -365,14 +407,32 @@ def vcf_roundtrip(spark, d):
     return _shown(store.open_sites(spark, path))
 
 
-@query("SELECT chrom, pos FROM lines WHERE alt <> ['X'] AND len(list_filter(sdp, lambda x: x > 0)) >= 0.9 * 3 AND NOT (length(alt[1]) <> 1)", SITES, SITE_LINES)
+@query(f"SELECT {_LINE} FROM lines", SITES, SITE_LINES)
+def bcf_roundtrip(spark, d):
+    """Binary site files written by all tasks and read again."""
+    folder = shared_path(spark, "bcf")
+    sites_binary.write(site_lines(spark, d), folder, ["chr0", "chr1", "chr2"], SAMPLES)
+    return _shown(store.open_sites(spark, folder, "bcf"))
+
+
+@query(f"SELECT cast(site % 2 AS int) AS file, {_LINE} FROM lines", SITES, SITE_LINES)
+def bcf_cat(spark, d):
+    """Two folders of binary site files, one after the other."""
+    v, paths = site_lines(spark, d), []
+    for k in (0, 1):
+        paths.append(shared_path(spark, f"bcf{k}"))
+        sites_binary.write(v.where(F.substring("id", 3, 20).cast("long") % 2 == k), paths[-1], ["chr0", "chr1", "chr2"], SAMPLES)
+    return _shown(store.concatenate_sites(spark, paths, "bcf"), "file")
+
+
+@query("SELECT chrom, pos FROM lines WHERE alt <> ['X'] AND len(list_filter(sdp, lambda x: x > 0)) >= 0.9 * 22 AND NOT (length(alt[1]) <> 1)", SITES, SITE_LINES)
 def vcf_site_filter(spark, d):
     return sites.site_filter(site_lines(spark, d), 0.9, "skip", True).select("chrom", "pos")
 
 
-@query("SELECT chrom, pos, gt[3] || ' ' || gt[1] AS gt FROM lines", SITES, SITE_LINES)
+@query("SELECT chrom, pos, gt[3] || ' ' || gt[22] || ' ' || gt[1] AS gt FROM lines", SITES, SITE_LINES)
 def vcf_subset(spark, d):
-    v = sites.subset_samples(site_lines(spark, d), ["s0", "s1", "s2"], ["s2", "s0"])
+    v = sites.subset_samples(site_lines(spark, d), SAMPLES, ["s2", "s21", "s0"])
     return v.select("chrom", "pos", F.array_join(F.transform("samples", lambda s: s["GT"]), " ").alias("gt"))
 
 
@@ -391,7 +451,7 @@ def vcf_fill_counts(spark, d):
     return v.select("chrom", "pos", F.col("info")["AC"].alias("ac"), F.col("info")["AN"].alias("an"))
 
 
-@query("SELECT chrom, pos, cast(NULL AS int) AS mxsp, cast(list_max(gq) AS int) AS mxgq FROM lines", SITES, SITE_LINES)
+@query("SELECT chrom, pos, cast(list_max(sp) AS int) AS mxsp, cast(list_max(gq) AS int) AS mxgq FROM lines", SITES, SITE_LINES)
 def vcf_sample_maxima(spark, d):
     return sites.sample_maxima(site_lines(spark, d))
 

@@ -1,16 +1,18 @@
-"""Binary site format: block-compressed records of site strings and typed sample blocks; reader, writer, data source."""
+"""Binary site format: block-compressed records of site strings and typed sample blocks; data source for reads (a task a file) and
+writes (each task streams its partition to a file, see ``blocks.FileWriter``)."""
 
 from __future__ import annotations
 
 import gzip
 import io
+import json
 import struct
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .binary import _block, files_of
+from .blocks import FileWriter, Writer, files_of
 
 SCHEMA = "chrom string, pos int, id string, ref string, alt array<string>, qual double, filter string, info map<string,string>, samples array<map<string,string>>"
 #: Fixed: struct code and count per sample of each typed FORMAT field; G stands for genotypes of the site's alleles.
@@ -61,29 +63,43 @@ def decode(stream):
     return samples, meta, each()
 
 
-def encode(rows, chroms: list[str], samples: list[str], meta: str = "") -> bytes:
-    """Whole file of site rows in the text reader's columns; FORMAT fields must be of BLOCKS."""
+def encode_header(chroms: list[str], samples: list[str], meta: str = "") -> bytes:
     out = [b"BCF\4"]
     for raw in (b"".join(c.encode() + b"\0" for c in chroms), b"".join(s.encode() + b"\0" for s in samples), meta.encode() + b"\0"):
         out.append(struct.pack("<i", len(raw)) + raw)
+    return b"".join(out)
+
+
+def encode_record(r: dict, seq_id: dict[str, int]) -> bytes:
+    """A site row in the text reader's columns; FORMAT fields must be of BLOCKS."""
+    alts = [a for a in r["alt"] if a != "."]
+    keys = list(r["samples"][0]) if r["samples"] else []
+    info = ";".join(k if v is None else f"{k}={v}" for k, v in sorted(r["info"].items()))
+    dot = lambda x: "" if x in (None, ".") else x
+    text = b"".join(x.encode() + b"\0" for x in (dot(r["id"]), r["ref"], ",".join(alts), dot(r["filter"]), info, ":".join(keys)))
+    out = [struct.pack("<iifi", seq_id[r["chrom"]], r["pos"], float("nan") if r["qual"] is None else r["qual"], len(text)) + text]
+    g = (len(alts) + 1) * (len(alts) + 2) // 2
+    for key in keys:
+        code, count = BLOCKS[key]
+        k = g if count == "G" else count
+        for s in r["samples"]:
+            own = [_gt_code(s[key])] if key == "GT" else [float(x) if code == "f" else int(x) for x in s[key].split(",")]
+            if len(own) != k:
+                raise ValueError(f"{key} needs {k} values")
+            out.append(struct.pack(f"<{k}{code}", *own))
+    return b"".join(out)
+
+
+def encode(rows, chroms: list[str], samples: list[str], meta: str = "") -> bytes:
+    """Whole file of site rows."""
+    raw = io.BytesIO()
+    out = Writer(raw)
+    out.write(encode_header(chroms, samples, meta))
+    seq_id = {c: k for k, c in enumerate(chroms)}
     for r in rows:
-        alts = [a for a in r["alt"] if a != "."]
-        keys = list(r["samples"][0]) if r["samples"] else []
-        info = ";".join(k if v is None else f"{k}={v}" for k, v in sorted(r["info"].items()))
-        dot = lambda x: "" if x in (None, ".") else x
-        text = b"".join(x.encode() + b"\0" for x in (dot(r["id"]), r["ref"], ",".join(alts), dot(r["filter"]), info, ":".join(keys)))
-        out.append(struct.pack("<iifi", chroms.index(r["chrom"]), r["pos"], float("nan") if r["qual"] is None else r["qual"], len(text)) + text)
-        g = (len(alts) + 1) * (len(alts) + 2) // 2
-        for key in keys:
-            code, count = BLOCKS[key]
-            k = g if count == "G" else count
-            for s in r["samples"]:
-                own = [_gt_code(s[key])] if key == "GT" else [float(x) if code == "f" else int(x) for x in s[key].split(",")]
-                if len(own) != k:
-                    raise ValueError(f"{key} needs {k} values")
-                out.append(struct.pack(f"<{k}{code}", *own))
-    data = b"".join(out)
-    return b"".join(_block(data[i : i + 65_280]) for i in range(0, len(data), 65_280)) + _block(b"")
+        out.write(encode_record(r, seq_id))
+    out.close()
+    return raw.getvalue()
 
 
 @contextmanager
@@ -121,6 +137,19 @@ class _Reader(DataSourceReader):
             yield from decode(stream)[2]
 
 
+class _Writer(FileWriter):
+    """Options: ``chroms`` and ``samples``, JSON lists of names; ``meta``, the header's text."""
+
+    ending = ".bcf"
+
+    def head(self):
+        self.seq_id = {c: k for k, c in enumerate(self.option("chroms", []))}
+        return encode_header(self.option("chroms", []), self.option("samples", []), self.options.get("meta", ""))
+
+    def record(self, row):
+        return encode_record({**row, "info": dict(row["info"] or []), "samples": [dict(x) for x in row["samples"] or []]}, self.seq_id)
+
+
 class BcfDataSource(DataSource):
     @classmethod
     def name(cls):
@@ -132,6 +161,20 @@ class BcfDataSource(DataSource):
     def reader(self, schema):
         return _Reader(files_of(self.options["path"], ".bcf"))
 
+    def writer(self, schema, overwrite):
+        return _Writer(dict(self.options), overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BcfDataSource)
+
+
+COLUMNS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "samples"]
+
+
+def write(sites, folder: str, chroms: list[str], samples: list[str], meta: str = "") -> list[str]:
+    """Write each partition of ``sites`` as one file below ``folder``; returns the files there."""
+    register(sites.sparkSession)
+    w = sites.select(*COLUMNS).write.format("bcf").mode("append").option("chroms", json.dumps(chroms)).option("samples", json.dumps(samples))
+    w.option("meta", meta).save(folder)
+    return files_of(folder, ".bcf")

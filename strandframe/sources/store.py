@@ -10,12 +10,12 @@ from ..operators.records import concatenate
 from . import binary, sites_binary, text
 
 
-def open_reads(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Reads of a text (sam), binary (bam) or Parquet path; the kind follows the ending unless given."""
+def open_reads(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
+    """Reads of a text (sam), binary (bam) or Parquet path; the kind follows the ending unless given. ``options`` go to the binary source."""
     kind = kind or path.rstrip("/").rpartition(".")[2]
     if kind == "bam":
         binary.register(spark)
-        return spark.read.format("bam").load(path)
+        return spark.read.format("bam").options(**options).load(path)
     return text.read_sam(spark, path) if kind == "sam" else spark.read.parquet(path)
 
 
