@@ -1,8 +1,8 @@
 """URL filter: fixed host/path rules, then association rules mined by FP-growth from labels.
 
 Labelled urls become baskets of tokens (host labels, path words, query keys), equal ones one basket with its weights.
-The rules wanted are the *smallest* token combinations that reach the support, confidence and surprise bounds for the bad
-class; a combination that contains a smaller rule adds nothing. Three exact steps keep the mining small:
+The rules wanted are the *smallest* token combinations that reach the support and confidence bounds for the bad class (and, if
+asked for, a bound on surprise); a combination that contains a smaller rule adds nothing. Three exact steps keep the mining small:
 
 * tokens in fewer bad urls than the support bound, or in every labelled url, are left out;
 * tokens that stand in exactly the same labelled urls are one item (the closed set of all of them);
@@ -38,8 +38,9 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 #: Urls that must hold a combination at least, however few labels there are.
 MIN_COUNT = 5
-#: Standard deviations by which the bad urls of a combination must exceed the share of bad urls among all labelled ones.
-MIN_SURPRISE = 5.0
+#: Standard deviations by which the bad urls of a combination must exceed the share of bad urls among all labelled ones; 0 leaves the
+#: choice to support and confidence.
+MIN_SURPRISE = 0.0
 #: Combinations that FP-growth may have to list.
 LATTICE = 1 << 18
 BAD = "class=bad"
@@ -84,11 +85,11 @@ def baskets(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.count_if("_bad").alias("bad"))
 
 
-def _holds(total: int, bad: int, min_count: int, min_confidence: float):
+def _holds(total: int, bad: int, min_count: int, min_confidence: float, min_surprise: float):
     """Whether a combination in ``n`` urls, ``bad`` of them bad, is a rule."""
     p = bad / total
-    surprise = (F.col("bad") - F.col("n") * p) >= MIN_SURPRISE * F.sqrt(F.col("n") * (p * (1 - p)))
-    return (F.col("bad") >= min_count) & (F.col("bad") >= F.col("n") * min_confidence) & surprise
+    rule = (F.col("bad") >= min_count) & (F.col("bad") >= F.col("n") * min_confidence)
+    return rule & ((F.col("bad") - F.col("n") * p) >= min_surprise * F.sqrt(F.col("n") * (p * (1 - p)))) if min_surprise else rule
 
 
 def by_growth(rows: DataFrame, total: int, min_count: int) -> DataFrame:
@@ -137,7 +138,7 @@ def smallest(found: DataFrame) -> DataFrame:
     return found.join(longer, "items", "left_anti")
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, lattice: int = LATTICE) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, lattice: int = LATTICE, min_surprise: float = MIN_SURPRISE) -> DataFrame:
     """(key, tokens, confidence, support) of the smallest association rules for the bad class."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "url-rules")
@@ -147,7 +148,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUP
         return spark.createDataFrame([], "key string, tokens array<string>, confidence double, support double")
     total, n_bad = t["n"], t["bad"]
     min_count = max(MIN_COUNT, -int(-min_support * total // 1))
-    holds = _holds(total, n_bad, min_count, min_confidence)
+    holds = _holds(total, n_bad, min_count, min_confidence, min_surprise)
     # tokens that stand in the same baskets are one item, named by the least of them
     at = rows.select(F.explode("items").alias("t"), "n", "bad", F.xxhash64("items").alias("_h"), F.xxhash64("items", F.lit(1)).alias("_g"))
     per = at.groupBy("t").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("_h").alias("_h"), F.bit_xor("_g").alias("_g")).where((F.col("bad") >= min_count) & (F.col("n") < total))

@@ -18,7 +18,7 @@ def tokens(url):
     return frozenset([f"h:{x}" for x in host.split(".") if x] + [f"p:{w.lower()}" for w in words] + [f"q:{k.split('=')[0]}" for k in query.split("&") if k.split("=")[0]])
 
 
-def brute(urls, bad, min_count, confidence):
+def brute(urls, bad, min_count, confidence, surprise=0.0):
     """All smallest rules, over closed items: every subset of the tokens of every url."""
     sets, total, p = [tokens(u) for u in urls], len(urls), sum(bad) / len(urls)
     where = {t: frozenset(i for i, s in enumerate(sets) if t in s) for t in set().union(*sets)}
@@ -32,7 +32,7 @@ def brute(urls, bad, min_count, confidence):
         for combo in combinations(sorted(items), k):
             rows = frozenset.intersection(*(items[c] for c in combo))
             n, b = len(rows), sum(bad[i] for i in rows)
-            if b >= min_count and b >= n * confidence and (b - n * p) >= U.MIN_SURPRISE * math.sqrt(n * p * (1 - p)) and n < total:
+            if b >= min_count and b >= n * confidence and (not surprise or (b - n * p) >= surprise * math.sqrt(n * p * (1 - p))) and n < total:
                 if not any(set(r) < set(combo) for r in rules):
                     rules[combo] = (b / n, b / total)
     return {tuple(sorted(t for c in r for t in member[c])): v for r, v in rules.items()}
@@ -45,8 +45,8 @@ def mined(spark, urls, bad, **kw):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("lattice", [U.LATTICE, 0])
-def test_rules_are_all_smallest_combinations(spark, seed, lattice):
+@pytest.mark.parametrize("lattice,surprise", [(U.LATTICE, 0.0), (0, 0.0), (U.LATTICE, 5.0), (0, 5.0)])
+def test_rules_are_all_smallest_combinations(spark, seed, lattice, surprise):
     rng = random.Random(seed)
     urls, bad = [], []
     for _ in range(500):
@@ -56,8 +56,8 @@ def test_rules_are_all_smallest_combinations(spark, seed, lattice):
         t = tokens(url)
         risk = 0.95 if {"p:buy", "p:now"} <= t or {"h:x", "p:tag"} <= t else 0.9 if {"q:page", "h:www", "p:news"} <= t else 0.1
         urls.append(url), bad.append(int(rng.random() < risk))
-    want = brute(urls, bad, U.MIN_COUNT, U.MIN_CONFIDENCE)
-    got = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in mined(spark, urls, bad, lattice=lattice).collect()}
+    want = brute(urls, bad, U.MIN_COUNT, U.MIN_CONFIDENCE, surprise)
+    got = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in mined(spark, urls, bad, lattice=lattice, min_surprise=surprise).collect()}
     assert got.keys() == want.keys() and len(got) >= 2
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
@@ -85,4 +85,4 @@ def test_repeated_and_nested_long_urls(spark):
 def test_no_rule_without_surprise(spark):
     rng = random.Random(4)
     urls = [f"http://h{rng.randrange(60)}.org/{rng.choice('abcdefgh')}x" for _ in range(600)]
-    assert mined(spark, urls, [int(rng.random() < 0.13) for _ in urls]).count() == 0
+    assert mined(spark, urls, [int(rng.random() < 0.13) for _ in urls], min_surprise=5.0).count() == 0
