@@ -7,8 +7,9 @@
    every block's own words meet it by a join, and the block gets the numbers of its codes. Rarer words become breaks, as no
    phrase that holds one can be frequent.
 3. N-grams. Runs of numbers are packed into binary keys of four big-endian bytes a word. A task sorts its keys by radix (16 bits a pass)
-   and counts runs, some millions of keys at a time, so a phrase that is everywhere leaves a task as one row. Keys are then
-   range-partitioned and sorted (Spark's sorter, which spills), and the runs of all tasks are added up as they stream by.
+   and counts runs, some millions of keys at a time, so a phrase that is everywhere leaves a task once. The key range is cut into
+   slices of some ``SLICE`` occurrences at bounds taken from a few blocks; a task sends the keys of a slice as one packed row. Slices
+   are dealt to tasks, which sort one slice after the other by radix and add up its runs: memory follows the slice, not the table.
 4. Scores. Candidates of m words meet the counts of their parts by salted joins, shortest first, in decimals of 38 digits.
 5. A candidate inside a longer one of at least ``inside`` percent of its count goes; the first ``top`` of a language are
    chosen within salted shares of it, then among those.
@@ -20,6 +21,8 @@ Counts up to 10^16 are exact. More than 2^32 frequent words are an error. Other
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,12 +37,15 @@ MIN_COUNT, MAX_WORDS, INSIDE, TOP = 10, 3, 50, 2000
 #: Between pieces, and between words of a piece.
 PIECE_ENDS, WORD_ENDS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 BLOCK = 2 << 20
-#: N-grams that a task sorts at once.
-SORTED = 6_000_000
+#: N-grams that a task sorts at once, and occurrences that a slice of the keys has about.
+SORTED, SLICE = 6_000_000, 4_000_000
+#: Blocks, about, of which some keys are collected to place the slices' bounds; they say how even slices are, not what is counted.
+SAMPLED = 48
 WIDTH = 4
 BLOCKS = "block long, lang string, codes binary, n_codes long, words array<string>, counts array<long>"
 _BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("n_codes", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _RUNS = pa.schema([("key", pa.binary()), ("a", pa.int64())])
+_SLICES = pa.schema([("slice", pa.int32()), ("m", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def encoded(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -117,80 +123,107 @@ def packed(ids: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def runs(digits: np.ndarray) -> pa.RecordBatch:
-    """(key, count) of distinct keys, in order."""
-    digits = digits[radix_order(digits)]
+def runs(digits: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, sum of their ``counts``), each key counting once if none are given."""
+    order = radix_order(digits)
+    digits = digits[order]
     new = np.ones(len(digits), bool)
     new[1:] = (digits[1:] != digits[:-1]).any(1)
     start = np.flatnonzero(new)
-    width = 2 * digits.shape[1]
-    raw = pa.py_buffer(digits[start].astype(">u2").tobytes())
-    keys = pa.Array.from_buffers(pa.binary(width), len(start), [None, raw]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(np.append(start, len(digits))), pa.int64())], schema=_RUNS)
+    own = np.diff(np.append(start, len(digits))) if counts is None else np.add.reduceat(counts[order], start) if len(start) else counts
+    return digits[start], own.astype(np.int64)
+
+
+def as_bytes(digits: np.ndarray) -> np.ndarray:
+    """Keys as byte strings, which compare as the digits do; a key that another one goes on from comes before it."""
+    return np.ascontiguousarray(digits.astype(">u2")).view(f"S{2 * digits.shape[1]}").ravel()
 
 
-def _ngrams(max_words: int):
+def _numbers(batches):
+    """Numbers of the words of each block, breaks as -1."""
+    codec = pa.Codec("zstd")
+    for codes, n, numbered in (tuple(b.column(k)[i] for k in range(b.num_columns)) for b in batches for i in range(b.num_rows)):
+        codes = np.frombuffer(codec.decompress(codes.as_buffer(), n.as_py() * 4), np.int32)
+        number = np.full(int(max(codes.max(initial=0), 0)) + 2, -1, np.int64)  # code -1 finds the last one
+        number[numbered.values.field("code").to_numpy()] = numbered.values.field("id").to_numpy()
+        yield number[codes]
+
+
+def _evenly(max_words: int, each: int):
+    """``each`` keys of a block's sorted n-grams, at even distances."""
+
     def run(batches):
-        codec = pa.Codec("zstd")
+        for ids in _numbers(batches):
+            for m in range(2, max_words + 1):
+                keys = packed(ids, m)
+                keys = keys[radix_order(keys)]
+                keys = keys[np.linspace(0, len(keys) - 1, min(each, len(keys))).astype(int)] if len(keys) else keys
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(">u2").view(f"V{4 * m}").ravel().tolist(), pa.binary())], ["key"])
+
+    return run
+
+
+def _cut(max_words: int, bounds: list[bytes]):
+    """Runs of n-grams of a task, cut at ``bounds``: a row (slice, words, n, keys, counts) for each slice that has keys."""
+
+    def run(batches):
+        codec, ends = pa.Codec("zstd"), np.array(bounds, f"S{WIDTH * max_words}")
         held, size = {m: [] for m in range(2, max_words + 1)}, 0
-        rows = (tuple(b.column(k)[i] for k in range(b.num_columns)) for b in batches for i in range(b.num_rows))
-        for codes, n, numbered in rows:
-            codes = np.frombuffer(codec.decompress(codes.as_buffer(), n.as_py() * 4), np.int32)
-            numbered = numbered.values
-            number = np.full(int(max(codes.max(initial=0), 0)) + 2, -1, np.int64)  # code -1 finds the last one
-            number[numbered.field("code").to_numpy()] = numbered.field("id").to_numpy()
-            ids = number[codes]
+
+        def flushed():
+            for m, parts in held.items():
+                keys, counts = runs(np.concatenate(parts)) if parts else (packed(np.zeros(0), m), None)
+                cuts = [0, *np.searchsorted(as_bytes(keys), ends).tolist(), len(keys)] if len(keys) else []
+                rows = [(k, m, hi - lo, codec.compress(keys[lo:hi].T.tobytes(), asbytes=True), codec.compress(counts[lo:hi].tobytes(), asbytes=True)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SLICES.types, strict=True)], schema=_SLICES)
+                parts.clear()
+
+        for ids in _numbers(batches):
             for m, parts in held.items():
                 parts.append(packed(ids, m))
                 size += len(parts[-1])
             if size >= SORTED:
-                yield from flushed(held)
+                yield from flushed()
                 size = 0
-        yield from flushed(held)
-
-    def flushed(held):
-        for parts in held.values():
-            if sum(map(len, parts)):
-                out = runs(np.concatenate(parts))
-                for k in range(0, out.num_rows, 100_000):
-                    yield out.slice(k, 100_000)
-            parts.clear()
+        yield from flushed()
 
     return run
 
 
 def _added(min_count: int):
-    """Adds up the runs of equal keys in a sorted stream; a run may go on in the next batch."""
+    """Sums of the runs of each slice, which come one slice after the other."""
 
     def run(batches):
-        key, total = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, a = b.column(0), b.column(1).to_numpy()
-            start = np.append(0, np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)) + 1)
-            sums, first = np.add.reduceat(a, start), keys.take(pa.array(start))
-            if key is not None:
-                if first[0].as_py() == key:
-                    sums[0] += total
-                elif total >= min_count:
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([total], pa.int64())], schema=_RUNS)
-            key, total = first[len(first) - 1].as_py(), int(sums[-1])
-            full = pa.array(sums[:-1] >= min_count)
-            yield pa.RecordBatch.from_arrays([first.slice(0, len(first) - 1).filter(full), pa.array(sums[:-1], pa.int64()).filter(full)], schema=_RUNS)
-        if key is not None and total >= min_count:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([total], pa.int64())], schema=_RUNS)
+        codec = pa.Codec("zstd")
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for (_, m), own in groupby(rows, lambda r: r[:2]):
+            keys, counts = [], []
+            for _, _, n, k, c in own:
+                keys.append(np.frombuffer(codec.decompress(k, n * 4 * m), np.uint16).reshape(2 * m, n).T)
+                counts.append(np.frombuffer(codec.decompress(c, n * 8), np.int64))
+            keys, counts = runs(np.concatenate(keys), np.concatenate(counts))
+            full = counts >= min_count
+            raw = keys[full].astype(">u2").tobytes()
+            found = pa.Array.from_buffers(pa.binary(WIDTH * m), int(full.sum()), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([found, pa.array(counts[full], pa.int64())], schema=_RUNS)
 
     return run
 
 
-def phrase_counts(stored: DataFrame, words: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
+def phrase_counts(stored: DataFrame, words: DataFrame, scratch: Scratch, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """(key, a) of phrases of 2 to ``max_words`` words with at least ``min_count`` occurrences."""
+    parts = shuffle_parts(stored.sparkSession)
     own = block_words(stored).join(words.select("lang", "word", "id"), ["lang", "word"])
-    numbered = own.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("numbered"))  # as many as a block has words
-    rows = stored.select("block", "codes", "n_codes").join(numbered, "block").select("codes", "n_codes", "numbered")
-    each = rows.mapInArrow(_ngrams(max_words), "key binary, a long")
-    return each.repartitionByRange(shuffle_parts(stored.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_added(min_count), "key binary, a long")
+    numbered = scratch.store(own.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("numbered")), "numbered")  # as many as a block has words
+    rows = lambda part: part.select("block", "codes", "n_codes").join(numbered, "block").select("codes", "n_codes", "numbered")
+    n, n_blocks = stored.agg(F.coalesce(F.sum("n_codes"), F.lit(0)), F.count(F.lit(1))).first()
+    slices = max(4 * parts, n * (max_words - 1) // SLICE)
+    some = stored.where(F.pmod(F.xxhash64("block"), F.lit(max(n_blocks // SAMPLED, 1))) == 0)
+    sample = sorted(bytes(r["key"]) for r in rows(some).mapInArrow(_evenly(max_words, max(256, 4 * slices // SAMPLED)), "key binary").collect())
+    bounds = sorted({sample[len(sample) * k // slices] for k in range(1, slices)}) if sample else []
+    cut = rows(stored).mapInArrow(_cut(max_words, bounds), "slice int, m int, n long, keys binary, counts binary")
+    return cut.repartition(parts, "slice").sortWithinPartitions("slice", "m").mapInArrow(_added(min_count), "key binary, a long")
 
 
 def _part(key: Column, start: int, words: int) -> Column:
@@ -236,11 +269,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     scratch = Scratch(docs.sparkSession, "collocations")
     stored = scratch.store(blocks(docs), "blocks")
     words = dictionary(stored, scratch, min_count)
-    found = scratch.store(phrase_counts(stored, words, max_words, min_count), "found")
+    found = scratch.store(phrase_counts(stored, words, scratch, max_words, min_count), "found")
     left = not_inside(scored(found, words, scratch, max_words), max_words, inside)
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
     totals = scratch.store(stored.select("lang", n.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    scratch.drop("blocks")
+    scratch.drop("blocks", "numbered")
     by = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     first = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*by))
     shares = left.withColumn("_salt", salt_of("key", salts=SALTS)).withColumn("_k", first("lang", "_salt")).where(F.col("_k") <= top)

@@ -72,6 +72,8 @@ def test_collocations(spark, texts, top, words, extra):
 def test_collocations_over_blocks_and_sorts(spark, texts, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK", 300)
     monkeypatch.setattr(collocations, "SORTED", 50)
+    monkeypatch.setattr(collocations, "SLICE", 100)
+    monkeypatch.setattr(collocations, "SAMPLED", 5)
     assert sorted(map(tuple, collocations.collocations(docs_of(spark, texts).repartition(7)).collect())) == brute_phrases(texts)
 
 
@@ -95,10 +97,13 @@ def test_score_beyond_64_bits(spark):
 def test_radix_runs():
     ids = np.array([5, 70_000, -1, 5, 70_000, 5, 2**32 - 2, -1, 5])
     digits = collocations.packed(ids, 2)
-    out = collocations.runs(digits).to_pydict()
+    keys, counts = collocations.runs(digits)
     pair = lambda a, b: a.to_bytes(4, "big") + b.to_bytes(4, "big")
-    assert dict(zip(out["key"], out["a"], strict=True)) == {pair(5, 70_000): 2, pair(70_000, 5): 1, pair(5, 2**32 - 2): 1}
-    assert out["key"] == sorted(out["key"])
+    keys = [k.astype(">u2").tobytes() for k in keys]
+    assert dict(zip(keys, counts.tolist(), strict=True)) == {pair(5, 70_000): 2, pair(70_000, 5): 1, pair(5, 2**32 - 2): 1}
+    assert keys == sorted(keys)
+    again = collocations.runs(np.concatenate([digits, digits]), np.arange(2 * len(digits)))[1]
+    assert again.sum() == sum(range(2 * len(digits))) and len(again) == 3
     assert len(collocations.packed(np.array([3]), 2)) == 0
 
 
