@@ -197,3 +197,18 @@ def natural_key(name) -> Column:
         )
 
     return F.transform(tokens, one)
+
+
+#: Fixed: 2^63 - 1 and 2^64, as decimals of SQL.
+_HALF, _WHOLE = "9223372036854775807BD", "18446744073709551616BD"
+
+
+def packed_rank(score, order) -> Column:
+    """One number that is greater for a higher integer ``score`` and, on ties, an earlier ``order``. Its maximum is a buffer of fixed width, which
+    a hash aggregate holds, unlike a struct's."""
+    return (c(score).cast("decimal(10,0)") * F.expr(_WHOLE) + (F.expr(_HALF) - c(order).cast("decimal(20,0)"))).cast("decimal(30,0)")
+
+
+def order_of(rank) -> Column:
+    """``order`` of a packed rank."""
+    return (F.expr(_HALF) - F.pmod(c(rank).cast("decimal(38,0)"), F.expr(_WHOLE))).cast("long")

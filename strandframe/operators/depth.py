@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.reads import any_of, none_of
 from ..model import PILEUP_SKIP
 from .sweep import TILE, tiled_cumsum
+from .tiles import reference_tiles
 
 
 def sweep(reads: DataFrame, min_mapq: int = 0, skip: int = PILEUP_SKIP) -> DataFrame:
@@ -86,12 +87,6 @@ def base_depth(pile: DataFrame, min_baseq: int = 0, min_mapq: int = 0, regions:
     return p.groupBy("rname", "p").agg(*cols)
 
 
-def reference_tiles(reference: DataFrame, ahead: int, tile: int = 256) -> DataFrame:
-    """(rname, _tile, _ref): the reference (name, seq) in tiles, each with ``ahead`` letters more behind it."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile).cast("int")), lambda k: F.struct(k.alias("_tile"), F.upper(F.substring("seq", k * tile + 1, F.lit(tile + ahead))).alias("_ref")))
-    return reference.select(F.col("name").alias("rname"), F.explode(parts).alias("x")).select("rname", "x.*")
-
-
 def longest_deletion(reads: DataFrame) -> int:
     """Length of the longest deletion of reads with a CIGAR."""
     own = F.array_max(F.transform("cigar", lambda x: F.when(x["op"] == "D", x["len"]).otherwise(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.reads import any_of, has, none_of, pair_orientation, x31
+from ..functions.reads import any_of, has, none_of, order_of, packed_rank, pair_orientation, x31
 from .intervals import overlap_semi
 from .sweep import tiled_rank
 
@@ -95,22 +95,21 @@ def rmdup_single(reads: DataFrame, score: str = "mapq") -> DataFrame:
     """Of single reads of one (contig, strand, 5' end) the one of the highest score stays, the first on ties."""
     rev = any_of("flag", 16)
     key = F.when(rev, F.col("e")).otherwise(F.col("pos"))
-    best = F.min_by(F.struct("ord"), F.struct(-F.col(score), F.col("ord")))
     r = reads.withColumns({"_rev": rev, "_key": key})
-    keep = r.groupBy("tid", "_rev", "_key").agg(best.alias("_b")).select("tid", "_rev", "_key", F.col("_b.ord").alias("ord"))
+    keep = r.groupBy("tid", "_rev", "_key").agg(F.max(packed_rank(F.col(score), F.col("ord"))).alias("_b")).select("tid", "_rev", "_key", order_of("_b").alias("ord"))
     return r.join(keep, ["tid", "_rev", "_key", "ord"], "left_semi").select(*reads.columns)
 
 
 def rmdup_pair(pairs: DataFrame, key=("lib", "tid", "pos", "isize"), score: str = "score") -> DataFrame:
     """Of pairs with equal (library, contig, position, insert size) the highest score stays, the first on ties."""
-    keep = pairs.groupBy(*key).agg(F.min_by("ord", F.struct(-F.col(score), F.col("ord"))).alias("_keep"))
+    keep = pairs.groupBy(*key).agg(F.max(packed_rank(F.col(score), F.col("ord"))).alias("_b")).withColumn("_keep", order_of("_b"))
     return pairs.join(keep.select(*[F.col(k).alias(f"_{k}") for k in key], "_keep"), [pairs[k].eqNullSafe(F.col(f"_{k}")) for k in key] + [F.col("ord") == F.col("_keep")], "left_semi")
 
 
 def best_hit(reads: DataFrame, name: str = "qid", score: str = "mapq") -> DataFrame:
     """Per read name the hit of the highest score, with MAPQ 250 * (max - second) / max. Two maxima are one aggregate."""
-    g = reads.groupBy(name).agg(F.max(F.struct(F.col(score), (-F.col("ord")).alias("o"))).alias("_m"), F.count(F.lit(1)).alias("hits"))
-    r = reads.join(g, name).withColumn("_top", (F.col(score) == F.col(f"_m.{score}")) & (-F.col("ord") == F.col("_m.o")))
+    g = reads.groupBy(name).agg(F.max(packed_rank(F.col(score), F.col("ord"))).alias("_m"), F.count(F.lit(1)).alias("hits"))
+    r = reads.join(g, name).withColumn("_top", F.col("ord") == order_of("_m"))
     second = r.where(~F.col("_top")).groupBy(name).agg(F.max(score).alias("_second"))
     top = r.where("_top").join(second, name, "left")
     m, s = F.col(score).cast("double"), F.coalesce(F.col("_second"), F.lit(0)).cast("double")

@@ -403,8 +403,8 @@ SELECT tid, pos, base, mapq FROM g WHERE j = 1""",
 )
 def consensus_bases(spark, d):
     r = consensus.usable(P.reads(spark, d)).where("e > pos").withColumn("mapq", F.when(F.col("mapq") == 60, 255).otherwise(F.col("mapq")))
-    b = r.withColumn("p", F.explode(F.sequence(F.col("pos"), F.col("e") - 1)))
-    return consensus.winner(b.select("tid", F.col("p").alias("pos"), "ord", "mapq", F.substring(F.lit("ACGT"), ((F.col("qid") + F.col("p")) % 4 + 1).cast("int"), F.lit(1)).alias("base")))
+    b = consensus.with_ranks(r).withColumn("p", F.explode(F.sequence(F.col("pos"), F.col("e") - 1)))
+    return consensus.winner(b.select("tid", F.col("p").alias("pos"), "ord", "mapq", "_first", "_best", F.substring(F.lit("ACGT"), ((F.col("qid") + F.col("p")) % 4 + 1).cast("int"), F.lit(1)).alias("base")))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import consensus, depth, gaps, headers, quality, records, sites
+from ..operators import consensus, depth, gaps, headers, quality, records, sites, tiles
 from ..sources import binary, read_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
@@ -154,11 +154,8 @@ count(*) FILTER (WHERE o = 'M' AND substr(seq, qp + 1, 1) = 'A') AS a FROM cells
     P.READS, RECORDS, BLOCKS,
 )
 def cigar_pileup(spark, d):
-    p = depth.pileup_cigar(whole_reads(spark, d))
-    return p.groupBy("rname", "p").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_del").alias("gone"), F.count_if("is_refskip").alias("skips"), F.count_if("is_head").alias("heads"), F.count_if("is_tail").alias("tails"),
-        F.sum("indel").cast("long").alias("indel"), F.sum("qpos").cast("long").alias("qpos"), F.sum("baseq").cast("long").alias("baseq"), F.count_if(F.col("base") == "A").alias("a"),
-    )
+    p = tiles.position_sums(whole_reads(spark, d))
+    return p.select("rname", "p", "n", "gone", "skips", "heads", "tails", "indel", "qpos", "baseq", "a")
 
 
 #: Winners of positions and insertions, by the rules of a fold in arrival order.
@@ -226,7 +223,7 @@ _TEXT = f"""shown AS (SELECT rname, p, ord, qid % 2 AS file, substr('{REFERENCE}
 )
 def mpileup_files(spark, d):
     r = whole_reads(spark, d).withColumn("file", F.col("qid") % 2)
-    return depth.mpileup(depth.pileup_cigar(r), reference(spark), [0, 1], longest=depth.longest_deletion(r))
+    return tiles.mpileup(r, reference(spark), [0, 1], ahead=depth.longest_deletion(r))
 
 
 @query(
