@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import stats as K
-from .sweep import islands
 from .variants import _matrix
 
 
@@ -248,21 +247,6 @@ def fetch_sequence(reference: DataFrame, regions: DataFrame) -> DataFrame:
     return j.select("name", "beg", "end", F.when(beg < end, F.substring("seq", beg + 1, end - beg)).otherwise("").alias("seq"))
 
 
-def target_segments(depths: DataFrame, min_depth: int = 3) -> DataFrame:
-    """(chrom, beg, end) of target by a two-state path over covered positions; each island of coverage is a group."""
-    isl = islands(depths, ["chrom"], "pos", 100, "_i")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        high = (pdf["depth"].to_numpy() >= min_depth).astype(float)
-        path = A.two_state_path(np.stack([1 - 2 * high, 2 * high - 1], 1))
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], path, [0]])))
-        pos = pdf["pos"].to_numpy()
-        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "beg": pos[edge[0::2]], "end": pos[edge[1::2] - 1] + 1})
-
-    return isl.groupBy("chrom", "_i").applyInPandas(one, "chrom string, beg long, end long")
-
-
 def levels(reads: DataFrame) -> DataFrame:
     """(ord, level): stacking of reads for display, per contig and window of positions given in ``win``."""
 

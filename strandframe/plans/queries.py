@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import calling, codec, consensus, depth, intervals, quality, records, search, sequence_stats, sites, variants
+from ..operators import calling, codec, consensus, depth, intervals, quality, records, search, sequence_stats, sites, variants, walks
 from . import projections as P
 
 PATTERN = "ACGTA"
@@ -570,7 +570,7 @@ SELECT 'chr' || tid AS chrom, cast(min(pos) AS bigint) AS beg, cast(max(pos) + 1
     P.READS.replace("reads AS", "RECURSIVE reads AS", 1),
 )
 def target_segments(spark, d):
-    return sites.target_segments(depth.sweep(P.reads(spark, d)).select(F.concat(F.lit("chr"), "tid").alias("chrom"), F.col("pos").cast("long").alias("pos"), "depth"), 10)
+    return walks.two_state_segments(depth.sweep(P.reads(spark, d)).select(F.concat(F.lit("chr"), "tid").alias("chrom"), F.col("pos").cast("long").alias("pos"), "depth"), 10)
 
 
 @query()

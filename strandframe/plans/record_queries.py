@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import consensus, depth, gaps, headers, quality, records, sites, tiles
+from ..operators import consensus, depth, gaps, headers, quality, records, sites, tiles, walks
 from ..sources import binary, read_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
@@ -598,6 +598,19 @@ def sites_cat(spark, d):
     return _shown(store.concatenate_sites(spark, paths), "file")
 
 
+@query()
+def variant_filter(spark, d):
+    """Site lines six positions apart with annotations for all filters, near gaps, MNPs and each other."""
+    v = site_lines(spark, d).withColumn("site", F.expr("CAST(substring(id, 3) AS long)"))
+    two = F.col("site") % 5 == 1
+    info = F.create_map(
+        F.lit("DP"), F.col("info")["DP"], F.lit("DP4"), F.concat_ws(",", *[(F.col("site") * k % 7).cast("string") for k in (1, 2, 3, 5)]), F.lit("MQ"), F.col("info")["MQ"], F.lit("MXSP"), (F.col("site") % 1003).cast("string"),
+        F.lit("PV4"), F.concat_ws(",", F.when(F.col("site") % 31 == 0, "1e-9").otherwise("0.2"), F.lit("0.5"), F.lit("0.4"), F.lit("1")), F.lit("G3"), F.lit("0,0.6,0.4"), F.lit("HWE"), F.when(F.col("site") % 29 == 0, "1e-7").otherwise("0.4"),
+    )
+    v = v.select("chrom", (F.col("site") * 2).cast("int").alias("pos"), F.col("site").alias("id"), F.when(two, F.concat("ref", F.lit("ACGTACGT"))).otherwise(F.col("ref")).alias("ref"), F.when(two, F.array(F.concat(F.element_at("alt", 1), F.lit("TTTTTTTT")))).otherwise(F.col("alt")).alias("alt"), "qual", info.alias("info"))
+    return walks.variant_filter(v).select("chrom", "pos", "id", "filter")
+
+
 @query()
 def pileup_site_filter(spark, d):
     r = P.reads(spark, d).groupBy("tid", "pos").agg(F.count(F.lit(1)).cast("int").alias("depth"), F.max("mapq").cast("int").alias("mapq"), F.sum("qid").alias("_q"))
