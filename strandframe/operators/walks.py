@@ -15,7 +15,6 @@ Two forms, for two kinds of state:
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -23,17 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
+from ..sources.shared import stored
 
 _RESULT = "tile int, start string, stop string, marks array<struct<id:long,mark:string>>, last int"
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, f"walk-{uuid.uuid4().hex[:8]}/{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def neighbour_walk(sites: DataFrame, step: Callable[[dict, list[dict]], None], reach: int, key: str = "chrom", pos: str = "pos", order: tuple[str, ...] = ("id",), tile: int | None = None) -> DataFrame:
     """(key, id, mark) of ``sites`` (key, id, pos, stop, and what ``step`` reads) in order of (pos, *order).
 
@@ -92,20 +85,20 @@ def neighbour_walk(sites: DataFrame, step: Callable[[dict, list[dict]], None], r
     k = F.floor(F.col(pos) / width).cast("int")
     rows = sites.withColumn("_tile", k)
     ahead = rows.where((F.col("_tile") + 1) * width - F.col("stop") <= warm).withColumns({"_tile": F.col("_tile") + 1, "_own": F.lit(False)})
-    rows = _store(rows.withColumn("_own", F.lit(True)).unionByName(ahead), "rows")
-    state = _store(rows.groupBy(key, "_tile").applyInPandas(first, schema), "round0")
+    rows = stored(rows.withColumn("_own", F.lit(True)).unionByName(ahead), "rows")
+    state = stored(rows.groupBy(key, "_tile").applyInPandas(first, schema), "round0")
     by = Window.partitionBy(key).orderBy("tile")  # one row a tile
     n = 0
     while True:
         n += 1
         joined = F.lag("tile").over(by) == F.col("tile") - 1
         told = state.withColumn("_start", F.when(joined, F.lag("stop").over(by)).otherwise("[]"))
-        wrong = _store(told.where(F.col("_start") != F.col("start")).select(key, F.col("tile").alias("_tile"), "_start"), f"wrong{n}")
+        wrong = stored(told.where(F.col("_start") != F.col("start")).select(key, F.col("tile").alias("_tile"), "_start"), f"wrong{n}")
         if wrong.isEmpty():
             break
         mended = rows.join(wrong, [key, "_tile"]).groupBy(key, "_tile").applyInPandas(again, schema)
         kept = state.join(wrong.select(key, F.col("_tile").alias("tile")), [key, "tile"], "left_anti")
-        state = _store(kept.unionByName(mended), f"round{n}")
+        state = stored(kept.unionByName(mended), f"round{n}")
     # a tile's last sites are told by the next tile, or by itself where none follows
     follows = F.coalesce(F.lead("tile").over(by) == F.col("tile") + 1, F.lit(False))
     ends = state.withColumn("_open", F.when(~follows, F.from_json("stop", "array<array<string>>")))
@@ -199,7 +192,7 @@ def two_state_segments(depths: DataFrame, min_depth: int = 3, gap: int = 100, st
     for the high state from ``min_depth`` on and -1 below, the low state the other way round; a change costs ``-switch``. Over more than ``gap``
     positions without cover the path starts anew. Ties stay in the same state; at the end the low state wins them."""
     rows = depths.select("chrom", F.col("pos").cast("long").alias("pos"), (F.col("depth") >= min_depth).alias("high"), F.floor(F.col("pos") / tile).cast("long").alias("_tile"))
-    rows = _store(rows, "depths")
+    rows = stored(rows, "depths")
     ends = rows.groupBy("chrom", "_tile").agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
     by = Window.partitionBy("chrom").orderBy("_tile")  # one row a tile
     ends = ends.select("chrom", "_tile", F.coalesce(F.col("_lo") - F.lag("_hi").over(by) <= gap, F.lit(False)).alias("_joins"), F.coalesce(F.lead("_lo").over(by) - F.col("_hi") <= gap, F.lit(False)).alias("_goes_on"))
@@ -266,7 +259,7 @@ def two_state_segments(depths: DataFrame, min_depth: int = 3, gap: int = 100, st
     m = rows.groupBy("chrom", "_tile").applyInPandas(matrix, f"chrom {kind}, _tile long, m00 double, m01 double, m10 double, m11 double")
     v = m.groupBy("chrom").applyInPandas(forward, f"chrom {kind}, _tile long, v0 double, v1 double")
     both = rows.join(v, ["chrom", "_tile"]).groupBy("chrom", "_tile").applyInPandas(decode, f"chrom {kind}, _tile long, end int, before int, best int, runs array<struct<beg:long,end:long,cont:boolean,edge:boolean>>")
-    both = _store(both, "decoded")
+    both = stored(both, "decoded")
     picked = both.drop("runs").join(ends, ["chrom", "_tile"]).groupBy("chrom").applyInPandas(choose, f"chrom {kind}, _tile long, end int")
     runs = both.join(picked, ["chrom", "_tile", "end"]).select("chrom", F.explode("runs").alias("x")).select("chrom", "x.*")
     # runs that a tile's border cut are one again; at most two a tile

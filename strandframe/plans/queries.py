@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import calling, codec, consensus, depth, intervals, quality, records, search, sequence_stats, sites, variants, walks
+from ..operators import calling, codec, consensus, depth, intervals, phasing, quality, records, search, sequence_stats, sites, variants, walks
 from . import projections as P
 
 PATTERN = "ACGTA"
@@ -606,8 +606,57 @@ def haploid_consensus(spark, d):
 
 @query()
 def phase_sets(spark, d):
-    obs = P.reads(spark, d).select("tid", F.col("qid").alias("frag"), (F.col("pos") - F.col("pos") % 5).alias("pos"), (F.col("mapq") % 2).alias("allele")).groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
-    return calling.phase_sets(obs)
+    return calling.phase_sets(_observations(spark, d))
+
+
+def _observations(spark, d):
+    """Letters of fragments at sites five apart; a fragment is what a template has within 50 positions."""
+    r = P.reads(spark, d).select("tid", (F.col("qid") * 100 + F.floor((F.col("pos") + 2000) / 50)).alias("frag"), (F.col("pos") - F.pmod(F.col("pos"), F.lit(5))).alias("pos"), (F.col("mapq") % 2).alias("allele"))
+    return r.groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
+
+
+#: Fragments of whole contigs at sites with a phase by rule: long enough for chimeras.
+_SIDES = """obs AS (SELECT tid, qid // 16 AS frag, pos - ((pos % 5) + 5) % 5 AS pos, min(mapq % 2) AS allele FROM reads GROUP BY ALL),
+sides AS (SELECT tid, frag, pos, allele, allele = ((pos // 5) % 3 = 0)::INT AS same FROM obs),
+own AS (SELECT *, count(*) FILTER (WHERE same) OVER w AS n0, count(*) OVER w AS n FROM sides WINDOW w AS (PARTITION BY tid, frag)),
+signed AS (SELECT *, CASE WHEN 2 * n0 > n THEN 0 ELSE 1 END AS phase, CASE WHEN 2 * n0 > n THEN n0 ELSE n - n0 END AS agree FROM own),
+lefts AS (SELECT *, count(*) FILTER (WHERE same = (phase = 0)) OVER w AS l, count(*) OVER w AS k FROM signed WINDOW w AS (PARTITION BY tid, frag ORDER BY pos)),
+worths AS (SELECT *, l + (n - k - (agree - l)) - 2 * (agree - l) AS t, k - l + (agree - l) - 2 * (n - k - (agree - l)) AS h FROM lefts),
+frags AS (SELECT tid, frag, any_value(n) AS n, any_value(phase) AS phase, any_value(agree) AS agree, any_value(n) - any_value(agree) AS differ,
+  max(greatest(t, h)) FILTER (WHERE k < n) AS w, arg_max({'p': pos, 't': t > h}, {'w': greatest(t, h), 'p': -pos}) FILTER (WHERE k < n) AS b FROM worths GROUP BY tid, frag),
+cuts AS (SELECT *, least(agree, differ) >= 3 AND w - greatest(agree, differ) >= 4 AS is_cut FROM frags)"""
+
+
+def _sided(spark, d):
+    obs = P.reads(spark, d).select("tid", F.floor(F.col("qid") / 16).alias("frag"), (F.col("pos") - F.pmod(F.col("pos"), F.lit(5))).alias("pos"), (F.col("mapq") % 2).alias("allele")).groupBy("tid", "frag", "pos").agg(F.min("allele").alias("allele"))
+    sites_ = obs.select("tid", "pos").distinct().select("tid", F.lit(0).alias("ps"), "pos", F.expr("CAST(pos DIV 5 % 3 = 0 AS int)").alias("phase"))
+    return obs, sites_
+
+
+@query("SELECT tid, frag, n, phase, agree, differ, agree <> differ AS phased, agree > 0 AND differ > 0 AND differ < 3 AND agree <= differ + 1 AS ambiguous, CASE WHEN is_cut THEN b.p END AS cut, CASE WHEN is_cut THEN b.t END AS tail FROM cuts", P.READS, _SIDES)
+def fragment_phases(spark, d):
+    return phasing.fragment_phases(*_sided(spark, d)).drop("ps")
+
+
+@query(
+    """, mended AS (SELECT o.tid, o.frag, o.pos, CASE WHEN c.is_cut AND (o.pos > c.b.p) = c.b.t THEN NOT o.same ELSE o.same END AS same FROM sides o JOIN cuts c USING (tid, frag)),
+turned AS (SELECT tid, frag, CASE WHEN 2 * count(*) FILTER (WHERE same) > count(*) THEN 0 ELSE 1 END AS phase, count(*) AS n FROM mended GROUP BY tid, frag)
+SELECT tid, pos, count(*) FILTER (WHERE n > 1 AND phase = 0 AND same) AS first_agree, count(*) FILTER (WHERE n > 1 AND phase = 0 AND NOT same) AS first_differ, count(*) FILTER (WHERE n > 1 AND phase = 1 AND NOT same) AS second_agree, count(*) FILTER (WHERE n > 1 AND phase = 1 AND same) AS second_differ
+FROM mended JOIN turned USING (tid, frag) GROUP BY tid, pos""",
+    P.READS, _SIDES,
+)
+def phase_support(spark, d):
+    """Support of sites after chimeras were cut."""
+    obs, at = _sided(spark, d)
+    mended = phasing.repaired(obs, phasing.fragment_phases(obs, at))
+    return phasing.site_support(mended, at, phasing.fragment_phases(mended, at, repair=False)).drop("ps")
+
+
+@query()
+def phase_masks(spark, d):
+    """Stretches of sites where letters and sides do not fit."""
+    obs, at = _sided(spark, d)
+    return phasing.masked_regions(phasing.doubt(phasing.site_support(obs, at, phasing.fragment_phases(obs, at, repair=False)))).select("tid", "beg", "end", "score")
 
 
 @query(

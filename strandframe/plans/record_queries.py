@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
 from ..operators import consensus, depth, gaps, headers, quality, records, sites, tiles, walks
-from ..sources import binary, read_index, sites_binary, store, text
+from ..sources import binary, read_index, sequence_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
 from .queries import query
@@ -480,16 +480,14 @@ def vcf_letters(spark, d):
     return sites.consensus_letters(site_lines(spark, d))
 
 
-@query(
-    """, indexed AS (SELECT seq, length(seqs) AS len, cast(ceil(length(seqs) / 60.0) AS bigint) AS breaks, 3 + length(cast(seq AS varchar)) AS head FROM sequences WHERE length(seqs) >= 60)
-SELECT 's' || seq || ' ' || len || ' ' || cast(sum(head + len + breaks) OVER (ORDER BY seq) - len - breaks AS bigint) || ' 60 61' AS place FROM indexed""",
-    P.SEQUENCES,
-)
+@query("SELECT 's' || seq || ' ' || length(seqs) || ' ' || least(length(seqs), 60) || ' ' || least(length(seqs), 60) + 1 AS place FROM sequences WHERE length(seqs) > 0", P.SEQUENCES)
 def fasta_index(spark, d):
+    """Files of all tasks, indexed in ranges of 64 kB; offsets depend on how tasks dealt the records (see the tests)."""
     path = shared_path(spark, "indexed.fa")
-    named = P.sequences(spark, d).where("length(seqs) >= 60").orderBy("seq").select(F.concat(F.lit("s"), "seq").alias("name"), F.col("seqs").alias("seq"))
-    store.write_text(text.format_fasta(named).coalesce(1), path)
-    return text.fasta_index(spark, path).select(F.concat_ws(" ", "name", "len", "offset", "line_bases", "line_bytes").alias("place"))
+    named = P.sequences(spark, d).where("length(seqs) > 0").select(F.concat(F.lit("s"), "seq").alias("name"), F.col("seqs").alias("seq"))
+    store.write_text(text.format_fasta(named), path)
+    x = sequence_index.sequence_index(spark, path, 64 << 10, ".txt")
+    return x.select(F.concat_ws(" ", "name", "len", "line_bases", "line_bytes").alias("place"))
 
 
 @query("SELECT chrom, pos, lower(letter) AS letter FROM near UNION ALL SELECT chrom, pos, letter FROM letters WHERE (chrom, pos) NOT IN (SELECT (chrom, pos) FROM near)", SITES, SITE_LINES,

@@ -142,33 +142,3 @@ def to_bed(reads: DataFrame) -> DataFrame:
 
     r = reads.where(none_of("flag", 4) & (F.col("pos") >= 0))
     return r.select(F.col("rname").alias("chrom"), F.col("pos").alias("beg"), (F.col("pos") + span("cigar", "MDN")).alias("end"), F.col("qname").alias("name"), F.col("mapq").alias("score"), F.when(any_of("flag", 16), "-").otherwise("+").alias("strand"))
-
-
-def fasta_index(spark: SparkSession, path: str) -> DataFrame:
-    """(name, len, offset, line_bases, line_bytes) per record, from the raw bytes of each file; uneven lines raise an error."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for content in pdf["content"]:
-                name, at = None, 0
-                for line in bytes(content).splitlines(keepends=True):
-                    bare = line.rstrip(b"\r\n")
-                    if bare.startswith(b">"):
-                        name = bare[1:].split()[0].decode()
-                        out.append([name, 0, at + len(line), 0, 0])
-                        short = False
-                    elif name is not None and bare:
-                        rec = out[-1]
-                        if short or (rec[3] and len(bare) > rec[3]):
-                            raise ValueError(f"lines of {name} differ in length")
-                        if not rec[3]:
-                            rec[3], rec[4] = len(bare), len(line)
-                        short = len(bare) < rec[3]
-                        rec[1] += len(bare)
-                    at += len(line)
-            yield pd.DataFrame(out, columns=["name", "len", "offset", "line_bases", "line_bytes"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string, len long, offset long, line_bases int, line_bytes int")

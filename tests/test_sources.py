@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import reads as R
 from strandframe.operators import consensus, depth, intervals
-from strandframe.sources import binary, text
+from strandframe.sources import binary, sequence_index, text
 
 SAM = """@HD\tVN:1.4\tSO:unsorted
 @SQ\tSN:c1\tLN:50
@@ -94,7 +94,7 @@ def test_fasta(spark, tmp_path):
     p.write_text(">one first\nACGT\nAC\n>two\nGGNN\n")
     got = {r["name"]: r["seq"] for r in text.read_fasta(spark, str(p), strict=True).collect()}
     assert got == {"one": "ACGTAC", "two": "GGNN"}
-    idx = {r["name"]: (r["len"], r["offset"], r["line_bases"], r["line_bytes"]) for r in text.fasta_index(spark, str(p)).collect()}
+    idx = {r["name"]: (r["len"], r["offset"], r["line_bases"], r["line_bytes"]) for r in sequence_index.sequence_index(spark, str(p)).collect()}
     assert idx == {"one": (6, 11, 4, 5), "two": (4, 24, 4, 5)}
     out = text.format_fasta(spark.createDataFrame([("n", "A" * 130)], "name string, seq string")).first()["value"]
     assert out == ">n\n" + "A" * 60 + "\n" + "A" * 60 + "\n" + "A" * 10
@@ -131,3 +131,25 @@ def test_overlaps_against_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == {a for a, _ in hit}
     cov = {x["rid"]: x["cov"] for x in intervals.coverage(r, g).collect()}
     assert cov == {y[0]: sum(max(0, min(x[3], y[3]) - max(x[2], y[2])) for x in reads if x[1] == y[1]) for y in regs}
+
+
+def test_sequence_index_over_ranges(spark, tmp_path):
+    import random
+
+    rng, p = random.Random(1), tmp_path / "many.fa"
+    out, want = "", {}
+    for k in range(120):
+        n, width = rng.choice([0, 1, 59, 60, 61, 700, 5000]), rng.choice([60, 7, 4000])
+        end = rng.choice(["\n", "\r\n"])
+        out += f">s{k} and more{end}"
+        body = "".join("A" * min(width, n - i) + end for i in range(0, n, width))
+        want[f"s{k}"] = (n, len(out), min(width, n), min(width, n) + len(end) if n else 0)
+        out += body + rng.choice(["", "\n"])
+    p.write_bytes(out.encode())
+    for split in (1 << 25, 4096, 333, 50):
+        got = {r["name"]: (r["len"], r["offset"], r["line_bases"], r["line_bytes"]) for r in sequence_index.sequence_index(spark, str(p), split).collect()}
+        assert got == want
+    p.write_text(">a\nACGT\nAC\nACGT\n")
+    for split in (100, 8, 3):
+        with pytest.raises(Exception, match="differ in length"):
+            sequence_index.sequence_index(spark, str(p), split).collect()

@@ -91,12 +91,12 @@ def test_a_chain_longer_than_any_guess(spark):
     """Gaps nine apart: each is dropped by the one before it that stayed, so the marks alternate from the very first site on."""
     rows = [("c", k, 10 + 9 * k, "A", ["AT"], 50.0, {"DP": "20", "DP4": "5,5,5,5", "MQ": "60"}) for k in range(400)]
     asked = []
-    real = walks._store
+    real = walks.stored
     try:
-        walks._store = lambda df, name: (asked.append(name), real(df, name))[1]
+        walks.stored = lambda df, name: (asked.append(name), real(df, name))[1]
         got = {r["id"]: r["filter"] for r in walks.variant_filter(spark.createDataFrame(rows, SITE), tile=60).collect()}
     finally:
-        walks._store = real
+        walks.stored = real
     assert got == {k: "gap_pair" if k % 2 else "PASS" for k in range(400)} == whole(rows)
     assert any(n.startswith("round") and n != "round0" for n in asked)
 
