@@ -498,14 +498,21 @@ def letters_near_indels(spark, d):
     return sites.mask_near_indels(v.where(snp).select("chrom", "pos", F.col("ref").alias("letter")), v.where(~snp).select("chrom", "pos"), 15)
 
 
-def header(spark: SparkSession, first: int) -> DataFrame:
-    """Header lines: HD, three contigs, two read groups, one comment."""
-    rows = [(0, "HD", {"VN": "1.4", "SO": "unsorted"})] + [(1 + k, "SQ", {"SN": f"chr{first + k}", "LN": str(LENGTH + first)}) for k in range(3)]
-    rows += [(4 + k, "RG", {"ID": f"g{first + k}", "LB": f"lib{k}", "SM": "s"}) for k in range(2)] + [(6, "CO", {"text": "made by hand"})]
-    return spark.createDataFrame(rows, "line_no long, type string, tags map<string,string>")
+def header(spark: SparkSession, d: str, first: bool) -> DataFrame:
+    """Header lines from tables: a contig for each nation, a read group for each region, and a comment; two headers that overlap."""
+    nations, regions_ = P.table(spark, d, "nation"), P.table(spark, d, "region")
+    own, groups = (F.col("n_nationkey") < 15, F.col("r_regionkey") < 3) if first else (F.col("n_nationkey") >= 10, F.col("r_regionkey") >= 2)
+    s = lambda x: x.cast("string")
+    line = lambda n, kind, *tags: (n.cast("long").alias("line_no"), F.lit(kind).alias("type"), F.create_map(*[F.lit(t) if isinstance(t, str) else t for t in tags]).alias("tags"))
+    top = regions_.where("r_regionkey = 0").select(*line(F.lit(0), "HD", "VN", F.lit("1.4"), "SO", F.lit("unsorted")))
+    sq = nations.where(own).select(*line(F.col("n_nationkey") + 1, "SQ", "SN", F.concat(F.lit("chr"), s(F.col("n_nationkey"))), "LN", s(F.lit(LENGTH + (not first)) + F.col("n_regionkey"))))
+    rg = regions_.where(groups).select(*line(F.col("r_regionkey") + 100, "RG", "ID", F.concat(F.lit("g"), s(F.col("r_regionkey"))), "LB", F.lower("r_name"), "SM", F.lit("s")))
+    return top.unionByName(sq).unionByName(rg).unionByName(regions_.where("r_regionkey = 0").select(*line(F.lit(200), "CO", "text", F.lit("from tables"))))
 
 
-_HEADER = "SELECT line_no, type, place FROM (VALUES {}) t(line_no, type, place)"
+_HEADERS = f"""head AS (SELECT 0 AS line_no, 'HD' AS type, 'SO:unsorted VN:1.4' AS place, 'HD' AS name, 0 AS side UNION ALL SELECT 200, 'CO', 'text:from tables', 'CO', 0
+UNION ALL SELECT n_nationkey + 1, 'SQ', 'LN:' || ({LENGTH} + n_regionkey + CASE WHEN n_nationkey < 15 THEN 0 ELSE 1 END) || ' SN:chr' || n_nationkey, 'chr' || n_nationkey, CASE WHEN n_nationkey < 15 THEN 0 ELSE 1 END FROM nation
+UNION ALL SELECT r_regionkey + 100, 'RG', 'ID:g' || r_regionkey || ' LB:' || lower(r_name) || ' SM:s', 'g' || r_regionkey, CASE WHEN r_regionkey < 3 THEN 0 ELSE 1 END FROM region)"""
 
 
 def _lines(h: DataFrame) -> DataFrame:
@@ -513,23 +520,19 @@ def _lines(h: DataFrame) -> DataFrame:
     return h.select(F.col("line_no").cast("int").alias("line_no"), "type", tags.alias("place"))
 
 
-def _values(*rows) -> str:
-    return _HEADER.format(", ".join(f"({n}, '{k}', '{p}')" for n, k, p in rows))
-
-
-@query(_values((0, "HD", "SO:unsorted VN:1.4"), (1, "SQ", "LN:4000 SN:chr0"), (2, "SQ", "LN:4000 SN:chr1"), (3, "SQ", "LN:4000 SN:chr2"), (4, "RG", "ID:g0 LB:lib0 SM:s"), (5, "RG", "ID:g1 LB:lib1 SM:s"), (6, "CO", "text:made by hand"), (3, "SQ", "LN:4001 SN:chr3"), (5, "RG", "ID:g2 LB:lib1 SM:s")))
+@query("SELECT cast(line_no AS int) AS line_no, type, place FROM head", _HEADERS)
 def headers_merged(spark, d):
-    return _lines(headers.merge_headers(header(spark, 0), header(spark, 1)))
+    return _lines(headers.merge_headers(header(spark, d, True), header(spark, d, False)))
 
 
-@query(_values((0, "HD", "SO:coordinate VN:1.4"), (1, "SQ", "LN:4000 SN:chr0"), (2, "SQ", "LN:4000 SN:chr1"), (3, "SQ", "LN:4000 SN:chr2"), (5, "RG", "ID:g1 LB:lib1 SM:s"), (6, "CO", "text:made by hand")))
+@query("SELECT cast(line_no AS int) AS line_no, type, replace(place, 'SO:unsorted', 'SO:coordinate') AS place FROM head WHERE side = 0 AND (type <> 'RG' OR name = 'g1')", _HEADERS)
 def header_edited(spark, d):
-    return _lines(headers.keep_read_groups(headers.set_sort_order(header(spark, 0), "coordinate"), ["g1"]))
+    return _lines(headers.keep_read_groups(headers.set_sort_order(header(spark, d, True), "coordinate"), ["g1"]))
 
 
-@query("SELECT cast(i AS int) AS tid, 'chr' || i AS name, 4000 AS len FROM range(3) t(i)")
+@query("SELECT cast(row_number() OVER (ORDER BY line_no) - 1 AS int) AS tid, name, regexp_extract(place, 'LN:(\\d+)', 1)::INT AS len FROM head WHERE type = 'SQ' AND side = 0", _HEADERS)
 def header_contigs(spark, d):
-    return headers.contig_table(header(spark, 0))
+    return headers.contig_table(header(spark, d, True))
 
 
 @query("SELECT cast(count(*) FILTER (WHERE r2 > 0.5) AS bigint) AS n, cast(coalesce(sum(pos - prev) FILTER (WHERE r2 > 0.5), 0) AS bigint) AS span FROM (SELECT site * 5 AS pos, site * 5 - 5 AS prev, (site % 10) / 10.0 AS r2 FROM sites)", SITES)
