@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import calling, codec, consensus, depth, intervals, phasing, quality, records, search, sequence_stats, sites, variants, walks
+from ..operators import calling, codec, consensus, depth, intervals, phasing, position_bias, quality, records, search, sequence_stats, sites, variants, walks
 from . import projections as P
 
 PATTERN = "ACGTA"
@@ -281,6 +281,34 @@ def mpileup_text(spark, d):
     return depth.text(_with_bases(depth.pileup(P.reads(spark, d))))
 
 
+_PLACES = """places AS (SELECT tid, p AS pos, cast(floor((qpos + 1)::DOUBLE / (len + 1) * 100) AS int) AS place, count(*) FILTER (WHERE base = 'A') AS r, count(*) FILTER (WHERE base <> 'A') AS a FROM pile GROUP BY ALL),
+ranked AS (SELECT *, sum(r) OVER (PARTITION BY tid, pos ORDER BY place) AS before, CASE WHEN place < 50 THEN place ELSE 100 - place END AS near FROM places),
+centred AS (SELECT *, sum(near * a) OVER w / nullif(sum(a) OVER w, 0)::DOUBLE AS mean FROM ranked WINDOW w AS (PARTITION BY tid, pos)),
+biased AS (SELECT tid, pos, sum(r)::BIGINT AS n_ref, sum(a)::BIGINT AS n_alt, sum(before * a)::BIGINT AS u, sum(abs(near - mean) * a) / nullif(sum(a), 0)::DOUBLE AS distance FROM centred GROUP BY tid, pos)"""
+
+
+@query("SELECT tid, pos, n_ref, n_alt, u, round(distance, 6) AS distance FROM biased", P.READS, _PILE, _PLACES)
+def read_place_sums(spark, d):
+    return _place_sums(spark, d).withColumn("distance", F.round("distance", 6))
+
+
+def _place_sums(spark, d):
+    pile = _with_bases(depth.pileup(P.reads(spark, d))).withColumns({"ref": F.lit("A"), "pos": F.col("p")})
+    return position_bias.place_sums(position_bias.place_counts(pile))
+
+
+@query(
+    """SELECT tid, pos, n_ref, n_alt, round((u - (n_ref * n_alt + 1) / 2.0) / sqrt(n_ref * n_alt * (n_ref + n_alt + 1) / 12.0), 6) AS rank_z,
+CASE WHEN n_alt >= 24 THEN round(exp(-0.5 * pow((distance - 12.5) / (1.476 / (0.182 * pow(least(n_alt, 100), 0.514))), 2)) / (1.476 / (0.182 * pow(least(n_alt, 100), 0.514)) * sqrt(2 * pi())), 6) END AS distance_bias
+FROM biased WHERE n_ref >= 8 AND n_alt >= 24""",
+    P.READS, _PILE, _PLACES,
+)
+def read_place_bias(spark, d):
+    """Sites deep enough for the normal curve; the tests hold shallow ones against all orders of letters."""
+    b = position_bias.position_bias(_place_sums(spark, d)).where("n_ref >= 8 AND n_alt >= 24")
+    return b.withColumns({c: F.round(c, 6) for c in ("rank_z", "distance_bias")})
+
+
 def _sums() -> str:
     rev, tail = "flag & 16 <> 0", "least(least(qpos, len - 1 - qpos), 25)"
     out = [f"count(*) FILTER (WHERE base {o} 'A' AND {n}({rev})) AS {k}" for o, n, k in (("=", "NOT ", "rf"), ("=", "", "rr"), ("<>", "NOT ", "af"), ("<>", "", "ar"))]
