@@ -245,8 +245,9 @@ def count_posterior(pl: np.ndarray, theta: float = 1e-3, prior: str = "full") ->
     return count_posteriors(pl[None], theta, prior)[0]
 
 
-def count_posteriors(pl: np.ndarray, theta: float = 1e-3, prior: str = "full") -> np.ndarray:
-    """The same for many sites (sites x samples x 3): samples are taken in one by one, all sites at a time."""
+def count_likelihoods(pl: np.ndarray) -> np.ndarray:
+    """Likelihood of each number of second alleles (sites x 2n + 1), the mean over the chromosomes that may have them, up to a factor of each
+    site: samples are taken in one by one, all sites (sites x samples x 3) at a time."""
     like = LIKELIHOOD[np.clip(pl, 0, 255)]
     n = like.shape[1]
     z = np.ones((len(like), 1))
@@ -257,11 +258,42 @@ def count_posteriors(pl: np.ndarray, theta: float = 1e-3, prior: str = "full") -
         ways = ((m - k) * (m - k - 1) * wide[:, 2:], 2 * k * (m - k) * wide[:, 1:-1], k * (k - 1) * wide[:, :-2])
         z = sum(like[:, j, g, None] * w for g, w in enumerate(ways)) / (m * (m - 1))
         z /= np.maximum(z.max(1, keepdims=True), 1e-300)
-    post = z * _count_prior(n, theta, prior)
+    return z
+
+
+def count_posteriors(pl: np.ndarray, theta: float = 1e-3, prior="full") -> np.ndarray:
+    """The same for many sites (sites x samples x 3)."""
+    post = count_likelihoods(pl) * _count_prior(pl.shape[1], theta, prior)
     return post / post.sum(1, keepdims=True)
 
 
-def _count_prior(n: int, theta: float, prior: str) -> np.ndarray:
+def count_interval(post: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """Of posteriors by count, the first counts at which (1 - level) / 2 and 1 - (1 - level) / 2 of the whole are reached."""
+    total = np.cumsum(post, 1)
+    tail = (1 - level) / 2
+    return (total >= tail).argmax(1), np.where((total >= 1 - tail).any(1), (total >= 1 - tail).argmax(1), post.shape[1] - 1)
+
+
+def group_contrast(pl: np.ndarray, first: int, theta: float = 1e-3, prior="full") -> np.ndarray:
+    """(sites x 3) posterior that the second allele is rarer, as frequent, or more frequent in the first ``first`` samples than in the rest: each
+    pair of counts has the prior of its sum, shared among the ways to deal that sum to the two groups."""
+    a, b = 2 * first, 2 * (pl.shape[1] - first)
+    i, j = np.arange(a + 1)[:, None], np.arange(b + 1)[None, :]
+    choose = np.vectorize(math.comb, otypes=[float])
+    weight = choose(a, i) * choose(b, j) / choose(a + b, i + j) * _count_prior(pl.shape[1], theta, prior)[i + j]
+    joint = count_likelihoods(pl[:, :first])[:, :, None] * count_likelihoods(pl[:, first:])[:, None, :] * weight
+    joint /= joint.sum((1, 2), keepdims=True)
+    side = np.sign(i * b - j * a)
+    return np.stack([(joint * (side == k)).sum((1, 2)) for k in (-1, 0, 1)], 1)
+
+
+def _count_prior(n: int, theta: float, prior) -> np.ndarray:
+    """``full``, ``flat``, ``cond2``, or the 2n + 1 probabilities themselves."""
+    if not isinstance(prior, str):
+        own = np.asarray(prior, float)
+        if own.shape != (2 * n + 1,) or (own < 0).any() or own.sum() <= 0:
+            raise ValueError(f"a prior of {n} samples has {2 * n + 1} probabilities")
+        return own / own.sum()
     k = np.arange(2 * n + 1)
     if prior == "flat":
         return np.ones(2 * n + 1)

@@ -96,6 +96,35 @@ def count_posterior(sites: DataFrame) -> DataFrame:
     return sites.select("site", "pl").mapInPandas(run, "site long, p_ref double, ac double")
 
 
+def count_interval(sites: DataFrame, level: float = 0.95, prior="full") -> DataFrame:
+    """(site, low, high): interval of the number of second alleles that holds ``level`` of its posterior."""
+
+    def run(batches):
+        for pdf in batches:
+            low, high = K.count_interval(K.count_posteriors(_stack(pdf["pl"]), prior=prior), level)
+            yield pd.DataFrame({"site": pdf["site"], "low": low, "high": high})
+
+    return sites.select("site", "pl").mapInPandas(run, "site long, low int, high int")
+
+
+def group_contrast(sites: DataFrame, first: int, prior="full") -> DataFrame:
+    """(site, less, equal, more): posterior that the second allele is rarer, as frequent or more frequent in the first ``first`` samples."""
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(0, len(pdf), 500):  # a site takes a number for each pair of counts
+                p = K.group_contrast(_stack(pdf["pl"][k : k + 500]), first, prior=prior)
+                yield pd.DataFrame({"site": pdf["site"][k : k + 500], "less": p[:, 0], "equal": p[:, 1], "more": p[:, 2]})
+
+    return sites.select("site", "pl").mapInPandas(run, "site long, less double, equal double, more double")
+
+
+def read_prior(spark, path: str) -> list[float]:
+    """Probabilities of the counts 0 to 2n, one a line; as many as there are chromosomes and one, so few enough for the driver."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("k"), F.trim("value").alias("v")).where("v <> ''").orderBy("k")
+    return [float(r["v"].split()[-1]) for r in lines.collect()]
+
+
 def genotype_counts(sites: DataFrame) -> DataFrame:
     """(site, hom_a, het, hom_b): samples by their likeliest genotype, the first on ties."""
     best = F.transform("pl", lambda t: F.array_position(t, F.array_min(t)))

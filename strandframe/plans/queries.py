@@ -516,19 +516,38 @@ def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@query(
-    """, lik AS (SELECT site, list_transform(pl, lambda t: list_transform(t, lambda x: pow(10.0, -x / 10.0))) AS l FROM sites),
+#: Posterior of each number of second alleles, q.
+_COUNTS = """, lik AS (SELECT site, list_transform(pl, lambda t: list_transform(t, lambda x: pow(10.0, -x / 10.0))) AS l FROM sites),
 taken AS (SELECT site, 0 AS j, [1.0::DOUBLE] AS z, l FROM lik UNION ALL
   SELECT site, j + 1, list_transform(new, lambda x: x / greatest(list_max(new), 1e-300)), l FROM (SELECT site, j, l, list_transform(generate_series(0, 2 * (j + 1)), lambda k:
     ((2 * j + 2 - k) * (2 * j + 1 - k) * l[j + 1][1] * coalesce(z[k + 1], 0) + 2 * k * (2 * j + 2 - k) * l[j + 1][2] * CASE WHEN k > 0 THEN coalesce(z[k], 0) ELSE 0 END + k * (k - 1) * l[j + 1][3] * CASE WHEN k > 1 THEN coalesce(z[k - 1], 0) ELSE 0 END) / ((2 * j + 2) * (2 * j + 1))) AS new FROM taken WHERE j < len(l))),
 post AS (SELECT site, list_transform(generate_series(0, 2 * j), lambda k: z[k + 1] * CASE WHEN k = 0 THEN greatest(1e-12, 1 - 0.001 * list_sum(list_transform(generate_series(1, 2 * j), lambda i: 1.0 / i))) ELSE 0.001 / k END) AS q FROM taken WHERE j = len(l))
-SELECT site, round(q[1] / list_sum(q), 9) AS p_ref, round(list_sum(list_transform(generate_series(1, len(q)), lambda i: (i - 1) * q[i])) / list_sum(q), 9) AS ac FROM post""",
+"""
+
+
+@query(
+    _COUNTS + """SELECT site, round(q[1] / list_sum(q), 9) AS p_ref, round(list_sum(list_transform(generate_series(1, len(q)), lambda i: (i - 1) * q[i])) / list_sum(q), 9) AS ac FROM post""",
     _PL.replace("sites AS", "RECURSIVE sites AS", 1),
 )
 def allele_count_posterior(spark, d):
     return _rounded(variants.count_posterior(P.likelihoods(spark, d)), "p_ref", "ac")
 
 
+@query(
+    _COUNTS
+    + """, cum AS (SELECT site, list_transform(generate_series(1, len(q)), lambda i: list_sum(q[1:i]) / list_sum(q)) AS c FROM post)
+SELECT site, cast(len(list_filter(c, lambda x: x < 0.025)) AS int) AS low, cast(least(len(list_filter(c, lambda x: x < 0.975)), len(c) - 1) AS int) AS high FROM cum""",
+    _PL.replace("sites AS", "RECURSIVE sites AS", 1),
+)
+def allele_count_interval(spark, d):
+    return variants.count_interval(P.likelihoods(spark, d))
+
+
+@query()
+def group_contrast(spark, d):
+    return variants.group_contrast(P.likelihoods(spark, d), 10)
+
+
 @query(
     """, lik AS (SELECT site, list_transform(pl, lambda t: list_transform(t, lambda x: pow(10.0, -x / 10.0))) AS l FROM sites),
 steps AS (SELECT site, 0 AS i, [1 / 3.0, 1 / 3.0, 1 / 3.0]::DOUBLE[] AS g, false AS rest, l FROM lik UNION ALL
