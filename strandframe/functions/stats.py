@@ -166,6 +166,51 @@ def group_lrt(pl: np.ndarray, first: np.ndarray) -> tuple[float, float]:
     return gamma_q(0.5, max(0.0, one)), gamma_q(1.0, max(0.0, two))
 
 
+def frequencies_by_group(like: np.ndarray, groups: np.ndarray, steps: int = 50, eps: float = 1e-5) -> np.ndarray:
+    """Allele frequency (sites x groups) of the samples of each group (groups x samples, boolean) by the EM of ``allele_frequency``, all sites and
+    groups at a time; the few that do not settle end by golden sections."""
+    size, f = 2 * groups.sum(1), np.full((len(like), len(groups)), 0.5)
+    moving = np.ones(f.shape, bool)
+    for _ in range(steps):
+        g = like[:, None] * np.stack([(1 - f) ** 2, 2 * f * (1 - f), f * f], -1)[:, :, None]
+        new = (((g[..., 1] + 2 * g[..., 2]) / g.sum(-1)) * groups).sum(-1) / size
+        still = moving & (np.abs(new - f) >= eps)
+        f, moving = np.where(moving, new, f), still
+        if not moving.any():
+            break
+    for i, j in np.argwhere(moving):
+        own = like[i][groups[j]]
+        f[i, j] = golden(lambda x, own=own: -log_likelihood(own, x), max(0.0, f[i, j] - 0.05), min(1.0, f[i, j] + 0.05))
+    return f
+
+
+def group_statistics(like: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """(sites x groups) log likelihood ratio of one frequency for each group and its rest against one for all."""
+
+    def total(own):
+        f = frequencies_by_group(like, own)
+        p = np.stack([(1 - f) ** 2, 2 * f * (1 - f), f * f], -1)
+        return (np.log(np.maximum((like[:, None] * p[:, :, None]).sum(-1), 1e-300)) * own).sum(-1)
+
+    return total(groups) + total(~groups) - total(np.ones((1, groups.shape[1]), bool))
+
+
+def shuffled_share(like: np.ndarray, group: np.ndarray, observed: np.ndarray, rounds: int, seed: int, enough: int = 10, step: int = 20) -> np.ndarray:
+    """Share of shuffled groups whose statistic is as high as ``observed``, a site each. The shuffles are the same for all sites; a site stops once
+    ``enough`` of them were as high, which settles its share well enough, and only the others go on."""
+    rng = np.random.default_rng(seed)
+    groups = np.array([rng.permutation(group) for _ in range(rounds)])
+    high, done, left = np.zeros(len(like), int), np.zeros(len(like), int), np.arange(len(like))
+    for k in range(0, rounds, step):
+        as_high = group_statistics(like[left], groups[k : k + step]) >= observed[left, None] - 1e-9
+        high[left] += as_high.sum(1)
+        done[left] += as_high.shape[1]
+        left = left[high[left] < enough]
+        if not len(left):
+            break
+    return high / np.maximum(done, 1)
+
+
 def haplotypes(pl_a: np.ndarray, pl_b: np.ndarray, steps: int = 50, eps: float = 1e-5) -> tuple[np.ndarray, float]:
     """Frequencies of the four haplotypes of two sites by EM over sample likelihoods, and r; r is -1 where undefined."""
     la, lb = LIKELIHOOD[np.clip(pl_a, 0, 255)], LIKELIHOOD[np.clip(pl_b, 0, 255)]

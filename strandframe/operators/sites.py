@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import stats as K
-from .variants import _matrix
+from .variants import _matrix, _stack
 
 
 def site_filter(sites: DataFrame, min_covered: float = 0.0, indels: str = "keep", acgt_only: bool = False) -> DataFrame:
@@ -117,20 +117,25 @@ def linkage_spans(pairs: DataFrame, strong: float = 0.5) -> DataFrame:
     return pairs.agg(F.count_if(hit).alias("n"), F.coalesce(F.sum(F.when(hit, F.col("pos") - F.col("prev"))), F.lit(0)).cast("long").alias("span"))
 
 
-def association(sites: DataFrame, first: int, rounds: int = 100, seed: int = 1) -> DataFrame:
-    """(site, p1, p2, perm): group tests of the first ``first`` samples against the rest, and the share of seeded shuffles that look as extreme."""
+def association(sites: DataFrame, first: int, rounds: int = 100, seed: int = 1, enough: int = 10) -> DataFrame:
+    """(site, p1, p2, perm): group tests of the first ``first`` samples against the rest, and the share of seeded shuffles that look as extreme;
+    a site takes no more shuffles once ``enough`` did. A batch of sites meets many shuffles at a time."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for site, pl in zip(pdf["site"], pdf["pl"], strict=True):
-                m = _matrix(pl)
-                group = np.arange(len(m)) < first
-                p1, p2 = K.group_lrt(m, group)
-                rng = np.random.default_rng([seed, int(site)])
-                worse = sum(K.group_lrt(m, rng.permutation(group))[0] <= p1 for _ in range(rounds)) if rounds else 0
-                out.append((site, p1, p2, worse / rounds if rounds else 1.0))
-            yield pd.DataFrame(out, columns=["site", "p1", "p2", "perm"])
+            for k in range(0, len(pdf), 200):
+                own = pdf[k : k + 200]
+                pl = _stack(own["pl"])
+                group, like = np.arange(pl.shape[1]) < first, K.LIKELIHOOD[np.clip(pl, 0, 255)]
+                if group.all() or not group.any():
+                    yield own[["site"]].assign(p1=1.0, p2=1.0, perm=1.0)
+                    continue
+                one = K.group_statistics(like, group[None])[:, 0]
+                fit = lambda m: np.log(np.maximum((like[:, m] * K.genotype_em(pl[:, m])[:, None]).sum(-1), 1e-300)).sum(1)  # noqa: B023, E731
+                two = fit(group) + fit(~group) - fit(group | True)
+                perm = K.shuffled_share(like, group, one, rounds, seed, enough) if rounds else 1.0
+                tail = lambda df, x: [K.gamma_q(df / 2, max(0.0, v)) for v in x]
+                yield pd.DataFrame({"site": own["site"], "p1": tail(1, one), "p2": tail(2, two), "perm": perm})
 
     return sites.select("site", "pl").mapInPandas(run, "site long, p1 double, p2 double, perm double")
 
