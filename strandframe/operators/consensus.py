@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import none_of, packed_rank
 from ..model import CONSENSUS_SKIP
+from .tiles import reference_tiles
 
 
 def with_ranks(reads: DataFrame) -> DataFrame:
@@ -59,9 +60,8 @@ def pairwise(reads: DataFrame, reference: DataFrame) -> DataFrame:
     m, ins = bases_and_insertions(reads)
     base = winner(m, ("rname", "pos"))
     extra = insertion_winner(ins, ("rname", "pos"))
-    ref = reference.select(F.col("name").alias("rname"), F.col("seq").alias("_ref"))
-    tiles = ref.select("rname", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("_ref") - 1) / 4096).cast("int")), lambda k: F.struct(k.alias("t"), F.substring("_ref", k * 4096 + 1, F.lit(4096)).alias("s")))).alias("x"))
-    cols = tiles.select("rname", F.posexplode(F.split("x.s", "")).alias("i", "r"), "x.t").where("r <> ''").select("rname", (F.col("t") * 4096 + F.col("i")).alias("pos"), F.upper("r").alias("r"))
+    tiles = reference_tiles(reference, 0, 4096).select("rname", F.struct(F.col("_tile").alias("t"), F.col("_ref").alias("s")).alias("x"))
+    cols = tiles.select("rname", F.posexplode(F.split("x.s", "")).alias("i", "r"), "x.t").where("r <> ''").select("rname", (F.col("t") * 4096 + F.col("i")).alias("pos"), "r")
     j = cols.join(base, ["rname", "pos"], "left").join(extra.select("rname", "pos", "ins"), ["rname", "pos"], "left")
     gap = F.coalesce(F.col("ins"), F.lit(""))
     j = j.select("rname", "pos", F.concat(F.repeat(F.lit("-"), F.length(gap)), F.col("r")).alias("a"), F.concat(gap, F.coalesce("base", F.lit("N"))).alias("b"), F.floor(F.col("pos") / 4096).alias("t"))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
 from ..functions import stats as K
+from ..sources.shared import stored
+from .tiles import reference_tiles
 from .variants import _matrix, _stack
 
+#: Letters of a tile of the reference that reads and regions meet.
+REF_TILE = 1 << 14
+
 
 def site_filter(sites: DataFrame, min_covered: float = 0.0, indels: str = "keep", acgt_only: bool = False) -> DataFrame:
     """Site filters: the unseen allele alone goes, sites covered in too few samples go, indels are kept, only or skip."""
@@ -161,16 +166,13 @@ def with_reference(reads: DataFrame, reference: DataFrame, keep: tuple[str, ...]
     ``t0``. Each read joins tiles by its span, so no task holds a contig; a read longer than a tile has several."""
     from ..functions.reads import reference_end
 
-    ref = reference.select(F.col("name").alias("rname"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / REF_TILE).cast("int")), lambda k: F.struct(k.alias("t"), F.substring("seq", k * REF_TILE + 1, F.lit(REF_TILE)).alias("s")))).alias("x")).select("rname", F.col("x.t").alias("_t"), "x.s")
+    ref = reference_tiles(reference, 0, REF_TILE, upper=False).withColumnsRenamed({"_tile": "_t", "_ref": "s"})
     r = reads.withColumn("_e", reference_end("pos", "cigar")).withColumn("_t", F.explode(F.sequence(F.floor(F.col("pos") / REF_TILE), F.floor((F.col("_e") - 1) / REF_TILE))))
     j = r.select("ord", "rname", "pos", *keep, "_t").join(ref, ["rname", "_t"])
     g = j.groupBy("ord", "rname", "pos").agg(*[F.first(c).alias(c) for c in keep], (F.min("_t") * REF_TILE).alias("t0"), F.array_sort(F.collect_list(F.struct("_t", "s"))).alias("parts"))
     return g.withColumn("parts", F.array_join(F.transform("parts", lambda x: x["s"]), ""))
 
 
-REF_TILE = 1 << 14
-
-
 def _ops(cigar) -> list[tuple[int, str]]:
     return [(c["len"], c["op"]) for c in cigar]
 
@@ -241,15 +243,25 @@ def remove_pads(reads: DataFrame, padded: DataFrame) -> DataFrame:
     placed = with_reference(reads, pads, ("cigar",))
     got = placed.mapInPandas(run, "ord long, t0 long, in_tile int, cigar array<struct<len:int,op:string>>")
     # letters of the tiles before, without pads
-    tiles = pads.select(F.col("name").alias("rname"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / REF_TILE).cast("int")), lambda k: F.struct((k * REF_TILE).cast("long").alias("t0"), F.length(F.regexp_replace(F.substring("seq", F.lit(1), k * REF_TILE), "[*-]", "")).alias("n")))).alias("x")).select("rname", "x.*")
+    letters = reference_tiles(pads, 0, REF_TILE).select("rname", "_tile", F.length(F.regexp_replace("_ref", "[*-]", "")).alias("_n"))
+    before = Window.partitionBy("rname").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)  # one row a tile
+    tiles = letters.select("rname", (F.col("_tile").cast("long") * REF_TILE).alias("t0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("n"))
     return got.join(placed.select("ord", "rname"), "ord").join(tiles, ["rname", "t0"]).select("ord", (F.col("in_tile") + F.col("n")).cast("int").alias("pos"), "cigar")
 
 
-def fetch_sequence(reference: DataFrame, regions: DataFrame) -> DataFrame:
-    """(name, beg, end, seq) of regions (name, beg, end), clamped; out of range gives an empty sequence."""
-    j = regions.join(reference, "name")
-    beg, end = F.greatest("beg", F.lit(0)), F.least("end", F.length("seq"))
-    return j.select("name", "beg", "end", F.when(beg < end, F.substring("seq", beg + 1, end - beg)).otherwise("").alias("seq"))
+def fetch_sequence(reference: DataFrame, regions: DataFrame, tile: int = REF_TILE) -> DataFrame:
+    """(name, beg, end, seq) of regions (name, beg, end), clamped; out of range gives an empty sequence, an unknown name no row. Regions meet tiles of the
+    reference and are put together again, so no contig is copied to a region."""
+    lengths = reference.select("name", F.length("seq").alias("_n"))
+    asked = regions.select("name", "beg", "end").join(lengths, "name").withColumns({"_id": F.monotonically_increasing_id(), "_b": F.greatest("beg", F.lit(0)), "_e": F.least("end", F.col("_n"))})
+    asked = stored(asked.drop("_n"), "regions")
+    each = asked.where("_b < _e").withColumn("_tile", F.explode(F.sequence(F.floor(F.col("_b") / tile).cast("int"), F.floor((F.col("_e") - 1) / tile).cast("int"))))
+    off = lambda c: F.col(c) - F.col("_tile") * tile
+    start, stop = F.greatest(off("_b"), F.lit(0)), F.least(off("_e"), F.lit(tile))
+    pieces = each.join(reference_tiles(reference, 0, tile, upper=False).withColumnRenamed("rname", "name"), ["name", "_tile"])
+    pieces = pieces.select("_id", "name", "beg", "end", F.struct("_tile", F.substring("_ref", (start + 1).cast("int"), (stop - start).cast("int")).alias("s")).alias("_p"))
+    whole = pieces.groupBy("_id", "name", "beg", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["s"]), "").alias("seq"))
+    return whole.drop("_id").unionByName(asked.where("_b >= _e").select("name", "beg", "end", F.lit("").alias("seq")))
 
 
 def levels(reads: DataFrame) -> DataFrame:
@@ -264,7 +276,6 @@ def levels(reads: DataFrame) -> DataFrame:
 
 def mapping_accuracy(reads: DataFrame) -> DataFrame:
     """(mapq, n, wrong) cumulated from the highest MAPQ decile down; reads need mapq and wrong."""
-    from pyspark.sql import Window
 
     g = reads.groupBy((F.floor(F.col("mapq") / 10) * 10).cast("int").alias("mapq")).agg(F.count(F.lit(1)).alias("k"), F.count_if("wrong").alias("x"))
     w = Window.orderBy(F.col("mapq").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -329,7 +340,6 @@ def snp_density(sites: DataFrame, width: int = 10, most: int = 2, tile: int = 1
     """Sites (chrom, pos) with ``dense``: whether more than ``most`` sites lie within ``width`` positions to either side.
 
     Windows run inside tiles; a site also enters the neighbouring tiles that its reach touches, and counts only in its own."""
-    from pyspark.sql import Window
 
     own = F.floor(F.col("pos") / tile)
     spread = sites.withColumns({"_own": own, "_tile": F.explode(F.sequence(F.floor((F.col("pos") - width) / tile), F.floor((F.col("pos") + width) / tile)))})
