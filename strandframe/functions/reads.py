@@ -121,6 +121,19 @@ def x31(text) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
 
 
+def wang(number) -> Column:
+    """Integer mix of 32 bits by shifts, sums and exclusive ors."""
+    low = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    x = low(c(number).cast("long"))
+    for shift, kind in ((15, "sum of complement"), (10, "xor"), (3, "sum"), (6, "xor"), (11, "sum of complement"), (16, "xor")):
+        if kind == "xor":
+            x = x.bitwiseXOR(F.shiftright(x, shift))
+        else:
+            moved = low(F.shiftleft(x, shift))
+            x = low(x + (low(F.bitwise_not(moved)) if kind == "sum of complement" else moved))
+    return x
+
+
 def parse_region(text) -> Column:
     """``chr[:beg[-end]]`` to (chrom, beg, end): 0-based half-open; commas and spaces ignored; the last colon splits."""
     t = F.regexp_replace(c(text), "[, ]", "")

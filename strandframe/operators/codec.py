@@ -107,12 +107,14 @@ def op_runs(alignments: DataFrame) -> DataFrame:
     return each.select("seq", "x.op", "x.columns", "x.runs").where("columns > 0")
 
 
-def sync_map(alignments: DataFrame) -> DataFrame:
-    """(pos): reference positions at which a run of changed positions, over all alignments, has just ended."""
-    r = column_ops(alignments).where(F.col("op") != "I")
+def sync_map(alignments: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, pos): reference positions at which a run of changed positions, over all alignments of one ``by`` that reach there, has just ended."""
     from pyspark.sql import Window
 
+    groups = alignments.select("seq", *by)
+    r = column_ops(alignments).where(F.col("op") != "I")
     w = Window.partitionBy("seq").orderBy("col")
-    pos = r.withColumn("pos", F.row_number().over(w) - 1).groupBy("pos").agg(F.max((F.col("op") != "M").cast("int")).alias("changed"))
-    nxt = pos.select((F.col("pos") + 1).alias("pos"), F.col("changed").alias("was"))
-    return pos.join(nxt, "pos").where("was = 1 and changed = 0").select("pos")
+    pos = r.withColumn("pos", F.row_number().over(w) - 1)
+    pos = (pos.join(groups, "seq") if by else pos).groupBy(*by, "pos").agg(F.max((F.col("op") != "M").cast("int")).alias("changed"))
+    nxt = pos.select(*by, (F.col("pos") + 1).alias("pos"), F.col("changed").alias("was"))
+    return pos.join(nxt, [*by, "pos"]).where("was = 1 and changed = 0").select(*by, "pos")

@@ -82,8 +82,7 @@ ALIGNMENTS = (
     SEQUENCES
     + """, pairs AS (SELECT s.seq, s.seqs AS a0, o.seqs AS b0, greatest(length(s.seqs), length(o.seqs)) AS n FROM sequences s JOIN sequences o ON o.seq - 1 = s.seq),
 cut AS (SELECT seq, rpad(a0, cast(n AS int), '-') AS a, rpad(b0, cast(n AS int), '-') AS b, n FROM pairs WHERE length(a0) > 0 AND length(b0) > 0),
-cols AS (SELECT seq, unnest(generate_series(1, n)) AS k, a, b FROM cut),
-chars AS (SELECT seq, k, substr(a, k, 1) AS x, substr(b, k, 1) AS y FROM cols),
+chars AS (SELECT seq, unnest(generate_series(1, n)) AS k, unnest(string_split(a, '')) AS x, unnest(string_split(b, '')) AS y FROM cut),
 colops AS (SELECT seq, k, CASE WHEN x = 'N' AND y IN ('A', 'C', 'G', 'T') THEN '-' ELSE x END AS r, CASE WHEN y = 'N' AND x IN ('A', 'C', 'G', 'T') THEN '-' ELSE y END AS s FROM chars)"""
 )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
+from ..functions import reads as R
 from ..operators import calling, codec, consensus, depth, intervals, phasing, position_bias, quality, records, search, sequence_stats, sites, variants, walks
 from . import projections as P
 
@@ -115,12 +116,13 @@ def _op_runs(a: DataFrame) -> DataFrame:
 
 
 @query(
-    """, pos AS (SELECT p AS pos, max(CASE WHEN r = s THEN 0 ELSE 1 END) AS changed FROM (SELECT seq, r, s, cast(row_number() OVER (PARTITION BY seq ORDER BY k) - 1 AS int) AS p FROM colops WHERE r <> '-') GROUP BY p)
-SELECT a.pos FROM pos a JOIN pos b ON a.pos = b.pos + 1 WHERE b.changed = 1 AND a.changed = 0""",
+    """, pos AS (SELECT seq // 8 AS corpus, p AS pos, max(CASE WHEN r = s THEN 0 ELSE 1 END) AS changed FROM (SELECT seq, r, s, cast(row_number() OVER (PARTITION BY seq ORDER BY k) - 1 AS int) AS p FROM colops WHERE r <> '-') GROUP BY ALL)
+SELECT a.corpus, a.pos FROM pos a JOIN pos b ON a.corpus = b.corpus AND a.pos = b.pos + 1 WHERE b.changed = 1 AND a.changed = 0""",
     P.ALIGNMENTS,
 )
 def sync_map(spark, d):
-    return codec.sync_map(P.alignments(spark, d))
+    """For each corpus of eight sequences."""
+    return codec.sync_map(P.alignments(spark, d).withColumn("corpus", F.floor(F.col("seq") / 8)), ("corpus",))
 
 
 @query("SELECT b AS base, cast(sum(length(seqs) - length(replace(seqs, b, ''))) AS bigint) AS n FROM sequences, (VALUES ('A'), ('C'), ('G'), ('T'), ('N')) t(b) GROUP BY b", P.SEQUENCES)
@@ -358,6 +360,13 @@ def cat(spark, d):
     return records.concatenate([r.where(f"tid = {k}") for k in range(P.CONTIGS)] + [r.where(f"tid is null or tid not between 0 and {P.CONTIGS - 1}")])
 
 
+@query("SELECT ord, x AS x31, h AS wang FROM (SELECT ord, x, xor(h, h // 65536) AS h FROM (SELECT ord, x, (h + xor((h * 2048) & 4294967295, 4294967295)) & 4294967295 AS h FROM (SELECT ord, x, xor(h, h // 64) AS h FROM (SELECT ord, x, (h + h * 8) & 4294967295 AS h FROM (SELECT ord, x, xor(h, h // 1024) AS h FROM (SELECT ord, x, (h + xor((h * 32768) & 4294967295, 4294967295)) & 4294967295 AS h FROM (SELECT ord, x, x AS h FROM hashed)))))))", P.READS, f"hashed AS (SELECT ord, {_X31} AS x FROM reads)")
+def name_hashes(spark, d):
+    """Both hashes of template names: the rolling one, and the mix of it."""
+    x = P.reads(spark, d).select("ord", R.x31(F.concat(F.lit("read"), (F.col("qid") * 62710561).cast("string"))).alias("x31"))
+    return x.withColumn("wang", R.wang("x31"))
+
+
 @query(f"SELECT ord, qid, {_X31} AS hash, cast({_X31} % 16 AS int) AS bucket FROM reads", P.READS)
 def bucket_shuffle(spark, d):
     return records.bucket_shuffle(P.reads(spark, d).withColumn("qname", F.concat(F.lit("read"), F.col("qid") * 62710561)), 16, "qname").select("ord", "qid", "hash", "bucket")
@@ -718,3 +727,28 @@ def beagle_likelihoods(spark, d):
 def snp_density(spark, d):
     r = P.regions(spark, d).select(F.col("tid").alias("chrom"), "rid", (F.col("b") * 7 + (F.col("rid") % 7).cast("int")).alias("pos"))
     return sites.snp_density(r, 10, 4).select("pos", "rid", "dense")
+
+
+_TEN = ", ".join(f"'{x}{y}'" for j, y in enumerate("ACGT") for x in "ACGT"[: j + 1])
+
+
+@query(
+    f"""SELECT 's' || (i - 1) || chr(9) || 'chr' || (site % 3) || chr(9) || (site + 1) || chr(9) || r || chr(9) || array_to_string(list_transform([{_TEN}], lambda g:
+CASE WHEN g = r || r THEN pl[i][1] WHEN g IN (r || b, b || r) THEN pl[i][2] WHEN g = b || b THEN pl[i][3] ELSE 255 END), chr(9)) AS value
+FROM (SELECT *, unnest(generate_series(1, 22)) AS i, substr('ACGT', cast(site % 4 + 1 AS int), 1) AS r, substr('ACGT', cast((site + 1) % 4 + 1 AS int), 1) AS b FROM sites)""",
+    _PL,
+)
+def ten_likelihoods(spark, d):
+    """Lines of the ten genotypes of each sample at each site."""
+    s = P.likelihoods(spark, d).selectExpr(
+        "concat('chr', site % 3) AS chrom", "CAST(site AS int) AS pos", "substring('ACGT', CAST(site % 4 + 1 AS int), 1) AS ref", "array(substring('ACGT', CAST((site + 1) % 4 + 1 AS int), 1)) AS alt",
+        "transform(pl, x -> map('PL', array_join(transform(x, v -> CAST(v AS string)), ','))) AS samples",
+    )
+    return sites.qcall_lines(s, [f"s{k}" for k in range(22)])
+
+
+@query("SELECT site, array_to_string(list_transform(gl, lambda x: cast(least(255, round(-10 * (x - list_max(gl)))) AS int)), ',') AS pl FROM (SELECT site, list_transform(flatten(pl), lambda v: v * -0.137) AS gl FROM sites)", _PL)
+def likelihoods_scaled(spark, d):
+    """Likelihoods as logarithms, brought back to whole numbers from the best one on."""
+    s = P.likelihoods(spark, d).select("site", F.transform(F.flatten("pl"), lambda v: v * F.lit(-0.137)).alias("gl"))
+    return sites.likelihood_to_pl(s).select("site", F.array_join(F.col("pl").cast("array<string>"), ",").alias("pl"))

@@ -422,9 +422,9 @@ def bcf_cat(spark, d):
     return _shown(store.concatenate_sites(spark, paths, "bcf"), "file")
 
 
-@query("SELECT chrom, pos FROM lines WHERE alt <> ['X'] AND len(list_filter(sdp, lambda x: x > 0)) >= 0.9 * 22 AND NOT (length(alt[1]) <> 1)", SITES, SITE_LINES)
+@query("SELECT chrom, pos FROM lines WHERE alt <> ['X'] AND len(list_filter(sdp, lambda x: x > 0)) >= 0.3 * 22 AND NOT (length(alt[1]) <> 1)", SITES, SITE_LINES)
 def vcf_site_filter(spark, d):
-    return sites.site_filter(site_lines(spark, d), 0.9, "skip", True).select("chrom", "pos")
+    return sites.site_filter(site_lines(spark, d), 0.3, "skip", True).select("chrom", "pos")
 
 
 @query("SELECT chrom, pos, gt[3] || ' ' || gt[22] || ' ' || gt[1] AS gt FROM lines", SITES, SITE_LINES)
