@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import consensus, depth, gaps, headers, quality, records, sites, tiles, walks
+from ..operators import consensus, depth, gap_calls, gaps, headers, quality, records, sites, tiles, walks
 from ..sources import binary, read_index, sequence_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
@@ -561,6 +561,69 @@ def gap_candidates(spark, d):
     return gaps.gap_candidates(depth.pileup_cigar(whole_reads(spark, d)), 2, 0.05).withColumn("sizes", F.array_join("sizes", ","))
 
 
+#: Letters around each planted gap (the base before it first), sizes of gaps and what the insertions put in.
+MOTIF, GAP_SIZES, PUT_IN = "TGACTCAG", (-1, -3, 1, 2, 5), {1: "A", 2: "CC", 5: "CATCA"}
+_HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+_WINDOW = "translate(md5(concat_ws('|', {k}, 'a')), " + _HEX + "), substr(translate(md5(concat_ws('|', {k}, 'b')), " + _HEX + f"), 1, 28), '{MOTIF}', translate(md5(concat_ws('|', {{k}}, 'c')), " + _HEX + ")"
+
+
+def planted_reference(spark: SparkSession, d: str) -> DataFrame:
+    """A contig for each supplier: ten windows of 100 letters, a gap may stand after letter 60 of each."""
+    w = F.expr(f"concat_ws('', transform(sequence(0, 9), i -> concat({_WINDOW.format(k='s_suppkey, i')})))")
+    return P.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), w.alias("seq"))
+
+
+def planted_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as reads of three samples over the windows of their supplier. Whether a sample has the window's gap on none, half or all of its
+    reads, and which size, are known; a fourth of the reads with a gap were placed without it, so that only realignment finds it."""
+    r = P.table(spark, d, "lineitem").selectExpr("l_suppkey AS sup", "l_orderkey AS qid", "CAST(conv(substring(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 12), 16, 10) AS bigint) AS h")
+    r = r.selectExpr("*", "h DIV 8 % 10 AS site", "h DIV 1000 % 3 AS k", "CAST(30 + h DIV 5000 % 10 AS int) AS a", f"array({', '.join(map(str, GAP_SIZES))})[CAST((sup + h DIV 8 % 10) % 5 AS int)] AS size")
+    r = r.selectExpr("*", "(sup + 3 * site + k) % 3 AS copies").selectExpr("*", "IF(copies = 2 OR copies = 1 AND h % 2 = 0, size, 0) AS own", "h DIV 2 % 4 = 0 AS misplaced")
+    put = "CASE own " + " ".join(f"WHEN {n} THEN '{x}'" for n, x in PUT_IN.items()) + " ELSE '' END"
+    # the window of a read's letters reaches from 39 before the gap to 35 after it
+    near = f"concat({_WINDOW.format(k='sup, site')})"
+    r = r.selectExpr("*", f"concat(substring({near}, 62 - a, a), {put}, substring({near}, 62 + greatest(-own, 0), 32)) AS seq")
+    op = lambda n, o: f"named_struct('len', CAST({n} AS int), 'op', '{o}')"
+    cigar = f"CASE WHEN own = 0 OR misplaced THEN array({op('length(seq)', 'M')}) WHEN own > 0 THEN array({op('a', 'M')}, {op('own', 'I')}, {op(32, 'M')}) ELSE array({op('a', 'M')}, {op('-own', 'D')}, {op(32, 'M')}) END"
+    return r.selectExpr(
+        "h AS ord", "qid", "concat('r', h) AS qname", "CAST(IF(h DIV 4000 % 2 = 1, 16, 0) + IF(h % 97 = 0, 1024, 0) AS int) AS flag", "concat('s', sup) AS rname", "CAST(100 * site + 61 - a AS int) AS pos", "60 AS mapq",
+        f"{cigar} AS cigar", "seq", "repeat('I', CAST(length(seq) AS int)) AS qual", "concat('n', k) AS sample", "site", "size", "copies",
+    )
+
+
+_PLANTED = f"""hashed AS (SELECT l_suppkey AS sup, ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 12))::BIGINT AS h FROM lineitem),
+placed AS (SELECT *, h // 8 % 10 AS site, h // 1000 % 3 AS k, {list(GAP_SIZES)}[(sup + h // 8 % 10) % 5 + 1] AS size, h // 4000 % 2 = 1 AS reverse FROM hashed WHERE h % 97 <> 0),
+planted AS (SELECT *, (sup + 3 * site + k) % 3 AS copies, copies = 2 OR copies = 1 AND h % 2 = 0 AS alt FROM placed),
+seen AS (SELECT sup, site FROM planted WHERE alt AND h // 2 % 4 <> 0 GROUP BY ALL)"""
+#: Two-sided exact test of tables (key, rf, rr, af, ar), as phred.
+_PHRED = """, ways AS (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(s + 1) + lgamma(n - s + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(r - k + 1) - lgamma(s - k + 1) - lgamma(n - r - s + k + 1)) AS p
+  FROM (SELECT *, unnest(generate_series(greatest(0, r + s - n), least(r, s))) AS k FROM (SELECT key, rf, rf + rr AS r, rf + af AS s, rf + rr + af + ar AS n FROM tables))),
+strand AS (SELECT key, cast(least(floor(-4.343 * ln(least(1.0, sum(CASE WHEN p <= own * (1 + 1e-7) THEN p ELSE 0 END))) + 0.499), 255) AS int) AS sp FROM (SELECT *, max(CASE WHEN k = rf THEN p END) OVER (PARTITION BY key) AS own FROM ways) GROUP BY key)"""
+_FOUR = ", ".join(f"cast(count(*) FILTER (WHERE {'' if a else 'NOT '}alt AND {'' if b else 'NOT '}reverse) AS int) AS {'ra'[a]}{'fr'[b]}" for a in (0, 1) for b in (0, 1))
+_TABLES = "cast(rf + rr + af + ar AS int) AS dp, cast(af + ar AS int) AS dv, rf, rr, af, ar, sp FROM tables JOIN strand USING (key)"
+
+
+@query(
+    f""", tables AS (SELECT {{'c': sup, 'p': site, 's': k}} AS key, {_FOUR} FROM planted JOIN seen USING (sup, site) GROUP BY key){_PHRED}
+SELECT 's' || key.c AS rname, cast(100 * key.p + 60 AS int) AS pos, 'n' || key.s AS sample, {_TABLES}""",
+    _PLANTED,
+)
+def gap_strands(spark, d):
+    """Reads of each sample at called gaps that speak for one, by strand."""
+    return gap_calls.call_gaps(planted_gaps(spark, d), planted_reference(spark, d))[1]
+
+
+@query(
+    f"""SELECT 's' || sup AS rname, cast(100 * site + 60 AS int) AS pos, '{MOTIF}'[1:1 + greatest(-size, 0)] AS ref, '{MOTIF[0]}' || CASE size {' '.join(f"WHEN {n} THEN '{x}'" for n, x in PUT_IN.items())} ELSE '' END AS alt,
+'n' || k AS sample, cast(count(*) AS int) AS dp, ['0/0', '0/1', '1/1'][copies + 1] AS gt FROM planted JOIN seen USING (sup, site) GROUP BY ALL""",
+    _PLANTED,
+)
+def gap_genotypes(spark, d):
+    """Gaps called from reads to records; SQL knows what was planted."""
+    s = gap_calls.call_gaps(planted_gaps(spark, d), planted_reference(spark, d))[0].select("rname", "pos", "ref", F.array_join("alts", ",").alias("alt"), F.explode("samples").alias("s"))
+    return s.select("rname", "pos", "ref", "alt", "s.sample", "s.dp", "s.gt")
+
+
 #: What calls of two gaps become, written out: first, second, reference, alternatives.
 _GAP_SITES = """written(a, b, ref, alt) AS (VALUES ('*', '+GG', 'N', 'NGG'), ('*', '-ACT', 'NACT', 'N'), ('-AC', '*', 'NAC', 'N'), ('-AC', '+GG', 'NAC', 'NGGNN,N'), ('-AC', '-ACT', 'NACT', 'NN,N'),
   ('+T', '*', 'N', 'NT'), ('+T', '+GG', 'N', 'NT,NGG'), ('+T', '-ACT', 'NACT', 'NTNNN,N'), ('-G', '*', 'NG', 'N'), ('-G', '+GG', 'NG', 'NGGN,N'), ('-G', '-ACT', 'NACT', 'NNN,N'))"""
