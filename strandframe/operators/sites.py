@@ -77,6 +77,22 @@ def oriented(markers: DataFrame, catalogue: DataFrame) -> DataFrame:
     return j.select("rs", "chrom", "pos", "ref", flip.alias("alleles"))
 
 
+def marker_sites(markers: DataFrame) -> DataFrame:
+    """(chrom, pos, id, ref, alt, info): marker lists (chrom, start, name, strand, ref, observed, molecule, class, valid, frequency) as sites, from 0.
+
+    ``observed`` are alleles parted by ``/`` on the marker's strand, turned to the other one for ``-``; those that equal the reference are no
+    alternatives. Where any is not a single letter the site begins one base before, as N, and ``-`` is no letter."""
+    turned = F.translate(F.reverse("observed"), "ACGTRYMKWSNacgtrymkwsn", "TGCAYRKMWSNtgcayrkmwsn")
+    seen = F.when(F.col("strand") == "-", turned).otherwise(F.col("observed"))
+    gap = ~seen.rlike("^[ACGT](/[ACGT])+$")
+    shown = lambda a: F.when(gap, F.concat(F.lit("N"), F.translate(a, "-", ""))).otherwise(a)
+    alt = F.transform(F.filter(F.split(seen, "/"), lambda a: a != F.col("ref")), shown)
+    pairs = [("molType", F.col("molecule")), ("class", F.col("class")), ("valid", F.nullif("valid", F.lit("unknown"))), ("AF", F.when(F.col("frequency") > 0, F.col("frequency").cast("string")))]
+    info = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in pairs]), lambda x: x["v"].isNotNull()))
+    # alternatives first: within a lambda a name may mean a column of the same select
+    return markers.withColumns({"_alt": alt, "_pos": F.col("start") - gap.cast("int"), "_ref": shown(F.col("ref")), "_info": info}).select("chrom", F.col("_pos").alias("pos"), F.col("name").alias("id"), F.col("_ref").alias("ref"), F.col("_alt").alias("alt"), F.col("_info").alias("info"))
+
+
 def linkage_pairs(sites: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, r2) of listed pairs of sites: two equi-joins and an EM kernel."""
     x = pairs.join(sites.select(F.col("site").alias("a"), F.col("pl").alias("pa")), "a").join(sites.select(F.col("site").alias("b"), F.col("pl").alias("pb")), "b")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
-from ..operators import consensus, depth, gap_calls, gaps, headers, quality, records, sites, tiles, walks
+from ..operators import consensus, cycle_statistics, depth, gap_calls, gaps, headers, quality, records, sites, tiles, walks
 from ..sources import binary, read_index, sequence_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
@@ -313,6 +313,35 @@ def stats_base_by_cycle(spark, d):
     return quality.base_by_cycle(whole_reads(spark, d))
 
 
+@query(
+    f"""SELECT cast(CASE WHEN flag & 16 <> 0 THEN length(seq) - 1 - qp ELSE qp END AS int) AS cycle, cast(ascii(substr(qual, qp + 1, 1)) - 33 AS int) AS qual, count(*) AS n
+FROM cells WHERE o = 'M' AND flag & 4 = 0 AND substr(seq, qp + 1, 1) <> substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1) GROUP BY ALL""",
+    P.READS, RECORDS, BLOCKS,
+)
+def stats_mismatches_by_cycle(spark, d):
+    return cycle_statistics.mismatches_by_cycle(whole_reads(spark, d), reference(spark))
+
+
+@query(
+    """SELECT cast(CASE WHEN kind = 1 THEN CASE WHEN flag & 16 <> 0 THEN n - a - 2 ELSE a END ELSE CASE WHEN flag & 16 <> 0 THEN n - a - 1 ELSE a - 1 END END AS int) AS cycle, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS read,
+count(*) FILTER (WHERE kind = 1) AS insertions, count(*) FILTER (WHERE kind = 2) AS deletions FROM records WHERE kind IN (1, 2) AND flag & 4 = 0 GROUP BY ALL""",
+    P.READS, RECORDS,
+)
+def stats_gaps_by_cycle(spark, d):
+    return cycle_statistics.gaps_by_cycle(whole_reads(spark, d), reference(spark))
+
+
+@query(
+    """, w AS (SELECT rname, pos // 10 AS w, sum(length(seq) - length(translate(seq, 'GC', ''))) AS gc, sum(n) AS n FROM records WHERE flag & 4 = 0 GROUP BY ALL)
+SELECT cast(floor(100 * gc / n) AS int) AS gc, count(*) AS windows, """
+    + ", ".join(f"round(quantile_cont(n / 10.0::DOUBLE, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90))
+    + " FROM w GROUP BY 1",
+    P.READS, RECORDS,
+)
+def stats_gc_depth(spark, d):
+    return cycle_statistics.gc_depth(whole_reads(spark, d), 10)
+
+
 @query("SELECT n AS len, count(*) AS n FROM records GROUP BY 1", P.READS, RECORDS)
 def stats_read_lengths(spark, d):
     return quality.read_lengths(whole_reads(spark, d))
@@ -561,6 +590,27 @@ def gap_candidates(spark, d):
     return gaps.gap_candidates(depth.pileup_cigar(whole_reads(spark, d)), 2, 0.05).withColumn("sizes", F.array_join("sizes", ","))
 
 
+_MARKERS = """markers AS (SELECT 'chr' || o_custkey % 5 AS chrom, o_orderkey % 100000 + 1 AS start, 'rs' || o_orderkey AS name, o_orderkey % 2 = 1 AS back, ['A', 'C', 'G', 'T'][o_custkey % 4 + 1] AS ref,
+  ['A/C', 'C/T', 'A/G/T', '-/AC', 'G/-'][o_orderkey % 5 + 1] AS observed, o_orderkey % 3 = 0 AS unknown FROM orders),
+turned AS (SELECT *, CASE WHEN back THEN translate(reverse(observed), 'ACGT', 'TGCA') ELSE observed END AS seen, observed LIKE '%-%' AS gap FROM markers)"""
+
+
+@query(
+    """SELECT chrom, cast(start - gap::INT AS bigint) AS pos, name AS id, CASE WHEN gap THEN 'N' ELSE '' END || ref AS ref,
+array_to_string(list_transform(list_filter(string_split(seen, '/'), lambda x: x <> ref), lambda x: CASE WHEN gap THEN 'N' || replace(x, '-', '') ELSE x END), ',') AS alt,
+CASE WHEN unknown THEN 'molType=genomic;class=mixed' ELSE 'molType=genomic;class=mixed;valid=by-cluster' END AS info FROM turned""",
+    _MARKERS,
+)
+def marker_sites(spark, d):
+    """orders as a marker list with turned strands, single letters and gaps."""
+    m = P.table(spark, d, "orders").selectExpr(
+        "concat('chr', o_custkey % 5) AS chrom", "o_orderkey % 100000 + 1 AS start", "concat('rs', o_orderkey) AS name", "IF(o_orderkey % 2 = 1, '-', '+') AS strand", "array('A', 'C', 'G', 'T')[CAST(o_custkey % 4 AS int)] AS ref",
+        "array('A/C', 'C/T', 'A/G/T', '-/AC', 'G/-')[CAST(o_orderkey % 5 AS int)] AS observed", "'genomic' AS molecule", "'mixed' AS class", "IF(o_orderkey % 3 = 0, 'unknown', 'by-cluster') AS valid", "0.0D AS frequency",
+    )
+    v = sites.marker_sites(m)
+    return v.withColumns({"alt": F.array_join("alt", ","), "info": F.array_join(F.transform(F.map_entries("info"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")})
+
+
 #: Letters around each planted gap (the base before it first), sizes of gaps and what the insertions put in.
 MOTIF, GAP_SIZES, PUT_IN = "TGACTCAG", (-1, -3, 1, 2, 5), {1: "A", 2: "CC", 5: "CATCA"}
 _HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
