@@ -143,3 +143,76 @@ class PhraseSearch:
             state = self.to[code][state]
             at += self.length[code]
         return out
+
+
+class PatternSet:
+    """One automaton of many patterns: ``to`` gives the next state of a state and letter, ``ends`` the patterns that end in a state."""
+
+    def __init__(self, patterns: list[str]):
+        self.lengths = [len(p) for p in patterns]
+        self.to, self.ends = [[0] * 5], [[]]
+        for k, p in enumerate(patterns):
+            state = 0
+            for x in encode(p).tolist():
+                if not self.to[state][x]:
+                    self.to[state][x] = len(self.to)
+                    self.to.append([0] * 5)
+                    self.ends.append([])
+                state = self.to[state][x]
+            if not state:
+                raise ValueError("empty pattern")
+            self.ends[state].append(k)
+        # states by depth: where no pattern goes on, the longest suffix that is a state does
+        border, level = [0] * len(self.to), [s for s in self.to[0] if s]
+        while level:
+            below = []
+            for s in level:
+                self.ends[s] = self.ends[s] + self.ends[border[s]]
+                for x in range(5):
+                    t = self.to[s][x]
+                    if t:
+                        border[t] = self.to[border[s]][x]
+                        below.append(t)
+                    else:
+                        self.to[s][x] = self.to[border[s]][x]
+            level = below
+
+
+class PhraseWalk:
+    """Many patterns on codewords: what a phrase does to a state of the automaton is worked out when a sequence first meets both, from the
+    phrase it extends, and kept. Work and memory follow what is met, not patterns times phrases."""
+
+    def __init__(self, patterns: PatternSet, parent: list[int], symbol: list[int], length: list[int]):
+        self.set, self.parent, self.symbol, self.length = patterns, parent, symbol, length
+        self.known: dict[tuple[int, int], tuple[int, bool]] = {}
+
+    def effect(self, node: int, state: int) -> tuple[int, bool]:
+        """State after the phrase, and whether a pattern ends in it."""
+        chain, at = [], node
+        while at >= 0 and (at, state) not in self.known:
+            chain.append(at)
+            at = self.parent[at]
+        now, hit = self.known[at, state] if at >= 0 else (state, False)
+        for n in reversed(chain):
+            now = self.set.to[now][self.symbol[n]]
+            hit = hit or bool(self.set.ends[now])
+            self.known[n, state] = now, hit
+        return now, hit
+
+    def find(self, codes) -> list[tuple[int, int]]:
+        """(pattern, offset) of all hits, overlapping ones too, in the sequence with these phrases."""
+        state, at, out = 0, 0, []
+        for code in codes:
+            after, hit = self.effect(code, state)
+            if hit:
+                letters, node = [], code
+                while node >= 0:
+                    letters.append(self.symbol[node])
+                    node = self.parent[node]
+                s = state
+                for i, x in enumerate(reversed(letters)):
+                    s = self.set.to[s][x]
+                    out += [(k, at + i + 1 - self.set.lengths[k]) for k in self.set.ends[s]]
+            state = after
+            at += self.length[code]
+        return out

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import compress, decompress, load
-from ..functions.search import PhraseSearch
+from ..functions.search import PatternSet, PhraseSearch, PhraseWalk
 from .search import fold
 
 STATS = ("matches", "replaces", "insertions", "deletions", "match_runs", "replace_runs", "insert_runs", "delete_runs", "items", "bits")
@@ -78,6 +78,39 @@ def search_groups(index: DataFrame, pattern: str) -> DataFrame:
     return index.select("parent", "symbol", "length", "seqs", "codes").mapInArrow(run, "seq long, offset int")
 
 
+def save_index(index: DataFrame, path: str) -> None:
+    """Loaded groups as a table at ``path``, from which any session may search; ordered by group within files, so that groups can be chosen."""
+    index.sortWithinPartitions("grp").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def search_many(index: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, seq, offset) of all occurrences of each pattern, in one pass over the phrases of loaded groups. Patterns are folded and each
+    is reported once; the automaton of all of them goes with the tasks, so they are a list, not a table. No patterns: no rows."""
+    ps = sorted({fold(p) for p in patterns})
+
+    def run(batches):
+        found = PatternSet(ps)
+        for b in batches:
+            which, seqs, offsets = [], [], []
+            parent, symbol, length, names, codes = (b.column(k) for k in ("parent", "symbol", "length", "seqs", "codes"))
+            for i in range(b.num_rows):
+                walk = PhraseWalk(found, *(c[i].values.to_numpy().tolist() for c in (parent, symbol, length)))
+                own = codes[i].values
+                ends, flat = own.offsets.to_numpy(), own.values.to_numpy()
+                for name, lo, hi in zip(names[i].values.to_numpy().tolist(), ends[:-1], ends[1:], strict=True):
+                    got = walk.find(flat[lo:hi].tolist())
+                    which += [ps[k] for k, _ in got]
+                    offsets += [o for _, o in got]
+                    seqs += [name] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.string()), pa.array(seqs, pa.int64()), pa.array(offsets, pa.int32())], ["pattern", "seq", "offset"])
+
+    return index.select("parent", "symbol", "length", "seqs", "codes").mapInArrow(run, "pattern string, seq long, offset int")
+
+
 def codec_stats(alignments: DataFrame, group: str = "grp", sync: int = 0) -> DataFrame:
     """Counts, runs, items and bits per sequence."""
 

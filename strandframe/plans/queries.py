@@ -9,6 +9,7 @@ from ..functions.reads import any_of, bin_of, none_of, reverse_complement
 from ..model import CONSENSUS_SKIP, PILEUP_SKIP
 from ..functions import reads as R
 from ..operators import calling, codec, consensus, depth, intervals, phasing, position_bias, quality, records, search, sequence_stats, sites, variants, walks
+from ..sources.shared import shared_path
 from . import projections as P
 
 PATTERN = "ACGTA"
@@ -96,6 +97,19 @@ def pattern_compressed_overlapping(spark, d):
     return codec.search_groups(_loaded(_groups(spark, d)), "aaa")
 
 
+#: What a stored index is searched for, one search after the other: overlapping, nested and repeated patterns, in either case.
+SEARCHES = [["ACGT", "acg", "AAA", "NAC", "GATTA", "ACGT"], [PATTERN, "TTAN", "A"]]
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS search, '{p}' AS pattern, * FROM ({_hits(p)})".replace("FROM sequences", "FROM decoded") for k, ps in enumerate(SEARCHES) for p in sorted({x.upper() for x in ps})), P.ALIGNMENTS, _DECODED)
+def pattern_index(spark, d):
+    """The compressed form is stored as an index once, then opened and searched twice for many patterns."""
+    path = shared_path(spark, "phrases")
+    codec.save_index(_loaded(_groups(spark, d)), path)
+    first, second = (codec.search_many(codec.open_index(spark, path), ps).select(F.lit(k).alias("search"), "*") for k, ps in enumerate(SEARCHES))
+    return first.unionByName(second)
+
+
 @query()
 def codec_stats(spark, d):
     return codec.codec_stats(_groups(spark, d))

@@ -191,12 +191,20 @@ def consensus_alignment(spark, d):
     return consensus.pairwise(whole_reads(spark, d), reference(spark))
 
 
+_MD = f"""letters AS (SELECT ord, p, o, substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1) AS r, o = 'D' AS gone, o = 'M' AND substr(seq, qp + 1, 1) <> r AS off, gone AND k = l // 2 AS opens FROM (SELECT *, refs - CASE kind WHEN 2 THEN 3 ELSE 0 END AS l FROM cells) WHERE o <> 'N'),
+parts AS (SELECT *, sum(CASE WHEN off OR opens THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY p) AS g FROM letters),
+pieces AS (SELECT ord, g, CASE WHEN bool_or(gone) THEN '^' ELSE '' END || coalesce(string_agg(r, '' ORDER BY p) FILTER (WHERE off OR gone), '') AS t, count(*) FILTER (WHERE NOT off AND NOT gone) AS same FROM parts GROUP BY ord, g),
+starts AS (SELECT ord, g, t, same FROM pieces UNION ALL SELECT ord, 0, '', 0 FROM pieces GROUP BY ord HAVING min(g) > 0),
+written AS (SELECT ord, string_agg(t || same, '' ORDER BY g) AS md FROM starts GROUP BY ord)"""
+
+
 @query(
-    f"SELECT ord, cast(count(*) FILTER (WHERE o = 'M' AND substr(seq, qp + 1, 1) <> substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1)) + max(CASE kind WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END) AS int) AS nm FROM cells GROUP BY ord",
-    P.READS, RECORDS, BLOCKS,
+    f"""SELECT cells.ord, any_value(md) AS md, cast(count(*) FILTER (WHERE o = 'M' AND substr(seq, qp + 1, 1) <> substr('{REFERENCE}', p % {len(REFERENCE)} + 1, 1)) + max(CASE kind WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END) AS int) AS nm
+FROM cells JOIN written USING (ord) GROUP BY cells.ord""",
+    P.READS, RECORDS, BLOCKS, _MD,
 )
 def calmd(spark, d):
-    return sites.calmd(whole_reads(spark, d), reference(spark)).select("ord", "nm")
+    return sites.calmd(whole_reads(spark, d), reference(spark)).select("ord", "md", "nm")
 
 
 @query(
