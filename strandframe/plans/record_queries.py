@@ -12,7 +12,7 @@ from ..operators import consensus, cycle_statistics, depth, gap_calls, gaps, hea
 from ..sources import binary, read_index, sequence_index, sites_binary, store, text
 from ..sources.shared import shared_path
 from . import projections as P
-from .queries import query
+from .queries import _PILE, _with_bases, query
 
 #: Every contig's letters, over and over; the bases and qualities of a read are a window of these.
 REFERENCE, LENGTH = "GATTACAGGT", 4000
@@ -661,6 +661,18 @@ _FOUR = ", ".join(f"cast(count(*) FILTER (WHERE {'' if a else 'NOT '}alt AND {''
 _TABLES = "cast(rf + rr + af + ar AS int) AS dp, cast(af + ar AS int) AS dv, rf, rr, af, ar, sp FROM tables JOIN strand USING (key)"
 
 
+@query(
+    f""", planted AS (SELECT *, base <> 'A' AS alt, flag & 16 <> 0 AS reverse FROM pile),
+tables AS (SELECT {{'c': tid, 'p': p, 's': qid % 3}} AS key, {_FOUR} FROM planted GROUP BY key){_PHRED}
+SELECT key.c AS tid, cast(key.p AS int) AS pos, cast(key.s AS int) AS sample, {_TABLES}""",
+    P.READS, _PILE,
+)
+def sample_strand_fields(spark, d):
+    """Depth, bases other than the reference and strand bias of each sample at each position."""
+    pile = _with_bases(depth.pileup(P.reads(spark, d))).selectExpr("tid", "p AS pos", "CAST(qid % 3 AS int) AS sample", "base <> 'A' AS alt", "(flag & 16) <> 0 AS reverse", "1 AS n")
+    return gap_calls.sample_strands(pile, ["tid", "pos", "sample"])
+
+
 @query(
     f""", tables AS (SELECT {{'c': sup, 'p': site, 's': k}} AS key, {_FOUR} FROM planted JOIN seen USING (sup, site) GROUP BY key){_PHRED}
 SELECT 's' || key.c AS rname, cast(100 * key.p + 60 AS int) AS pos, 'n' || key.s AS sample, {_TABLES}""",
