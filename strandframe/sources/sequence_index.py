@@ -96,6 +96,16 @@ class SequencePartsSource(DataSource):
         return _Reader(B.files_of(self.options["path"], self.options.get("ending", "")), int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
+def as_one_file(index: DataFrame, path: str, ending: str = "") -> DataFrame:
+    """``index`` with offsets as if the files of ``path`` stood one behind the other, in order of their names."""
+    sizes, at = [], 0
+    for r in B.ranges(B.files_of(path, ending), 1 << 62):
+        sizes.append((r.path, at))
+        at += r.stop - r.start
+    starts = index.sparkSession.createDataFrame(sizes, "file string, _start long")
+    return index.join(F.broadcast(starts), "file").withColumn("offset", F.col("offset") + F.col("_start")).drop("_start")
+
+
 def sequence_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, ending: str = "") -> DataFrame:
     """(file, name, len, offset, line_bases, line_bytes) per record; lines of uneven length raise an error."""
     spark.dataSource.register(SequencePartsSource)

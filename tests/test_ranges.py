@@ -25,3 +25,18 @@ def test_ranges_grow_with_files(spark, tmp_path):
     size = lambda p, **k: blocks.split_size(spark, str(p), ".bam", **k)
     assert size(tmp_path / "a.bam") == 128 << 10
     assert size(tmp_path / "b.bam") == (40 << 20) // (4 * cores) and size(tmp_path, most=1 << 20) == 1 << 20
+
+
+def test_offsets_over_files(spark, tmp_path):
+    from strandframe.plans import queries as q
+    from strandframe.plans import record_queries  # noqa: F401
+
+    texts = {k: "acgt" * (k * 7 % 40) + "ac"[: k % 3] for k in range(1, 60)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    want, at = set(), 0
+    for k, t in texts.items():
+        if t:
+            at += len(f">s{k}\n")
+            want.add(f"s{k} {len(t)} {at} {min(len(t), 60)} {min(len(t), 60) + 1}")
+            at += len(t) + -(-len(t) // 60)
+    assert {r["place"] for r in q.QUERIES["fasta_index"](spark, str(tmp_path)).collect()} == want
