@@ -7,6 +7,7 @@ any row reaches a kernel.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +24,34 @@ def fold(pattern: str) -> str:
     return "".join(x if x in "ACGT" else "N" for x in pattern.translate(str.maketrans("acgt", "ACGT")))
 
 
+#: Hits that leave a task together.
+HITS = 1 << 16
+
+
+def batched(pieces, names: list[str]):
+    """Record batches of ``HITS`` rows or a little more from pieces (an array for each of ``names``): a task holds these, not all hits of what it reads."""
+    held, n = [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= HITS:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
 def pattern_search(sequences: DataFrame, pattern: str, algorithm: str = "s") -> DataFrame:
     """(seq, offset) of one pattern, by one of s, bmh, dfa, lm."""
     p, find = fold(pattern), ALGORITHMS[algorithm]
 
     def run(batches):
-        for b in batches:
-            seqs, offsets = [], []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = find(s, p)
-                seqs += [k] * len(got)
-                offsets += got
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(offsets, pa.int32())], ["seq", "offset"])
+        each = ((k.as_py(), np.array(find(s.as_py(), p), np.int32)) for b in batches for k, s in zip(b.column(0), b.column(1), strict=True))
+        yield from batched(((np.full(len(got), k, np.int64), got) for k, got in each), ["seq", "offset"])
 
     rows = sequences.select(F.col("seq").cast("long").alias("seq"), "seqs").where(F.contains("seqs", F.lit(p)))
     return rows.mapInArrow(run, "seq long, offset int")
@@ -56,12 +73,10 @@ def pattern_search_multi(sequences: DataFrame, patterns: list[str]) -> DataFrame
     ps = sorted({fold(p) for p in patterns})
 
     def run(batches):
-        for b in batches:
-            out = []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out += [(p, k, o) for p in ps for o in S.find(s, p)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)], ["pattern", "seq", "offset"])
+        rows = ((k.as_py(), s.as_py()) for b in batches for k, s in zip(b.column(0), b.column(1), strict=True))
+        each = ((i, k, np.array(S.find(s, p), np.int32)) for k, s in rows for i, p in enumerate(ps))
+        for b in batched(((np.full(len(got), i, np.int32), np.full(len(got), k, np.int64), got) for i, k, got in each), ["pattern", "seq", "offset"]):
+            yield b.set_column(0, "pattern", pa.array(ps, pa.string()).take(b.column(0)))
 
     any_hit = None
     for p in ps:
