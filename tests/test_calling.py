@@ -1,9 +1,11 @@
 import random
+import time
 from itertools import product
 
+import numpy as np
 import pytest
 
-from strandframe.functions.phasing import phase
+from strandframe.functions.phasing import misfits, phase
 from strandframe.operators import calling
 from strandframe.plans import projections as P
 from strandframe.sources import sites_binary, store, text
@@ -25,6 +27,18 @@ def test_phase_by_enumeration():
     assert phase(0, []) == []
 
 
+def test_phase_counts_alike_fragments():
+    """Cost follows the fragments that differ: misfits of counted fragments are those of the copies, and many fragments take seconds."""
+    rng = random.Random(5)
+    frags = [{s: rng.randint(0, 1) for s in rng.sample(range(b, b + 8), rng.randint(2, 4))} for b in (rng.randrange(32) for _ in range(20_000))]
+    began = time.monotonic()
+    got = phase(40, frags)
+    assert time.monotonic() - began < 15 and len(got) == 40 and got[0] == 0
+    mask, bits, n = np.array([0b101, 0b11]), np.array([0b100, 0b11]), np.array([3, 2])
+    assert (misfits(mask, bits, n) == misfits(mask.repeat(n), bits.repeat(n), np.ones(5, int))).all()
+    assert misfits(mask, bits, n, 3).tolist() == [3, 2, 5, 0, 0, 5, 2, 3]
+
+
 def test_sites_from_piles(spark):
     rows = [(0, 5, 0, "A", "A", 30, 60, 0)] * 10 + [(0, 5, 0, "A", "G", 30, 60, 16)] * 10 + [(0, 6, 0, "C", "C", 30, 60, 0)] * 8 + [(0, 5, 1, "A", "A", 30, 60, 0)] * 6
     pile = spark.createDataFrame(rows, "tid int, p int, sample int, ref string, base string, baseq int, mapq int, flag int")
