@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reads import none_of, packed_rank
 from ..model import CONSENSUS_SKIP
-from .tiles import reference_tiles
+from .tiles import expand, reference_tiles, slices
 
 
 def with_ranks(reads: DataFrame) -> DataFrame:
@@ -41,16 +44,59 @@ def usable(reads: DataFrame) -> DataFrame:
     return reads.where(none_of("flag", CONSENSUS_SKIP))
 
 
+#: Bases that are taken apart at once.
+PART = 1_000_000
+
+
+def _candidates(batches):
+    """Of the bases over each position in a part of the reads those that may win: that of the first read, and that of the greatest MAPQ but 255."""
+    for reads in _gathered(batches):
+        x = expand(reads)
+        rows = np.flatnonzero(~x["is_refskip"])
+        names = pc.dictionary_encode(reads.column("rname").combine_chunks(), null_encoding="encode")
+        read = x["read"][rows]
+        place = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[read] << 32 | (x["p"][rows] & 0xFFFFFFFF)
+        at, back = np.unique(place, return_inverse=True)
+        order, mapq = (reads.column(k).to_numpy() for k in ("ord", "mapq"))
+        early, good, never = np.empty(len(order), np.int64), np.empty(len(order), np.int64), 1 << 62
+        early[np.argsort(order, kind="stable")] = good[np.lexsort((order, -mapq.astype(np.int64)))] = np.arange(len(order))
+        picks = []
+        for rank in (early[read] << 32 | np.arange(len(rows)), np.where(mapq[read] == 255, never, good[read] << 32 | np.arange(len(rows)))):
+            least = np.full(len(at), never)
+            np.minimum.at(least, back, rank)
+            picks.append(least[least < never] & 0xFFFFFFFF)
+        own = np.unique(np.concatenate(picks))
+        letter = x["base"][rows][own] & 0xDF
+        letter = np.where(x["is_del"][rows][own], ord("-"), np.where(np.isin(letter, list(b"ACGT")), letter, ord("N"))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [names.dictionary.take(names.indices.take(pa.array(read[own]))), pa.array(x["p"][rows][own].astype(np.int32)), pa.array(order[read[own]].astype(np.int64)), pa.array(mapq[read[own]].astype(np.int32)), pa.array(letter.view("S1").astype(str).tolist(), pa.string())],
+            ["rname", "pos", "ord", "mapq", "base"],
+        )
+
+
+def _gathered(batches):
+    """Tables of about ``PART`` bases from batches of reads."""
+    held, size = [], 0
+    for x in (x for b in batches for x in slices(b, PART)):
+        held.append(x)
+        size += pc.sum(pc.binary_length(x.column("seq"))).as_py() or 0
+        if size >= PART:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def bases_and_insertions(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Positions and insertions of reads with a CIGAR; N never writes, D writes a gap; other letters become N."""
+    """Positions and insertions of reads with a CIGAR; N never writes, D writes a gap; other letters become N. Of the bases over a position
+    a task gives those only that may win among its own reads (see ``winner``), so no base is shuffled that cannot."""
     from ..functions.reads import aligned_blocks
 
-    r = with_ranks(usable(reads)).where(F.size("cigar") > 0).withColumn("x", F.explode(aligned_blocks("pos", "cigar", "MID=X")))
-    op = F.col("x.op")
-    m = r.where(op != "I").withColumn("k", F.explode(F.sequence(F.col("x.rbeg"), F.col("x.rend") - 1)))
-    base = F.upper(F.substring("seq", F.col("x.qbeg") + F.col("k") - F.col("x.rbeg") + 1, F.lit(1)))
-    m = m.select("rname", F.col("k").alias("pos"), "ord", "mapq", "_first", "_best", F.when(op == "D", "-").when(base.isin(*"ACGT"), base).otherwise("N").alias("base"))
-    ins = r.where(op == "I").select("rname", F.col("x.rbeg").alias("pos"), "ord", "mapq", F.regexp_replace(F.upper(F.substring("seq", F.col("x.qbeg") + 1, F.col("x.len"))), "[^ACGT]", "N").alias("ins"))
+    r = usable(reads).where(F.size("cigar") > 0)
+    m = r.select("rname", "pos", F.col("ord").cast("long").alias("ord"), "mapq", "cigar", "seq", F.lit("").alias("qual")).mapInArrow(_candidates, "rname string, pos int, ord long, mapq int, base string")
+    own = F.exists("cigar", lambda x: x["op"] == "I")
+    r = r.where(own).withColumn("x", F.explode(aligned_blocks("pos", "cigar", "I")))
+    ins = r.select("rname", F.col("x.rbeg").alias("pos"), "ord", "mapq", F.regexp_replace(F.upper(F.substring("seq", F.col("x.qbeg") + 1, F.col("x.len"))), "[^ACGT]", "N").alias("ins"))
     return m, ins
 
 
