@@ -90,8 +90,8 @@ def count_posterior(sites: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            post = K.count_posteriors(_stack(pdf["pl"]))
-            yield pd.DataFrame({"site": pdf["site"], "p_ref": post[:, 0], "ac": post @ np.arange(post.shape[1])})
+            p_ref, ac = K.expected_counts(_stack(pdf["pl"]))
+            yield pd.DataFrame({"site": pdf["site"], "p_ref": p_ref, "ac": ac})
 
     return sites.select("site", "pl").mapInPandas(run, "site long, p_ref double, ac double")
 
