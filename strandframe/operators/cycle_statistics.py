@@ -4,46 +4,68 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reads import none_of
-from ..model import QUERY_OPS, REF_OPS
 from .quality import primary
 from .sites import with_reference
+from .tiles import _CODE as CODE
+from .tiles import _bytes, operations, slices
 
 #: Numbers of the kinds of rows that leave a task.
 MISMATCH, INSERTION, DELETION = 0, 1, 2
 
 
-def _counts_of_batch(batch) -> np.ndarray:
-    """(kind, cycle, value) of all mismatches and gaps of a batch; the value of a mismatch is its quality, -1 for an N, that of a gap its read."""
+def _upper(raw: np.ndarray) -> np.ndarray:
+    return np.where((raw >= 97) & (raw <= 122), raw - 32, raw)
+
+
+def _ascii(column: pa.Array) -> pa.Array:
+    """Texts with a byte for each character."""
+    if pc.all(pc.string_is_ascii(column), min_count=0).as_py():
+        return column
+    return pa.array([None if x is None else x.encode("ascii", "replace").decode() for x in column.to_pylist()], pa.string())
+
+
+def _counts_of_batch(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, cycle, value) of the mismatches and gaps of a batch, each once, and how many; the value of a mismatch is its quality, -1 for an N,
+    that of a gap its read."""
+    pos, flag, t0 = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("pos", "flag", "t0"))
+    (letters, at), (values, vat), (ref, rat) = (_bytes(_ascii(batch.column(k))) for k in ("seq", "qual", "parts"))
+    back, n = flag & 16 != 0, np.diff(at)
+    none = np.diff(vat) == 0
+    none |= (np.diff(vat) == 1) & (values[np.minimum(vat[:-1], len(values) - 1)] == ord("*"))
+    read, op, size, rbeg, qbeg = operations(batch.column("cigar"), len(pos))
+    rbeg = rbeg + (pos - t0)[read]
+
+    def packed(kind, cycle, value):
+        return kind << 56 | cycle + 1 << 20 | value + 1
+
     found = []
-    columns = (batch.column(k).to_pylist() for k in ("pos", "flag", "cigar", "seq", "qual", "t0", "parts"))
-    for pos, flag, cigar, seq, qual, t0, parts in zip(*columns, strict=True):
-        back, n = bool(flag & 16), len(seq)
-        read = 2 if flag & 128 else 1
-        letters = np.frombuffer(seq.upper().encode("ascii", "replace"), np.uint8)
-        values = np.frombuffer(qual.encode("ascii", "replace"), np.uint8).astype(np.int64) - 33 if qual and qual != "*" else np.full(n, 255)
-        ref = np.frombuffer(parts.upper().encode("ascii", "replace"), np.uint8)
-        x, y = pos - t0, 0
-        for op in cigar:
-            size, kind = op["len"], op["op"]
-            if kind in "M=X":
-                a, b = letters[y : y + size], ref[x : x + size]
-                a = a[: len(b)]
-                unknown = a == ord("N")
-                at = np.flatnonzero(unknown | (a != b) & (b != ord("N")))
-                if len(at):
-                    cycle = n - 1 - (y + at) if back else y + at
-                    found.append(np.stack([np.full(len(at), MISMATCH), cycle, np.where(unknown[at], -1, values[y + at])], 1))
-            elif kind == "I":
-                found.append(np.array([[INSERTION, n - y - size if back else y, read]]))
-            elif kind == "D":
-                found.append(np.array([[DELETION, (n - y if back else y) - 1, read]]))
-            x += size if kind in REF_OPS else 0
-            y += size if kind in QUERY_OPS else 0
-    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    for kind, code in ((INSERTION, "I"), (DELETION, "D")):
+        k = np.flatnonzero(op == CODE[code])
+        own, y = read[k], qbeg[k]
+        turned = n[own] - y - (size[k] if kind == INSERTION else 0)
+        found.append(packed(kind, np.where(back[own], turned, y) - (kind == DELETION), np.where(flag[own] & 128, 2, 1)))
+    k = np.flatnonzero(np.isin(op, [CODE[x] for x in "M=X"]) & (size > 0))
+    k = np.repeat(k, size[k])
+    step = np.arange(len(k)) - np.searchsorted(k, k)
+    r, x, y = read[k], rbeg[k] + step, qbeg[k] + step
+    inside = (x >= 0) & (x < np.diff(rat)[r])
+    r, x, y = r[inside], x[inside], y[inside]
+    if (y >= n[r]).any():
+        raise ValueError("a read is shorter than its CIGAR")
+    a, b = _upper(letters[at[r] + y]), _upper(ref[rat[r] + x])
+    off = (a == ord("N")) | (a != b) & (b != ord("N"))
+    r, y, unknown = r[off], y[off], a[off] == ord("N")
+    if (~none[r] & (y >= np.diff(vat)[r])).any():
+        raise ValueError("a read has fewer qualities than letters")
+    value = np.where(none[r], 255, values[np.minimum(vat[r] + y, len(values) - 1)].astype(np.int64) - 33)
+    found.append(packed(MISMATCH, np.where(back[r], n[r] - 1 - y, y), np.where(unknown, -1, value)))
+    keys, count = np.unique(np.concatenate(found), return_counts=True)
+    return np.stack([keys >> 56, (keys >> 20 & (1 << 36) - 1) - 1, (keys & (1 << 20) - 1) - 1], 1), count
 
 
 def by_cycle(reads: DataFrame, reference: DataFrame) -> DataFrame:
@@ -52,8 +74,9 @@ def by_cycle(reads: DataFrame, reference: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows, n = np.unique(_counts_of_batch(b), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k], pa.int32()) for k in range(3)] + [pa.array(n, pa.int64())], ["kind", "cycle", "value", "n"])
+            for part in slices(b):
+                rows, n = _counts_of_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k], pa.int32()) for k in range(3)] + [pa.array(n, pa.int64())], ["kind", "cycle", "value", "n"])
 
     each = with_reference(r, reference, ("flag", "cigar", "seq", "qual")).mapInArrow(run, "kind int, cycle int, value int, n long")
     return each.groupBy("kind", "cycle", "value").agg(F.sum("n").alias("n"))

@@ -70,3 +70,43 @@ def test_marker_sites(spark):
     got = {r.id: r for r in sites.marker_sites(spark.createDataFrame(m, names)).collect()}
     assert [(got[k].pos, got[k].ref, got[k].alt) for k in "abde"] == [(9, "A", ["C", "G"]), (9, "T", ["G"]), (8, "NC", ["NAC", "N"]), (8, "N", ["NAC"])]
     assert got["a"].info == {"molType": "genomic", "class": "single"} and got["b"].info == {"molType": "genomic", "class": "single", "valid": "by-x", "AF": "0.25"}
+
+
+def _one_by_one(rows):
+    """(kind, cycle, value) of each mismatch and gap, a read and an operation at a time."""
+    for x in rows:
+        back, n, y, at = x["flag"] & 16, len(x["seq"]), 0, x["pos"] - x["t0"]
+        for op in x["cigar"]:
+            size, kind = op["len"], op["op"]
+            if kind in "M=X":
+                for k in range(size):
+                    r = x["parts"][at + k].upper() if at + k < len(x["parts"]) else None
+                    a = x["seq"][y + k].upper()
+                    if r and (a == "N" or a != r != "N"):
+                        yield 0, n - 1 - y - k if back else y + k, -1 if a == "N" else 255 if x["qual"] in (None, "*") else ord(x["qual"][y + k]) - 33
+            elif kind in "ID":
+                read = 2 if x["flag"] & 128 else 1
+                yield (1, n - y - size if back else y, read) if kind == "I" else (2, (n - y if back else y) - 1, read)
+            y += size if kind in "MIS=X" else 0
+            at += size if kind in "MDN=X" else 0
+
+
+def test_batches_are_counted_as_operations_are():
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+    from strandframe.operators import cycle_statistics as C
+
+    rng, rows = random.Random(8), []
+    for k in range(400):
+        cigar = [{"len": rng.randint(1, 9), "op": rng.choice("MMM=XIDNSHP")} for _ in range(rng.randint(1, 6))]
+        n = sum(o["len"] for o in cigar if o["op"] in "MIS=X")
+        text = lambda of, n: "".join(rng.choices(of, k=n))
+        rows.append({"pos": k, "flag": rng.choice([0, 16, 128, 144]), "cigar": cigar, "seq": text("ACGTNacgné", n), "qual": [text("!5I~", n), "*", None][min(k % 9, 2) if k % 9 else 0], "t0": k - k % 3, "parts": text("ACGTNacgtñ", rng.randint(0, 60))})
+    kinds = pa.schema([("pos", pa.int32()), ("flag", pa.int32()), ("cigar", pa.list_(pa.struct([("len", pa.int32()), ("op", pa.string())]))), ("seq", pa.string()), ("qual", pa.string()), ("t0", pa.int32()), ("parts", pa.string())])
+    batch = pa.RecordBatch.from_pylist(rows, schema=kinds)
+    fold = lambda x: x | {"seq": x["seq"].replace("é", "?"), "parts": x["parts"].replace("ñ", "?")}
+    for lo, n in ((0, 400), (7, 100), (3, 0)):
+        got, count = C._counts_of_batch(batch.slice(lo, n))
+        assert dict(zip(map(tuple, got.tolist()), count.tolist(), strict=True)) == Counter(_one_by_one(map(fold, rows[lo : lo + n])))
